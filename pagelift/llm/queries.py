@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_dedup, packing, warc
+from . import exact_dedup, licenses, packing, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
+def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan_known(table(spark, sf_dir, "documents"))
+
+
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -24,11 +28,39 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op3_exact_dedup, op8_packing, op9_warc)}
+QUERIES = {f.__name__: f for f in (op3_exact_dedup, op7_licenses, op8_packing, op9_warc)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _canonical(text: str) -> str:
+    out = f"lower({text})"
+    for _ in range(2):
+        out = f"regexp_replace({out}, {_quoted(licenses.COPYRIGHT)}, chr(10), 'g')"
+    out = f"' ' || trim(regexp_replace({out}, {_quoted(licenses.BETWEEN)}, ' ', 'g')) || ' '"
+    for given, kept in licenses.SPELLINGS:
+        out = f"replace({out}, ' {given} ', ' {kept} ')"
+    return f"sha256(trim({out}))"
+
+
+_LICENSES = f"""
+    WITH known AS (SELECT digest, min(id) AS id FROM (SELECT id, {_canonical("t")} AS digest
+                   FROM (VALUES {", ".join(f"({_quoted(a)}, {_quoted(b)})" for a, b in licenses.KNOWN)}) AS v(id, t)) GROUP BY digest),
+    lines AS (SELECT doc_id, {_canonical("line")} AS digest FROM
+              (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line FROM documents)
+              WHERE regexp_matches(line, {_quoted(licenses.MENTIONS)})),
+    notices AS (SELECT doc_id, string_agg(DISTINCT id, ',' ORDER BY id) AS ids FROM lines JOIN known USING (digest) GROUP BY doc_id),
+    texts AS (SELECT doc_id, {_canonical("coalesce(text, '')")} AS digest FROM documents)
+    SELECT doc_id, digest AS text_digest, known.id AS license_id, coalesce(notices.ids, '') AS notice_ids
+    FROM texts LEFT JOIN known USING (digest) LEFT JOIN notices USING (doc_id)"""
+
 ORACLE_SQL = {
+    "op7_licenses": _LICENSES,
     "op3_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
                doc_id = max(doc_id) OVER same AS kept, sha256(low) AS text_sha256
