@@ -73,7 +73,7 @@ def windows(hashes: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray,
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    total = np.full(n, np.uint64(size) * _BASE, np.uint64)
+    total = np.full(n, size * int(_BASE) & (2**64 - 1), np.uint64)
     for j in range(size):
         total += hashes[j : j + n] * _PLACE[j]
     whole = of[:n] == of[size - 1 :]

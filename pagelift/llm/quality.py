@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import ngrams
+from . import ngrams, samples
 from .runtime import arrow_map, materialize, small_batches, text_or_empty
 
 #: Most labelled rows that the model is fitted on, by the order of a hash of the id.
@@ -204,7 +204,7 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty:
 def train(stats: DataFrame, labels: DataFrame, label_col: str, sample_rows: int = SAMPLE_ROWS) -> RuleModel:
     """Fit on at most sample_rows labelled rows; labels: doc_id and a label of 0 or 1."""
     own = labels.select(F.col("doc_id").cast("long"), F.col(label_col).cast("int").alias("y_")).filter("y_ in (0, 1)")
-    rows = stats.join(own, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", *FEATURES, "y_").limit(sample_rows).select(*FEATURES, "y_").toPandas()
+    rows = samples.first_by_hash(stats.join(own, "doc_id"), "doc_id", sample_rows).select(*FEATURES, "y_").toPandas()
     return fit(rows[FEATURES].to_numpy(float), rows["y_"].to_numpy(float))
 
 
