@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, langid, licenses, packing, quality, toxicity, warc
+from . import decontam, exact_dedup, jaccard, langid, licenses, packing, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -57,7 +57,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.page_records(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontam, op2_toxicity, op3_exact_dedup, op4_quality, op5_langid, op7_licenses, op8_packing, op9_warc)}
+def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_decontam, op2_toxicity, op3_exact_dedup, op4_quality, op5_langid, op7_licenses, op8_packing, op9_warc, op10_jaccard)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
