@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, jaccard, langid, licenses, packing, quality, toxicity, warc
+from . import chat, decontam, exact_dedup, jaccard, langid, licenses, packing, quality, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -45,6 +45,10 @@ def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_conversations(table(spark, sf_dir, "conversations"))
+
+
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan_known(table(spark, sf_dir, "documents"))
 
@@ -61,7 +65,7 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontam, op2_toxicity, op3_exact_dedup, op4_quality, op5_langid, op7_licenses, op8_packing, op9_warc, op10_jaccard)}
+QUERIES = {f.__name__: f for f in (op1_decontam, op2_toxicity, op3_exact_dedup, op4_quality, op5_langid, op6_chat, op7_licenses, op8_packing, op9_warc, op10_jaccard)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -92,7 +96,32 @@ _LICENSES = f"""
     SELECT doc_id, digest AS text_digest, known.id AS license_id, coalesce(notices.ids, '') AS notice_ids
     FROM texts LEFT JOIN known USING (digest) LEFT JOIN notices USING (doc_id)"""
 
+
+_CONTAINED = """
+    WITH docs AS (SELECT doc_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\\x{80}-\\x{10FFFF}]+') AS w FROM documents),
+    items AS (SELECT item_id, least(5, len(w)) AS size, w FROM (SELECT item_id, regexp_extract_all(lower(coalesce(text, '')), '[a-z0-9\\x{80}-\\x{10FFFF}]+') AS w FROM benchmark)),
+    wanted AS (SELECT DISTINCT item_id, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS g FROM items WHERE len(w) > 0),
+    sizes AS (SELECT item_id, count(*) AS n FROM wanted GROUP BY item_id),
+    had AS (SELECT DISTINCT doc_id, size, unnest(list_transform(range(1, len(w) - size + 2), lambda i: array_to_string(w[i : i + size - 1], ' '))) AS g
+            FROM docs, (SELECT DISTINCT size FROM wanted) WHERE len(w) >= size)
+    SELECT doc_id, item_id, n AS item_shingles, count(*) AS shared, count(*) / n AS containment
+    FROM had JOIN wanted USING (size, g) JOIN sizes USING (item_id) GROUP BY doc_id, item_id, n HAVING count(*) >= 0.8 * n"""
+
+_NEAR = f"""
+    WITH RECURSIVE docs AS (SELECT doc_id, list_filter(regexp_split_to_array({_LOW}, '[\\x20\\x09-\\x0D]+'), lambda x: x <> '') AS w FROM documents),
+    sets AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+             ELSE list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i : i + 4], ' ')) END) AS g FROM docs),
+    sizes AS (SELECT doc_id, count(*) AS n FROM sets GROUP BY doc_id),
+    shared AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM sets a JOIN sets b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+    links AS (SELECT a, b FROM shared JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE 100 * k >= 80 * (x.n + y.n - k)),
+    ways AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+    reached(doc_id, id) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, w.b FROM reached r JOIN ways w ON w.a = r.id)
+    SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.id AS component_id
+    FROM docs d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT doc_id, min(id) AS id FROM reached GROUP BY doc_id) c USING (doc_id)"""
+
 ORACLE_SQL = {
+    "op1_decontam": _CONTAINED,
+    "op10_jaccard": _NEAR,
     "op7_licenses": _LICENSES,
     "op3_exact_dedup": f"""
         SELECT doc_id, max(doc_id) OVER same AS keep_id, count(*) OVER same AS group_size,
