@@ -1,19 +1,52 @@
-"""The corpus pipeline: stages on documents, each written as Parquet and read again by the next."""
+"""The corpus pipeline: stages on documents, each written as Parquet and read again by the next.
+
+Toxic documents go, then exact copies, then near duplicates, then documents that hold benchmark items; the rest is
+packed into sequences. All stages but the last return the columns of documents.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pagelift.llm import exact_dedup
+from pagelift.llm import decontam, exact_dedup, jaccard, packing, toxicity
 from pagelift.llm.runtime import materialize
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a score below 0.7, learned from the labels whose crc32(doc_id) mod 3 is not 1."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").filter(F.crc32(F.col("doc_id").cast("string")) % 3 != 1)
+    return toxicity.drop_toxic(docs, toxicity.train(docs, labels, "toxic"), 0.7)
+
+
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without exact copies: of equal texts the row with the largest doc_id stays."""
     return exact_dedup.drop_copies(docs)
 
 
-STAGES = [("exact_dedup", dedup_stage)]
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: that with the smallest doc_id."""
+    return jaccard.keep_one(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that contain no item of the benchmark."""
+    return decontam.drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of the documents in sequences of at most 4096 tokens."""
+    return packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+
+
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("exact_dedup", dedup_stage),
+    ("near_duplicates", near_duplicate_stage),
+    ("decontamination", decontamination_stage),
+    ("packing", packing_stage),
+]
 
 #: Trained scores and linear programs are not expressible in SQL; the tests hold the stages against brute force.
 ORACLE_SQL = None
