@@ -458,6 +458,10 @@ class TreeBuilder:
                 own = self.stack and self.top.tag == name and not self.top.space
                 if own and (name in RAW or name in ESCAPABLE_RAW) or own and name == "plaintext":
                     answer = name
+        if self.mode == self.in_text:
+            self.mode(("eof",))
+        while self.templates and any(n.tag == "template" for n in self.stack):
+            self.end_template()
         for _ in range(12):  # the end of the page passes the modes that only await more
             before = self.mode
             if self.mode in (self.initial, self.before_html, self.before_head, self.in_head, self.after_head):
@@ -487,7 +491,7 @@ class TreeBuilder:
                 self.mode = modes[n.tag]
                 return
             if n.tag == "html":
-                self.mode = self.before_head if self.head is None and not any(c.tag == "body" for c in n.children) and n is self.stack[0] and len(self.stack) == 1 and self.root.children and self.head is None and self.mode not in (self.in_body,) else self.in_body
+                self.mode = self.in_body if any(c.tag == "body" for c in n.children) or self.head is None and not self.root.children else self.after_head if self.head is not None else self.before_head
                 return
         self.mode = self.in_body
 

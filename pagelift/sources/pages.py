@@ -15,4 +15,4 @@ def read_files(spark: SparkSession, path: str, base_url: str = "") -> DataFrame:
     replaced, as in a decoder that never fails."""
     files = spark.read.format("binaryFile").load(path)
     name = F.element_at(F.split("path", "/"), -1)
-    return files.select(F.xxhash64("path").alias("page_id"), (F.concat(F.lit(base_url), name) if base_url else F.lit("")).alias("url"), F.decode("content", F.lit("UTF-8")).alias("html"))
+    return files.select(F.xxhash64("path").alias("page_id"), (F.concat(F.lit(base_url), name) if base_url else F.lit("")).alias("url"), F.decode("content", "UTF-8").alias("html"))
