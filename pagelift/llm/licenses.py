@@ -90,8 +90,8 @@ Unless required by applicable law or agreed to in writing, software distributed
 
 #: Registries of up to so many rows are also held as a map, for notices.
 NOTICES = 1000
-#: A line that is no more than a copyright notice, and what stands between words.
-COPYRIGHT = r"(?:^|\n)[^\n\p{L}\p{N}]*(?:copyright[ \t:(©][^\n]*|\(c\) ?[0-9][^\n]*|©[^\n]*|all rights reserved\.?[^\n\p{L}\p{N}]*)(?:\z|\n)"
+#: A line that is no more than a copyright notice (with a year or sign), and what stands between words.
+COPYRIGHT = r"(?:^|\n)[^\n\p{L}\p{N}]*(?:copyright[^\n]*(?:[0-9]{4}|\(c\)|©)[^\n]*|\(c\) ?[0-9][^\n]*|©[^\n]*|all rights reserved\.?[^\n\p{L}\p{N}]*)(?:\z|\n)"
 BETWEEN = r"[^\p{L}\p{N}]+"
 #: Lines that can be notices.
 MENTIONS = r"(?i)licen[cs]e|public domain|copyright"
@@ -100,8 +100,9 @@ MENTIONS = r"(?i)licen[cs]e|public domain|copyright"
 def canonical(text: Column) -> Column:
     """The canonical form of a text."""
     out = F.lower(text)
-    # Notices on consecutive lines share a line's end, so the pattern is taken out twice.
-    marked = F.when(out.rlike(r"copyright|\(c\)|©|all rights reserved"), F.regexp_replace(F.regexp_replace(out, COPYRIGHT, "\n"), COPYRIGHT, "\n")).otherwise(out)
+    # Line ends are doubled, so that notices on consecutive lines don't share one.
+    lines = F.replace(out, F.lit("\n"), F.lit("\n\n"))
+    marked = F.when(out.rlike(r"copyright|\(c\)|©|all rights reserved"), F.regexp_replace(lines, COPYRIGHT, "\n")).otherwise(out)
     out = F.concat(F.lit(" "), F.trim(F.regexp_replace(marked, BETWEEN, " ")), F.lit(" "))
     for given, kept in SPELLINGS:
         out = F.replace(out, F.lit(f" {given} "), F.lit(f" {kept} "))

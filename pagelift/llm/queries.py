@@ -77,8 +77,7 @@ def _quoted(text: str) -> str:
 
 def _canonical(text: str) -> str:
     out = f"lower({text})"
-    for _ in range(2):
-        out = f"regexp_replace({out}, {_quoted(licenses.COPYRIGHT)}, chr(10), 'g')"
+    out = f"regexp_replace(replace({out}, chr(10), chr(10) || chr(10)), {_quoted(licenses.COPYRIGHT)}, chr(10), 'g')"
     out = f"' ' || trim(regexp_replace({out}, {_quoted(licenses.BETWEEN)}, ' ', 'g')) || ' '"
     for given, kept in licenses.SPELLINGS:
         out = f"replace({out}, ' {given} ', ' {kept} ')"
