@@ -7,7 +7,8 @@ machine's function; as the kernel has an explicit map, the landmarks' weights ar
 hashed subsequences, and a word's value is a sum over its own subsequences, equal to that over the landmarks.
 
 Labels are of documents: words found far more often in toxic ones than chance explains are the positive instances.
-A document's value is that of its worst word; logistic calibration makes it a probability. Signs inside words are
+A document is judged by its WORST worst words: each has a probability to be an insult, and the document one that any
+of them is, so that one clear insult counts, and several words that are each less clear do, too. Signs inside words are
 taken out, digits that stand for letters are read as such, and letters set apart by single spaces are joined.
 
 Defined cases: null text is empty; an empty text has the score of a text without any known word. Without labelled rows
@@ -37,6 +38,8 @@ SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 6000
 ORDERS, SPAN, DECAY = (3, 4, 5), 6, 0.8
 #: Words are cut into windows of so many letters, each beginning so many after the last.
 WINDOW, STEP = 24, 16
+#: Words of a document that count, and the values that count as the least and most.
+WORST, LOW, HIGH = 6, -3.0, 1.5
 TABLE_BITS = 20
 LANDMARKS = 300
 
@@ -159,8 +162,22 @@ class ToxicityModel:
             new = list(set().union(*own))
         if new:
             memory.update(zip(new, self.values(new).tolist(), strict=True))
-        worst = np.array([max(map(memory.__getitem__, o), default=-2.0) for o in own])
-        return 1 / (1 + np.exp(-np.clip(self.slope * worst + self.base, -50, 50)))
+        worst = _worst([np.fromiter(map(memory.__getitem__, o), float, len(o)) for o in own])
+        return _any(worst, self.slope, self.base)
+
+
+def _any(worst: np.ndarray, slope: float, base: float) -> np.ndarray:
+    """The probability that any of a row's words is an insult."""
+    return -np.expm1(-np.logaddexp(0, slope * worst + base).sum(axis=1))
+
+
+def _worst(values: list[np.ndarray]) -> np.ndarray:
+    """The largest values of each document, in falling order; LOW where there are fewer."""
+    out = np.full((len(values), WORST), LOW)
+    for row, v in zip(out, values, strict=True):
+        top = np.sort(np.partition(v, len(v) - WORST)[-WORST:] if len(v) > WORST else v)[::-1]
+        row[: len(top)] = np.clip(top, LOW, HIGH)
+    return out
 
 
 def _tail(hits: int, total: int, share: float) -> float:
@@ -231,16 +248,21 @@ def _svm(x: np.ndarray, y: np.ndarray, cost: np.ndarray, rounds: int = 30) -> np
     return w
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
-    """Slope and base of the calibration, with Platt's smoothed targets."""
+def _calibrate(worst: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+    """Slope and base of the words' probabilities, of largest likelihood (with Platt's smoothed targets), by a grid
+    that is refined around its best point."""
     n1, n0 = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
-    a, w = np.stack([x, np.ones(len(x))], axis=1), np.array([1.0, 0.0])
-    for _ in range(100):
-        p = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40)))
-        h = (a.T * (p * (1 - p) + 1e-9)) @ a + 1e-6 * np.eye(2)
-        w = w - 0.7 * np.linalg.solve(h, a.T @ (p - target) + 1e-6 * w)
-    return float(max(w[0], 0.0)), float(w[1])
+
+    def loss(slope: float, base: float) -> float:
+        p = np.clip(_any(worst, slope, base), 1e-9, 1 - 1e-9)
+        return float(-(target * np.log(p) + (1 - target) * np.log1p(-p)).sum() + 1e-2 * slope**2)
+
+    best, slopes, bases = (0.0, 1.0, 0.0), np.linspace(0.5, 12, 13), np.linspace(-9, 3, 13)
+    for _ in range(4):
+        best = min((loss(a, b), float(a), float(b)) for a in slopes if a > 0 for b in bases)
+        slopes, bases = (np.linspace(c - (x[1] - x[0]), c + (x[1] - x[0]), 9) for c, x in ((best[1], slopes), (best[2], bases)))
+    return best[1], best[2]
 
 
 #: Beginnings of words are tested as classes, too: insults bear endings. Their lengths, and the classes of a hash.
@@ -284,10 +306,9 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Toxi
     own = [np.array(sorted({numbers.setdefault(w, len(numbers)) for w in units(t)}), np.int64) for t in texts]
     vocabulary = list(numbers)
     alone = np.flatnonzero(_alone(texts))
-    in_clean = np.zeros(len(vocabulary), np.int64)
+    in_clean, in_toxic = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
     for o, t in zip(own, toxic, strict=True):
-        if not t:
-            in_clean[o] += 1
+        (in_toxic if t else in_clean)[o] += 1
     insults = [i for i in positives(vocabulary, [own[i] for i in alone], toxic[alone])][:500]
     if not insults:
         return none
@@ -309,7 +330,7 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Toxi
         root = vectors[:, keep] / np.sqrt(values[keep])  # the Nyström map is k(x, landmarks) @ root
         y = np.where(np.arange(len(words)) < n, 1.0, -1.0)
         often = in_clean[hard]
-        cost = np.concatenate([np.full(n_pos, 20.0), np.full(n - n_pos, 8.0), 10.0 * np.minimum(1 + often, 30)])
+        cost = np.concatenate([10.0 * np.minimum(1 + in_toxic[insults], 60), np.full(n - n_pos, 8.0), 10.0 * np.minimum(1 + often, 30)])
         w = _svm(kernel(words, base) @ root, y, cost)
         weights = root @ w[:-1]
         table = np.zeros(1 << TABLE_BITS, np.float32)
@@ -325,9 +346,16 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Toxi
             hard = hard + recent
             only = np.setdiff1d(np.flatnonzero((in_clean == 0) & (found > 0)), insults)
             insults = insults + only[np.argsort(-found[only], kind="stable")][:200].tolist()
-    worst = np.array([found[o].max() if len(o) else -2.0 for o in own])
-    slope, bias = _logistic(worst, toxic.astype(float))
-    return ToxicityModel(model.table, model.bias, slope, bias)
+    # Words count as often as they stand in a document, as they do in scoring.
+    said = [np.array([numbers[w] for w in units(t)], np.int64) for t in texts]
+    worst, y = _worst([found[o] for o in said]), toxic.astype(float)
+    # Clean documents with one insult set in count as toxic, too: few toxic documents have no more than one.
+    plain = worst[y == 0]
+    picked = draw.integers(0, len(plain), int(y.sum()))
+    often = in_toxic[insults[:n_pos]] / in_toxic[insults[:n_pos]].sum()
+    one = np.column_stack([plain[picked], np.clip(found[np.array(insults)[draw.choice(n_pos, len(picked), p=often)]], LOW, HIGH)])
+    slope, base = _calibrate(np.vstack([worst, -np.sort(-one, axis=1)[:, :WORST]]), np.concatenate([y, np.ones(len(picked))]))
+    return ToxicityModel(model.table, model.bias, slope, base)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> ToxicityModel:
