@@ -18,14 +18,34 @@ HOLDINGS = ["paragraphs", "images", "items", "inputs", "embeds", "commas", "leng
 CASES = [("div", -25, 5, 0, 0, 0, 0, 0, 900, 0, 0, 0.0, False, False), ("div", 0, 5, 0, 0, 0, 0, 12, 900, 0, 0, 0.9, False, False), ("div", 0, 1, 3, 0, 0, 0, 1, 500, 0, 0, 0.0, False, False), ("div", 0, 1, 3, 0, 0, 0, 1, 500, 0, 0, 0.0, False, True), ("div", 0, 1, 0, 130, 0, 0, 1, 500, 0, 0, 0.0, False, False), ("ul", 0, 1, 0, 130, 0, 0, 1, 500, 0, 500, 0.3, False, False), ("div", 0, 2, 0, 0, 1, 0, 1, 500, 0, 0, 0.0, False, False), ("div", 0, 3, 0, 0, 1, 0, 1, 500, 0, 0, 0.0, False, False), ("div", 0, 1, 0, 0, 0, 0, 0, 20, 0, 0, 0.0, False, False), ("div", 0, 1, 1, 0, 0, 0, 0, 20, 0, 0, 0.0, False, False), ("div", 0, 1, 0, 0, 0, 0, 0, 20, 20, 0, 0.0, False, False), ("div", 0, 1, 0, 0, 0, 0, 1, 500, 0, 0, 0.25, False, False), ("div", 25, 1, 0, 0, 0, 0, 1, 500, 0, 0, 0.25, False, False), ("div", 25, 1, 0, 0, 0, 0, 1, 500, 0, 0, 0.55, False, False), ("div", 0, 1, 0, 0, 0, 1, 1, 70, 0, 0, 0.0, False, False), ("div", 0, 1, 0, 0, 0, 1, 1, 75, 0, 0, 0.0, False, False), ("div", 0, 1, 0, 0, 0, 2, 1, 500, 0, 0, 0.0, False, False), ("div", 0, 1, 0, 0, 0, 2, 1, 500, 0, 0, 0.0, True, False), ("div", 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0.0, False, False), ("div", 0, 1, 0, 0, 0, 0, 1, 100, 0, 95, 0.9, False, False)]
 METAS = [(1, 1, "", "og:title", " A "), (1, 2, "", "dc:title", "B"), (1, 3, "author", "", "Ann"), (1, 4, "", "og:site_name", "Site"), (2, 1, "DC.Title", "", "First"), (2, 2, "dc.title", "", "Second"), (2, 3, "description", "", "Text"), (2, 4, "twitter:description", "", "Tw"), (3, 1, "parsely-pub-date", "", "2020-01-01"), (3, 2, "", "article:published_time", "2021-02-02"), (3, 3, "parsely-author", "", "Paul"), (3, 4, "viewport", "", "x"), (4, 1, "", "og:title", ""), (4, 2, "weibo:article:title", "", "W"), (4, 3, "", "x og : title y", "In the middle")]
 
+CLASSES = ["page", "a page b", "  page\tpage ", "pages", "", "x  y", "Page page"]
+STYLES = ["display:none", "DISPLAY : block ; display:none", "display:none!important;display:block", "display:none ! important;display:block!important", "x;display:none", "display", "", "display:none;display:", "color:red; display : inline-block ;"]
+_LONG = "<p>" + "This sentence is here so that the paragraph has enough text, commas, and units to count. " * 8 + "</p>"
+_LD = '<script type="application/ld+json">{"@context":"https://schema.org","@graph":[{"@type":"WebSite"},{"@type":"http://schema.org/Report","name":"Long name of it","headline":"Head","author":[{"name":"A"},{"name":"B"}],"description":"D","datePublished":"2020","publisher":{"name":"P"}}]}</script>'
+GOLDEN = [  # page, url, markup, and the results: status, title, byline, dir, lang, excerpt, site_name, published_time, attempts
+    (1, "", f"<html lang=en><title>A title of several words</title><body><div dir=rtl>{_LONG}{_LONG}</div>", "ok", "A title of several words", "", "rtl", "en", _LONG[3:-5], "", "", 1),
+    (2, "https://e.com/", f"<title>x</title>{_LD}<div>{_LONG}</div>", "ok", "Long name of it", "A, B", "", "", "D", "P", "2020", 1),
+    (3, "", f"<title>x</title><meta property='og:title' content='O &amp;amp; P'><meta name=author content=Ann><meta property='article:published_time' content=2021><meta name=description content=Text><div>{_LONG}</div>", "ok", "O & P", "Ann", "", "", "Text", "", "2021", 1),
+    (4, "", f"<title>The name of a story: part of it</title><div><p class=byline>By <b itemprop=name>Eve</b></p>{_LONG}</div>", "ok", "The name of a story: part of it", "Eve", "", "", _LONG[3:-5], "", "", 1),
+    (5, "", f"<title>A title of several words</title><div class=sidebar>{_LONG}</div>", "ok", "A title of several words", "", "", "", _LONG[3:-5], "", "", 2),
+    (6, "nowhere", _LONG, "invalid_url", None, None, None, None, None, None, None, None),
+    (7, "", "<html><head></head></html>", "no_body", None, None, None, None, None, None, None, None),
+    (8, "", "", "no_content", None, None, None, None, None, None, None, None),
+    (9, "", None, "read_error", None, None, None, None, None, None, None, None),
+    (10, "", "<title>A title of several words</title><article><p>Too short, yet all there is.</p></article>", "ok", "A title of several words", "", "", "", "Too short, yet all there is.", "", "", 4),
+]
+GOLDEN_NAMES = ["status", "title", "byline", "dir", "lang", "excerpt", "site_name", "published_time", "attempts"]
+
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pages, dealt to all cores: there is one file, and the kernel is what takes time."""
-    return _table(spark, sf_dir, "pages").select("page_id", "url", "html").repartition(spark.sparkContext.defaultParallelism, "page_id")
+    """The pages; fewer partitions than cores (one small file) are dealt anew, as the kernel is what takes time."""
+    pages = _table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    cores = spark.sparkContext.defaultParallelism
+    return pages.repartition(cores, "page_id") if pages.rdd.getNumPartitions() < cores else pages
 
 
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -140,6 +160,22 @@ def meta_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return values.select("page", *(native.first_of(F.col("v"), k).alias(n) for n, k in keys.items()))
 
 
+def class_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(c,) for c in CLASSES], "value string")
+    return rows.select("value", native.kept_classes(F.col("value")).alias("kept"))
+
+
+def inline_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.createDataFrame([(s,) for s in STYLES], "style string")
+    return rows.select("style", native.style(F.col("style"), "display").alias("display"))
+
+
+def golden_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages whose results are known from the rules."""
+    rows = spark.createDataFrame([g[:3] for g in GOLDEN], "page_id int, url string, html string")
+    return extract_articles(rows).select("page_id", *GOLDEN_NAMES)
+
+
 def stream_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The pages as a stream of files, extracted into a table."""
     import tempfile
@@ -181,12 +217,15 @@ QUERIES = {
     "table_kinds": table_kinds,
     "conditional_rules": conditional_rules,
     "meta_precedence": meta_precedence,
+    "class_cleaning": class_cleaning,
+    "inline_styles": inline_styles,
+    "golden_pages": golden_pages,
     "stream_articles": stream_articles,
 }
 
 
 def _q(value: object) -> str:
-    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else str(value)
+    return "'" + value.replace("'", "''") + "'" if isinstance(value, str) else "NULL" if value is None else str(value)
 
 
 def _values(rows: list[tuple], names: str) -> str:
@@ -300,6 +339,16 @@ ORACLE_SQL = {
                     OR (NOT is_list AND weight < 25 AND link_density > 0.2) OR (weight >= 25 AND link_density > 0.5)
                     OR (embeds = 1 AND length < 75) OR embeds > 1 END AS goes
         FROM r""",
+    "class_cleaning": f"""
+        SELECT value, array_to_string(list_filter(string_split_regex(value, '{_ASCII}+'), lambda c: c = 'page'), ' ') AS kept
+        FROM {_values([(c,) for c in CLASSES], "value")}""",
+    "inline_styles": f"""
+        WITH v AS (SELECT * FROM {_values([(s,) for s in STYLES], "style")}),
+        parts AS (SELECT style, unnest(string_split(style, ';')) AS part, generate_subscripts(string_split(style, ';'), 1) AS place FROM v),
+        own AS (SELECT style, place, trim(regexp_replace(part, '^[^:]*:', '')) AS given FROM parts WHERE contains(part, ':') AND lower(trim(string_split(part, ':')[1])) = 'display'),
+        best AS (SELECT style, max_by(trim(regexp_replace(given, '! *important$', '')), place + 1000 * CAST(regexp_matches(given, '! *important$') AS INTEGER)) AS display FROM own GROUP BY style)
+        SELECT style, coalesce(display, '') AS display FROM v LEFT JOIN best USING (style)""",
+    "golden_pages": f"SELECT CAST(page_id AS INTEGER) AS page_id, {', '.join(GOLDEN_NAMES[:-1])}, CAST(attempts AS INTEGER) AS attempts FROM {_values([(g[0], *g[3:]) for g in GOLDEN], 'page_id, ' + ', '.join(GOLDEN_NAMES))}",
     "meta_precedence": f"""
         WITH m AS (SELECT *, CASE
                 WHEN regexp_matches(property, '(?i)(article|dc|dcterm|og|twitter)\\s*:\\s*(author|creator|description|published_time|title|site_name)')

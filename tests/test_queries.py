@@ -37,3 +37,17 @@ def test_entry(spark):
     rows = __spark_entry__.entry(spark).collect()
     assert len(rows) == 50
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+def test_without_the_operators_for_training_data(tmp_path):
+    """The subpackage and the pipeline may be left out; the rest works as before."""
+    import os
+    import shutil
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    shutil.copytree(root, tmp_path / "repo", ignore=shutil.ignore_patterns(".git", "llm", "corpus_pipeline.py", "__pycache__", ".*"))
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'extract_articles' in q and 'pipeline' not in q and not any(k.startswith('op') for k in q); assert set(e.oracle_sql()) <= set(q); print(len(q))"
+    out = subprocess.run([sys.executable, "-B", "-c", code], cwd=tmp_path / "repo", env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True)
+    assert out.returncode == 0 and int(out.stdout) == len(queries.QUERIES), out.stderr
