@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .runtime import partitions_for, slices, small_batches, text_or_empty
+from .runtime import partitions_for, slices, small_batches, text_or_empty, without_ids
 
 #: Share of an item's shingles that a document must hold, and words of a shingle.
 CONTAINMENT, WORDS = 0.8, 5
@@ -196,5 +196,4 @@ def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text
 
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """Documents that contain no item; all columns are kept."""
-    hit = contaminated(docs, items).select("doc_id").distinct()
-    return docs.join(hit, "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, contaminated(docs, items), "doc_id")

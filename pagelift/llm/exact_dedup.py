@@ -20,7 +20,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_map, ascii_lower, attach, materialize, partitions_for, semi_join, small_batches, text_or_empty
+from .runtime import arrow_map, ascii_lower, attach, materialize, partitions_for, semi_join, small_batches, text_or_empty, without_ids
 
 #: Digests of a shard, and so the keys of one filter: about 70 KB.
 SHARD_KEYS = 1 << 16
@@ -181,5 +181,4 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """Documents without those of which an equal text with a larger doc_id stays; all columns are kept."""
-    gone = exact_dedup(docs).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, exact_dedup(docs).filter("not kept"), "doc_id")

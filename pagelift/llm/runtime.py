@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Most rows of ids or groups that are broadcast: 8 to 60 bytes a row, so a few tens of MB at most.
 BROADCAST_ROWS = 200_000
+#: Most ids (one 64-bit integer a row) that are broadcast: some 30 MB.
+BROADCAST_IDS = 1_000_000
 #: Text bytes that a Python worker handles at a time; one longer text is a slice of its own.
 SLICE_BYTES = 4 << 20
 
@@ -58,8 +60,14 @@ def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
 
 
 def semi_join(df: DataFrame, ids: DataFrame, key: str, n_ids: int) -> DataFrame:
-    """Rows of df whose key is among ids (distinct, n_ids rows): broadcast up to BROADCAST_ROWS, shuffled beyond."""
-    return df.join(F.broadcast(ids) if n_ids <= BROADCAST_ROWS else ids, key, "left_semi")
+    """Rows of df whose key is among ids (distinct, n_ids rows): broadcast up to BROADCAST_IDS, shuffled beyond."""
+    return df.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, key, "left_semi")
+
+
+def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows of df whose key is not among ids; these are worked out once, and counted before they are joined."""
+    ids = materialize(ids.select(key).filter(F.col(key).isNotNull()).distinct(), "ids")
+    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti").select(*df.columns)
 
 
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 def first_by_hash(rows: DataFrame, key: str, most: int) -> DataFrame:
     """The first rows by a hash of their key, at most so many. As they are counted before, hashes of which the first
     rows are almost surely all are filtered, and no task sorts or sends more than its share."""
-    n = rows.count()
-    if n > 2 * most:
-        rows = rows.filter(F.shiftrightunsigned(F.xxhash64(key), 1) < int(2**63 * (1.2 * most + 100) / n))
+    share = (1.2 * most + 100) / max(1, rows.count())
+    if share < 0.9:
+        rows = rows.filter(F.shiftrightunsigned(F.xxhash64(key), 1) < int(2**63 * share))
     return rows.orderBy(F.xxhash64(key), *rows.columns).limit(most)
 
 
