@@ -6,7 +6,9 @@ So classes are dealt by prefix shingles, and only shingles of several classes ar
 
 1. Stars: for each class the class with which it shares most prefix shingles, among the smallest and largest of each
    shingle's classes, is verified on whole sets. This links groups of near copies without looking at all their pairs.
-2. Signature trees: the classes of a shingle that are not yet in one component make a tree. Its leaves have bitmaps of
+2. Signature trees: linked sets of like sizes share many prefix shingles, so a class with few shared ones can only
+   be linked at the limits of size. The classes of a shingle that may be linked so, and are not yet in one component,
+   make a tree. Its leaves have bitmaps of
    the shingles, its nodes the OR of those below, their range of set sizes, and their component if it is one. A dual
    traversal drops pairs of nodes whose largest possible overlap is too small for any sizes in their ranges, or that
    are linked already; the pairs of leaves that remain are verified on whole sets.
@@ -31,15 +33,19 @@ from pyspark.sql import functions as F
 
 from . import ngrams
 from .components import components
-from .runtime import arrow_map, attach, materialize, partitions_for, semi_join, slices, small_batches, text_or_empty
+from .runtime import BROADCAST_IDS, arrow_map, attach, materialize, partitions_for, semi_join, slices, small_batches, text_or_empty, without_ids
 
 #: Similarity in hundredths, words of a shingle.
 LEAST, WORDS = 80, 5
-#: Bits of a leaf's bitmap, children of a node.
-BITS, FAN = 2048, 16
+#: Least bits of a leaf's bitmap (it has twice as many as shingles, a power of two), children of a node.
+LEAST_BITS, FAN = 512, 16
+#: Bytes of bitmaps that are compared at a time.
+COMPARE_BYTES = 8 << 20
 #: A shingle in this share of the documents comes last in the order; at most so many do. The order is free: any one
 #: gives the same links.
 FREQUENT, MOST_FREQUENT = 0.01, 200_000
+#: Share of a prefix, in hundredths, that a star's pair has in common. Pairs with less are left to the trees.
+STAR_SHARE = 40
 #: Prefix shingles of a bucket, and partners of a centre that one task verifies.
 BUCKET_ROWS, STAR_ROWS = 1 << 20, 400
 
@@ -81,9 +87,7 @@ def sketches(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
             else:
                 ordered = own
             prefixes.append(ordered[: n - (LEAST * n + 99) // 100 + 1 if n else 0].view(np.int64))
-            flags = np.zeros(BITS, bool)
-            flags[(own >> np.uint64(20)).astype(np.int64) & (BITS - 1)] = True
-            bits.append(np.packbits(flags).tobytes())
+            bits.append(bitmap(own).tobytes())
             digests.append(xxhash.xxh3_128_digest(own.tobytes()))
             sizes.append(n)
         offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
@@ -93,6 +97,14 @@ def sketches(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
     return arrow_map(rows, "doc_id long, n long, digest binary, prefix array<long>, bits binary", one, text=1)
 
 
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Bits of a set, in bytes; half of a longer bitmap laid upon the other is the bitmap of half the length."""
+    width = max(LEAST_BITS, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else LEAST_BITS
+    flags = np.zeros(width, bool)
+    flags[((shingles >> np.uint64(16)) & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(flags)
+
+
 def _entries(shingles: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Entries of shingles with several ids, by shingle and id, and where each shingle's begin (and the end)."""
     order = np.lexsort((ids, shingles))
@@ -108,7 +120,10 @@ def _entries(shingles: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def shared_prefixes(reps: DataFrame, n_shingles: int) -> DataFrame:
-    """For each bucket of shingles its shared ones: bucket, shingles and ids (64-bit integers, by shingle)."""
+    """For each bucket of shingles its shared ones: bucket, shingles (their high 32 bits) and ids, by shingle.
+
+    Shingles of a bucket that agree in those bits only make classes candidates that verification drops.
+    """
     bits = max(0, (partitions_for(n_shingles, BUCKET_ROWS) - 1).bit_length())
     schema = "bucket long, shingles binary, ids binary"
 
@@ -118,29 +133,31 @@ def shared_prefixes(reps: DataFrame, n_shingles: int) -> DataFrame:
         if not len(values):
             return None
         ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), pa.compute.list_value_length(prefix).to_numpy(zero_copy_only=False))
-        # By the low bits: the smallest hashes make prefixes, so the high bits are not dealt evenly.
+        # By the low bits: the smallest hashes make prefixes, so the highest bits are not dealt evenly.
         bucket = (values & np.uint64((1 << bits) - 1)).astype(np.int64)
         order = np.argsort(bucket, kind="stable")
         values, ids, bucket = values[order], ids[order], bucket[order]
         edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-        rows = [(int(bucket[a]), values[a:b].tobytes(), ids[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+        high = (values >> np.uint64(32)).astype(np.uint32)
+        rows = [(int(bucket[a]), high[a:b].tobytes(), ids[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shingles", "ids"])
 
     def gather(key: tuple, table: pa.Table) -> pa.Table:
-        shingles, ids, _ = _entries(np.frombuffer(b"".join(table.column("shingles").to_pylist()), np.uint64), np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64))
+        shingles, ids, _ = _entries(np.frombuffer(b"".join(table.column("shingles").to_pylist()), np.uint32), np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64))
         return pa.table({"bucket": [key[0].as_py()], "shingles": [shingles.tobytes()], "ids": [ids.tobytes()]}).slice(0, 1 if len(ids) else 0)
 
     return arrow_map(reps.select("doc_id", "prefix"), schema, deal).groupBy("bucket").applyInArrow(gather, schema)
 
 
 def _bucket(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    shingles, ids = np.frombuffer(row["shingles"], np.uint64), np.frombuffer(row["ids"], np.int64)
+    shingles, ids = np.frombuffer(row["shingles"], np.uint32), np.frombuffer(row["ids"], np.int64)
     first = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]])) if len(ids) else np.zeros(0, int)
     return shingles, ids, np.append(first, len(ids))
 
 
-def star_pairs(shared: DataFrame) -> DataFrame:
-    """a and b: for each id the best partner among the smallest, and among the largest ids of its shingles."""
+def star_pairs(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """a and b: for each id the best partner among the smallest, and among the largest ids of its shingles, if their
+    sizes allow a link and they share enough of their prefixes to make one likely; sets: id and n of all classes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -153,15 +170,74 @@ def star_pairs(shared: DataFrame) -> DataFrame:
 
     pairs = shared.mapInArrow(run, "a long, b long, kind long, n long").groupBy("a", "b", "kind").agg(F.sum("n").alias("n"))
     best = pairs.groupBy("a", "kind").agg(F.max(F.struct("n", F.col("b").alias("b"))).alias("best"))
-    return best.select(F.greatest("a", "best.b").alias("a"), F.least("a", "best.b").alias("b")).distinct()
+    best = best.select(F.greatest("a", "best.b").alias("a"), F.least("a", "best.b").alias("b"), F.col("best.n").alias("n")).groupBy("a", "b").agg(F.max("n").alias("shared"))
+    sized = best.join(sets.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
+    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
+    likely = (100 * small >= LEAST * large) & (100 * F.col("shared") >= STAR_SHARE * F.floor(small * (100 - LEAST) / 100))
+    return sized.filter(likely).select("a", "b")
+
+
+class Bitmaps:
+    """Bitmaps, sizes and components of some sets; bitmaps of several lengths are compared at the shortest's."""
+
+    def __init__(self, bits: list[bytes], sizes: np.ndarray, component: np.ndarray):
+        self.sizes, self.component = sizes, component
+        self.width = np.array([8 * len(x) for x in bits])
+        self.own = {int(w): np.frombuffer(b"".join(bits[i] for i in np.flatnonzero(self.width == w)), np.uint64).reshape(-1, w // 64) for w in np.unique(self.width)}
+        self.row = np.zeros(len(bits), np.int64)
+        for w in self.own:
+            self.row[self.width == w] = np.arange(len(self.own[w]))
+
+    def at(self, places: np.ndarray, width: int) -> np.ndarray:
+        """Bitmaps of sets, laid together to a width that none is shorter than."""
+        out = np.zeros((len(places), width // 64), np.uint64)
+        for w in np.unique(self.width[places]):
+            some = self.width[places] == w
+            rows = self.own[int(w)][self.row[places[some]]]
+            out[some] = np.bitwise_or.reduce(rows.reshape(len(rows), w // width, width // 64), axis=1)
+        return out
+
+    def level(self, places: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
+        """Leaves: bitmap, size twice, shingles that share a bit with another, component."""
+        bits, n = self.at(places, width), self.sizes[places]
+        return bits, n, n, n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), self.component[places]
+
+    def possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+        """Pairs of sets in different components that may be similar."""
+        small, large = np.minimum(self.sizes[i], self.sizes[j]), np.maximum(self.sizes[i], self.sizes[j])
+        ok = (self.component[i] != self.component[j]) & (100 * small >= LEAST * large)
+        width = np.minimum(self.width[i], self.width[j])
+        for w in np.unique(width[ok]):
+            some = np.flatnonzero(ok & (width == w))
+            step = max(1, COMPARE_BYTES // (int(w) // 8))
+            for k in range(0, len(some), step):
+                at = some[k : k + step]
+                members, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
+                ok[at] = SignatureTree.possible(self.level(members, int(w)), place[: len(at)], place[len(at) :])
+        return ok
+
+    def groups(self, places: np.ndarray) -> list[tuple[np.ndarray, int]]:
+        """Sets that are compared in one tree, and the width: those of a bitmap length, and those near the limit of
+        two lengths with the longer bitmaps laid together."""
+        out = []
+        for w in np.unique(self.width[places]):
+            own = places[self.width[places] == w]
+            out.append((own, int(w)))
+            longer = places[self.width[places] == 2 * w]
+            if len(longer):
+                longer = longer[LEAST * self.sizes[longer] <= 100 * self.sizes[own].max()]
+                near = own[100 * self.sizes[own] >= LEAST * self.sizes[longer].min()] if len(longer) else own[:0]
+                if len(near):
+                    out.append((np.concatenate([near, longer]), int(w)))
+        return out
 
 
 class SignatureTree:
     """Nodes over sets: OR of their bitmaps, range of sizes, most shingles that share a bit, common component."""
 
-    def __init__(self, bits: np.ndarray, sizes: np.ndarray, component: np.ndarray):
-        self.order = np.lexsort((component, sizes))
-        level = (bits[self.order], sizes[self.order], sizes[self.order], (sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64))[self.order], component[self.order])
+    def __init__(self, leaves: tuple[np.ndarray, ...]):
+        self.order = np.lexsort((leaves[4], leaves[1]))
+        level = tuple(x[self.order] for x in leaves)
         self.levels = [level]
         while len(level[1]) > FAN:
             at = np.arange(0, len(level[1]), FAN)
@@ -184,12 +260,14 @@ class SignatureTree:
     def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """Pairs of leaves (places among the sets given) that remain, by traversal of the tree with itself."""
         top = len(self.levels) - 1
+        step = max(FAN * FAN, COMPARE_BYTES // (8 * self.levels[0][0].shape[1]))
         i, j = np.triu_indices(len(self.levels[top][1]))
         todo = [(top, i, j)]
+        x, y = (k.ravel() for k in np.meshgrid(np.arange(FAN), np.arange(FAN), indexing="ij"))
         while todo:
             depth, i, j = todo.pop()
-            if len(i) > 40_000:
-                todo += [(depth, i[k : k + 40_000], j[k : k + 40_000]) for k in range(0, len(i), 40_000)]
+            if len(i) > step:
+                todo += [(depth, i[k : k + step], j[k : k + step]) for k in range(0, len(i), step)]
                 continue
             if depth == 0:
                 i, j = i[i != j], j[i != j]
@@ -201,45 +279,87 @@ class SignatureTree:
                 yield self.order[i], self.order[j]
                 continue
             n = len(self.levels[depth - 1][1])
-            x, y = np.meshgrid(np.arange(FAN), np.arange(FAN), indexing="ij")
-            for k in range(0, len(i), 150):
-                a = (i[k : k + 150, None] * FAN + x.ravel()).ravel()
-                b = (j[k : k + 150, None] * FAN + y.ravel()).ravel()
+            for k in range(0, len(i), max(1, step // FAN**2)):
+                own = slice(k, k + max(1, step // FAN**2))
+                a, b = (i[own, None] * FAN + x).ravel(), (j[own, None] * FAN + y).ravel()
                 keep = (a < n) & (b < n) & (a <= b)
                 todo.append((depth - 1, a[keep], b[keep]))
 
 
-def _leftover(shared: DataFrame, roots: DataFrame) -> DataFrame:
-    """Of shared, the shingles whose ids are in several components; roots: id and root of linked ids."""
+def prefix_length(n: np.ndarray) -> np.ndarray:
+    return n - (LEAST * n + 99) // 100 + 1
+
+
+def least_shared(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
+    """How many shingles the prefixes of two linked sets share at least.
+
+    Of a set's prefix no more are missing in the other than of the whole set, so it holds the first common shingles
+    but for so many; both prefixes hold as many of these as the one that holds fewer.
+    """
+    both = (LEAST * (n_a + n_b) + 99 + LEAST) // (100 + LEAST)
+    return np.minimum(prefix_length(n_a) - (n_a - both), prefix_length(n_b) - (n_b - both))
+
+
+def _has_partner(run: np.ndarray, n: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """Entries of shingles (run: the shingle's number) in which some other entry has a size that allows a link, given
+    how many shared shingles the entry's whole prefix has. least_shared() falls from equal sizes to the limits of
+    either side, so these sizes are two ranges (with two to spare for rounding)."""
+    step = np.int64(n.max(initial=0) * 2 + 10)
+    key = np.sort(run * step + n)
+    few = np.maximum(shared - 1, 0)
+    low, high = LEAST * n // 100 - 2, 100 * n // LEAST + 2
+    share = LEAST / (100 + LEAST)
+    below = np.minimum(n, np.floor(low + 4 + few / share).astype(np.int64))
+    above = np.maximum(n + 1, np.ceil(high - 4 - few / (1 - share - (100 - LEAST) / 100)).astype(np.int64))
+    base = run * step
+    count = lambda x, y: np.searchsorted(key, base + np.minimum(y, step - 1), "right") - np.searchsorted(key, base + np.maximum(x, 0), "left")
+    found = np.maximum(count(low, below), 0) + np.maximum(count(above, high), 0)
+    return found - (below >= n) > 0
+
+
+def _leftover(shared: DataFrame, sets: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of shared, the entries that may be of a link between components, and for each id its size, the number of its
+    shared shingles and its root; roots: id and root of linked ids."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.unique(np.frombuffer(row["ids"], np.int64))
-                yield pa.record_batch([pa.array(np.full(len(ids), row["bucket"])), pa.array(ids)], names=["bucket", "id"])
+                ids, counts = np.unique(np.frombuffer(row["ids"], np.int64), return_counts=True)
+                yield pa.record_batch([pa.array(np.full(len(ids), row["bucket"])), pa.array(ids), pa.array(counts)], names=["bucket", "id", "own"])
 
-    known = shared.mapInArrow(of, "bucket long, id long").join(roots, "id")
+    entries = materialize(shared.mapInArrow(of, "bucket long, id long, own long"), "jaccard-entries")
+    sizes = entries.groupBy("id").agg(F.sum("own").alias("shared")).join(sets.select("id", "n"), "id").join(roots, "id", "left").select("id", "n", "shared", F.coalesce("root", "id").alias("root"))
+    known = entries.select("bucket", "id").join(sizes, "id")
 
     def keep(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            return left
+        none = left.select(["bucket", "shingles", "ids"]).slice(0, 0)
+        if not left.num_rows or not right.num_rows:
+            return none
         row = left.to_pylist()[0]
-        shingles, ids, at = _bucket(row)
-        label = ids.copy()
-        if right.num_rows:
-            order = np.argsort(right.column("id").to_numpy())
-            names, root = right.column("id").to_numpy()[order], right.column("root").to_numpy()[order]
-            place = np.minimum(np.searchsorted(names, ids), len(names) - 1)
-            label = np.where(names[place] == ids, root[place], ids)
-        several = np.minimum.reduceat(label, at[:-1]) != np.maximum.reduceat(label, at[:-1])
-        some = np.repeat(several, np.diff(at))
-        return pa.table({"bucket": [row["bucket"]], "shingles": [shingles[some].tobytes()], "ids": [ids[some].tobytes()]}).slice(0, 1 if some.any() else 0)
-
-    return shared.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(keep, "bucket long, shingles binary, ids binary")
-
-
-def tree_pairs(left: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
-    """a and b of classes in different components that may be similar; sets: id, n and bits of all classes."""
+        shingles, ids, _ = _bucket(row)
+        columns = {c: right.column(c).to_numpy() for c in ("id", "n", "shared", "root")}
+        order = np.argsort(columns["id"], kind="stable")
+        for _ in range(3):  # what goes makes others lonely
+            if not len(ids):
+                return none
+            run = np.cumsum(np.concatenate([[0], shingles[1:] != shingles[:-1]])).astype(np.int64)
+            place = order[np.searchsorted(columns["id"], ids, sorter=order)]
+            first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
+            root = columns["root"][place]
+            several = (np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first))[run]
+            some = several & _has_partner(run, columns["n"][place].astype(np.int64), columns["shared"][place].astype(np.int64))
+            if some.all():
+                break
+            shingles, ids = shingles[some], ids[some]
+        return pa.table({"bucket": [row["bucket"]], "shingles": [shingles.tobytes()], "ids": [ids.tobytes()]}).slice(0, 1 if len(ids) else 0)
+
+    left = shared.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(keep, "bucket long, shingles binary, ids binary")
+    return materialize(left, "jaccard-leftover"), sizes
+
+
+def tree_pairs(left: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
+    """a and b of classes in different components that may be similar; sets: id and bits of all classes, sizes: as of
+    _leftover()."""
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -247,7 +367,7 @@ def tree_pairs(left: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
                 ids = np.unique(np.frombuffer(row["ids"], np.int64))
                 yield pa.record_batch([pa.array(np.full(len(ids), row["bucket"])), pa.array(ids)], names=["bucket", "id"])
 
-    known = left.mapInArrow(of, "bucket long, id long").join(sets, "id").join(roots, "id", "left").select("bucket", "id", "n", "bits", F.coalesce("root", "id").alias("root"))
+    known = left.mapInArrow(of, "bucket long, id long").join(sizes.join(sets.select("id", "bits"), "id"), "id").select("bucket", "id", "n", "shared", "bits", "root")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
         none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
@@ -256,9 +376,9 @@ def tree_pairs(left: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
         _, ids, at = _bucket(left.to_pylist()[0])
         order = np.argsort(right.column("id").to_numpy(), kind="stable")
         names = right.column("id").to_numpy()[order]
-        bits = np.frombuffer(b"".join(right.column("bits").to_pylist()), np.uint64).reshape(-1, BITS // 64)[order]
-        sizes = right.column("n").to_numpy()[order].astype(np.int64)
+        bits = right.column("bits").to_pylist()
         component = np.unique(right.column("root").to_numpy(), return_inverse=True)[1][order]
+        maps = Bitmaps([bits[k] for k in order], right.column("n").to_numpy()[order].astype(np.int64), component)
         place = np.searchsorted(names, ids)
         found, seen = [], set()
         counts = np.diff(at)
@@ -270,18 +390,21 @@ def tree_pairs(left: DataFrame, sets: DataFrame, roots: DataFrame) -> DataFrame:
             found.append(np.unique(np.stack([rows[:, x].ravel(), rows[:, y].ravel()]), axis=1))
         if found:
             pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-            level = (bits, sizes, sizes, sizes - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), component)
-            found = [pairs[:, k : k + 40_000][:, SignatureTree.possible(level, pairs[0, k : k + 40_000], pairs[1, k : k + 40_000])] for k in range(0, pairs.shape[1], 40_000)]
+            found = [pairs[:, maps.possible(pairs[0], pairs[1])]]
         for k in np.flatnonzero(counts > FAN):
-            own = place[at[k] : at[k + 1]]
-            if (key := own.tobytes()) not in seen:  # shingles of one passage have the same ids
-                seen.add(key)
-                found += [np.stack([own[i], own[j]]) for i, j in SignatureTree(bits[own], sizes[own], component[own]).pairs()]
-                if len(found) > 500:
-                    found = [np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)]
+            own = np.unique(place[at[k] : at[k + 1]])
+            if (key := own.tobytes()) in seen:  # shingles of one passage have the same ids
+                continue
+            seen.add(key)
+            for some, width in maps.groups(own):
+                found += [np.stack([some[i], some[j]]) for i, j in SignatureTree(maps.level(some, width)).pairs()]
+            if len(found) > 500:
+                found = [np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)]
         if not found:
             return none
         pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+        shared = right.column("shared").to_numpy()[order]
+        pairs = pairs[:, np.minimum(shared[pairs[0]], shared[pairs[1]]) >= least_shared(maps.sizes[pairs[0]], maps.sizes[pairs[1]])]
         return pa.table({"a": names[pairs[1]], "b": names[pairs[0]]})
 
     return left.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(search, "a long, b long").distinct()
@@ -335,13 +458,14 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     # Documents that another stands for. (One that stands for one of its texts and not for another stays in.)
     inner = inner.join(several.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
     n_inner = inner.count()
-    by_copy = F.broadcast(inner) if n_inner <= 200_000 else inner
+    by_copy = F.broadcast(inner) if n_inner <= BROADCAST_IDS else inner
     reps = some.join(by_copy, "doc_id", "left_anti")
     shared = materialize(shared_prefixes(reps, n_prefix), "jaccard-shared")
-    links = verify(star_pairs(shared), rows)
+    sets = reps.select(F.col("doc_id").alias("id"), "n", "bits")
+    links = verify(star_pairs(shared, sets), rows)
     roots = materialize(components(links), "jaccard-roots")
-    left = materialize(_leftover(shared, roots), "jaccard-leftover")
-    more = verify(tree_pairs(left, reps.select(F.col("doc_id").alias("id"), "n", "bits"), roots), rows)
+    left, sizes = _leftover(shared, sets, roots)
+    more = verify(tree_pairs(left, sets, sizes), rows)
     roots = components(links.unionByName(more))
     by_class = groups.join(roots, "id", "left").select("digest", "n", "copies", F.coalesce("root", "id").alias("component_id")).filter((F.col("copies") > 1) | F.col("root").isNotNull())
     out = attach(found.select("doc_id", "n", "digest"), materialize(by_class, "jaccard-components"), ["digest", "n"], "copies", n_rows)
@@ -350,5 +474,4 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """Documents without those that a near duplicate with a smaller doc_id stands for; all columns are kept."""
-    gone = near_duplicates(docs).filter("component_id < doc_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    return without_ids(docs, near_duplicates(docs).filter("component_id < doc_id"), "doc_id")
