@@ -46,8 +46,10 @@ COMPARE_BYTES = 8 << 20
 FREQUENT, MOST_FREQUENT = 0.01, 200_000
 #: Share of a prefix, in hundredths, that a star's pair has in common. Pairs with less are left to the trees.
 STAR_SHARE = 40
-#: Prefix shingles of a bucket, and partners of a centre that one task verifies.
-BUCKET_ROWS, STAR_ROWS = 1 << 20, 400
+#: Shared shingles that a pair may lack, as two that agree in 32 bits count as one.
+SPARE = 2
+#: Prefix shingles of a bucket, entries that one task compares in trees, and partners of a centre that one verifies.
+BUCKET_ROWS, TREE_ROWS, STAR_ROWS = 1 << 20, 1 << 17, 400
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -306,7 +308,7 @@ def _has_partner(run: np.ndarray, n: np.ndarray, shared: np.ndarray) -> np.ndarr
     either side, so these sizes are two ranges (with two to spare for rounding)."""
     step = np.int64(n.max(initial=0) * 2 + 10)
     key = np.sort(run * step + n)
-    few = np.maximum(shared - 1, 0)
+    few = np.maximum(shared - 1, 0) + SPARE
     low, high = LEAST * n // 100 - 2, 100 * n // LEAST + 2
     share = LEAST / (100 + LEAST)
     below = np.minimum(n, np.floor(low + 4 + few / share).astype(np.int64))
@@ -358,56 +360,87 @@ def _leftover(shared: DataFrame, sets: DataFrame, roots: DataFrame) -> tuple[Dat
 
 
 def tree_pairs(left: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """a and b of classes in different components that may be similar; sets: id and bits of all classes, sizes: as of
-    _leftover()."""
+    """a and b of classes in different components that may be similar; sets: id and bits of all classes, left and
+    sizes: as of _leftover().
+
+    Buckets are put together again, as few entries are left, so that a bitmap is sent to few tasks. A pair that stays
+    shares at least as many prefix shingles, over all buckets, as a link needs.
+    """
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                ids = np.unique(np.frombuffer(row["ids"], np.int64))
-                yield pa.record_batch([pa.array(np.full(len(ids), row["bucket"])), pa.array(ids)], names=["bucket", "id"])
+                ids, counts = np.unique(np.frombuffer(row["ids"], np.int64), return_counts=True)
+                yield pa.record_batch([pa.array(np.full(len(ids), row["bucket"])), pa.array(ids), pa.array(counts)], names=["bucket", "id", "n_own"])
 
-    known = left.mapInArrow(of, "bucket long, id long").join(sizes.join(sets.select("id", "bits"), "id"), "id").select("bucket", "id", "n", "shared", "bits", "root")
+    entries = materialize(left.mapInArrow(of, "bucket long, id long, n_own long"), "jaccard-entries")
+    total = entries.agg(F.sum("n_own")).first()[0] or 0
+    group = F.pmod("bucket", F.lit(partitions_for(total, TREE_ROWS)))
+    ids = entries.select("id").distinct()
+    n_ids = ids.count()
+    own = semi_join(sets.select("id", "bits"), ids, "id", n_ids).join(semi_join(sizes, ids, "id", n_ids), "id")
+    known = entries.select(group.alias("group"), "id").distinct().join(own, "id")
 
     def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
+        none = pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "need", "shared")})
         if not left.num_rows or not right.num_rows:
             return none
-        _, ids, at = _bucket(left.to_pylist()[0])
         order = np.argsort(right.column("id").to_numpy(), kind="stable")
         names = right.column("id").to_numpy()[order]
         bits = right.column("bits").to_pylist()
         component = np.unique(right.column("root").to_numpy(), return_inverse=True)[1][order]
         maps = Bitmaps([bits[k] for k in order], right.column("n").to_numpy()[order].astype(np.int64), component)
-        place = np.searchsorted(names, ids)
-        found, seen = [], set()
-        counts = np.diff(at)
+        n = np.int64(len(names))
+        few: dict[int, list[np.ndarray]] = {}  # shingles of few ids, by how many
+        many: dict[bytes, int] = {}  # ids of a shingle, and how many shingles have just these (as a passage's have)
+        for row in left.to_pylist():
+            _, ids, at = _bucket(row)
+            place = np.searchsorted(names, ids)
+            counts = np.diff(at)
+            for m in np.unique(counts[counts <= FAN]):
+                few.setdefault(int(m), []).append(place[at[:-1][counts == m][:, None] + np.arange(m)[None, :]])
+            for k in np.flatnonzero(counts > FAN):
+                key = place[at[k] : at[k + 1]].tobytes()
+                many[key] = many.get(key, 0) + 1
+        keys, times = [], []
+
+        def add(i: np.ndarray, j: np.ndarray, count: np.ndarray) -> None:
+            """Pairs with how often they stand together, as one number each."""
+            keys.append(np.minimum(i, j) * n + np.maximum(i, j))
+            times.append(count)
+            if len(keys) > 400:
+                merge()
+
+        def merge() -> None:
+            found, place = np.unique(np.concatenate(keys), return_inverse=True)
+            summed = np.bincount(place, np.concatenate(times)).astype(np.int64)
+            keys[:], times[:] = [found], [summed]
+
         # Shingles of few ids have one node each: their leaves are compared together.
-        small = np.flatnonzero(counts <= FAN)
-        for m in np.unique(counts[small]):
-            rows = place[at[small[counts[small] == m]][:, None] + np.arange(m)[None, :]]
-            x, y = np.triu_indices(int(m), 1)
-            found.append(np.unique(np.stack([rows[:, x].ravel(), rows[:, y].ravel()]), axis=1))
-        if found:
-            pairs = np.unique(np.concatenate(found, axis=1), axis=1)
-            found = [pairs[:, maps.possible(pairs[0], pairs[1])]]
-        for k in np.flatnonzero(counts > FAN):
-            own = np.unique(place[at[k] : at[k + 1]])
-            if (key := own.tobytes()) in seen:  # shingles of one passage have the same ids
-                continue
-            seen.add(key)
-            for some, width in maps.groups(own):
-                found += [np.stack([some[i], some[j]]) for i, j in SignatureTree(maps.level(some, width)).pairs()]
-            if len(found) > 500:
-                found = [np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)]
-        if not found:
+        for m, rows in few.items():
+            x, y = np.triu_indices(m, 1)
+            rows = np.concatenate(rows)
+            found, count = np.unique((np.minimum(rows[:, x], rows[:, y]) * n + np.maximum(rows[:, x], rows[:, y])).ravel(), return_counts=True)
+            ok = maps.possible(found // n, found % n)
+            add(found[ok] // n, found[ok] % n, count[ok])
+        for key, count in many.items():
+            for some, width in maps.groups(np.unique(np.frombuffer(key, np.int64))):
+                mixed = len(np.unique(maps.width[some])) > 1
+                for i, j in SignatureTree(maps.level(some, width)).pairs():
+                    own = maps.width[some[i]] != maps.width[some[j]] if mixed else np.ones(len(i), bool)
+                    add(some[i[own]], some[j[own]], np.full(own.sum(), count))
+        if not keys:
             return none
-        pairs = np.unique(np.sort(np.concatenate(found, axis=1), axis=0), axis=1)
+        merge()
+        i, j = keys[0] // n, keys[0] % n
         shared = right.column("shared").to_numpy()[order]
-        pairs = pairs[:, np.minimum(shared[pairs[0]], shared[pairs[1]]) >= least_shared(maps.sizes[pairs[0]], maps.sizes[pairs[1]])]
-        return pa.table({"a": names[pairs[1]], "b": names[pairs[0]]})
+        need = np.maximum(1, least_shared(maps.sizes[i], maps.sizes[j]) - SPARE)
+        ok = np.minimum(shared[i], shared[j]) >= need
+        return pa.table({"a": names[j[ok]], "b": names[i[ok]], "need": need[ok], "shared": times[0][ok]})
 
-    return left.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(search, "a long, b long").distinct()
+    pairs = left.withColumn("group", group).groupBy("group").cogroup(known.groupBy("group")).applyInArrow(search, "a long, b long, need long, shared long")
+    summed = pairs.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("shared").alias("shared"))
+    return summed.filter(F.col("shared") >= F.col("need")).select("a", "b")
 
 
 def verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
