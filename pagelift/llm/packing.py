@@ -28,8 +28,9 @@ from .runtime import materialize, partitions_for, slices, small_batches, text_or
 
 #: Classes of lengths; a class is SEQUENCE / CLASSES tokens wide.
 CLASSES = 256
-#: A filler is chosen with probability FILL / length: FILL tokens a document on average, against about 8 left over.
-FILL = 20
+#: A filler is chosen with probability FILL / length: FILL tokens a document on average, against about 8 left over in
+#: large tables and some 25 in small ones, in which rounding leaves more.
+FILL = 40
 #: Column generation ends after so many new patterns at the latest; any basis gives whole, only looser, packings.
 PRICINGS = 1500
 #: Items of one rank group, and sequences of one filling task.
@@ -268,7 +269,7 @@ def pack(docs: DataFrame, path: str, sequence: int = 4096, end_id: int = 2) -> D
     placed = at.withColumn("offset", F.sum("length").over(before) - F.col("length"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     placed = materialize(placed.select(*names), "packing-placed")
-    shards = partitions_for(sequences, FILL_ROWS, least=4)
+    shards = partitions_for(sequences, FILL_ROWS)
     gaps = placed.groupBy("sequence_id").agg(F.sum("length").alias("used")).filter(F.col("used") < sequence).withColumn("shard", F.pmod("sequence_id", F.lit(shards)))
     fillers = pieces.filter("ids is not null").select("doc_id", "start", "doc_tokens", "ids", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).alias("shard"))
     filled = gaps.groupBy("shard").cogroup(fillers.groupBy("shard")).applyInArrow(_filler(sequence, sequences, shards), ", ".join(f"{c} long" for c in names))
