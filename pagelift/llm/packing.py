@@ -53,7 +53,7 @@ class WordTokenizer:
     plain ones, or with a special token's string, go to the library as they are.
     """
 
-    KEPT = 400_000
+    KEPT = 200_000
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer

@@ -16,7 +16,7 @@ BROADCAST_ROWS = 200_000
 #: Most ids (one 64-bit integer a row) that are broadcast: some 30 MB.
 BROADCAST_IDS = 1_000_000
 #: Text bytes that a Python worker handles at a time; one longer text is a slice of its own.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 

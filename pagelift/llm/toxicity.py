@@ -157,7 +157,7 @@ class ToxicityModel:
         own = [units(t) for t in texts]
         memory = self.memory
         new = [w for w in set().union(*own) if w not in memory]
-        if len(memory) + len(new) > 800_000:  # words of this batch stay at hand, older ones are worked out again
+        if len(memory) + len(new) > 250_000:  # words of this batch stay at hand, older ones are worked out again
             memory.clear()
             new = list(set().union(*own))
         if new:
