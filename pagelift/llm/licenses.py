@@ -3,6 +3,7 @@
 A text is brought to a canonical form: lower case, copyright lines out, punctuation and white space to single spaces,
 equivalent spellings to one. Its SHA-256 is looked up among the digests of known licences by a hash join: entire texts
 for licence files, and lines that mention a licence for notices inside other texts. Expressions of Spark only.
+Licences are known by their full texts with and without headings and appendices, and in their usual numberings.
 
 Defined cases: null and empty texts have the digest of the empty text and match no licence. A licence that is known by
 several texts has several digests; texts of several licences with one canonical form give the smallest identifier.
@@ -11,6 +12,10 @@ Repeated rows give a row each, an empty table none. Other columns are not read.
 
 from __future__ import annotations
 
+import functools
+import pkgutil
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +93,67 @@ Unless required by applicable law or agreed to in writing, software distributed
     ("CC0-1.0", "Licensed under CC0 1.0."),
 ]
 
+# What stands above a licence.
+HEADINGS = {
+    "MIT": ["MIT License", "The MIT License", "The MIT License (MIT)", "MIT License (MIT)", "MIT"],
+    "ISC": ["ISC License", "The ISC License", "ISC License (ISC)", "The ISC License (ISC)", "ISC"],
+    "0BSD": ["Zero-Clause BSD", "Zero-Clause BSD License", "BSD Zero Clause License", "BSD Zero Clause License (0BSD)", "0BSD"],
+    "BSD-2-Clause": ["BSD 2-Clause License", "The BSD 2-Clause License", "2-Clause BSD License", "The 2-Clause BSD License", "BSD 2-Clause \"Simplified\" License", "Simplified BSD License", "The Simplified BSD License", "FreeBSD License", "BSD License", "The BSD License", "BSD-2-Clause"],
+    "BSD-3-Clause": ["BSD 3-Clause License", "The BSD 3-Clause License", "3-Clause BSD License", "The 3-Clause BSD License", "BSD 3-Clause \"New\" or \"Revised\" License", "New BSD License", "The New BSD License", "Modified BSD License", "Revised BSD License", "BSD License", "The BSD License", "BSD-3-Clause"],
+    "Zlib": ["zlib License", "The zlib License", "zlib/libpng License", "The zlib/libpng License", "Zlib"],
+    "Unlicense": ["The Unlicense", "Unlicense"],
+}
+# Wordings in use besides those of KNOWN, by licence.
+WORDINGS = {
+    "MIT": [{"this permission notice shall": "this permission notice (including the next paragraph) shall"}],
+    "BSD-3-Clause": [{"names of its contributors": "names of contributors"}, {"name of the copyright holder": "name of the University", "THE COPYRIGHT HOLDERS AND": "THE REGENTS AND", "THE COPYRIGHT HOLDER OR": "THE REGENTS OR"}],
+}
+# Texts in license_texts, the lines that their heading ends with (the last one, copyright lines apart),
+# and those that begin an appendix.
+WHOLE = {
+    "Apache-2.0": (r"www\.apache\.org/licenses/$", r"END OF TERMS AND CONDITIONS$|APPENDIX: "), "Artistic-1.0-Perl": (r"\"Artistic License\"$", None),
+    "CC0-1.0": (r"Legal Code$|CC0 1\.0 Universal$|HEREUNDER\.$", None), "GFDL-1.2": (r"not allowed\.$", "ADDENDUM: "), "GFDL-1.3": (r"not allowed\.$", "ADDENDUM: "),
+    "GPL-1.0": (r"not allowed\.$", "Appendix: How to Apply"), "GPL-2.0": (r"not allowed\.$", "How to Apply"), "GPL-3.0": (r"not allowed\.$", "How to Apply"),
+    "LGPL-2.0": (r"version 2 of the ordinary GPL\.\]$", "How to Apply"), "LGPL-2.1": (r"the version number 2\.1\.\]$", "How to Apply"), "LGPL-3.0": (r"not allowed\.$", None),
+    "MPL-1.1": (r"---$", "EXHIBIT A"), "MPL-2.0": (r"=====$", "Exhibit A "),
+}
+# Addresses of the Free Software Foundation, one of which its older texts bear throughout.
+ADDRESS = r"51 Franklin St(?:reet)?,\s+Fifth\s+Floor,\s+Boston,\s+MA\s+02110-1301,?\s+USA"
+ADDRESSES = ["51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA", "51 Franklin St, Fifth Floor, Boston, MA 02110-1301 USA", "59 Temple Place, Suite 330, Boston, MA 02111-1307 USA", "675 Mass Ave, Cambridge, MA 02139, USA", "<https://fsf.org/>"]
+
+
+def _short_forms() -> list[tuple[str, str]]:
+    """The licences of KNOWN with headings, and with clauses that have numbers, letters or bullets."""
+    out = []
+    for id_, body in KNOWN:
+        if id_ not in HEADINGS or len(body) < 300:
+            continue
+        bodies = [body, *(functools.reduce(lambda x, pair: x.replace(*pair), w.items(), body) for w in WORDINGS.get(id_, []))]
+        if re.search(r"(?m)^1\. ", body):
+            bodies += [re.sub(r"(?m)^[0-9]\. ", "* ", x) for x in bodies] + [re.sub(r"(?m)^([0-9])\. ", lambda m: "abc"[int(m[1]) - 1] + ") ", x) for x in bodies]
+        out += [(id_, x) for x in bodies[1:]]
+        out += [(id_, f"{h}\n\n{x}") for x in bodies for h in HEADINGS[id_]]
+    return out
+
+
+def _whole_forms() -> list[tuple[str, str]]:
+    """The texts of WHOLE with and without their headings and appendices. Copyright lines are out, as in canonical()."""
+    out = []
+    for id_, (above, below) in WHOLE.items():
+        text = pkgutil.get_data(__package__, f"license_texts/{id_}.txt").decode()
+        text = re.sub(r"(?mi)^ *copyright *\(c\).*\n|^[\W_]*all rights reserved\.$", "", text)
+        filled = re.sub(r"(?m)^ *Copyright \[yyyy\].*\n", "", text)  # a file in which the form has a year is without that line
+        forms = [text] if filled == text else [text, filled]
+        forms += [re.sub(ADDRESS, a, text) for a in ADDRESSES] if re.search(ADDRESS, text) else []
+        for x in forms:
+            starts = [0, *(m.end() for m in re.finditer(f"(?m){above}", x[:1500]))] if x in (text, filled) else [0]
+            ends = [len(x), *(m.start() for m in re.finditer(f"(?m)^ *(?:{below})", x))] if below else [len(x)]
+            out += [(id_, x[a:b].strip()) for a in starts for b in ends]
+    return out
+
+
+KNOWN += _short_forms() + _whole_forms()
+
 #: Registries of up to so many rows are also held as a map, for notices.
 NOTICES = 1000
 #: A line that is no more than a copyright notice (with a year or sign), and what stands between words.
@@ -143,4 +209,7 @@ def scan(docs: DataFrame, known: DataFrame, n_known: int, id_col: str = "doc_id"
 
 def scan_known(docs: DataFrame, known: list[tuple[str, str]] | None = None) -> DataFrame:
     known = KNOWN if known is None else known
-    return scan(docs, registry(docs.sparkSession, known), len(known))
+    rows = registry(docs.sparkSession, known)
+    if len(known) <= NOTICES:  # digests only, so that the texts are read once
+        rows = docs.sparkSession.createDataFrame(rows.collect(), rows.schema)
+    return scan(docs, rows, len(known))
