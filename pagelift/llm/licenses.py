@@ -1,6 +1,6 @@
 """Licence scan by canonical digests.
 
-A text is brought to a canonical form: lower case, copyright lines out, punctuation and white space to single spaces,
+A text is brought to a canonical form: lower case, copyright notices out, punctuation and white space to single spaces,
 equivalent spellings to one. Its SHA-256 is looked up among the digests of known licences by a hash join: entire texts
 for licence files, and lines that mention a licence for notices inside other texts. Expressions of Spark only.
 Licences are known by their full texts with and without headings and appendices, and in their usual numberings.
@@ -156,8 +156,26 @@ KNOWN += _short_forms() + _whole_forms()
 
 #: Registries of up to so many rows are also held as a map, for notices.
 NOTICES = 1000
-#: A line that is no more than a copyright notice (with a year or sign), and what stands between words.
-COPYRIGHT = r"(?:^|\n)[^\n\p{L}\p{N}]*(?:copyright[^\n]*(?:[0-9]{4}|\(c\)|©)[^\n]*|\(c\) ?[0-9][^\n]*|©[^\n]*|all rights reserved\.?[^\n\p{L}\p{N}]*)(?:\z|\n)"
+# Copyright notices at the beginning of a line, in lower case: the sign or a year, then the holder. A notice is the whole
+# line if that has few more words, and else ends with its first sentence or a link in angle brackets, and words on
+# rights reserved after it; without such an end the line stays. A name may also stand before the year that ends a line;
+# a word of one or two letters there (in 1998) makes it prose.
+_GAP, _END, _RIGHTS = r"[ \t\r]+", r"[^\n\p{L}\p{N}]*(?:\z|\n)", r"(?:[ \t\r]+all rights reserved\.*)?"
+_SIGNED, _DATED = r"(?:copyright[ \t:]*(?:\(c\)|©)|\(c\) ?[0-9]{4}|©)", r"copyright[ \t:,]*(?:by[ \t]+)?[0-9]{4}"
+_WORD = r"(?:[^ \t\r\n]*[^ \t\r\n.]|(?:inc|ltd|co|corp|llc|gmbh|jr|sr|al|dr|[^ \t\r\n.])\.+)"
+_NAME = r"(?:[^ \t\r\n<]*[^ \t\r\n.<]|[^ \t\r\n.<]\.+)"
+
+
+def _notice(head: str, line: int, sentence: int) -> str:
+    """head and its line, of so many more words at most, or its sentence."""
+    whole = rf"(?:{_GAP}{_WORD}){{0,{line}}}\.*{_RIGHTS}{_END}"
+    last = rf"(?:\.+|(?:{_GAP}{_NAME}){{0,{sentence}}}?(?:{_GAP}[^ \t\r\n<]*[^ \t\r\n.<]{{2}}\.+|{_GAP}<[^ \t\r\n>]+>\.*))"
+    return rf"{head}[^ \t\r\n.]*(?:{whole}|{last}(?:{_GAP}(?:inc|ltd|llc|gmbh)\.+)?(?:{_GAP}<[^ \t\r\n>]+>\.*)?{_RIGHTS}{_GAP})"
+
+
+_LATE = rf"copyright(?:{_GAP}[^ \t\r\n]+){{0,4}}{_GAP}[^ \t\r\n]{{3,}}{_GAP}[0-9]{{4}}[0-9, \t–-]*\.*{_RIGHTS}{_END}"
+#: Copyright notices, and what stands between words.
+COPYRIGHT = rf"(?:^|\n)[^\n\p{{L}}\p{{N}}]*(?:(?:{_notice(_SIGNED, 24, 12)}|{_notice(_DATED, 10, 8)})+|{_LATE}|all rights reserved\.?{_END})"
 BETWEEN = r"[^\p{L}\p{N}]+"
 #: Lines that can be notices.
 MENTIONS = r"(?i)licen[cs]e|public domain|copyright"

@@ -71,9 +71,22 @@ def test_sql_gives_the_same(spark):
     duckdb = pytest.importorskip("duckdb")
     from pagelift.llm import queries
 
-    texts = [t for _, t in licenses.KNOWN][::7] + ["Copyright 2020 Ann. Some words.\nCopyright law changed in 1998, and many long stories follow here.", "a © b", "(c) 2020 x", ""]
+    texts = [t for _, t in licenses.KNOWN][::7] + ["Copyright 2020 Ann. Some words.\nCopyright law changed in 1998, and many long stories follow here.", "a © b", "(c) 2020 x", "", "Copyright (c) 2020 J. Smith. © Bob. Copyright 2019 Ann Co. Ltd. Words of more than that.\r\n/* Copyright by Ann Lee 2020. */\nCopyright law changed in 1998."]
     with duckdb.connect() as c:
         c.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
         c.executemany("INSERT INTO documents VALUES (?, ?)", list(enumerate(texts, 1)))
         want = c.execute(queries.ORACLE_SQL["op7_licenses"] + " ORDER BY doc_id").fetchall()
     assert [tuple(r) for r in licenses.scan_known(docs(spark, texts)).orderBy("doc_id").collect()] == want
+
+
+def test_only_the_notice_is_removed(spark):
+    """A notice is taken out of its line, and prose that begins with the word stays."""
+    flat = TEXT["MIT"].replace("\n", " ")
+    heads = ["Copyright (c) 2020 Ann. ", "Copyright 2020 J. Smith. All rights reserved. ", "(c) 2019-2021 Ann, Bob and Co. Ltd. ", "© Ann. Copyright (c) 2021 Bob. ", "Copyright (C) 2007 Free Software Foundation, Inc. <https://fsf.org/> "]
+    assert [i for i, _ in scanned(spark, [h + flat for h in heads])] == ["MIT"] * len(heads)
+    lines = ["Copyright Ann Lee, 2020", "Copyright (c) Ann", "# Copyright (c) 2014, 2016-2020 Ann Lee, Bob Ray, Google Inc. and all of the others who took part. All rights reserved.", "Copyright by Ann 2020. All rights reserved.", "/* Copyright 2020, The Authors */"]
+    assert [i for i, _ in scanned(spark, [x + "\n" + TEXT["MIT"] for x in lines])] == ["MIT"] * len(lines)
+    prose = ["Copyright law changed in 1998, and many long stories follow here.", "Copyright law changed in 1998.", "(c) 2020 was a mark on the wall " + "of the old house by the sea " * 5, "© 2020 Ann. This is what the page says.", "Copyright (c) 2020 Ann " + flat]
+    kept = [r[0] for r in docs(spark, prose).orderBy("doc_id").select(licenses.canonical(F.col("text"))).collect()]
+    assert kept[0] == "copyright law changed in 1998 and many long stories follow here" and kept[1] == "copyright law changed in 1998"
+    assert kept[2].startswith("c 2020 was a mark") and kept[3] == "this is what the page says" and "permission is hereby granted" in kept[4]
