@@ -6,7 +6,9 @@ languages. Forward-backward gives each word's label probabilities, so texts that
 by word; a document's language is that with the largest sum. A chain has at most CHAIN words of a document; the next
 chain begins afresh, so that long documents cost no more a word than short ones.
 
-Words are runs of letters (bytes beyond ASCII count as letters). Learning is on a bounded sample of whole documents.
+Words are runs of letters and marks of any script. A run of more than MOST_BYTES bytes (scripts without spaces, long
+words) is cut into consecutive pieces, each a word of the chain, that overlap by two bytes, so that no n-gram is lost.
+Learning is on a bounded sample of whole documents.
 
 Defined cases: a text that is null, empty or without any letter is `und` with score 0. If nothing is learned (no
 labelled rows) every text is `und`. With one language all others get it. Repeated rows have a row each, an empty table
@@ -15,6 +17,7 @@ none. Other columns are not read.
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,11 +33,15 @@ from .runtime import slices, small_batches, text_or_empty
 SAMPLE_ROWS, MOST_LANGUAGES = 400, 64
 CHAIN = 64
 TABLE_BITS = 18
-#: Letters at either end that make affixes, and lengths of n-grams, in bytes.
+#: Letters at either end that make affixes, lengths of n-grams, most of a word, and a piece's step, in bytes: a piece may
+#: begin three bytes early, at a character, and reach into the next as far as an n-gram does.
 AFFIX, GRAMS, MOST_BYTES = 4, (2, 3), 16
+PIECE = MOST_BYTES - 3 - (max(GRAMS) - 1)
 
 _bytes = np.arange(256)
 _NOT_LETTER = ~(((_bytes >= 65) & (_bytes < 91)) | ((_bytes >= 97) & (_bytes < 123)) | (_bytes > 127))
+# Characters that are no letters or marks; the joiners U+200C and U+200D stand inside words.
+_APART = np.array([unicodedata.category(chr(c))[0] not in "LM" and c not in (0x200C, 0x200D) for c in range(1 << 16)])
 _random = np.random.Generator(np.random.PCG64(7))
 _BYTE = _random.integers(0, 2**64, 256, np.uint64) | np.uint64(1)
 _SALT = _random.integers(0, 2**64, 32, np.uint64)
@@ -50,6 +57,40 @@ def fold(body: np.ndarray) -> np.ndarray:
     return out
 
 
+def blank(low: np.ndarray) -> None:
+    """Write spaces over the signs beyond ASCII, in place."""
+    high = np.flatnonzero(low >= 0xC2)
+    for size, least, most in ((2, 0xC2, 0xE0), (3, 0xE0, 0xF0), (4, 0xF0, 0xF8)):
+        at = high[(low[high] >= least) & (low[high] < most) & (high + size <= len(low))]
+        code = low[at].astype(np.int64) & (0xFF >> (size + 1))
+        for j in range(1, size):
+            code = code << 6 | low[at + j] & 63
+        sign = _APART[code] if size < 4 else (code >= 0x1F000) & (code < 0x1FC00)  # pictures
+        for j in range(size):
+            low[at[sign] + j] = 32
+
+
+def pieces(low: np.ndarray, hashes: np.ndarray, starts: np.ndarray, lengths: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words with those of more than MOST_BYTES bytes cut into pieces that begin with a character."""
+    n = np.where(lengths > MOST_BYTES, (lengths - max(GRAMS)) // PIECE + 1, 1)
+    if n.max(initial=1) == 1:
+        return hashes, starts, lengths, of
+    word = np.repeat(np.arange(len(n)), n)
+    step = np.arange(len(word)) - np.repeat(np.cumsum(n) - n, n)
+    begin = starts[word] + step * PIECE
+    for _ in range(3):
+        begin -= (step > 0) & (low[begin] & 0xC0 == 0x80)
+    end = (starts + lengths)[word]
+    more = np.flatnonzero(step < n[word] - 1)
+    end[more] = begin[more + 1] + max(GRAMS) - 1
+    size, out = end - begin, hashes[word]
+    cut = np.flatnonzero(n[word] > 1)
+    place = np.arange(MOST_BYTES)
+    codes = ngrams._BYTE[low[np.minimum(begin[cut, None] + place, len(low) - 1)]] * ngrams._power(MOST_BYTES)[place]
+    out[cut] = ngrams.mix(np.where(place < size[cut, None], codes, np.uint64(0)).sum(axis=1))
+    return out, begin, size, of[word]
+
+
 def word_features(body: np.ndarray, starts: np.ndarray, lengths: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     """Places in the weight table of each word's features, a column each; a missing feature has place 0."""
     n, size = len(starts), np.minimum(lengths, MOST_BYTES)
@@ -95,16 +136,16 @@ class Words:
     def of_texts(cls, texts: pa.Array) -> Words:
         body, offsets = ngrams.buffers(texts)
         low = fold(body)
+        blank(low)
         hashes, starts, of = ngrams.words(low, offsets, _NOT_LETTER, fold=False)
         if not len(hashes):
             return cls(of, of, np.zeros((1, 0), np.int64), len(offsets) - 1)
-        kinds, first, number = np.unique(hashes, return_index=True, return_inverse=True)
         stop = np.concatenate([~_NOT_LETTER[low], [False]])
         stop[offsets] = False  # a word ends with its text
         ends = np.flatnonzero(~stop)
-        begin = starts[first]
-        length = ends[np.searchsorted(ends, begin + 1)] - begin
-        return cls(of, number, word_features(low, begin, length, kinds), len(offsets) - 1)
+        hashes, starts, lengths, of = pieces(low, hashes, starts, ends[np.searchsorted(ends, starts + 1)] - starts, of)
+        kinds, first, number = np.unique(hashes, return_index=True, return_inverse=True)
+        return cls(of, number, word_features(low, starts[first], lengths[first], kinds), len(offsets) - 1)
 
 
 def chains(of: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:

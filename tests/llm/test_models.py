@@ -140,6 +140,29 @@ def test_code_switched_text():
     assert model.predict(pa.array([None, "", "12 !", "“—”", "karomi"]))[0] == ["und"] * 4 + ["a"]
 
 
+def test_whole_runs_of_letters_count():
+    draw = np.random.default_rng(4)
+    make = lambda letters, n: "".join(draw.choice(list(letters), n))
+    kinds = {"x": "天地人山水火木金土日", "y": "あいうえおかきくけこ"}
+    texts, langs = zip(*[(make(s, 60), k) for k, s in kinds.items() for _ in range(60)], strict=True)
+    model = langid.fit(list(texts), list(langs))
+    turned = make(kinds["x"], 10) + make(kinds["y"], 80)
+    assert model.predict(pa.array([turned, make(kinds["x"], 80) + make(kinds["y"], 10)]))[0] == ["y", "x"]
+    assert set(model.marginals(langid.Words.of_texts(pa.array([turned]))).argmax(axis=1)) == {0, 1}
+    split = langid.Words.of_texts(pa.array(["天地。天地、「天地」", "天地 天地 天地", "«über»—¿über？"]))
+    assert split.of.tolist() == [0, 0, 0, 1, 1, 1, 2, 2] and len(set(split.number[:6])) == 1 and split.number[6] == split.number[7]
+
+
+def test_pieces_have_all_n_grams():
+    for run in ["天地人山水火木金土日" * 3, "достопримечательность", "x" * 17, "aé天😀" * 9, "a" * 16, "abcdefghijklmnopqrstuvwxyz" * 2]:
+        low = np.frombuffer(run.encode(), np.uint8)
+        none = np.zeros(1, np.int64)
+        hashes, starts, lengths, of = langid.pieces(low, none.astype(np.uint64), none, np.array([len(low)]), none)
+        assert lengths.max() <= langid.MOST_BYTES and len(hashes) == len(of) and all(low[starts] & 0xC0 != 0x80)
+        had = {(a + i) for a, n in zip(starts, lengths, strict=True) for i in range(n - 2)}
+        assert had == set(range(len(low) - 2)) and (starts[-1] + lengths[-1]) == len(low)
+
+
 @pytest.mark.parametrize("name, columns", [("op2", {"doc_id", "score"}), ("op4", {"doc_id", "score"}), ("op5", {"doc_id", "lang_pred", "score"})])
 def test_odd_rows(spark, name, columns):
     labels = spark.createDataFrame([(i, i % 2, i % 2) for i in range(1, 9)], "doc_id long, quality int, toxic int")
