@@ -29,8 +29,9 @@ from pyspark.sql import functions as F
 from . import ngrams, samples
 from .runtime import slices, small_batches, text_or_empty
 
-#: Most documents of each language that are learned from, and most languages.
-SAMPLE_ROWS, MOST_LANGUAGES = 400, 64
+#: Most documents of each language that are learned from, and most words of all of them, in runs of RUN; every language
+#: is learned (1 MB of the model each).
+SAMPLE_ROWS, SAMPLE_WORDS, RUN = 400, 150_000, 8
 CHAIN = 64
 TABLE_BITS = 18
 #: Letters at either end that make affixes, lengths of n-grams, most of a word, and a piece's step, in bytes: a piece may
@@ -225,8 +226,9 @@ class LanguageModel:
         return names, score
 
 
-def fit(texts: list[str], languages: list[str], rounds: int = 40, rate: float = 0.3, ridge: float = 1e-5) -> LanguageModel:
-    """Conditional likelihood by adaptive gradient steps over all chains."""
+def fit(texts: list[str], languages: list[str], rounds: int = 40, rate: float = 0.3, ridge: float = 1e-5, most_words: int = SAMPLE_WORDS) -> LanguageModel:
+    """Conditional likelihood by adaptive gradient steps over all chains of at most most_words words, in runs of RUN drawn
+    from all documents."""
     names = sorted(set(languages))
     label = np.array([names.index(x) for x in languages], np.int64)
     size = len(names)
@@ -235,10 +237,9 @@ def fit(texts: list[str], languages: list[str], rounds: int = 40, rate: float =
     if size == 0 or not len(words.of):
         return LanguageModel([], model.weights, model.start, model.move)
     draw = np.random.Generator(np.random.PCG64(1))
-    most = 150_000  # words of the sample that are learned from, runs of 8 from all documents
-    runs = np.arange(0, len(words.of), 8)
-    runs = np.sort(draw.permutation(runs)[: most // 8])
-    keep = (runs[:, None] + np.arange(8)[None, :]).ravel()
+    runs = np.arange(0, len(words.of), RUN)
+    runs = np.sort(draw.permutation(runs)[: most_words // RUN])
+    keep = (runs[:, None] + np.arange(RUN)[None, :]).ravel()
     keep = keep[keep < len(words.of)]
     # Half the runs stay in order, so that chains have one language; the others are dealt anew, so that chains switch.
     groups = np.array_split(keep, max(1, len(runs)))
@@ -280,14 +281,14 @@ def fit(texts: list[str], languages: list[str], rounds: int = 40, rate: float =
     return model
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", rows: int = SAMPLE_ROWS) -> LanguageModel:
-    """Learn from at most rows documents of each language; docs: those that may be learned from."""
+def train(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", rows: int = SAMPLE_ROWS, most_words: int = SAMPLE_WORDS) -> LanguageModel:
+    """Learn all languages from at most rows documents of each, and most_words words; docs: those that may be learned from."""
     labels = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang")).filter("lang is not null")
-    names = [r["lang"] for r in labels.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()]
+    names = [r["lang"] for r in labels.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()]
     if not names:
         return fit([], [])
     sample = samples.labelled_texts(docs, labels, "lang", dict.fromkeys(names, rows))
-    return fit(sample["text"].tolist(), sample["label_"].tolist())
+    return fit(sample["text"].tolist(), sample["label_"].tolist(), most_words=most_words)
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

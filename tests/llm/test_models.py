@@ -153,6 +153,21 @@ def test_whole_runs_of_letters_count():
     assert split.of.tolist() == [0, 0, 0, 1, 1, 1, 2, 2] and len(set(split.number[:6])) == 1 and split.number[6] == split.number[7]
 
 
+def test_words_learned_from_are_a_parameter():
+    texts, langs = ["ka ro mi " * 20, "sch tz ei " * 20], ["a", "b"]
+    few, all_ = langid.fit(texts, langs, rounds=1, most_words=16), langid.fit(texts, langs, rounds=1)
+    assert (few.weights != 0).any(axis=1).sum() < (all_.weights != 0).any(axis=1).sum() or not np.allclose(few.weights, all_.weights)
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    seen = {}
+    monkeypatch.setattr(langid, "fit", lambda texts, langs, **given: seen.update(langs=set(langs), **given))
+    rows = spark.createDataFrame([(i, f"text {i}", f"l{i:02}") for i in range(70)], "doc_id long, text string, lang string")
+    monkeypatch.setattr(langid.samples, "labelled_texts", lambda docs, labels, column, most: docs.toPandas().rename(columns={"lang": "label_"}).query("label_ in @most"))
+    langid.train(rows, most_words=9)
+    assert len(seen["langs"]) == 70 and seen["most_words"] == 9
+
+
 def test_pieces_have_all_n_grams():
     for run in ["天地人山水火木金土日" * 3, "достопримечательность", "x" * 17, "aé天😀" * 9, "a" * 16, "abcdefghijklmnopqrstuvwxyz" * 2]:
         low = np.frombuffer(run.encode(), np.uint8)
