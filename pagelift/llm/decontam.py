@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams
-from .runtime import partitions_for, slices, small_batches, text_or_empty, without_ids
+from .runtime import null_safe, partitions_for, slices, small_batches, text_or_empty, without
 
 #: Share of an item's shingles that a document must hold, and words of a shingle.
 CONTAINMENT, WORDS = 0.8, 5
@@ -165,35 +165,43 @@ class ItemIndex:
         return sorted(set(out))
 
 
-def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """PAIR for each document and item that it contains."""
+def _search(docs: DataFrame, items: DataFrame, id_col: str, text_col: str, item_col: str, item_text: str, block_items: int) -> DataFrame:
+    """PAIR for each document and item that it contains, and h, a hash of the document's text."""
     spark = docs.sparkSession
     small_batches(spark, 1000)
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.lower(text_or_empty(text_col)).alias("text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = rows.select("doc_id", F.xxhash64("text").alias("h"), F.lower("text").alias("text"))
     items = items.select(F.col(item_col).cast("long").alias("item_id"), text_or_empty(item_text).alias("text"))
     n_items = items.count()
     blocks = partitions_for(n_items, block_items // 2)
-    names = [x.split()[0] for x in PAIR.split(", ")]
+    schema = f"{PAIR}, h long"
+    names = [x.split()[0] for x in schema.split(", ")]
     out = None
     for block in range(blocks):  # a hash deals half of block_items to each on average
         own = items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == block) if blocks > 1 else items
         own = own.orderBy("item_id", "text").toPandas()  # at most about block_items rows
-        sent = spark.sparkContext.broadcast(ItemIndex.build(own["item_id"].tolist(), own["text"].tolist()))
+        sent = spark.sparkContext.broadcast(ItemIndex.build(own["item_id"].tolist(), own["text"].tolist()))  # the driver keeps a file of it
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             index = sent.value
             for batch in batches:
-                for part in slices(batch, 1, 2 << 20):
-                    ids = part.column(0).to_pylist()
-                    found = [(ids[t], index.ids[i], len(index.sets[i]), n, n / len(index.sets[i])) for t, i, n in index.search(part.column(1))]
+                for part in slices(batch, 2, 2 << 20):
+                    ids, hashes = part.column(0).to_pylist(), part.column(1).to_pylist()
+                    found = [(ids[t], index.ids[i], len(index.sets[i]), n, n / len(index.sets[i]), hashes[t]) for t, i, n in index.search(part.column(2))]
                     if found:
                         yield pa.record_batch([pa.array(c, pa.float64() if k == 4 else pa.int64()) for k, c in enumerate(zip(*found, strict=True))], names=names)
 
-        part = rows.mapInArrow(run, PAIR)
+        part = rows.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
     return out
 
 
+def contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", block_items: int = BLOCK_ITEMS) -> DataFrame:
+    """PAIR for each document and item that it contains."""
+    return _search(docs, items, id_col, text_col, item_col, item_text, block_items).drop("h")
+
+
 def drop_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
-    """Documents that contain no item; all columns are kept."""
-    return without_ids(docs, contaminated(docs, items), "doc_id")
+    """Rows whose text contains no item, whatever their doc_id; all columns are kept."""
+    found = _search(docs, items, "doc_id", "text", "item_id", "text", BLOCK_ITEMS).select(null_safe(F.col("doc_id")).alias("_did"), F.col("h").alias("_h"))
+    return without(docs, {"_did": null_safe(F.col("doc_id")), "_h": F.xxhash64(text_or_empty("text"))}, found)

@@ -6,21 +6,18 @@ among themselves, screened by the filters, and the positives join the snapshot's
 compared byte by byte. Filters meet digests by shard: nothing that grows with the data is broadcast.
 
 Defined cases: a null text counts as empty, so empty and null texts are copies of each other. Texts are equal when
-identical after lower-casing A-Z. A doc_id that occurs in several rows is one document: its rows share a decision. A
-null doc_id ranks below all others. Empty tables give empty results. Other columns are not looked at.
+identical after lower-casing A-Z. Each row is judged by its own text, also where rows share a doc_id. A null doc_id
+ranks below all others. Empty tables give empty results. Other columns are not looked at.
 """
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .runtime import arrow_map, ascii_lower, attach, materialize, partitions_for, semi_join, small_batches, text_or_empty, without_ids
+from .runtime import ascii_lower, attach, materialize, partitions_for, null_safe, semi_join, text_or_empty, without
 
 #: Digests of a shard, and so the keys of one filter: about 70 KB.
 SHARD_KEYS = 1 << 16
@@ -91,14 +88,8 @@ class BinaryFuse8:
 
 def digests(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, SHA-256 and length in bytes of the text after lower-casing A-Z."""
-
-    def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        low = pc.ascii_lower(batch.column(1))
-        found = [hashlib.sha256(x.as_buffer()).digest() for x in low]
-        return pa.record_batch([batch.column(0), pa.array(found, pa.binary()), pc.binary_length(low).cast(pa.int64())], names=["doc_id", "digest", "n_bytes"])
-
-    small_batches(docs.sparkSession)
-    return arrow_map(docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text")), "doc_id long, digest binary, n_bytes long", one, text=1)
+    low = docs.select(F.col(id_col).cast("long").alias("doc_id"), ascii_lower(text_or_empty(text_col)).alias("low"))
+    return low.select("doc_id", F.unhex(F.sha2("low", 256)).alias("digest"), F.octet_length("low").cast("long").alias("n_bytes"))
 
 
 def _group(rows: DataFrame) -> DataFrame:
@@ -147,7 +138,8 @@ def match_batch(batch: DataFrame, snapshot: DataFrame, texts: DataFrame) -> Data
     """
     snap, new = _group(snapshot), _group(batch)
     snap = materialize(snap, "dedup-snapshot")
-    n_snap = snap.count()
+    sizes = snap.agg(F.count(F.lit(1)).alias("digests"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+    n_snap, n_rows = sizes["digests"], sizes["rows"] + batch.count()
     bits = max(0, (partitions_for(n_snap, SHARD_KEYS) - 1).bit_length())
     filters = materialize(build_filters(snap, bits), "dedup-filters")
     positives = screen(new, filters, bits).select("digest", "n_bytes", F.col("top").alias("new_id"), F.col("n").alias("new_n"))
@@ -161,7 +153,7 @@ def match_batch(batch: DataFrame, snapshot: DataFrame, texts: DataFrame) -> Data
     equal = materialize(checked.filter(F.col("a") == F.col("b")).select("digest", "n_bytes", F.greatest("new_id", "snap_id").alias("keep_id"), (F.col("new_n") + F.col("snap_n")).alias("group_size")), "dedup-equal")
     side = lambda rows, groups, name: attach(rows, groups.join(equal, ["digest", "n_bytes"], "left").select(
         "digest", "n_bytes", F.coalesce("keep_id", "top").alias("keep_id"), F.coalesce("group_size", "n").alias("group_size")
-    ).filter("group_size > 1"), ["digest", "n_bytes"], "group_size", n_snap)
+    ).filter("group_size > 1"), ["digest", "n_bytes"], "group_size", n_rows)
     both = side(snapshot, snap, "snapshot").unionByName(side(batch, new, "batch"))
     return both.select("doc_id", "digest", F.coalesce("keep_id", "doc_id").alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"))
 
@@ -180,5 +172,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """Documents without those of which an equal text with a larger doc_id stays; all columns are kept."""
-    return without_ids(docs, exact_dedup(docs).filter("not kept"), "doc_id")
+    """One row of each text, that with the largest doc_id (null is the least); of rows that are the same in id and text
+    one stays. All columns are kept."""
+    found = materialize(exact_dedup(docs).select(null_safe(F.col("doc_id")).alias("_did"), "text_sha256", "group_size", "kept"), "dedup-decided")
+    again = found.filter("kept and group_size > 1").groupBy("_did", "text_sha256").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    keys = {"_did": null_safe(F.col("doc_id")), "_digest": F.sha2(ascii_lower(text_or_empty("text")), 256)}
+    name = lambda rows: rows.withColumnRenamed("text_sha256", "_digest")
+    return without(docs, keys, name(found.filter("not kept")), name(again))

@@ -1,24 +1,24 @@
 """Near-duplicate join: documents whose sets of 5-word shingles have a Jaccard similarity of 0.8 or more.
 
-The join is exact. Equal sets are one class, of which one document stands for all. Two sets that are similar enough
-share one of the first shingles (prefix) in any fixed order of shingles, here by hash, with very frequent ones last.
-So classes are dealt by prefix shingles, and only shingles of several classes are looked at further:
-
-1. Stars: for each class the class with which it shares most prefix shingles, among the smallest and largest of each
-   shingle's classes, is verified on whole sets. This links groups of near copies without looking at all their pairs.
-2. Signature trees: linked sets of like sizes share many prefix shingles, so a class with few shared ones can only
-   be linked at the limits of size. The classes of a shingle that may be linked so, and are not yet in one component,
-   make a tree. Its leaves have bitmaps of
-   the shingles, its nodes the OR of those below, their range of set sizes, and their component if it is one. A dual
-   traversal drops pairs of nodes whose largest possible overlap is too small for any sizes in their ranges, or that
-   are linked already; the pairs of leaves that remain are verified on whole sets.
-
-Links between classes of one component say nothing new, so no link between different texts is lost for components.
-Sets are verified where their texts are sent, next to one centre each; a centre with many partners is dealt in parts.
+The join is exact. Equal sets are one class, a node. Two sets that are similar enough share one of the first shingles
+(prefix) in any fixed order of shingles, here those of rare words first: then a prefix is shared by few but copies.
+
+1. Posting lists: prefix shingles are dealt out with the node, its size and the largest size that a partner may have by
+   the shingle's place; nodes without a possible partner in a list go before anything is written.
+2. Signature trees: lists with one first node make one tree, so that near copies, which share many lists, are sent to
+   few trees. Its leaves have bitmaps of whole sets, its nodes the OR of those below, their range of sizes and their
+   component if they have one. A dual traversal of the tree with itself drops pairs of nodes whose largest possible
+   overlap is too small for any sizes in their ranges, or that are linked already; pairs of leaves that remain are
+   verified on the whole sets. So a tree gives the links that span its components, and no list of all pairs.
+3. A tree of very many leaves is grown in parts of bounded size, each with the first node. What these leave in
+   different components meets in pairs of parts, by size range; parts of one component don't meet.
+
+Links between nodes of one component say nothing new, so no link between different texts is lost for components.
 
 Defined cases: null and empty texts, and texts of white space, have no shingles and link with nothing. A text of fewer
-than five words is one shingle, the whole sequence. Rows of one doc_id are one document; any of its texts links it. A
-null doc_id has a null component_id. Empty tables give empty results. Other columns are not read.
+than five words is one shingle, the whole sequence. Each row is a document, also where rows share a doc_id;
+component_id is the smallest doc_id of the rows that can be reached, null if all of these are null. Empty tables give
+empty results. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -33,224 +33,213 @@ from pyspark.sql import functions as F
 
 from . import ngrams
 from .components import components
-from .runtime import BROADCAST_IDS, arrow_map, attach, materialize, partitions_for, semi_join, slices, small_batches, text_or_empty, without_ids
+from .runtime import BROADCAST_ROWS, attach, materialize, null_safe, partitions_for, semi_join, slices, small_batches, text_or_empty, without
 
 #: Similarity in hundredths, words of a shingle.
 LEAST, WORDS = 80, 5
-#: Least bits of a leaf's bitmap (it has twice as many as shingles, a power of two), children of a node.
-LEAST_BITS, FAN = 512, 16
-#: Bytes of bitmaps that are compared at a time.
-COMPARE_BYTES = 8 << 20
-#: A shingle in this share of the documents comes last in the order; at most so many do. The order is free: any one
-#: gives the same links.
-FREQUENT, MOST_FREQUENT = 0.01, 200_000
-#: Share of a prefix, in hundredths, that a star's pair has in common. Pairs with less are left to the trees.
-STAR_SHARE = 40
-#: Shared shingles that a pair may lack, as two that agree in 32 bits count as one.
-SPARE = 2
-#: Prefix shingles of a bucket, entries that one task compares in trees, and partners of a centre that one verifies.
-BUCKET_ROWS, TREE_ROWS, STAR_ROWS = 1 << 20, 1 << 17, 400
+#: Words are counted by hash in so many cells, dealt by slabs. The counts only make the order of shingles.
+CELLS, SLAB = 1 << 20, 1 << 14
+#: Prefix shingles of a task, and entries of one list that are held at a time.
+ENTRY_ROWS, PIECE = 1 << 19, 1 << 20
+#: Leaves of a tree, and shingles of all its leaves, beyond which it is grown in parts.
+TREE_LEAVES, TREE_SHINGLES = 4096, 1 << 22
+#: Children of a node, least bits of a bitmap (it has 8 to 16 for each shingle of a leaf), bytes compared at a time.
+FAN, LEAST_BITS, COMPARE_BYTES = 8, 512, 4 << 20
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    """doc_id, h (a hash of the text, which finds it again) and text."""
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
+    return rows.select("doc_id", F.xxhash64("text").alias("h"), "text")
 
 
-def frequent_shingles(rows: DataFrame, share: float = FREQUENT) -> np.ndarray:
-    """Shingles in about share of the documents or more, sorted.
+def word_levels(rows: DataFrame) -> np.ndarray:
+    """For each cell of hashed words about six times the logarithm of how often these words stand in all texts.
 
-    Each slice of documents names those in half that share of its own; a shingle in that share of all is named by
-    slices that together have half of it, so none is missed.
+    Each task sums its texts' words, and sends the cells that it has by slabs, so what is sent and held is bounded.
     """
 
-    def one(part: pa.RecordBatch) -> pa.RecordBatch | None:
-        sets = ngrams.shingle_sets(part.column(1), WORDS)
-        values, counts = np.unique(np.concatenate(sets), return_counts=True)
-        often = counts >= max(3, share / 2 * len(sets))
-        return pa.record_batch([pa.array(values[often].view(np.int64)), pa.array(counts[often])], names=["shingle", "n"]) if often.any() else None
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(CELLS, np.int64)
+        for batch in batches:
+            for part in slices(batch, 0):
+                hashes, _, _ = ngrams.words(*ngrams.buffers(part.column(0)))
+                total += np.bincount((hashes & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+        for slab, own in enumerate(total.reshape(-1, SLAB)):
+            at = np.flatnonzero(own)
+            if len(at):
+                yield pa.record_batch([pa.array([slab]), pa.array([at.astype(np.uint16).tobytes()]), pa.array([own[at].tobytes()])], names=["slab", "cells", "counts"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for row in batch.to_pylist():
+                totals.setdefault(row["slab"], np.zeros(SLAB, np.int64))[np.frombuffer(row["cells"], np.uint16)] += np.frombuffer(row["counts"], np.int64)
+        for slab, own in totals.items():
+            yield pa.record_batch([pa.array([slab]), pa.array([np.minimum(255, 6 * np.log2(1 + own)).astype(np.uint8).tobytes()])], names=["slab", "levels"])
 
-    n = rows.count()
-    found = arrow_map(rows, "shingle long, n long", one, text=1).groupBy("shingle").agg(F.sum("n").alias("n"))
-    found = found.filter(F.col("n") >= max(3.0, share / 2 * n)).orderBy(F.desc("n"), "shingle").limit(MOST_FREQUENT)
-    return np.sort(np.array([r["shingle"] for r in found.select("shingle").collect()], np.int64).view(np.uint64))
+    dealt = rows.select("text").mapInArrow(count, "slab long, cells binary, counts binary").repartition("slab")
+    out = np.zeros((CELLS // SLAB, SLAB), np.uint8)
+    for row in dealt.mapInArrow(add, "slab long, levels binary").collect():  # a byte for each cell
+        out[row["slab"]] = np.frombuffer(row["levels"], np.uint8)
+    return out.ravel()
 
 
-def sketches(rows: DataFrame, frequent: np.ndarray) -> DataFrame:
-    """doc_id, n (size of the set), digest of the set, prefix and bitmap of each row."""
-    sent = rows.sparkSession.sparkContext.broadcast(frequent)  # at most MOST_FREQUENT numbers
+def sketches(rows: DataFrame, levels: np.ndarray) -> DataFrame:
+    """doc_id, h, n (size of the set), digest of the set, and its prefix, of each row."""
+    sent = rows.sparkSession.sparkContext.broadcast(levels)  # CELLS bytes
 
     def one(part: pa.RecordBatch) -> pa.RecordBatch:
-        often, prefixes, bits, digests, sizes = sent.value, [], [], [], []
-        for own in ngrams.shingle_sets(part.column(1), WORDS):
-            n = len(own)
-            if len(often) and n:
-                last = often[np.minimum(np.searchsorted(often, own), len(often) - 1)] == own
-                ordered = np.concatenate([own[~last], own[last]])
-            else:
-                ordered = own
-            prefixes.append(ordered[: n - (LEAST * n + 99) // 100 + 1 if n else 0].view(np.int64))
-            bits.append(bitmap(own).tobytes())
-            digests.append(xxhash.xxh3_128_digest(own.tobytes()))
-            sizes.append(n)
-        offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
-        prefix = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(np.concatenate(prefixes)))
-        return pa.record_batch([part.column(0), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), prefix, pa.array(bits, pa.binary())], names=["doc_id", "n", "digest", "prefix", "bits"])
-
-    return arrow_map(rows, "doc_id long, n long, digest binary, prefix array<long>, bits binary", one, text=1)
-
-
-def bitmap(shingles: np.ndarray) -> np.ndarray:
-    """Bits of a set, in bytes; half of a longer bitmap laid upon the other is the bitmap of half the length."""
-    width = max(LEAST_BITS, 1 << (2 * len(shingles) - 1).bit_length()) if len(shingles) else LEAST_BITS
-    flags = np.zeros(width, bool)
-    flags[((shingles >> np.uint64(16)) & np.uint64(width - 1)).astype(np.int64)] = True
-    return np.packbits(flags)
-
-
-def _entries(shingles: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Entries of shingles with several ids, by shingle and id, and where each shingle's begin (and the end)."""
-    order = np.lexsort((ids, shingles))
-    shingles, ids = shingles[order], ids[order]
-    new = np.ones(len(ids), bool)
-    new[1:] = (shingles[1:] != shingles[:-1]) | (ids[1:] != ids[:-1])
-    shingles, ids = shingles[new], ids[new]
-    first = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]])) if len(ids) else np.zeros(0, int)
-    counts = np.diff(np.append(first, len(ids)))
-    keep = np.repeat(counts > 1, counts)
-    counts = counts[counts > 1]
-    return shingles[keep], ids[keep], np.concatenate([[0], np.cumsum(counts)]).astype(np.int64)
-
-
-def shared_prefixes(reps: DataFrame, n_shingles: int) -> DataFrame:
-    """For each bucket of shingles its shared ones: bucket, shingles (their high 32 bits) and ids, by shingle.
-
-    Shingles of a bucket that agree in those bits only make classes candidates that verification drops.
-    """
-    bits = max(0, (partitions_for(n_shingles, BUCKET_ROWS) - 1).bit_length())
-    schema = "bucket long, shingles binary, ids binary"
+        body, offsets = ngrams.buffers(part.column(2))
+        hashes, _, of = ngrams.words(body, offsets)
+        own = sent.value[(hashes & np.uint64(CELLS - 1)).astype(np.int64)].astype(np.int32)
+        found, text, sums = ngrams.shingles_of(hashes, of, part.num_rows, WORDS, own)
+        order = np.lexsort((found, text))
+        found, text, sums = found[order], text[order], sums[order]
+        new = np.ones(len(found), bool)
+        new[1:] = (found[1:] != found[:-1]) | (text[1:] != text[:-1])
+        found, text, sums = found[new], text[new], sums[new]
+        sizes = np.bincount(text, minlength=part.num_rows) if len(text) else np.zeros(part.num_rows, np.int64)
+        at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
+        digests = [xxhash.xxh3_128_digest(found[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+        taken = np.where(sizes > 0, prefix_length(sizes), 0)
+        first = np.lexsort((found, sums, text))
+        first = first[np.arange(len(text)) - at[text] < taken[text]] if len(text) else first
+        prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(taken)]), pa.int32()), pa.array(found[first].view(np.int64)))
+        return pa.record_batch([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), prefix], names=["doc_id", "h", "n", "digest", "prefix"])
 
-    def deal(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        prefix = batch.column(1)
-        values = prefix.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
-        if not len(values):
-            return None
-        ids = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), pa.compute.list_value_length(prefix).to_numpy(zero_copy_only=False))
-        # By the low bits: the smallest hashes make prefixes, so the highest bits are not dealt evenly.
-        bucket = (values & np.uint64((1 << bits) - 1)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        values, ids, bucket = values[order], ids[order], bucket[order]
-        edges = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
-        high = (values >> np.uint64(32)).astype(np.uint32)
-        rows = [(int(bucket[a]), high[a:b].tobytes(), ids[a:b].tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
-        return pa.record_batch([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary()), strict=True)], names=["bucket", "shingles", "ids"])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, 2):
+                if part.num_rows:
+                    yield one(part)
 
-    def gather(key: tuple, table: pa.Table) -> pa.Table:
-        shingles, ids, _ = _entries(np.frombuffer(b"".join(table.column("shingles").to_pylist()), np.uint32), np.frombuffer(b"".join(table.column("ids").to_pylist()), np.int64))
-        return pa.table({"bucket": [key[0].as_py()], "shingles": [shingles.tobytes()], "ids": [ids.tobytes()]}).slice(0, 1 if len(ids) else 0)
+    return rows.mapInArrow(run, "doc_id long, h long, n long, digest binary, prefix array<long>")
 
-    return arrow_map(reps.select("doc_id", "prefix"), schema, deal).groupBy("bucket").applyInArrow(gather, schema)
 
+def prefix_length(n: np.ndarray) -> np.ndarray:
+    return n - (LEAST * n + 99) // 100 + 1
 
-def _bucket(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    shingles, ids = np.frombuffer(row["shingles"], np.uint32), np.frombuffer(row["ids"], np.int64)
-    first = np.flatnonzero(np.concatenate([[True], shingles[1:] != shingles[:-1]])) if len(ids) else np.zeros(0, int)
-    return shingles, ids, np.append(first, len(ids))
 
+def largest_partner(n: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """The largest set that one of n shingles can be linked with if the first that they share is at this place: no
+    more are shared than follow it."""
+    return np.minimum(100 * n // LEAST, (100 + LEAST) * (n - place) // LEAST - n)
 
-def star_pairs(shared: DataFrame, sets: DataFrame) -> DataFrame:
-    """a and b: for each id the best partner among the smallest, and among the largest ids of its shingles, if their
-    sizes allow a link and they share enough of their prefixes to make one likely; sets: id and n of all classes."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def entries(reps: DataFrame) -> DataFrame:
+    """shingle, n, most (the largest possible partner) and node for each prefix shingle; reps: node, n and prefix."""
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
-                _, ids, at = _bucket(row)
-                for largest in (0, 1):
-                    centre = np.repeat(ids[at[1:] - 1] if largest else ids[at[:-1]], np.diff(at))
-                    pairs, counts = np.unique(np.stack([ids, centre])[:, ids != centre], axis=1, return_counts=True)
-                    yield pa.record_batch([pa.array(pairs[0]), pa.array(pairs[1]), pa.array(np.full(len(counts), largest)), pa.array(counts)], names=["a", "b", "kind", "n"])
-
-    pairs = shared.mapInArrow(run, "a long, b long, kind long, n long").groupBy("a", "b", "kind").agg(F.sum("n").alias("n"))
-    best = pairs.groupBy("a", "kind").agg(F.max(F.struct("n", F.col("b").alias("b"))).alias("best"))
-    best = best.select(F.greatest("a", "best.b").alias("a"), F.least("a", "best.b").alias("b"), F.col("best.n").alias("n")).groupBy("a", "b").agg(F.max("n").alias("shared"))
-    sized = best.join(sets.select(F.col("id").alias("a"), F.col("n").alias("n_a")), "a").join(sets.select(F.col("id").alias("b"), F.col("n").alias("n_b")), "b")
-    small, large = F.least("n_a", "n_b"), F.greatest("n_a", "n_b")
-    likely = (100 * small >= LEAST * large) & (100 * F.col("shared") >= STAR_SHARE * F.floor(small * (100 - LEAST) / 100))
-    return sized.filter(likely).select("a", "b")
-
-
-class Bitmaps:
-    """Bitmaps, sizes and components of some sets; bitmaps of several lengths are compared at the shortest's."""
-
-    def __init__(self, bits: list[bytes], sizes: np.ndarray, component: np.ndarray):
-        self.sizes, self.component = sizes, component
-        self.width = np.array([8 * len(x) for x in bits])
-        self.own = {int(w): np.frombuffer(b"".join(bits[i] for i in np.flatnonzero(self.width == w)), np.uint64).reshape(-1, w // 64) for w in np.unique(self.width)}
-        self.row = np.zeros(len(bits), np.int64)
-        for w in self.own:
-            self.row[self.width == w] = np.arange(len(self.own[w]))
-
-    def at(self, places: np.ndarray, width: int) -> np.ndarray:
-        """Bitmaps of sets, laid together to a width that none is shorter than."""
-        out = np.zeros((len(places), width // 64), np.uint64)
-        for w in np.unique(self.width[places]):
-            some = self.width[places] == w
-            rows = self.own[int(w)][self.row[places[some]]]
-            out[some] = np.bitwise_or.reduce(rows.reshape(len(rows), w // width, width // 64), axis=1)
-        return out
+            prefix = batch.column(2)
+            values = prefix.flatten().to_numpy(zero_copy_only=False)
+            if not len(values):
+                continue
+            length = pa.compute.list_value_length(prefix).to_numpy(zero_copy_only=False).astype(np.int64)
+            place = np.arange(len(values)) - np.repeat(np.cumsum(length) - length, length)
+            n = np.repeat(batch.column(1).to_numpy(zero_copy_only=False), length)
+            node = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), length)
+            yield pa.record_batch([pa.array(values), pa.array(n), pa.array(largest_partner(n, place)), pa.array(node)], names=["shingle", "n", "most", "node"])
 
-    def level(self, places: np.ndarray, width: int) -> tuple[np.ndarray, ...]:
-        """Leaves: bitmap, size twice, shingles that share a bit with another, component."""
-        bits, n = self.at(places, width), self.sizes[places]
-        return bits, n, n, n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64), self.component[places]
-
-    def possible(self, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Pairs of sets in different components that may be similar."""
-        small, large = np.minimum(self.sizes[i], self.sizes[j]), np.maximum(self.sizes[i], self.sizes[j])
-        ok = (self.component[i] != self.component[j]) & (100 * small >= LEAST * large)
-        width = np.minimum(self.width[i], self.width[j])
-        for w in np.unique(width[ok]):
-            some = np.flatnonzero(ok & (width == w))
-            step = max(1, COMPARE_BYTES // (int(w) // 8))
-            for k in range(0, len(some), step):
-                at = some[k : k + step]
-                members, place = np.unique(np.concatenate([i[at], j[at]]), return_inverse=True)
-                ok[at] = SignatureTree.possible(self.level(members, int(w)), place[: len(at)], place[len(at) :])
-        return ok
+    return reps.select("node", "n", "prefix").mapInArrow(deal, "shingle long, n long, most long, node long")
 
-    def groups(self, places: np.ndarray) -> list[tuple[np.ndarray, int]]:
-        """Sets that are compared in one tree, and the width: those of a bitmap length, and those near the limit of
-        two lengths with the longer bitmaps laid together."""
-        out = []
-        for w in np.unique(self.width[places]):
-            own = places[self.width[places] == w]
-            out.append((own, int(w)))
-            longer = places[self.width[places] == 2 * w]
-            if len(longer):
-                longer = longer[LEAST * self.sizes[longer] <= 100 * self.sizes[own].max()]
-                near = own[100 * self.sizes[own] >= LEAST * self.sizes[longer].min()] if len(longer) else own[:0]
-                if len(near):
-                    out.append((np.concatenate([near, longer]), int(w)))
-        return out
+
+def has_partner(run: np.ndarray, n: np.ndarray, most: np.ndarray) -> np.ndarray:
+    """Entries of lists (run: the number of the list) in which some other entry has a size that allows a link."""
+    step = np.int64(100 * n.max(initial=0) // LEAST + 2)
+    key = np.sort(run * step + n)
+    low, base = (LEAST * n + 99) // 100, run * step
+    count = np.searchsorted(key, base + most, "right") - np.searchsorted(key, base + low, "left")
+    return (count - (most >= n) > 0) & (most >= low)
+
+
+def members(dealt: DataFrame) -> DataFrame:
+    """key (the first node of the list) and node of each entry that has a possible partner; dealt: entries, those of a
+    list after one another by size. A list longer than PIECE is looked at in pieces, in which those at the ends stay."""
+
+    def alive(table: np.ndarray, known: int | None, whole: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """table: rows of shingle, n, most, node; known: the key of a list that is seen in pieces."""
+        begin, end = (0, 0) if whole or not table.shape[1] else (table[1][0], table[1][-1])
+        for _ in range(4):  # what goes makes others lonely
+            if not table.shape[1]:
+                break
+            run = np.cumsum(np.concatenate([[0], table[0][1:] != table[0][:-1]])).astype(np.int64)
+            ok = has_partner(run, table[1], table[2])
+            if not whole:
+                ok |= (table[2] >= end) | (LEAST * table[1] <= 100 * begin)
+            if ok.all():
+                break
+            table = table[:, ok]
+        if not table.shape[1]:
+            return table[3], table[3], table[1]
+        first = np.flatnonzero(np.concatenate([[True], table[0][1:] != table[0][:-1]]))
+        key = np.repeat(table[3][first], np.diff(np.append(first, table.shape[1]))) if known is None else np.full(table.shape[1], known)
+        return key, table[3], table[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, known = np.zeros((4, 0), np.int64), None
+
+        def out(found: tuple[np.ndarray, ...]) -> Iterator[pa.RecordBatch]:
+            if len(found[0]):
+                yield pa.record_batch([pa.array(x) for x in found], names=["key", "node", "n"])
+
+        for batch in batches:
+            held = np.concatenate([held, np.stack([batch.column(k).to_numpy(zero_copy_only=False) for k in range(4)])], axis=1)
+            change = np.flatnonzero(held[0][1:] != held[0][:-1]) + 1
+            if len(change):
+                whole, held = held[:, : change[-1]], held[:, change[-1] :]
+                if known is not None:  # the last piece of a long list
+                    yield from out(alive(whole[:, : change[0]], known, False))
+                    whole, known = whole[:, change[0] :], None
+                yield from out(alive(whole, None, True))
+            if held.shape[1] > PIECE:
+                known = int(held[3][0]) if known is None else known
+                yield from out(alive(held, known, False))
+                held = held[:, -1:]
+        yield from out(alive(held, known, known is None))
+
+    return dealt.mapInArrow(run, "key long, node long, n long").groupBy("key", "node", "n").agg(F.count(F.lit(1)).alias("lists"))
 
 
 class SignatureTree:
     """Nodes over sets: OR of their bitmaps, range of sizes, most shingles that share a bit, common component."""
 
-    def __init__(self, leaves: tuple[np.ndarray, ...]):
-        self.order = np.lexsort((leaves[4], leaves[1]))
-        level = tuple(x[self.order] for x in leaves)
-        self.levels = [level]
+    def __init__(self, sets: list[np.ndarray], component: np.ndarray | None = None):
+        sizes = np.array([len(s) for s in sets], np.int64)
+        label = np.arange(len(sets)) if component is None else component
+        self.order = np.lexsort((label, sizes))
+        self.sets = [sets[k] for k in self.order]
+        self.component = label[self.order]
+        width = max(LEAST_BITS, 1 << int(8 * sizes.mean()).bit_length())
+        bits = np.zeros((len(sets), width // 64), np.uint64)
+        for row, own in zip(bits, self.sets, strict=True):
+            flags = np.zeros(width, bool)
+            flags[((own >> np.uint64(16)) & np.uint64(width - 1)).astype(np.int64)] = True
+            row[:] = np.packbits(flags).view(np.uint64)
+        n = sizes[self.order]
+        level = (bits, n, n, n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64))
+        self.levels, self.starts = [level], []
         while len(level[1]) > FAN:
             at = np.arange(0, len(level[1]), FAN)
-            low, high = np.minimum.reduceat(level[4], at), np.maximum.reduceat(level[4], at)
-            level = (np.bitwise_or.reduceat(level[0], at, axis=0), np.minimum.reduceat(level[1], at), np.maximum.reduceat(level[2], at), np.maximum.reduceat(level[3], at), np.where(low == high, low, -1))
+            level = (np.bitwise_or.reduceat(level[0], at, axis=0), np.minimum.reduceat(level[1], at), np.maximum.reduceat(level[2], at), np.maximum.reduceat(level[3], at))
             self.levels.append(level)
-
-    @staticmethod
-    def possible(level: tuple, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+            self.starts.append(at)
+        self._label()
+
+    def _label(self) -> None:
+        """The component of each node whose leaves have one, else -1."""
+        low = self.component
+        self.common = [low]
+        for at in self.starts:
+            a, b = np.minimum.reduceat(low, at), np.maximum.reduceat(low, at)
+            low = np.where(a == b, a, -1)
+            self.common.append(low)
+
+    def possible(self, depth: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
         """Pairs of nodes that may hold a similar pair in different components."""
-        bits, low, high, excess, component = level
+        bits, low, high, excess = self.levels[depth]
+        component = self.common[depth]
         ok = (100 * np.minimum(high[i], high[j]) >= LEAST * np.maximum(low[i], low[j])) & ((component[i] != component[j]) | (component[i] < 0))
         some = np.flatnonzero(ok)
         a, b = i[some], j[some]
@@ -259,12 +248,11 @@ class SignatureTree:
         ok[some] = (100 + LEAST) * overlap >= LEAST * (low[a] + low[b])
         return ok
 
-    def pairs(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of leaves (places among the sets given) that remain, by traversal of the tree with itself."""
+    def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Pairs of leaves that remain, by traversal of the tree with itself; components may be joined meanwhile."""
         top = len(self.levels) - 1
         step = max(FAN * FAN, COMPARE_BYTES // (8 * self.levels[0][0].shape[1]))
-        i, j = np.triu_indices(len(self.levels[top][1]))
-        todo = [(top, i, j)]
+        todo = [(top, *np.triu_indices(len(self.levels[top][1])))]
         x, y = (k.ravel() for k in np.meshgrid(np.arange(FAN), np.arange(FAN), indexing="ij"))
         while todo:
             depth, i, j = todo.pop()
@@ -273,12 +261,12 @@ class SignatureTree:
                 continue
             if depth == 0:
                 i, j = i[i != j], j[i != j]
-            ok = self.possible(self.levels[depth], i, j)
+            ok = self.possible(depth, i, j)
             i, j = i[ok], j[ok]
             if not len(i):
                 continue
             if depth == 0:
-                yield self.order[i], self.order[j]
+                yield i, j
                 continue
             n = len(self.levels[depth - 1][1])
             for k in range(0, len(i), max(1, step // FAN**2)):
@@ -287,224 +275,155 @@ class SignatureTree:
                 keep = (a < n) & (b < n) & (a <= b)
                 todo.append((depth - 1, a[keep], b[keep]))
 
+    def links(self) -> list[tuple[int, int]]:
+        """Pairs of similar sets (places among those given) that span the components."""
+        out = []
+        for i, j in self.candidates():
+            before = len(out)
+            for a, b in zip(i.tolist(), j.tolist(), strict=True):
+                if self.component[a] != self.component[b] and similar(self.sets[a], self.sets[b]):
+                    out.append((int(self.order[a]), int(self.order[b])))
+                    self.component[self.component == self.component[b]] = self.component[a]
+            if len(out) > before:
+                self._label()
+        return out
 
-def prefix_length(n: np.ndarray) -> np.ndarray:
-    return n - (LEAST * n + 99) // 100 + 1
-
-
-def least_shared(n_a: np.ndarray, n_b: np.ndarray) -> np.ndarray:
-    """How many shingles the prefixes of two linked sets share at least.
-
-    Of a set's prefix no more are missing in the other than of the whole set, so it holds the first common shingles
-    but for so many; both prefixes hold as many of these as the one that holds fewer.
-    """
-    both = (LEAST * (n_a + n_b) + 99 + LEAST) // (100 + LEAST)
-    return np.minimum(prefix_length(n_a) - (n_a - both), prefix_length(n_b) - (n_b - both))
-
-
-def _has_partner(run: np.ndarray, n: np.ndarray, shared: np.ndarray) -> np.ndarray:
-    """Entries of shingles (run: the shingle's number) in which some other entry has a size that allows a link, given
-    how many shared shingles the entry's whole prefix has. least_shared() falls from equal sizes to the limits of
-    either side, so these sizes are two ranges (with two to spare for rounding)."""
-    step = np.int64(n.max(initial=0) * 2 + 10)
-    key = np.sort(run * step + n)
-    few = np.maximum(shared - 1, 0) + SPARE
-    low, high = LEAST * n // 100 - 2, 100 * n // LEAST + 2
-    share = LEAST / (100 + LEAST)
-    below = np.minimum(n, np.floor(low + 4 + few / share).astype(np.int64))
-    above = np.maximum(n + 1, np.ceil(high - 4 - few / (1 - share - (100 - LEAST) / 100)).astype(np.int64))
-    base = run * step
-    count = lambda x, y: np.searchsorted(key, base + np.minimum(y, step - 1), "right") - np.searchsorted(key, base + np.maximum(x, 0), "left")
-    found = np.maximum(count(low, below), 0) + np.maximum(count(above, high), 0)
-    return found - (below >= n) > 0
-
-
-def _leftover(shared: DataFrame, sets: DataFrame, roots: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Of shared, the entries that may be of a link between components, and for each id its size, the number of its
-    shared shingles and its root; roots: id and root of linked ids."""
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, counts = np.unique(np.frombuffer(row["ids"], np.int64), return_counts=True)
-                yield pa.record_batch([pa.array(np.full(len(ids), row["bucket"])), pa.array(ids), pa.array(counts)], names=["bucket", "id", "own"])
-
-    entries = materialize(shared.mapInArrow(of, "bucket long, id long, own long"), "jaccard-entries")
-    sizes = entries.groupBy("id").agg(F.sum("own").alias("shared")).join(sets.select("id", "n"), "id").join(roots, "id", "left").select("id", "n", "shared", F.coalesce("root", "id").alias("root"))
-    known = entries.select("bucket", "id").join(sizes, "id")
-
-    def keep(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = left.select(["bucket", "shingles", "ids"]).slice(0, 0)
-        if not left.num_rows or not right.num_rows:
-            return none
-        row = left.to_pylist()[0]
-        shingles, ids, _ = _bucket(row)
-        columns = {c: right.column(c).to_numpy() for c in ("id", "n", "shared", "root")}
-        order = np.argsort(columns["id"], kind="stable")
-        for _ in range(3):  # what goes makes others lonely
-            if not len(ids):
-                return none
-            run = np.cumsum(np.concatenate([[0], shingles[1:] != shingles[:-1]])).astype(np.int64)
-            place = order[np.searchsorted(columns["id"], ids, sorter=order)]
-            first = np.flatnonzero(np.concatenate([[True], run[1:] != run[:-1]]))
-            root = columns["root"][place]
-            several = (np.minimum.reduceat(root, first) != np.maximum.reduceat(root, first))[run]
-            some = several & _has_partner(run, columns["n"][place].astype(np.int64), columns["shared"][place].astype(np.int64))
-            if some.all():
-                break
-            shingles, ids = shingles[some], ids[some]
-        return pa.table({"bucket": [row["bucket"]], "shingles": [shingles.tobytes()], "ids": [ids.tobytes()]}).slice(0, 1 if len(ids) else 0)
 
-    left = shared.groupBy("bucket").cogroup(known.groupBy("bucket")).applyInArrow(keep, "bucket long, shingles binary, ids binary")
-    return materialize(left, "jaccard-leftover"), sizes
+def similar(a: np.ndarray, b: np.ndarray) -> bool:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both > 0 and 100 * both >= LEAST * (len(a) + len(b) - both)
 
 
-def tree_pairs(left: DataFrame, sets: DataFrame, sizes: DataFrame) -> DataFrame:
-    """a and b of classes in different components that may be similar; sets: id and bits of all classes, left and
-    sizes: as of _leftover().
+def tree_links(dealt: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """a and b of the links that trees find; dealt: tree (a struct), node and component of their leaves, classes: node,
+    and the id, text hash and digest by which its text is found, rows: as of _rows()."""
+    dealt = materialize(dealt.join(classes.select("node", "did", "h", "digest"), "node"), "jaccard-leaves")
+    n = dealt.count()
+    texts = rows.select(null_safe(F.col("doc_id")).alias("did"), "h", "text")
+    if n <= BROADCAST_ROWS:
+        leaves = texts.join(F.broadcast(dealt), ["did", "h"])
+    else:  # repeated rows are one before they are sent
+        ids = dealt.select("did", "h").distinct()
+        leaves = texts.join(ids, ["did", "h"], "left_semi").groupBy("did", "h").agg(F.first("text").alias("text")).join(dealt, ["did", "h"])
+    leaves = leaves.select("tree", "node", "component", "digest", "text").repartition("tree").sortWithinPartitions("tree", "node")
 
-    Buckets are put together again, as few entries are left, so that a bitmap is sent to few tasks. A pair that stays
-    shares at least as many prefix shingles, over all buckets, as a link needs.
-    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, nodes, component, sets, out = None, [], [], [], []
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.to_pylist():
-                ids, counts = np.unique(np.frombuffer(row["ids"], np.int64), return_counts=True)
-                yield pa.record_batch([pa.array(np.full(len(ids), row["bucket"])), pa.array(ids), pa.array(counts)], names=["bucket", "id", "n_own"])
-
-    entries = materialize(left.mapInArrow(of, "bucket long, id long, n_own long"), "jaccard-entries")
-    total = entries.agg(F.sum("n_own")).first()[0] or 0
-    group = F.pmod("bucket", F.lit(partitions_for(total, TREE_ROWS)))
-    ids = entries.select("id").distinct()
-    n_ids = ids.count()
-    own = semi_join(sets.select("id", "bits"), ids, "id", n_ids).join(semi_join(sizes, ids, "id", n_ids), "id")
-    known = entries.select(group.alias("group"), "id").distinct().join(own, "id")
-
-    def search(left: pa.Table, right: pa.Table) -> pa.Table:
-        none = pa.table({c: pa.array([], pa.int64()) for c in ("a", "b", "need", "shared")})
-        if not left.num_rows or not right.num_rows:
-            return none
-        order = np.argsort(right.column("id").to_numpy(), kind="stable")
-        names = right.column("id").to_numpy()[order]
-        bits = right.column("bits").to_pylist()
-        component = np.unique(right.column("root").to_numpy(), return_inverse=True)[1][order]
-        maps = Bitmaps([bits[k] for k in order], right.column("n").to_numpy()[order].astype(np.int64), component)
-        n = np.int64(len(names))
-        few: dict[int, list[np.ndarray]] = {}  # shingles of few ids, by how many
-        many: dict[bytes, int] = {}  # ids of a shingle, and how many shingles have just these (as a passage's have)
-        for row in left.to_pylist():
-            _, ids, at = _bucket(row)
-            place = np.searchsorted(names, ids)
-            counts = np.diff(at)
-            for m in np.unique(counts[counts <= FAN]):
-                few.setdefault(int(m), []).append(place[at[:-1][counts == m][:, None] + np.arange(m)[None, :]])
-            for k in np.flatnonzero(counts > FAN):
-                key = place[at[k] : at[k + 1]].tobytes()
-                many[key] = many.get(key, 0) + 1
-        keys, times = [], []
-
-        def add(i: np.ndarray, j: np.ndarray, count: np.ndarray) -> None:
-            """Pairs with how often they stand together, as one number each."""
-            keys.append(np.minimum(i, j) * n + np.maximum(i, j))
-            times.append(count)
-            if len(keys) > 400:
-                merge()
-
-        def merge() -> None:
-            found, place = np.unique(np.concatenate(keys), return_inverse=True)
-            summed = np.bincount(place, np.concatenate(times)).astype(np.int64)
-            keys[:], times[:] = [found], [summed]
-
-        # Shingles of few ids have one node each: their leaves are compared together.
-        for m, rows in few.items():
-            x, y = np.triu_indices(m, 1)
-            rows = np.concatenate(rows)
-            found, count = np.unique((np.minimum(rows[:, x], rows[:, y]) * n + np.maximum(rows[:, x], rows[:, y])).ravel(), return_counts=True)
-            ok = maps.possible(found // n, found % n)
-            add(found[ok] // n, found[ok] % n, count[ok])
-        for key, count in many.items():
-            for some, width in maps.groups(np.unique(np.frombuffer(key, np.int64))):
-                mixed = len(np.unique(maps.width[some])) > 1
-                for i, j in SignatureTree(maps.level(some, width)).pairs():
-                    own = maps.width[some[i]] != maps.width[some[j]] if mixed else np.ones(len(i), bool)
-                    add(some[i[own]], some[j[own]], np.full(own.sum(), count))
-        if not keys:
-            return none
-        merge()
-        i, j = keys[0] // n, keys[0] % n
-        shared = right.column("shared").to_numpy()[order]
-        need = np.maximum(1, least_shared(maps.sizes[i], maps.sizes[j]) - SPARE)
-        ok = np.minimum(shared[i], shared[j]) >= need
-        return pa.table({"a": names[j[ok]], "b": names[i[ok]], "need": need[ok], "shared": times[0][ok]})
-
-    pairs = left.withColumn("group", group).groupBy("group").cogroup(known.groupBy("group")).applyInArrow(search, "a long, b long, need long, shared long")
-    summed = pairs.groupBy("a", "b").agg(F.max("need").alias("need"), F.sum("shared").alias("shared"))
-    return summed.filter(F.col("shared") >= F.col("need")).select("a", "b")
-
-
-def verify(pairs: DataFrame, rows: DataFrame) -> DataFrame:
-    """Of the pairs a, b those whose texts' sets are similar enough, by the whole sets; rows: doc_id and text."""
-    pairs = materialize(pairs.filter("a != b"), "jaccard-pairs")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = semi_join(rows, ids, "doc_id", 2 * pairs.count())
-    parts = pairs.groupBy("b").agg(F.ceil(F.count(F.lit(1)) / STAR_ROWS).cast("int").alias("parts"))
-    members = attach(pairs, parts.withColumn("n", F.col("parts") * STAR_ROWS), ["b"], "n", STAR_ROWS * 1000).select("a", "b", F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"))
-    members = members.join(texts.withColumnRenamed("doc_id", "a"), "a").select("b", "part", "a", "text")
-    centres = parts.join(texts.withColumnRenamed("doc_id", "b"), "b").select("b", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(None).cast("long").alias("a"), "text")
-    dealt = members.unionByName(centres).repartition("b", "part").sortWithinPartitions("b", "part", F.col("a").asc_nulls_first())
+        def search() -> None:
+            if len(nodes) > 1:
+                out.extend((nodes[i], nodes[j]) for i, j in SignatureTree(sets, np.unique(component, return_inverse=True)[1]).links())
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, own = None, []
         for batch in batches:
-            for slice_ in slices(batch, 3):
-                out = []
-                sets = ngrams.shingle_sets(slice_.column(3), WORDS)
-                for b, part, a, found in zip(*(slice_.column(k).to_pylist() for k in range(3)), sets, strict=True):
-                    if a is None:
-                        own = [*own, found] if at == (b, part) else [found]
-                        at = (b, part)
-                        continue
-                    for other in own:
-                        both = len(np.intersect1d(found, other, assume_unique=True))
-                        if both and 100 * both >= LEAST * (len(found) + len(other) - both):
-                            out.append((a, b))
-                            break
+            for part in slices(batch, 4, 4 << 20):
+                found = ngrams.shingle_sets(part.column(4), WORDS)
+                for tree, node, root, digest, own in zip(*(part.column(k).to_pylist() for k in range(4)), found, strict=True):
+                    if tree != at:
+                        search()
+                        at, nodes, component, sets = tree, [], [], []
+                    # Another text of one id and hash, or the same row again, is passed over.
+                    if (not nodes or nodes[-1] != node) and xxhash.xxh3_128_digest(own.tobytes()) == digest:
+                        nodes.append(node)
+                        component.append(root)
+                        sets.append(own)
                 if out:
                     yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
-
-    return materialize(dealt.mapInArrow(run, "a long, b long"), "jaccard-links")
+                    out = []
+        search()
+        if out:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["a", "b"])
+
+    return materialize(leaves.mapInArrow(run, "a long, b long").distinct(), "jaccard-links")
+
+
+def _parts(count: str, shingles: str):
+    return F.ceil(F.greatest(F.col(count) / TREE_LEAVES, F.col(shingles) / TREE_SHINGLES)).cast("int")
+
+
+def _part(of: str):
+    return F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
+
+
+def search_trees(found: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links of all trees; found: as of members()."""
+    counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("leaves"), F.sum("n").alias("shingles")).withColumn("parts", _parts("leaves", "shingles"))
+    large = materialize(counts.filter("parts > 1").select("key", "parts"), "jaccard-large")
+    n_large = large.count()
+    sized = found.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    # The first node of a large tree stands in each of its parts.
+    part = F.when(F.col("node") == F.col("key"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(_part("parts")))
+    own = sized.select("key", F.explode(part).alias("part"), "node")
+    tree = lambda *c: F.struct("key", *c).alias("tree")
+    links = tree_links(own.select(tree("part", F.lit(-1).alias("other")), "node", F.col("node").alias("component")), classes, rows)
+    if not n_large:
+        return links
+    leaves = sized.filter("parts > 1").select("key", "node", "n")
+    leaves = leaves.join(components(links).withColumnRenamed("id", "node"), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    # Sets of different ranges of sizes, but for neighbours, can't be linked.
+    leaves = materialize(leaves.withColumn("range", F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(100 / LEAST)) + 1e-9).cast("int")), "jaccard-large-leaves")
+    by_root = leaves.groupBy("key", "range", "root").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("shingles"))
+    big = by_root.filter((F.col("count") > TREE_LEAVES // 2) | (F.col("shingles") > TREE_SHINGLES // 2)).select("key", "range", "root", F.col("root").alias("own"))
+    big = materialize(big, "jaccard-big")
+    n_big = big.count()
+    leaves = leaves.join(F.broadcast(big) if n_big <= BROADCAST_ROWS else big, ["key", "range", "root"], "left")
+    by_own = leaves.groupBy("key", "range", "own").agg(F.count(F.lit(1)).alias("count"), F.sum("n").alias("shingles"))
+    by_own = materialize(by_own.select("key", "range", null_safe(F.col("own")).alias("own"), _parts("count", "shingles").alias("parts")), "jaccard-shares")
+    n_own = by_own.count()
+    share = by_own.select("key", "range", "own", "parts", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    name = F.struct("range", "own", "part")
+    share = share.select("key", "range", "own", name.alias("share"))
+    other = share.select("key", F.col("range").alias("range_"), F.col("own").alias("own_"), F.col("share").alias("other"))
+    none = null_safe(F.lit(None))
+    meet = share.join(other, "key").filter("range_ in (range, range + 1) and share <= other").filter((F.col("own") != F.col("own_")) | (F.col("own") == none))
+    meet = meet.select("key", "share", "other")
+    dealt = leaves.withColumn("own", null_safe(F.col("own"))).join(F.broadcast(by_own) if n_own <= BROADCAST_ROWS else by_own, ["key", "range", "own"])
+    dealt = dealt.select("key", "node", "root", F.struct("range", "own", _part("parts").alias("part")).alias("at"))
+    in_two = meet.select("key", "share", "other", F.explode(F.array_distinct(F.array("share", "other"))).alias("at"))
+    more = dealt.join(in_two, ["key", "at"]).select(tree("share", "other"), "node", F.col("root").alias("component"))
+    return links.unionByName(tree_links(more, classes, rows))
+
+
+def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, h, n, copies (rows with the same set), component_id, and keep: the row, and its repetitions, is the one
+    that stays of its component."""
+    spark = docs.sparkSession
+    small_batches(spark, 1000)
+    rows = _rows(docs, id_col, text_col)
+    found = sketches(rows, word_levels(rows)).withColumn("row", F.monotonically_increasing_id())
+    found = materialize(found, "jaccard-sketches")
+    total = found.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("prefix")).alias("p")).first()
+    n_rows, n_prefix = total["n"], total["p"] or 0
+    best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
+    classes = found.filter("n > 0").groupBy("digest", "n").agg(F.min(F.struct("row", null_safe(F.col("doc_id")).alias("did"), "h")).alias("first"), F.min(best).alias("best"), F.count(F.lit(1)).alias("copies"))
+    classes = materialize(classes.select("digest", "n", F.col("first.row").alias("node"), "first.did", "first.h", "best", "copies"), "jaccard-classes")
+    reps = semi_join(found.withColumnRenamed("row", "node"), classes.select("node"), "node", classes.count())
+    small_batches(spark, 2000)
+    dealt = entries(reps).repartition(partitions_for(n_prefix, ENTRY_ROWS), "shingle").sortWithinPartitions("shingle", "n", "node")
+    small_batches(spark, 50_000)
+    alive = materialize(members(dealt), "jaccard-members")
+    small_batches(spark, 1000)
+    links = search_trees(alive, classes, rows)
+    roots = components(links)
+    linked = materialize(classes.join(roots.withColumnRenamed("id", "node"), "node").select("digest", "n", "copies", "best", "root"), "jaccard-linked")
+    n_linked = linked.count()
+    of_root = linked.groupBy("root").agg(F.min("best").alias("first"), F.count(F.lit(1)).alias("sets"))
+    several = attach(linked, of_root, ["root"], "sets", n_linked).select("digest", "n", "copies", "first")
+    alone = classes.filter("copies > 1").join(linked.select("digest", "n"), ["digest", "n"], "left_anti").select("digest", "n", "copies", F.col("best").alias("first"))
+    groups = materialize(several.unionByName(alone), "jaccard-groups")
+    out = attach(found.select("doc_id", "h", "n", "digest"), groups, ["digest", "n"], "copies", n_rows)
+    stays = F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("h") == F.col("first.h"))
+    return out.select("doc_id", "h", "n", F.coalesce("copies", F.lit(1)).alias("copies"), F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("first.doc_id")).alias("component_id"), (F.col("first").isNull() | stays).alias("keep"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles and component_id of every row."""
-    small_batches(docs.sparkSession, 1000)
-    rows = _rows(docs, id_col, text_col)
-    found = materialize(sketches(rows, frequent_shingles(rows)), "jaccard-sketches")
-    total = found.agg(F.count(F.lit(1)).alias("n"), F.sum(F.size("prefix")).alias("p")).first()
-    n_rows, n_prefix = total["n"], total["p"] or 0
-    some = found.filter("n > 0 and doc_id is not null")
-    groups = materialize(some.groupBy("digest", "n").agg(F.min("doc_id").alias("id"), F.count(F.lit(1)).alias("copies")), "jaccard-classes")
-    several = groups.filter("copies > 1")
-    inner = attach(some.select("doc_id", "digest", "n"), several, ["digest", "n"], "copies", n_rows).filter("doc_id > id").select("doc_id").distinct()
-    inner = materialize(inner, "jaccard-copies")
-    # Documents that another stands for. (One that stands for one of its texts and not for another stays in.)
-    inner = inner.join(several.select(F.col("id").alias("doc_id")), "doc_id", "left_anti")
-    n_inner = inner.count()
-    by_copy = F.broadcast(inner) if n_inner <= BROADCAST_IDS else inner
-    reps = some.join(by_copy, "doc_id", "left_anti")
-    shared = materialize(shared_prefixes(reps, n_prefix), "jaccard-shared")
-    sets = reps.select(F.col("doc_id").alias("id"), "n", "bits")
-    links = verify(star_pairs(shared, sets), rows)
-    roots = materialize(components(links), "jaccard-roots")
-    left, sizes = _leftover(shared, sets, roots)
-    more = verify(tree_pairs(left, sets, sizes), rows)
-    roots = components(links.unionByName(more))
-    by_class = groups.join(roots, "id", "left").select("digest", "n", "copies", F.coalesce("root", "id").alias("component_id")).filter((F.col("copies") > 1) | F.col("root").isNotNull())
-    out = attach(found.select("doc_id", "n", "digest"), materialize(by_class, "jaccard-components"), ["digest", "n"], "copies", n_rows)
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    return _decided(docs, id_col, text_col).select("doc_id", F.col("n").alias("n_shingles"), "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Documents without those that a near duplicate with a smaller doc_id stands for; all columns are kept."""
-    return without_ids(docs, near_duplicates(docs).filter("component_id < doc_id"), "doc_id")
+    """One document of each group of near duplicates, that with the smallest doc_id (null is the largest; of texts with
+    one doc_id, the first by hash); of rows that are the same in id and text one stays. All columns are kept."""
+    found = materialize(_decided(docs, "doc_id", "text").select(null_safe(F.col("doc_id")).alias("_did"), F.col("h").alias("_h"), "copies", "keep"), "jaccard-decided")
+    again = found.filter("keep and copies > 1").groupBy("_did", "_h").agg(F.count(F.lit(1)).alias("rows")).filter("rows > 1")
+    keys = {"_did": null_safe(F.col("doc_id")), "_h": F.xxhash64(text_or_empty("text"))}
+    return without(docs, keys, found.filter("not keep"), again)

@@ -68,23 +68,31 @@ def words(body: np.ndarray, offsets: np.ndarray, separators: np.ndarray = SPACE,
     return mix(np.add.reduceat(values, first)), starts, np.searchsorted(offsets, starts, "right") - 1
 
 
+def _sums(values: np.ndarray, n: int, size: int, factors: np.ndarray | None = None) -> np.ndarray:
+    total = np.zeros(n, values.dtype)
+    for j in range(size):
+        total += values[j : j + n] if factors is None else values[j : j + n] * factors[j]
+    return total
+
+
 def windows(hashes: np.ndarray, of: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """Hash and text of each run of size words within a text."""
     n = len(hashes) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-    total = np.full(n, size * int(_BASE) & (2**64 - 1), np.uint64)
-    for j in range(size):
-        total += hashes[j : j + n] * _PLACE[j]
+    total = _sums(hashes, n, size, _PLACE) + np.uint64(size * int(_BASE) & (2**64 - 1))
     whole = of[:n] == of[size - 1 :]
     return mix(total)[whole], of[:n][whole]
 
 
-def shingles(body: np.ndarray, offsets: np.ndarray, size: int = 5, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of all shingles, text by text, and the offset of each text's first. A text of fewer words has one."""
-    n_texts = len(offsets) - 1
-    hashes, _, of = words(body, offsets, separators)
+def shingles_of(hashes: np.ndarray, of: np.ndarray, n_texts: int, size: int = 5, levels: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+    """Of words (hash and text): hashes of all shingles, text by text, the text of each, and the sums of their words'
+    levels if these are given. A text of fewer words has one shingle, of all (its sum is 0: it is the only one)."""
     found, texts = windows(hashes, of, size)
+    n = len(hashes) - size + 1
+    sums = None
+    if levels is not None:
+        sums = _sums(levels, n, size)[of[:n] == of[size - 1 :]] if n > 0 else levels[:0]
     counts = np.bincount(of, minlength=n_texts) if len(of) else np.zeros(n_texts, int)
     short = np.flatnonzero((counts > 0) & (counts < size))
     if len(short):
@@ -93,6 +101,16 @@ def shingles(body: np.ndarray, offsets: np.ndarray, size: int = 5, separators: n
         found, texts = np.concatenate([found, extra]), np.concatenate([texts, short])
         order = np.argsort(texts, kind="stable")
         found, texts = found[order], texts[order]
+        if sums is not None:
+            sums = np.concatenate([sums, np.zeros(len(short), levels.dtype)])[order]
+    return found, texts, sums
+
+
+def shingles(body: np.ndarray, offsets: np.ndarray, size: int = 5, separators: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of all shingles, text by text, and the offset of each text's first. A text of fewer words has one."""
+    n_texts = len(offsets) - 1
+    hashes, _, of = words(body, offsets, separators)
+    found, texts, _ = shingles_of(hashes, of, n_texts, size)
     return found, np.concatenate([[0], np.cumsum(np.bincount(texts, minlength=n_texts) if len(texts) else np.zeros(n_texts, int))]).astype(np.int64)
 
 

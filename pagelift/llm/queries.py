@@ -7,39 +7,44 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import chat, decontam, exact_dedup, jaccard, langid, licenses, packing, quality, toxicity, warc
+from .runtime import spread
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spread(table(spark, sf_dir, "documents"))
+
+
 def _remainder(n: int) -> Column:
     return F.crc32(F.col("doc_id").cast("string")) % n
 
 
 def op1_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return decontam.contaminated(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = toxicity.train(docs, table(spark, sf_dir, "labels").filter(_remainder(3) != 1), "toxic")
     out = toxicity.score(docs, model)
     return out.select("doc_id", (_remainder(3) == 1).alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op3_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(documents(spark, sf_dir))
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").filter(_remainder(5) != 0)
-    out = quality.score(table(spark, sf_dir, "documents"), labels, "quality")
+    out = quality.score(documents(spark, sf_dir), labels, "quality")
     return out.select("doc_id", (_remainder(5) == 0).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 def op5_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = documents(spark, sf_dir)
     model = langid.train(docs.filter(_remainder(4) != 2))
     out = langid.identify(docs, model)
     return out.select("doc_id", (_remainder(4) == 2).alias("held_out"), "lang_pred", "score")
@@ -50,11 +55,11 @@ def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return licenses.scan_known(table(spark, sf_dir, "documents"))
+    return licenses.scan_known(documents(spark, sf_dir))
 
 
 def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,7 +67,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return jaccard.near_duplicates(table(spark, sf_dir, "documents"))
+    return jaccard.near_duplicates(documents(spark, sf_dir))
 
 
 QUERIES = {f.__name__: f for f in (op1_decontam, op2_toxicity, op3_exact_dedup, op4_quality, op5_langid, op6_chat, op7_licenses, op8_packing, op9_warc, op10_jaccard)}

@@ -55,6 +55,12 @@ def small_batches(spark: SparkSession, rows: int = 2000) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """df, dealt anew if it has fewer partitions than there are cores (one small file), as the work is in the maps."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def partitions_for(rows: int, per_partition: int, least: int = 1) -> int:
     return max(least, -(-rows // per_partition))
 
@@ -64,20 +70,46 @@ def semi_join(df: DataFrame, ids: DataFrame, key: str, n_ids: int) -> DataFrame:
     return df.join(F.broadcast(ids) if n_ids <= BROADCAST_IDS else ids, key, "left_semi")
 
 
-def without_ids(df: DataFrame, ids: DataFrame, key: str) -> DataFrame:
-    """Rows of df whose key is not among ids; these are worked out once, and counted before they are joined."""
-    ids = materialize(ids.select(key).filter(F.col(key).isNotNull()).distinct(), "ids")
-    return df.join(F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids, key, "left_anti").select(*df.columns)
+def null_safe(col: Column) -> Column:
+    """A long with null as the least number, so that a join by equality finds it."""
+    return F.coalesce(col.cast("long"), F.lit(-(2**63)).cast("long"))
+
+
+def without(df: DataFrame, keys: dict[str, Column], gone: DataFrame, twice: DataFrame | None = None) -> DataFrame:
+    """Rows of df without those whose keys are in gone; of rows with keys in twice one stays. All columns are kept.
+
+    keys: names (that df doesn't have) of the expressions over df that tell rows apart; they are never null. Both
+    tables are worked out once, and broadcast only after a count.
+    """
+    names = list(keys)
+    rows = df.withColumns(keys)
+
+    def sized(ids: DataFrame, name: str) -> tuple[DataFrame, int]:
+        ids = materialize(ids.select(*names).distinct(), name)
+        n = ids.count()
+        return (F.broadcast(ids) if n <= BROADCAST_ROWS else ids), n
+
+    gone, n_gone = sized(gone, "gone")
+    twice, n_twice = (None, 0) if twice is None else sized(twice, "twice")
+    if n_gone:
+        rows = rows.join(gone, names, "left_anti")
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    if not n_twice:
+        return rows.select(*columns)
+    one = rows.join(twice, names, "left_semi").groupBy(*names).agg(F.first(F.struct(*columns)).alias("row")).select("row.*")
+    return rows.join(twice, names, "left_anti").select(*columns).unionByName(one)
 
 
 def attach(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
-    """rows left-joined to groups, of which there is one for each key; size: its column with the rows of a group.
+    """rows left-joined to groups, of which there is one for each key; size: its column with the rows of a group, total:
+    all rows, so that the sizes add up to no more.
 
     A group of over a thousandth of all rows is joined by broadcast (there are at most a thousand), so that no task
     gets all rows of a frequent key; the others are shuffled.
     """
-    hot = F.broadcast(groups.filter(F.col(size) > max(1000, total // 1000)))
-    rest = groups.filter(F.col(size) <= max(1000, total // 1000))
+    limit = max(1000, total // 1000)
+    hot = F.broadcast(groups.filter(F.col(size) > limit))
+    rest = groups.filter(F.col(size) <= limit)
     return rows.join(hot, keys, "inner").unionByName(rows.join(hot.select(*keys), keys, "left_anti").join(rest, keys, "left"))
 
 

@@ -6,7 +6,7 @@ import pytest
 
 from pagelift.llm import decontam as D
 
-from .helpers import docs, empty, odd, text
+from .helpers import DOCS, docs, empty, odd, text
 
 WORD = re.compile(r"[a-z0-9\x80-\U0010ffff]+")
 
@@ -72,6 +72,13 @@ def test_blocks_and_odd_rows(spark):
     assert D.drop_contaminated(rows, its).count() == 20 and D.drop_contaminated(odd(spark), its).columns == odd(spark).columns
 
 
+def test_rows_of_one_id_and_of_none(spark):
+    its = items(spark, [text(0, 20)])
+    rows = [(None, "so " + text(0, 20)), (None, text(1)), (4, text(0, 20)), (4, text(2)), (4, text(0, 20))]
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    assert sorted(((r["doc_id"], r["text"]) for r in D.drop_contaminated(table, its).collect()), key=str) == sorted([(None, text(1)), (4, text(2))], key=str)
+
+
 def test_recall_of_signatures():
     """Items at the limit of containment, in documents of many windows: recall against brute force."""
     draw = np.random.default_rng(4)

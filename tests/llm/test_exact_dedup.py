@@ -5,7 +5,7 @@ import pytest
 
 from pagelift.llm import exact_dedup as D
 
-from .helpers import docs, empty, odd, text
+from .helpers import DOCS, docs, empty, odd, text
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -44,6 +44,14 @@ def test_odd_rows(spark):
     assert D.drop_copies(rows).columns == rows.columns
 
 
+def test_rows_of_one_id_and_of_none(spark):
+    """Each row is judged by its own text; of rows that are the same in id and text one stays."""
+    rows = [(5, "a text"), (5, "unique text"), (9, "A text"), (None, "same"), (5, "same"), (None, "x"), (None, "X"), (7, "twice"), (7, "twice"), (3, None), (4, "")]
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    kept = sorted(((r["doc_id"], r["text"] and r["text"].lower()) for r in D.drop_copies(table).collect()), key=str)
+    assert kept == sorted([(5, "unique text"), (9, "a text"), (5, "same"), (None, "x"), (7, "twice"), (4, "")], key=str)
+
+
 def test_a_hot_text(spark):
     rows = docs(spark, ["copy"] * 3000 + [text(i, 5) for i in range(200)])
     got = {r["doc_id"]: r for r in D.exact_dedup(rows).collect()}

@@ -1,12 +1,14 @@
 import re
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pagelift.llm import jaccard as J
+from pagelift.llm import ngrams
 from pagelift.llm.components import components
 
-from .helpers import docs, empty, odd, text
+from .helpers import DOCS, docs, empty, odd, text
 
 WORD = re.compile("[^\x20\x09-\x0d]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -86,36 +88,89 @@ def test_odd_rows(spark):
     assert kept.columns == odd(spark).columns and kept.filter("text = 'same text here for two rows'").count() == 1
 
 
+def test_rows_of_one_id_and_of_none(spark):
+    """Each row is judged by its own text; of rows that are the same in id and text one stays."""
+    a, b, c = text(1), text(2), text(3)
+    rows = [(5, a), (5, b), (9, edited(1, 40, [39])), (7, b), (None, c), (None, c), (3, c), (None, text(4)), (None, text(4)), (9, text(6)), (2, "")]
+    table = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], DOCS)
+    got = sorted(((r["doc_id"], r["component_id"]) for r in J.near_duplicates(table).collect()), key=str)
+    want = [(5, 5), (5, 5), (9, 5), (7, 5), (None, 3), (None, 3), (3, 3), (None, None), (None, None), (9, 9), (2, 2)]
+    assert got == sorted(want, key=str)
+    kept = sorted(((r["doc_id"], r["text"]) for r in J.keep_one(table).collect()), key=str)
+    assert kept == sorted([(5, a), (5, b), (3, c), (None, text(4)), (9, text(6)), (2, "")], key=str)
+
+
 def test_the_order_of_shingles_does_not_matter(spark, monkeypatch):
     rows = docs(spark, [edited(s, 50, [s]) for s in range(5)] * 2 + [text(s, 50) for s in range(5)])
-    monkeypatch.setattr(J, "FREQUENT", 0.0)
-    same(rows)
-    found = J.sketches(J._rows(rows, "doc_id", "text"), np.sort(np.random.default_rng(1).integers(0, 2**64, 1000, np.uint64)))
-    assert found.count() == 15
+    for levels in (np.zeros(J.CELLS, np.uint8), np.random.default_rng(1).integers(0, 256, J.CELLS).astype(np.uint8)):
+        monkeypatch.setattr(J, "word_levels", lambda _, levels=levels: levels)
+        same(rows)
+
+
+def test_word_levels(spark):
+    rows = J._rows(docs(spark, ["rare " + "often " * 500, "often", None]), "doc_id", "text")
+    levels = J.word_levels(rows)
+    cell = lambda w: int(ngrams.words(*ngrams.buffers(pa.array([w])))[0][0] & np.uint64(J.CELLS - 1))
+    assert levels[cell("rare")] == 6 and levels[cell("often")] == int(6 * np.log2(502)) and (levels > 0).sum() == 2
+
+
+def test_parts_and_pieces(spark, monkeypatch):
+    """Trees of more leaves than a part has, and lists longer than a piece, give the same."""
+    draw = np.random.default_rng(3)
+    rows = [edited(s, 60, draw.integers(0, 60, draw.integers(0, 7))) + f" end{i}" for i in range(60) for s in range(2)]
+    w = text(9, 300).split()
+    rows += [" ".join(w[k * 4 : k * 4 + 80 + k]) for k in range(40)] + [text(20 + i, 50) for i in range(10)]
+    table = docs(spark, rows)
+    same(table)
+    for leaves, shingles, piece in ((8, 1 << 22, 16), (4096, 500, 1 << 20), (3, 300, 5)):
+        monkeypatch.setattr(J, "TREE_LEAVES", leaves)
+        monkeypatch.setattr(J, "TREE_SHINGLES", shingles)
+        monkeypatch.setattr(J, "PIECE", piece)
+        same(table)
+
+
+def many_sets():
+    draw = np.random.default_rng(2)
+    base = [draw.integers(0, 2**64, n, np.uint64) for n in (300, 300, 400, 520, 520, 700, 900, 150, 300, 300, 520, 520)]
+    return [np.unique(np.concatenate([b[: draw.integers(len(b) // 2, len(b))], draw.integers(0, 2**64, draw.integers(1, 90), np.uint64)])) for b in base for _ in range(30)]
 
 
 def test_tree_against_all_pairs():
-    draw = np.random.default_rng(2)
-    base = [draw.integers(0, 2**64, n, np.uint64) for n in (300, 300, 400, 520, 520, 700, 900, 150, 300, 300, 520, 520)]
-    sets = [np.unique(np.concatenate([b[: draw.integers(len(b) // 2, len(b))], draw.integers(0, 2**64, draw.integers(1, 90), np.uint64)])) for b in base for _ in range(30)]
-    sizes, component = np.array([len(s) for s in sets]), np.arange(len(sets)) // 3
-    maps = J.Bitmaps([J.bitmap(s).tobytes() for s in sets], sizes, component)
-    groups = maps.groups(np.arange(len(sets)))
-    assert len(groups) == 5 and max(len(J.SignatureTree(maps.level(*g)).levels) for g in groups) >= 2
-    found = {tuple(sorted(p)) for own, width in groups for i, j in J.SignatureTree(maps.level(own, width)).pairs() for p in zip(own[i].tolist(), own[j].tolist(), strict=True)}
-    every = np.triu_indices(len(sets), 1)
-    ok = maps.possible(*every)
-    for i in range(len(sets)):
-        for j in range(i):
-            both = len(np.intersect1d(sets[i], sets[j]))
-            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both) and component[i] != component[j]:
-                assert (j, i) in found
-                assert ok[(every[0] == j) & (every[1] == i)].all()
-    assert len(found) < 0.1 * len(sets) ** 2 and ok.sum() < 0.1 * len(sets) ** 2
-
-
-def test_least_shared_and_partners():
-    """Prefixes of linked sets share as many as is said, and no entry of a link is taken for one without a partner."""
+    sets = many_sets()
+    tree = J.SignatureTree(sets)
+    assert len(tree.levels) >= 3
+    found = {tuple(sorted((int(tree.order[a]), int(tree.order[b])))) for i, j in tree.candidates() for a, b in zip(i, j, strict=True)}
+    near = {(j, i) for i in range(len(sets)) for j in range(i) if J.similar(sets[i], sets[j])}
+    assert near <= found and len(near) > 500 and len(found) < 0.05 * len(sets) ** 2
+
+
+def test_links_of_a_tree_span_its_components():
+    """By a traversal that components prune: far fewer pairs than similar ones, and none within a known component."""
+    sets = many_sets()
+
+    def closed(pairs, n=len(sets)):
+        root = list(range(n))
+
+        def find(x):
+            while root[x] != x:
+                x = root[x]
+            return x
+
+        for i, j in pairs:
+            root[find(i)] = find(j)
+        return [min(j for j in range(n) if find(j) == find(i)) for i in range(n)]
+
+    near = [(j, i) for i in range(len(sets)) for j in range(i) if J.similar(sets[i], sets[j])]
+    links = J.SignatureTree(sets).links()
+    assert set(map(tuple, map(sorted, links))) <= set(near) and len(links) < len(sets)
+    assert closed(links) == closed(near)
+    known = np.array(closed(links[::2]))
+    more = J.SignatureTree(sets, known).links()
+    assert closed(links[::2] + more) == closed(near) and all(known[i] != known[j] for i, j in more)
+
+
+def test_partners():
+    """No entry of a link is taken for one without a partner, and most others are."""
     draw = np.random.default_rng(7)
     tried = 0
     while tried < 300:
@@ -128,14 +183,13 @@ def test_least_shared_and_partners():
             continue
         tried += 1
         sizes = np.array([len(a), len(b)])
-        p = J.prefix_length(sizes)
-        common = len(np.intersect1d(a[: p[0]], b[: p[1]]))
-        assert common >= J.least_shared(sizes[:1], sizes[1:])[0] >= 1
-        assert J._has_partner(np.zeros(2, np.int64), sizes, np.full(2, common)).all()
-    J_spare, J.SPARE = J.SPARE, 0
-    alone = J._has_partner(np.array([0, 0, 1, 1, 2, 2]), np.array([600, 600, 600, 400, 600, 480]), np.array([3, 3, 99, 99, 3, 3]))
-    J.SPARE = J_spare
-    assert alone.tolist() == [False, False, False, False, True, True]
+        first = np.intersect1d(a, b)[0]
+        place = np.array([np.searchsorted(a, first), np.searchsorted(b, first)])
+        assert (place < J.prefix_length(sizes)).all()
+        assert J.has_partner(np.zeros(2, np.int64), sizes, J.largest_partner(sizes, place)).all()
+    n, run = np.array([600, 600, 600, 400, 600, 480, 600, 600]), np.array([0, 0, 1, 1, 2, 2, 3, 3])
+    alone = J.has_partner(run, n, J.largest_partner(n, np.array([0, 66, 0, 0, 119, 0, 67, 0])))
+    assert alone.tolist() == [True, True, False, False, True, True, False, True]
 
 
 def test_components(spark):
