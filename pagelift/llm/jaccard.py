@@ -6,7 +6,7 @@ The join is exact. Equal sets are one class, a node. Two sets that are similar e
 1. Posting lists: prefix shingles are dealt out with the node, its size and the largest size that a partner may have by
    the shingle's place; nodes without a possible partner in a list go before anything is written.
 2. Signature trees: lists with one first node make one tree, so that near copies, which share many lists, are sent to
-   few trees. Its leaves have bitmaps of whole sets, its nodes the OR of those below, their range of sizes and their
+   few trees. Trees are grown of bitmaps first; sets without a possible partner go before any text is sent. Its leaves have bitmaps of whole sets, its nodes the OR of those below, their range of sizes and their
    component if they have one. A dual traversal of the tree with itself drops pairs of nodes whose largest possible
    overlap is too small for any sizes in their ranges, or that are linked already; pairs of leaves that remain are
    verified on the whole sets. So a tree gives the links that span its components, and no list of all pairs.
@@ -37,13 +37,14 @@ from .runtime import BROADCAST_ROWS, attach, materialize, null_safe, partitions_
 
 #: Similarity in hundredths, words of a shingle.
 LEAST, WORDS = 80, 5
-#: Words are counted by hash in so many cells, dealt by slabs. The counts only make the order of shingles.
-CELLS, SLAB = 1 << 20, 1 << 14
+#: Words are counted by hash in so many cells, dealt by slabs. The counts only make the order of shingles. Words that a
+#: task counts at a time.
+CELLS, SLAB, COUNTED = 1 << 22, 1 << 16, 1 << 22
 #: Prefix shingles of a task, and entries of one list that are held at a time.
 ENTRY_ROWS, PIECE = 1 << 19, 1 << 20
 #: Leaves of a tree, and shingles of all its leaves, beyond which it is grown in parts.
 TREE_LEAVES, TREE_SHINGLES = 4096, 1 << 22
-#: Children of a node, least bits of a bitmap (it has 8 to 16 for each shingle of a leaf), bytes compared at a time.
+#: Children of a node, least bits of a bitmap (it has 4 to 8 for each shingle), bytes compared at a time.
 FAN, LEAST_BITS, COMPARE_BYTES = 8, 512, 4 << 20
 
 
@@ -60,11 +61,17 @@ def word_levels(rows: DataFrame) -> np.ndarray:
     """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(CELLS, np.int64)
+        total, held, n = np.zeros(CELLS, np.int64), [], 0
         for batch in batches:
             for part in slices(batch, 0):
                 hashes, _, _ = ngrams.words(*ngrams.buffers(part.column(0)))
-                total += np.bincount((hashes & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS)
+                held.append((hashes & np.uint64(CELLS - 1)).astype(np.int32))
+                n += len(hashes)
+                if n > COUNTED:
+                    total += np.bincount(np.concatenate(held), minlength=CELLS)
+                    held, n = [], 0
+        if held:
+            total += np.bincount(np.concatenate(held), minlength=CELLS)
         for slab, own in enumerate(total.reshape(-1, SLAB)):
             at = np.flatnonzero(own)
             if len(at):
@@ -86,7 +93,7 @@ def word_levels(rows: DataFrame) -> np.ndarray:
 
 
 def sketches(rows: DataFrame, levels: np.ndarray) -> DataFrame:
-    """doc_id, h, n (size of the set), digest of the set, and its prefix, of each row."""
+    """doc_id, h, n (size of the set), digest of the set, its prefix and its bitmap, of each row."""
     sent = rows.sparkSession.sparkContext.broadcast(levels)  # CELLS bytes
 
     def one(part: pa.RecordBatch) -> pa.RecordBatch:
@@ -101,12 +108,13 @@ def sketches(rows: DataFrame, levels: np.ndarray) -> DataFrame:
         found, text, sums = found[new], text[new], sums[new]
         sizes = np.bincount(text, minlength=part.num_rows) if len(text) else np.zeros(part.num_rows, np.int64)
         at = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-        digests = [xxhash.xxh3_128_digest(found[a:b].tobytes()) for a, b in zip(at[:-1], at[1:], strict=True)]
+        sets = [found[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
+        digests = [xxhash.xxh3_128_digest(x.tobytes()) for x in sets]
         taken = np.where(sizes > 0, prefix_length(sizes), 0)
         first = np.lexsort((found, sums, text))
         first = first[np.arange(len(text)) - at[text] < taken[text]] if len(text) else first
         prefix = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(taken)]), pa.int32()), pa.array(found[first].view(np.int64)))
-        return pa.record_batch([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), prefix], names=["doc_id", "h", "n", "digest", "prefix"])
+        return pa.record_batch([part.column(0), part.column(1), pa.array(sizes, pa.int64()), pa.array(digests, pa.binary()), prefix, pa.array([bitmap(x).tobytes() for x in sets], pa.binary())], names=["doc_id", "h", "n", "digest", "prefix", "bits"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -114,7 +122,15 @@ def sketches(rows: DataFrame, levels: np.ndarray) -> DataFrame:
                 if part.num_rows:
                     yield one(part)
 
-    return rows.mapInArrow(run, "doc_id long, h long, n long, digest binary, prefix array<long>")
+    return rows.mapInArrow(run, "doc_id long, h long, n long, digest binary, prefix array<long>, bits binary")
+
+
+def bitmap(shingles: np.ndarray) -> np.ndarray:
+    """Bits of a set, as 64-bit numbers; half of a longer bitmap laid upon the other is the bitmap of half the length."""
+    width = max(LEAST_BITS, 1 << (4 * len(shingles)).bit_length())
+    flags = np.zeros(width, bool)
+    flags[((shingles >> np.uint64(16)) & np.uint64(width - 1)).astype(np.int64)] = True
+    return np.packbits(flags).view(np.uint64)
 
 
 def prefix_length(n: np.ndarray) -> np.ndarray:
@@ -203,22 +219,26 @@ def members(dealt: DataFrame) -> DataFrame:
 
 
 class SignatureTree:
-    """Nodes over sets: OR of their bitmaps, range of sizes, most shingles that share a bit, common component."""
+    """Nodes over sets: OR of their bitmaps, range of sizes, most shingles that share a bit, common component if there
+    is one, and whether all below are marked. sizes, bits: of the sets; component: pairs in one are passed over."""
 
-    def __init__(self, sets: list[np.ndarray], component: np.ndarray | None = None):
-        sizes = np.array([len(s) for s in sets], np.int64)
-        label = np.arange(len(sets)) if component is None else component
+    def __init__(self, sizes: np.ndarray, bits: list[np.ndarray], component: np.ndarray | None = None):
+        label = np.arange(len(bits)) if component is None else component
         self.order = np.lexsort((label, sizes))
-        self.sets = [sets[k] for k in self.order]
-        self.component = label[self.order]
-        width = max(LEAST_BITS, 1 << int(8 * sizes.mean()).bit_length())
-        bits = np.zeros((len(sets), width // 64), np.uint64)
-        for row, own in zip(bits, self.sets, strict=True):
-            flags = np.zeros(width, bool)
-            flags[((own >> np.uint64(16)) & np.uint64(width - 1)).astype(np.int64)] = True
-            row[:] = np.packbits(flags).view(np.uint64)
+        self.component, self.marked = label[self.order], np.zeros(len(bits), bool)
+        words = max(LEAST_BITS, 1 << (4 * int(sizes.mean())).bit_length()) // 64
+        laid = np.zeros((len(bits), words), np.uint64)
+        excess = np.zeros(len(bits), np.int64)
+        for row, k in enumerate(self.order):
+            own = bits[k]
+            excess[row] = sizes[k] - int(np.bitwise_count(own).sum(dtype=np.int64))
+            if len(own) > words:
+                own = np.bitwise_or.reduce(own.reshape(-1, words), axis=0)
+                excess[row] = sizes[k] - int(np.bitwise_count(own).sum(dtype=np.int64))
+            # A shorter one is repeated: its shingles are at one of these places each.
+            laid[row] = np.tile(own, words // len(own))
         n = sizes[self.order]
-        level = (bits, n, n, n - np.bitwise_count(bits).sum(axis=1, dtype=np.int64))
+        level = (laid, n, n, excess)
         self.levels, self.starts = [level], []
         while len(level[1]) > FAN:
             at = np.arange(0, len(level[1]), FAN)
@@ -228,19 +248,20 @@ class SignatureTree:
         self._label()
 
     def _label(self) -> None:
-        """The component of each node whose leaves have one, else -1."""
-        low = self.component
-        self.common = [low]
+        """For each level the component of nodes whose leaves have one, else -1, and whether all are marked."""
+        low, done = self.component, self.marked
+        self.common, self.all_marked = [low], [done]
         for at in self.starts:
             a, b = np.minimum.reduceat(low, at), np.maximum.reduceat(low, at)
-            low = np.where(a == b, a, -1)
+            low, done = np.where(a == b, a, -1), np.logical_and.reduceat(done, at)
             self.common.append(low)
+            self.all_marked.append(done)
 
     def possible(self, depth: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
-        """Pairs of nodes that may hold a similar pair in different components."""
+        """Pairs of nodes that may hold a similar pair, of different components and not both marked."""
         bits, low, high, excess = self.levels[depth]
-        component = self.common[depth]
-        ok = (100 * np.minimum(high[i], high[j]) >= LEAST * np.maximum(low[i], low[j])) & ((component[i] != component[j]) | (component[i] < 0))
+        component, done = self.common[depth], self.all_marked[depth]
+        ok = ~(done[i] & done[j]) & (100 * np.minimum(high[i], high[j]) >= LEAST * np.maximum(low[i], low[j])) & ((component[i] != component[j]) | (component[i] < 0))
         some = np.flatnonzero(ok)
         a, b = i[some], j[some]
         overlap = np.bitwise_count(bits[a] & bits[b]).sum(axis=1, dtype=np.int64) + np.minimum(excess[a], excess[b])
@@ -249,7 +270,8 @@ class SignatureTree:
         return ok
 
     def candidates(self) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        """Pairs of leaves that remain, by traversal of the tree with itself; components may be joined meanwhile."""
+        """Pairs of leaves that remain, by traversal of the tree with itself; components may be joined, and leaves marked,
+        meanwhile."""
         top = len(self.levels) - 1
         step = max(FAN * FAN, COMPARE_BYTES // (8 * self.levels[0][0].shape[1]))
         todo = [(top, *np.triu_indices(len(self.levels[top][1])))]
@@ -275,14 +297,21 @@ class SignatureTree:
                 keep = (a < n) & (b < n) & (a <= b)
                 todo.append((depth - 1, a[keep], b[keep]))
 
-    def links(self) -> list[tuple[int, int]]:
+    def with_partner(self) -> np.ndarray:
+        """The sets (places among those given) that may be similar to some other."""
+        for i, j in self.candidates():
+            self.marked[i] = self.marked[j] = True
+            self._label()
+        return np.sort(self.order[self.marked])
+
+    def links(self, sets: list[np.ndarray]) -> list[tuple[int, int]]:
         """Pairs of similar sets (places among those given) that span the components."""
         out = []
         for i, j in self.candidates():
             before = len(out)
-            for a, b in zip(i.tolist(), j.tolist(), strict=True):
-                if self.component[a] != self.component[b] and similar(self.sets[a], self.sets[b]):
-                    out.append((int(self.order[a]), int(self.order[b])))
+            for a, b, x, y in zip(i.tolist(), j.tolist(), self.order[i].tolist(), self.order[j].tolist(), strict=True):
+                if self.component[a] != self.component[b] and similar(sets[x], sets[y]):
+                    out.append((x, y))
                     self.component[self.component == self.component[b]] = self.component[a]
             if len(out) > before:
                 self._label()
@@ -294,17 +323,53 @@ def similar(a: np.ndarray, b: np.ndarray) -> bool:
     return both > 0 and 100 * both >= LEAST * (len(a) + len(b) - both)
 
 
-def tree_links(dealt: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """a and b of the links that trees find; dealt: tree (a struct), node and component of their leaves, classes: node,
-    and the id, text hash and digest by which its text is found, rows: as of _rows()."""
-    dealt = materialize(dealt.join(classes.select("node", "did", "h", "digest"), "node"), "jaccard-leaves")
+def _screen(leaves: DataFrame) -> DataFrame:
+    """Leaves that may be similar to another of their tree, by its bitmaps; leaves: tree, node, component, n and bits,
+    those of a tree after one another."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held, out = None, [], []
+
+        def search() -> None:
+            if len(held) > 1:
+                nodes, component, sizes, bits = zip(*held, strict=True)
+                tree = SignatureTree(np.array(sizes, np.int64), [np.frombuffer(x, np.uint64) for x in bits], np.unique(component, return_inverse=True)[1])
+                out.extend((at, nodes[k], component[k]) for k in tree.with_partner())
+
+        for batch in batches:
+            for tree, *leaf in zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True):
+                if tree != at:
+                    search()
+                    at, held = tree, []
+                held.append(leaf)
+            if out:
+                yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["tree", "node", "component"])
+                out = []
+        search()
+        if out:
+            yield pa.record_batch([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=["tree", "node", "component"])
+
+    return leaves.mapInArrow(run, "tree long, node long, component long")
+
+
+def tree_links(dealt: DataFrame, classes: DataFrame, found: DataFrame, rows: DataFrame) -> DataFrame:
+    """a and b of the links that trees find; dealt: tree, node and component of their leaves, classes: node, and the id,
+    text hash and digest by which its text is found, found: sketches by node, rows: as of _rows().
+
+    First the trees are grown of bitmaps, then, of leaves with a possible partner, again with the whole sets.
+    """
     n = dealt.count()
+    bits = found.select("node", "n", "bits")
+    leaves = bits.join(F.broadcast(dealt), "node") if n <= BROADCAST_ROWS else bits.join(dealt, "node")
+    leaves = leaves.select("tree", "node", "component", "n", "bits").repartition("tree").sortWithinPartitions("tree", "node")
+    near = materialize(_screen(leaves).join(classes.select("node", "did", "h", "digest"), "node"), "jaccard-leaves")
+    n = near.count()
     texts = rows.select(null_safe(F.col("doc_id")).alias("did"), "h", "text")
     if n <= BROADCAST_ROWS:
-        leaves = texts.join(F.broadcast(dealt), ["did", "h"])
+        leaves = texts.join(F.broadcast(near), ["did", "h"])
     else:  # repeated rows are one before they are sent
-        ids = dealt.select("did", "h").distinct()
-        leaves = texts.join(ids, ["did", "h"], "left_semi").groupBy("did", "h").agg(F.first("text").alias("text")).join(dealt, ["did", "h"])
+        ids = near.select("did", "h").distinct()
+        leaves = texts.join(ids, ["did", "h"], "left_semi").groupBy("did", "h").agg(F.first("text").alias("text")).join(near, ["did", "h"])
     leaves = leaves.select("tree", "node", "component", "digest", "text").repartition("tree").sortWithinPartitions("tree", "node")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -312,12 +377,13 @@ def tree_links(dealt: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFra
 
         def search() -> None:
             if len(nodes) > 1:
-                out.extend((nodes[i], nodes[j]) for i, j in SignatureTree(sets, np.unique(component, return_inverse=True)[1]).links())
+                tree = SignatureTree(np.array([len(x) for x in sets], np.int64), [bitmap(x) for x in sets], np.unique(component, return_inverse=True)[1])
+                out.extend((nodes[i], nodes[j]) for i, j in tree.links(sets))
 
         for batch in batches:
-            for part in slices(batch, 4, 4 << 20):
-                found = ngrams.shingle_sets(part.column(4), WORDS)
-                for tree, node, root, digest, own in zip(*(part.column(k).to_pylist() for k in range(4)), found, strict=True):
+            for part in slices(batch, 4):
+                shingles = ngrams.shingle_sets(part.column(4), WORDS)
+                for tree, node, root, digest, own in zip(*(part.column(k).to_pylist() for k in range(4)), shingles, strict=True):
                     if tree != at:
                         search()
                         at, nodes, component, sets = tree, [], [], []
@@ -344,17 +410,17 @@ def _part(of: str):
     return F.pmod(F.xxhash64("node"), F.col(of)).cast("int")
 
 
-def search_trees(found: DataFrame, classes: DataFrame, rows: DataFrame) -> DataFrame:
-    """Links of all trees; found: as of members()."""
-    counts = found.groupBy("key").agg(F.count(F.lit(1)).alias("leaves"), F.sum("n").alias("shingles")).withColumn("parts", _parts("leaves", "shingles"))
+def search_trees(alive: DataFrame, classes: DataFrame, found: DataFrame, rows: DataFrame) -> DataFrame:
+    """Links of all trees; alive: as of members(), the others as of tree_links()."""
+    counts = alive.groupBy("key").agg(F.count(F.lit(1)).alias("leaves"), F.sum("n").alias("shingles")).withColumn("parts", _parts("leaves", "shingles"))
     large = materialize(counts.filter("parts > 1").select("key", "parts"), "jaccard-large")
     n_large = large.count()
-    sized = found.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
+    sized = alive.join(F.broadcast(large) if n_large <= BROADCAST_ROWS else large, "key", "left").withColumn("parts", F.coalesce("parts", F.lit(1)))
     # The first node of a large tree stands in each of its parts.
     part = F.when(F.col("node") == F.col("key"), F.sequence(F.lit(0), F.col("parts") - 1)).otherwise(F.array(_part("parts")))
     own = sized.select("key", F.explode(part).alias("part"), "node")
-    tree = lambda *c: F.struct("key", *c).alias("tree")
-    links = tree_links(own.select(tree("part", F.lit(-1).alias("other")), "node", F.col("node").alias("component")), classes, rows)
+    # Trees are told apart by a hash; two that had the same would only be one larger tree.
+    links = tree_links(own.select(F.xxhash64("key", "part").alias("tree"), "node", F.col("node").alias("component")), classes, found, rows)
     if not n_large:
         return links
     leaves = sized.filter("parts > 1").select("key", "node", "n")
@@ -379,8 +445,8 @@ def search_trees(found: DataFrame, classes: DataFrame, rows: DataFrame) -> DataF
     dealt = leaves.withColumn("own", null_safe(F.col("own"))).join(F.broadcast(by_own) if n_own <= BROADCAST_ROWS else by_own, ["key", "range", "own"])
     dealt = dealt.select("key", "node", "root", F.struct("range", "own", _part("parts").alias("part")).alias("at"))
     in_two = meet.select("key", "share", "other", F.explode(F.array_distinct(F.array("share", "other"))).alias("at"))
-    more = dealt.join(in_two, ["key", "at"]).select(tree("share", "other"), "node", F.col("root").alias("component"))
-    return links.unionByName(tree_links(more, classes, rows))
+    more = dealt.join(in_two, ["key", "at"]).select(F.xxhash64("key", "share", "other").alias("tree"), "node", F.col("root").alias("component"))
+    return links.unionByName(tree_links(more, classes, found, rows))
 
 
 def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -396,13 +462,14 @@ def _decided(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     best = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "h")
     classes = found.filter("n > 0").groupBy("digest", "n").agg(F.min(F.struct("row", null_safe(F.col("doc_id")).alias("did"), "h")).alias("first"), F.min(best).alias("best"), F.count(F.lit(1)).alias("copies"))
     classes = materialize(classes.select("digest", "n", F.col("first.row").alias("node"), "first.did", "first.h", "best", "copies"), "jaccard-classes")
-    reps = semi_join(found.withColumnRenamed("row", "node"), classes.select("node"), "node", classes.count())
+    found = found.withColumnRenamed("row", "node")
+    reps = semi_join(found, classes.select("node"), "node", classes.count())
     small_batches(spark, 2000)
     dealt = entries(reps).repartition(partitions_for(n_prefix, ENTRY_ROWS), "shingle").sortWithinPartitions("shingle", "n", "node")
     small_batches(spark, 50_000)
     alive = materialize(members(dealt), "jaccard-members")
     small_batches(spark, 1000)
-    links = search_trees(alive, classes, rows)
+    links = search_trees(alive, classes, found, rows)
     roots = components(links)
     linked = materialize(classes.join(roots.withColumnRenamed("id", "node"), "node").select("digest", "n", "copies", "best", "root"), "jaccard-linked")
     n_linked = linked.count()

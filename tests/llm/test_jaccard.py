@@ -135,12 +135,18 @@ def many_sets():
     return [np.unique(np.concatenate([b[: draw.integers(len(b) // 2, len(b))], draw.integers(0, 2**64, draw.integers(1, 90), np.uint64)])) for b in base for _ in range(30)]
 
 
+def grown(sets, component=None):
+    return J.SignatureTree(np.array([len(x) for x in sets]), [J.bitmap(x) for x in sets], component)
+
+
 def test_tree_against_all_pairs():
     sets = many_sets()
-    tree = J.SignatureTree(sets)
+    tree = grown(sets)
     assert len(tree.levels) >= 3
     found = {tuple(sorted((int(tree.order[a]), int(tree.order[b])))) for i, j in tree.candidates() for a, b in zip(i, j, strict=True)}
     near = {(j, i) for i in range(len(sets)) for j in range(i) if J.similar(sets[i], sets[j])}
+    some = set(grown(sets).with_partner().tolist())
+    assert {i for pair in near for i in pair} <= some == {i for pair in found for i in pair}
     assert near <= found and len(near) > 500 and len(found) < 0.05 * len(sets) ** 2
 
 
@@ -161,11 +167,11 @@ def test_links_of_a_tree_span_its_components():
         return [min(j for j in range(n) if find(j) == find(i)) for i in range(n)]
 
     near = [(j, i) for i in range(len(sets)) for j in range(i) if J.similar(sets[i], sets[j])]
-    links = J.SignatureTree(sets).links()
+    links = grown(sets).links(sets)
     assert set(map(tuple, map(sorted, links))) <= set(near) and len(links) < len(sets)
     assert closed(links) == closed(near)
     known = np.array(closed(links[::2]))
-    more = J.SignatureTree(sets, known).links()
+    more = grown(sets, known).links(sets)
     assert closed(links[::2] + more) == closed(near) and all(known[i] != known[j] for i, j in more)
 
 
