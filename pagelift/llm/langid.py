@@ -22,6 +22,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -32,7 +33,10 @@ from .runtime import slices, small_batches, text_or_empty
 #: Most documents of each language that are learned from, and most words of all of them, in runs of RUN; every language
 #: is learned (1 MB of the model each).
 SAMPLE_ROWS, SAMPLE_WORDS, RUN = 400, 150_000, 8
+#: Words of a chain that is learned from, and of a link of the chain of a whole text.
 CHAIN = 64
+#: Bytes of texts that are labelled at a time, for each language (of one more matrix each).
+LABELLED = 8 << 20
 TABLE_BITS = 18
 #: Letters at either end that make affixes, lengths of n-grams, most of a word, and a piece's step, in bytes: a piece may
 #: begin three bytes early, at a character, and reach into the next as far as an n-gram does.
@@ -150,14 +154,73 @@ class Words:
 
 
 def chains(of: np.ndarray, texts: int) -> tuple[np.ndarray, np.ndarray]:
-    """First word and length of each chain."""
+    """First word and length of each chain: the words of a text."""
     counts = np.bincount(of, minlength=texts)
-    firsts = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    pieces = -(-counts // CHAIN)
-    which = np.repeat(np.arange(texts), pieces)
-    step = np.arange(len(which)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
-    first = firsts[which] + step * CHAIN
-    return first, np.minimum(CHAIN, firsts[which] + counts[which] - first)
+    first = np.concatenate([[0], np.cumsum(counts)[:-1]])
+    return first[counts > 0], counts[counts > 0]
+
+
+def links_between(e: np.ndarray, first: np.ndarray, length: np.ndarray, start: np.ndarray, m: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Chains in links of CHAIN words: first word and length of each link, the messages that come into it from either
+    side, and whether it begins a chain. Those that pass through a link are a product of matrices, for all links at
+    once; only links, not words, are gone through one after another."""
+    labels, n = len(start), -(-length // CHAIN)
+    chain = np.repeat(np.arange(len(first)), n)
+    step = np.arange(len(chain)) - np.repeat(np.cumsum(n) - n, n)
+    begin = first[chain] + step * CHAIN
+    size = np.minimum(CHAIN, first[chain] + length[chain] - begin)
+    forward, back = np.tile(np.exp(start), (len(chain), 1)), np.ones((len(chain), labels))
+    many = np.flatnonzero(n[chain] > 1)
+    if len(many):
+        through = np.tile(np.eye(labels), (len(many), 1, 1))
+        for t in range(CHAIN):
+            live = np.flatnonzero(size[many] > t)
+            now = (through[live] @ m) * e[begin[many[live]] + t][:, None, :]
+            through[live] = now / now.sum(axis=(1, 2), keepdims=True)
+        place = np.zeros(len(chain), np.int64)
+        place[many] = np.arange(len(many))
+        # The first link has no move before it: its messages are those of its words alone.
+        heads = many[step[many] == 0]
+        out = np.zeros((len(chain), labels))
+        a = np.exp(start) * e[begin[heads]]
+        for t in range(1, CHAIN):
+            a = (a @ m) * e[begin[heads] + t]
+            a /= a.sum(axis=1, keepdims=True)
+        out[heads] = a
+        last = int(n.max())
+        of_step = [many[step[many] == k] for k in range(last)]
+        for k in range(1, last):
+            own = of_step[k]
+            forward[own] = out[own - 1]
+            a = np.einsum("ni,nij->nj", forward[own], through[place[own]])
+            out[own] = a / a.sum(axis=1, keepdims=True)
+        for k in range(last - 1, 0, -1):
+            own = of_step[k]
+            b = np.einsum("nij,nj->ni", through[place[own]], back[own])
+            back[own - 1] = b / b.sum(axis=1, keepdims=True)
+    return begin, size, forward, back, step == 0
+
+
+def marginals(emission: np.ndarray, first: np.ndarray, length: np.ndarray, start: np.ndarray, move: np.ndarray) -> np.ndarray:
+    """Label probabilities of each word by forward-backward over whole chains of any length."""
+    e = np.exp(emission - emission.max(axis=1, keepdims=True))
+    m = np.exp(move)
+    begin, size, forward, back, head = links_between(e, first, length, start, m)
+    order = np.argsort(-size, kind="stable")
+    begin, size, forward, back, head = (x[order] for x in (begin, size, forward, back, head))
+    running = [int(np.searchsorted(-size, -t, "left")) for t in range(int(size.max(initial=0)))]
+    a, b = np.zeros_like(e), np.ones_like(e)
+    b[begin + size - 1] = back
+    for t, live in enumerate(running):
+        at = begin[:live] + t
+        now = (np.where(head[:, None], forward, forward @ m) if t == 0 else a[at - 1] @ m) * e[at]
+        a[at] = now / now.sum(axis=1, keepdims=True)
+    for t in range(len(running) - 1, 0, -1):
+        at = begin[: running[t]] + t
+        past = (e[at] * b[at]) @ m.T
+        b[at - 1] = past / past.sum(axis=1, keepdims=True)
+    p = a * b
+    return p / np.maximum(p.sum(axis=1, keepdims=True), 1e-300)
 
 
 def forward_backward(emission: np.ndarray, first: np.ndarray, length: np.ndarray, start: np.ndarray, move: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -204,7 +267,7 @@ class LanguageModel:
         scores = np.zeros((words.features.shape[1], len(self.languages)), self.weights.dtype)
         for places in words.features:
             scores += self.weights.take(places, axis=0)
-        return forward_backward(scores[words.number], *chains(words.of, words.texts), self.start, self.move)[0]
+        return marginals(scores[words.number].astype(float), *chains(words.of, words.texts), self.start, self.move)
 
     def predict(self, texts: pa.Array) -> tuple[list[str], np.ndarray]:
         words = Words.of_texts(texts)
@@ -287,8 +350,12 @@ def train(docs: DataFrame, id_col: str = "doc_id", lang_col: str = "lang", rows:
     names = [r["lang"] for r in labels.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").collect()]
     if not names:
         return fit([], [])
-    sample = samples.labelled_texts(docs, labels, "lang", dict.fromkeys(names, rows))
-    return fit(sample["text"].tolist(), sample["label_"].tolist(), most_words=most_words)
+
+    def of(sample: pd.DataFrame) -> LanguageModel:
+        sample = samples.one_each(sample)
+        return fit(sample["text"].tolist(), sample["label_"].tolist(), most_words=most_words)
+
+    return samples.learned(samples.labelled_texts(docs, labels, "lang", dict.fromkeys(names, rows)), of)
 
 
 def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -297,7 +364,7 @@ def identify(docs: DataFrame, model: LanguageModel, id_col: str = "doc_id", text
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, 1, 2 << 20):
+            for part in slices(batch, 1, min(2 << 20, LABELLED // max(1, len(sent.value.languages)))):
                 names, score = sent.value.predict(part.column(1))
                 yield pa.record_batch([part.column(0), pa.array(names, pa.string()), pa.array(score.astype(float))], names=["doc_id", "lang_pred", "score"])
 

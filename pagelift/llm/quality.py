@@ -204,8 +204,8 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 24, depth: int = 3, penalty:
 def train(stats: DataFrame, labels: DataFrame, label_col: str, sample_rows: int = SAMPLE_ROWS) -> RuleModel:
     """Fit on at most sample_rows labelled rows; labels: doc_id and a label of 0 or 1."""
     own = labels.select(F.col("doc_id").cast("long"), F.col(label_col).cast("int").alias("y_")).filter("y_ in (0, 1)")
-    rows = samples.first_by_hash(stats.join(own, "doc_id"), "doc_id", sample_rows).select(*FEATURES, "y_").toPandas()
-    return fit(rows[FEATURES].to_numpy(float), rows["y_"].to_numpy(float))
+    rows = samples.first_by_hash(stats.join(own, "doc_id"), "doc_id", sample_rows).select(*FEATURES, "y_")
+    return samples.learned(rows, lambda found: fit(found[FEATURES].to_numpy(float), found["y_"].to_numpy(float)))
 
 
 def score(docs: DataFrame, labels: DataFrame, label_col: str = "quality", sample_rows: int = SAMPLE_ROWS) -> DataFrame:

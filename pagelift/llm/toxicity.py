@@ -26,6 +26,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,7 +42,16 @@ WINDOW, STEP = 24, 16
 #: Words of a document that count, and the values that count as the least and most.
 WORST, LOW, HIGH = 6, -3.0, 1.5
 TABLE_BITS = 20
-LANDMARKS = 300
+#: Bounds of the fit: landmarks, words that are learned as insults (those found in most toxic documents), words that
+#: only the machine finds and that join them each turn, spellings in all, clean words of each turn, and turns.
+LANDMARKS, MOST_INSULTS, MOST_FOUND, SPELLINGS, HARD, TURNS = 600, 500, 200, 2400, 1000, 5
+#: Letters of the shortest word that is learned in other spellings.
+LEAST_HIDDEN = 4
+#: What all spellings of a word count, against the word itself, and what a clean word counts for each document.
+HIDDEN_COST, CLEAN_COST = 2.0, 60.0
+#: What a clean document counts in calibration, against a toxic one.
+FALSE_ALARM = 3.0
+_LETTERS = "abcdefghijklmnopqrstuvwxyz"
 
 _random = np.random.Generator(np.random.PCG64(2))
 _LETTER = _random.integers(0, 2**32, 4096, np.uint32) | np.uint32(1)
@@ -115,18 +125,22 @@ def features(words: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]
 
 
 def kernel(words: list[str], others: list[str]) -> np.ndarray:
-    """The kernel of each word with each other."""
-    maps = features(others)
-    used = np.unique(np.concatenate([x.ravel() for _, x, _ in maps])) if maps else np.zeros(0, np.uint32)
-    place = np.full(1 << TABLE_BITS, len(used), np.int32)
-    place[used] = np.arange(len(used))
-    dense = np.zeros((len(used) + 1, len(others)), np.float32)  # the last row is of subsequences that no other has
-    for who, index, weight in maps:
-        np.add.at(dense, (place[index], who[:, None]), weight[None, :])
-    out = np.zeros((len(words), len(others)))
-    for who, index, weight in features(words):
-        for k in range(0, len(who), 32):
-            out[who[k : k + 32]] = np.einsum("nem,e->nm", dense[place[index[k : k + 32]]], weight)
+    """The kernel of each word with each other, a block of others at a time."""
+    out = np.zeros((len(words), len(others)), np.float32)
+    own = features(words)
+    for begin in range(0, len(others), 64):
+        maps = features(others[begin : begin + 64])
+        used = np.unique(np.concatenate([x.ravel() for _, x, _ in maps])) if maps else np.zeros(0, np.uint32)
+        place = np.full(1 << TABLE_BITS, len(used), np.int32)
+        place[used] = np.arange(len(used))
+        dense = np.zeros((len(used) + 1, len(others[begin : begin + 64])), np.float32)  # the last row is of subsequences that no other has
+        for who, index, weight in maps:
+            np.add.at(dense, (place[index], who[:, None]), weight[None, :])
+        for who, index, weight in own:
+            for k in range(0, len(who), 256):
+                found = place[index[k : k + 256]]
+                some = np.flatnonzero((found < len(used)).any(axis=1))
+                out[who[k + some], begin : begin + 64] = np.matmul(weight, dense[found[some]])
     return out
 
 
@@ -208,21 +222,31 @@ def _alone(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _variants(words: list[str], draw: np.random.Generator) -> list[str]:
-    """Each word with a letter put in between, at each place, and with one doubled."""
-    letters, out = "abcdefghijklmnopqrstuvwxyz", []
-    for w in words:
-        if len(w) >= 4:
-            out += [w[:k] + letters[int(draw.integers(26))] + w[k:] for k in range(1, len(w))]
-            k = int(draw.integers(0, len(w)))
-            out.append(w[: k + 1] + w[k:])
-    return out
+def spelled(word: str, draw: np.random.Generator) -> str:
+    """The word as one might hide it: one or two letters put in, one left out, replaced or said twice. The first and
+    the last letter stay."""
+    letter = lambda: _LETTERS[int(draw.integers(len(_LETTERS)))]
+    k = int(draw.integers(1, len(word) - 1))
+    kind = int(draw.integers(8))
+    if kind < 3:
+        return word[:k] + letter() + word[k:]
+    if kind < 5:
+        j = int(draw.integers(k, len(word)))
+        return word[:k] + letter() + word[k:j] + letter() + word[j:]
+    if kind < 7:
+        return word[:k] + (letter() if kind == 6 else "") + word[k + 1 :]
+    return word[: k + 1] + word[k:]
+
+
+def _variants(words: list[str], each: int, draw: np.random.Generator) -> list[tuple[str, int]]:
+    """Spellings of each word of LEAST_HIDDEN letters and more, and the word's place."""
+    return [(spelled(w, draw), i) for i, w in enumerate(words) if len(w) >= LEAST_HIDDEN for _ in range(each)]
 
 
 def _landmarks(words: list[str], gram: np.ndarray, count: int) -> np.ndarray:
     """Places of words by pivoted Cholesky: each next is the one least expressed by those before."""
     n = len(words)
-    left, rows, picked = gram.diagonal().copy(), np.zeros((0, n)), []
+    left, rows, picked = gram.diagonal().astype(float), np.zeros((0, n)), []
     for _ in range(min(count, n)):
         k = int(left.argmax())
         if left[k] < 1e-6:
@@ -253,10 +277,11 @@ def _calibrate(worst: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     that is refined around its best point."""
     n1, n0 = y.sum(), len(y) - y.sum()
     target = np.where(y > 0, (n1 + 1) / (n1 + 2), 1 / (n0 + 2))
+    weight = np.where(y > 0, 1.0, FALSE_ALARM)
 
     def loss(slope: float, base: float) -> float:
         p = np.clip(_any(worst, slope, base), 1e-9, 1 - 1e-9)
-        return float(-(target * np.log(p) + (1 - target) * np.log1p(-p)).sum() + 1e-2 * slope**2)
+        return float(-(weight * (target * np.log(p) + (1 - target) * np.log1p(-p))).sum() + 1e-2 * slope**2)
 
     best, slopes, bases = (0.0, 1.0, 0.0), np.linspace(0.5, 12, 13), np.linspace(-9, 3, 13)
     for _ in range(4):
@@ -303,64 +328,75 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Toxi
     if not 0 < share < 1:
         return none
     numbers: dict[str, int] = {}
-    own = [np.array(sorted({numbers.setdefault(w, len(numbers)) for w in units(t)}), np.int64) for t in texts]
+    said = [np.array([numbers.setdefault(w, len(numbers)) for w in units(t)], np.int32) for t in texts]
+    own = [np.unique(x) for x in said]
     vocabulary = list(numbers)
     alone = np.flatnonzero(_alone(texts))
     in_clean, in_toxic = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
     for o, t in zip(own, toxic, strict=True):
         (in_toxic if t else in_clean)[o] += 1
-    insults = [i for i in positives(vocabulary, [own[i] for i in alone], toxic[alone])][:500]
+    telling_words = positives(vocabulary, [own[i] for i in alone], toxic[alone])
+    insults = telling_words[:MOST_INSULTS]
     if not insults:
         return none
     draw = np.random.Generator(np.random.PCG64(6))
-    clean = np.setdiff1d(np.flatnonzero(in_clean), insults)
-    hard = sorted(draw.permutation(clean)[:1500].tolist())
-    model, recent = none, hard
-    for turn in range(3):
+    # Words beyond the bound are no examples, of neither kind.
+    clean = np.setdiff1d(np.flatnonzero(in_clean), telling_words)
+    hard = draw.permutation(clean)[:HARD].tolist()
+    n_first, recent = len(insults), hard
+    for turn in range(TURNS):
         words = [vocabulary[i] for i in insults]
-        hidden = [w for w in dict.fromkeys(_variants(words[:40], draw)) if w not in numbers]
-        n_pos, n = len(words), len(words) + len(hidden)
-        words += hidden + [vocabulary[i] for i in hard]
-        half = words[:250]
-        near = [vocabulary[i] for i in recent[:300]]
+        hidden = [(w, i) for w, i in _variants(words[:n_first], max(2, SPELLINGS // n_first), draw) if w not in numbers]
+        n = len(words) + len(hidden)
+        seen = 10.0 * np.minimum(1 + in_toxic[insults], 60)
+        times = np.bincount([i for _, i in hidden], minlength=len(words))
+        cost = [*seen, *(HIDDEN_COST * seen[i] / times[i] for _, i in hidden)]
+        words += [w for w, _ in hidden] + [vocabulary[i] for i in hard]
+        some = draw.permutation(n)[: 2 * landmarks]
+        half = [words[i] for i in some]
+        near = [vocabulary[i] for i in recent[: 2 * landmarks]]
         base = [half[k] for k in _landmarks(half, kernel(half, half), landmarks // 2)]
         base += [near[k] for k in _landmarks(near, kernel(near, near), landmarks - len(base))]
         values, vectors = np.linalg.eigh(kernel(base, base))
         keep = values > 1e-6 * values.max()
         root = vectors[:, keep] / np.sqrt(values[keep])  # the Nyström map is k(x, landmarks) @ root
         y = np.where(np.arange(len(words)) < n, 1.0, -1.0)
-        often = in_clean[hard]
-        cost = np.concatenate([10.0 * np.minimum(1 + in_toxic[insults], 60), np.full(n - n_pos, 8.0), 10.0 * np.minimum(1 + often, 30)])
-        w = _svm(kernel(words, base) @ root, y, cost)
+        w = _svm(kernel(words, base) @ root, y, np.concatenate([cost, CLEAN_COST * np.minimum(1 + in_clean[hard], 30)]))
         weights = root @ w[:-1]
         table = np.zeros(1 << TABLE_BITS, np.float32)
         for who, index, weight in features(base):
             np.add.at(table, index, weights[who][:, None].astype(np.float32) * weight[None, :])
         model = ToxicityModel(table, float(w[-1]), 1.0, 0.0)
         found = model.values(vocabulary)
-        if turn < 2:
+        if turn < TURNS - 1:
             # The clean words nearest to insults are learned from next, and words of toxic documents alone that
             # the machine takes for insults join them.
             fresh = np.setdiff1d(clean, hard)
-            recent = fresh[np.argsort(-found[fresh], kind="stable")][:1500].tolist()
+            recent = fresh[np.argsort(-found[fresh], kind="stable")][:HARD].tolist()
             hard = hard + recent
             only = np.setdiff1d(np.flatnonzero((in_clean == 0) & (found > 0)), insults)
-            insults = insults + only[np.argsort(-found[only], kind="stable")][:200].tolist()
+            insults = insults + only[np.argsort(-found[only], kind="stable")][:MOST_FOUND].tolist()
     # Words count as often as they stand in a document, as they do in scoring.
-    said = [np.array([numbers[w] for w in units(t)], np.int64) for t in texts]
     worst, y = _worst([found[o] for o in said]), toxic.astype(float)
-    # Clean documents with one insult set in count as toxic, too: few toxic documents have no more than one.
+    # Clean documents with one insult set in count as toxic, too, as it is and in another spelling: few toxic documents
+    # have no more than one.
     plain = worst[y == 0]
-    picked = draw.integers(0, len(plain), int(y.sum()))
-    often = in_toxic[insults[:n_pos]] / in_toxic[insults[:n_pos]].sum()
-    one = np.column_stack([plain[picked], np.clip(found[np.array(insults)[draw.choice(n_pos, len(picked), p=often)]], LOW, HIGH)])
-    slope, base = _calibrate(np.vstack([worst, -np.sort(-one, axis=1)[:, :WORST]]), np.concatenate([y, np.ones(len(picked))]))
+    often = in_toxic[insults[:n_first]] / in_toxic[insults[:n_first]].sum()
+    picked = [vocabulary[insults[i]] for i in draw.choice(n_first, 2 * int(y.sum()), p=often)]
+    set_in = [w if k % 2 or len(w) < LEAST_HIDDEN else spelled(w, draw) for k, w in enumerate(picked)]
+    one = np.column_stack([plain[draw.integers(0, len(plain), len(set_in))], np.clip(model.values(set_in), LOW, HIGH)])
+    slope, base = _calibrate(np.vstack([worst, -np.sort(-one, axis=1)[:, :WORST]]), np.concatenate([y, np.ones(len(one))]))
     return ToxicityModel(model.table, model.bias, slope, base)
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", toxic: int = SAMPLE_TOXIC, clean: int = SAMPLE_CLEAN) -> ToxicityModel:
-    sample = samples.labelled_texts(docs, labels, label_col, {1: toxic, 0: clean})
-    return fit(sample["text"].tolist(), sample["label_"].to_numpy(int))
+    """Learn, in a task of its own, from at most so many toxic and clean documents; labels: doc_id and 0 or 1."""
+
+    def of(sample: pd.DataFrame) -> ToxicityModel:
+        sample = samples.one_each(sample)
+        return fit(sample["text"].tolist(), sample["label_"].to_numpy(int))
+
+    return samples.learned(samples.labelled_texts(docs, labels, label_col, {1: toxic, 0: clean}), of)
 
 
 def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -1,8 +1,10 @@
 """Quality, toxicity and language: held-out accuracy on the tables, and the parts against brute force."""
 
 import itertools
+import zlib
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pytest
 
@@ -27,7 +29,33 @@ def test_quality_held_out(spark):
 def test_toxicity_held_out(spark):
     got = held_out(spark, "op2_toxicity", "labels", "toxic")
     found = got[got.toxic == 1].predicted.mean(), 1 - got[got.toxic == 0].predicted.mean()
-    assert found[0] > 0.75 and found[1] > 0.97
+    assert found[0] >= 0.9 and found[1] >= 0.99
+
+
+def test_hidden_insults():
+    """Held-out clean documents with one insult in another spelling, at one false alarm in a hundred."""
+    docs_, labels = (pd.read_parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    rows = docs_.merge(labels, on="doc_id")
+    held = np.array([zlib.crc32(str(i).encode()) % 3 == 1 for i in rows.doc_id])
+    model = toxicity.fit(rows.text[~held].fillna("").tolist(), rows.toxic[~held].to_numpy(int))
+    clean = rows.text[held & (rows.toxic == 0)].fillna("").tolist()
+    alarms = model.scores(clean) >= 0.7
+    assert alarms.mean() <= 0.01
+    clean = [t for t, bad in zip(clean, alarms, strict=True) if not bad]
+    draw = np.random.default_rng(8)
+    letter = lambda: chr(97 + int(draw.integers(26)))
+
+    def hidden(kind, w):
+        k = int(draw.integers(1, len(w) - 1))
+        if kind == "two letters put in":
+            j = int(draw.integers(k, len(w)))
+            return w[:k] + letter() + w[k:j] + letter() + w[j:]
+        return {"plain": w, "a letter put in": w[:k] + letter() + w[k:], "signs": ".".join(w), "gaps": " ".join(w), "a letter replaced": w[:k] + "*" + w[k + 1 :]}[kind]
+
+    least = {"plain": 0.99, "a letter put in": 0.9, "signs": 0.99, "gaps": 0.99, "a letter replaced": 0.75, "two letters put in": 0.45}
+    words = ["trash", "idiot", "pathetic", "worthless", "scum", "loser", "stupid", "moron", "disgusting", "clown"]
+    got = {kind: float((model.scores([clean[int(draw.integers(len(clean)))] + " " + hidden(kind, w) for w in words for _ in range(20)]) >= 0.7).mean()) for kind in least}
+    assert all(got[kind] >= least[kind] for kind in least), got
 
 
 def test_language_held_out(spark):
@@ -128,6 +156,17 @@ def test_forward_backward_against_all_sequences():
     assert np.allclose(p, want) and moves.sum() == pytest.approx(9) and np.allclose(starts, want[first].sum(axis=0))
 
 
+@pytest.mark.parametrize("languages", [1, 3])
+def test_whole_chains(languages):
+    """Chains of many links have the probabilities that one pass over all their words gives."""
+    draw = np.random.default_rng(6)
+    lengths = np.array([1, 63, 64, 65, 128, 129, 1000, 7, 300])
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    e, start, move = 0.3 * draw.normal(size=(lengths.sum(), languages)), draw.normal(size=languages), 2 * draw.normal(size=(languages, languages))
+    want = langid.forward_backward(e, first, lengths, start, move)[0]
+    assert np.allclose(langid.marginals(e, first, lengths, start, move), want)
+
+
 def test_code_switched_text():
     draw = np.random.default_rng(3)
     make = lambda syllables: " ".join("".join(draw.choice(syllables, 3)) for _ in range(40))
@@ -162,6 +201,7 @@ def test_words_learned_from_are_a_parameter():
 def test_every_language_is_learned(spark, monkeypatch):
     seen = {}
     monkeypatch.setattr(langid, "fit", lambda texts, langs, **given: seen.update(langs=set(langs), **given))
+    monkeypatch.setattr(langid.samples, "learned", lambda sample, of: of(sample))
     rows = spark.createDataFrame([(i, f"text {i}", f"l{i:02}") for i in range(70)], "doc_id long, text string, lang string")
     monkeypatch.setattr(langid.samples, "labelled_texts", lambda docs, labels, column, most: docs.toPandas().rename(columns={"lang": "label_"}).query("label_ in @most"))
     langid.train(rows, most_words=9)
