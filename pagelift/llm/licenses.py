@@ -28,7 +28,7 @@ SPELLINGS = [
     ("catalogue", "catalog"), ("centre", "center"), ("copyright owner", "copyright holder"), ("favour", "favor"),
     ("favourite", "favorite"), ("fulfil", "fulfill"), ("fulfilment", "fulfillment"), ("initialise", "initialize"),
     ("judgement", "judgment"), ("labelling", "labeling"), ("labour", "labor"), ("licence", "license"),
-    ("licenced", "licensed"), ("maximise", "maximize"), ("merchantability", "merchantability"), ("minimise", "minimize"),
+    ("licenced", "licensed"), ("maximise", "maximize"), ("minimise", "minimize"),
     ("modelling", "modeling"), ("noncommercial", "non commercial"), ("offence", "offense"), ("optimise", "optimize"),
     ("organisation", "organization"), ("organise", "organize"), ("per cent", "percent"), ("practise", "practice"),
     ("programme", "program"), ("realise", "realize"), ("recognise", "recognize"), ("signalling", "signaling"),
@@ -187,10 +187,14 @@ def canonical(text: Column) -> Column:
     # Line ends are doubled, so that notices on consecutive lines don't share one.
     lines = F.replace(out, F.lit("\n"), F.lit("\n\n"))
     marked = F.when(out.rlike(r"copyright|\(c\)|©|all rights reserved"), F.regexp_replace(lines, COPYRIGHT, "\n")).otherwise(out)
-    out = F.concat(F.lit(" "), F.trim(F.regexp_replace(marked, BETWEEN, " ")), F.lit(" "))
+    # Words are looked up one by one, so that neighbours don't share the space between them; then pairs of words.
+    spelled = F.create_map([F.lit(x) for pair in SPELLINGS if " " not in pair[0] for x in pair])
+    words = F.transform(F.split(F.trim(F.regexp_replace(marked, BETWEEN, " ")), " "), lambda w: F.coalesce(F.element_at(spelled, w), w))
+    out = F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
     for given, kept in SPELLINGS:
-        out = F.replace(out, F.lit(f" {given} "), F.lit(f" {kept} "))
-    return F.trim(out)
+        if " " in given:
+            out = F.replace(out, F.lit(f" {given.replace(' ', '  ')} "), F.lit(f" {kept.replace(' ', '  ')} "))
+    return F.trim(F.replace(out, F.lit("  "), F.lit(" ")))
 
 
 def digest(text: Column) -> Column:

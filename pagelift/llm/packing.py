@@ -4,8 +4,8 @@ Documents are tokenized once, where they are. Each is cut at the sequence length
 counted by length class (a histogram of at most CLASSES rows, whatever the corpus). A linear program over patterns
 (how many items of each class share a sequence) is solved by column generation: a knapsack dynamic program prices new
 patterns by the dual values. Rounded patterns take documents by their rank within a class. The few tokens that the
-classes leave over in a sequence are filled with pieces of filler documents, chosen by a hash of their id with a rate
-that falls with their length; these alone are cut at other places. No ids are shuffled but those of fillers.
+classes leave over in a sequence are filled with pieces of filler documents, chosen by a hash of their id as often as
+items of their length leave gaps; these alone are cut at other places. No ids are shuffled but those of fillers.
 
 Defined cases: null text is empty, so such a document is the end id alone. Rows of one doc_id are packed each for
 itself. Documents longer than a sequence are cut into full sequences and an item. An empty table gives no rows. Other
@@ -14,9 +14,11 @@ columns are not read.
 
 from __future__ import annotations
 
+import json
 import re
 import zlib
 from collections.abc import Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -28,13 +30,13 @@ from .runtime import materialize, partitions_for, slices, small_batches, text_or
 
 #: Classes of lengths; a class is SEQUENCE / CLASSES tokens wide.
 CLASSES = 256
-#: A filler is chosen with probability FILL / length: FILL tokens a document on average, against about 8 left over in
-#: large tables and some 25 in small ones, in which rounding leaves more.
-FILL = 40
+#: Tokens of fillers for each item besides what its class leaves over: rounding leaves more in small tables. Items of
+#: fewer than FULL tokens, of which more share a sequence, have the less.
+FILL, FULL = 56, 256
 #: Column generation ends after so many new patterns at the latest; any basis gives whole, only looser, packings.
 PRICINGS = 1500
-#: Items of one rank group, and sequences of one filling task.
-RANK_ROWS, FILL_ROWS = 200_000, 20_000
+#: Items of one rank group, and sequences and fillers' tokens of one filling task.
+RANK_ROWS, FILL_ROWS, FILL_TOKENS = 200_000, 20_000, 1 << 19
 
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, ids binary"
 
@@ -45,20 +47,31 @@ _PLAIN = re.compile("[\t-\r -~¡-¬®-įı-ňŊ-ſ]*")
 _PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_DIGITS}]|[^\\s{_LETTERS}{_DIGITS}]+")
 
 
+# The normalizer and the splitting rule that the plain path follows.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Sequence", "pretokenizers": [
+    {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True},
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]}
+
+
 class WordTokenizer:
     """Ids of a text as little-endian 32-bit integers, equal to those of the tokenizers library.
 
     The vocabulary's pre-tokenizer never joins what white space separates, so chunks between white space are
-    tokenized once and remembered, in two generations of at most KEPT entries. Texts with characters beyond the
-    plain ones, or with a special token's string, go to the library as they are.
+    tokenized once and remembered, in two generations of at most KEPT entries of at most LONGEST characters. Texts with
+    characters beyond the plain ones, or with a special token's string, go to the library as they are; so do all texts
+    if the file has other rules than those followed here.
     """
 
-    KEPT = 200_000
+    KEPT, LONGEST = 200_000, 64
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        rules = json.loads(Path(path).read_text())
+        self.followed = rules.get("normalizer") == _NORMALIZER and rules.get("pre_tokenizer") == _SPLIT and not rules.get("truncation") and all(t["content"].startswith("<|") for t in rules.get("added_tokens", []))
         self.model, self.new, self.old = self.whole.model, {}, {}
         printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
         rest = [b for b in range(256) if b not in set(printable)]
@@ -71,13 +84,14 @@ class WordTokenizer:
             for piece in _PIECES.findall(chunk.lower()):
                 ids += [t.id for t in self.model.tokenize(piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.table))]
             found = np.array(ids, "<u4").tobytes()
-        if len(self.new) >= self.KEPT:
-            self.new, self.old = {}, self.new
-        self.new[chunk] = found
+        if len(chunk) <= self.LONGEST:
+            if len(self.new) >= self.KEPT:
+                self.new, self.old = {}, self.new
+            self.new[chunk] = found
         return found
 
     def ids(self, text: str) -> bytes:
-        if "<|" in text or not _PLAIN.fullmatch(text):
+        if not self.followed or "<|" in text or not _PLAIN.fullmatch(text):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         get, chunk = self.new.get, self._chunk
         return b"".join([get(w) or chunk(w) for w in text.split()])
@@ -93,10 +107,16 @@ def tokenizer(path: str) -> WordTokenizer:
     return _tokenizers[path]
 
 
-def tokenize(docs: DataFrame, path: str, end_id: int, sequence: int, fill: float = FILL) -> DataFrame:
+def filler_share(length: int, width: int) -> float:
+    """How many of the items of a length are fillers: their tokens are what the others of that length leave over."""
+    left = -length % width + FILL * min(1.0, length / FULL)
+    return left / (left + length)
+
+
+def tokenize(docs: DataFrame, path: str, end_id: int, sequence: int) -> DataFrame:
     """Pieces of each document: full sequences and an item; ids only of the items that are fillers."""
     names = [x.split()[0] for x in PIECE.split(", ")]
-    end = np.array([end_id], "<u4").tobytes()
+    end, width = np.array([end_id], "<u4").tobytes(), sequence // CLASSES
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok = tokenizer(path)
@@ -109,7 +129,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, sequence: int, fill: float
                     for start in range(0, n, sequence):
                         own = ids[4 * start : 4 * (start + sequence)]
                         k = len(own) // 4
-                        filler = k < sequence and (xxhash.xxh64_intdigest(str(doc_id), seed=8) / 2**64) * k < fill
+                        filler = k < sequence and xxhash.xxh64_intdigest(f"{doc_id} {start} {zlib.crc32(own)}", seed=8) / 2**64 < filler_share(k, width)
                         out.append((doc_id, start, k, zlib.crc32(own), n, own if filler else None))
                 yield pa.record_batch([pa.array(c, pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names=names)
 
@@ -269,7 +289,8 @@ def pack(docs: DataFrame, path: str, sequence: int = 4096, end_id: int = 2) -> D
     placed = at.withColumn("offset", F.sum("length").over(before) - F.col("length"))
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     placed = materialize(placed.select(*names), "packing-placed")
-    shards = partitions_for(sequences, FILL_ROWS)
+    tokens = pieces.filter("ids is not null").agg(F.sum("length")).first()[0] or 0
+    shards = max(partitions_for(sequences, FILL_ROWS), partitions_for(tokens, FILL_TOKENS))
     gaps = placed.groupBy("sequence_id").agg(F.sum("length").alias("used")).filter(F.col("used") < sequence).withColumn("shard", F.pmod("sequence_id", F.lit(shards)))
     fillers = pieces.filter("ids is not null").select("doc_id", "start", "doc_tokens", "ids", F.pmod(F.xxhash64("doc_id", "ids"), F.lit(shards)).alias("shard"))
     filled = gaps.groupBy("shard").cogroup(fillers.groupBy("shard")).applyInArrow(_filler(sequence, sequences, shards), ", ".join(f"{c} long" for c in names))

@@ -5,7 +5,7 @@ from a root to a node is a conjunctive rule, lasso logistic regression keeps few
 compiled to Spark column expressions over the statistics, in which all rows are scored.
 
 Defined cases: null text is empty; its statistics are 0 and it has a score like any other. Without labelled rows of
-both kinds every score is the share of label 1, or 0.5. Repeated rows have a row each, an empty table none. A doc_id
+both kinds every score is (n1 + 1) / (n + 2), of n rows with n1 of label 1, or 0.5. Repeated rows have a row each, an empty table none. A doc_id
 that occurs in several rows is learned from by each. Other columns are not read.
 """
 

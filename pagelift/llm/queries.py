@@ -83,10 +83,11 @@ def _quoted(text: str) -> str:
 def _canonical(text: str) -> str:
     out = f"lower({text})"
     out = f"regexp_replace(replace({out}, chr(10), chr(10) || chr(10)), {_quoted(licenses.COPYRIGHT)}, chr(10), 'g')"
-    out = f"' ' || trim(regexp_replace({out}, {_quoted(licenses.BETWEEN)}, ' ', 'g')) || ' '"
-    for given, kept in licenses.SPELLINGS:
-        out = f"replace({out}, ' {given} ', ' {kept} ')"
-    return f"sha256(trim({out}))"
+    # Two spaces stand between words here, so that each of two neighbours has its own.
+    out = f"' ' || replace(trim(regexp_replace({out}, {_quoted(licenses.BETWEEN)}, ' ', 'g')), ' ', '  ') || ' '"
+    for given, kept in sorted(licenses.SPELLINGS, key=lambda pair: " " in pair[0]):
+        out = f"replace({out}, ' {given.replace(' ', '  ')} ', ' {kept.replace(' ', '  ')} ')"
+    return f"sha256(trim(replace({out}, '  ', ' ')))"
 
 
 _LICENSES = f"""

@@ -90,3 +90,9 @@ def test_only_the_notice_is_removed(spark):
     kept = [r[0] for r in docs(spark, prose).orderBy("doc_id").select(licenses.canonical(F.col("text"))).collect()]
     assert kept[0] == "copyright law changed in 1998 and many long stories follow here" and kept[1] == "copyright law changed in 1998"
     assert kept[2].startswith("c 2020 was a mark") and kept[3] == "this is what the page says" and "permission is hereby granted" in kept[4]
+
+
+def test_neighbours_in_spelling(spark):
+    rows = spark.createDataFrame([("organisation, organisation Organisation",), ("per cent per cent",), ("sub-licence",), ("Whilst",)], "t string")
+    got = [r[0] for r in rows.select(licenses.canonical(rows.t)).collect()]
+    assert got == ["organization organization organization", "percent percent", "sublicense", "while"]

@@ -53,6 +53,30 @@ def test_packs_all(spark, sf, whole):
     assert check(rows.collect(), packing.pack(rows, PATH).collect(), whole) < 0.001
 
 
+def test_many_short_texts(spark, whole, monkeypatch):
+    """Most are placed by patterns, in several tasks, and little padding is left."""
+    monkeypatch.setattr(packing, "FILL_TOKENS", 1 << 14)
+    rows = spark.range(1, 12_001).selectExpr("id AS doc_id", "concat('note ', id % 7, ' says ', id % 11, ' of it') AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars")
+    pieces = packing.pack(rows, PATH).collect()
+    assert check(rows.collect(), pieces, whole) < 0.01
+    share = packing.filler_share(8, 16)
+    assert share < 0.6 and packing.filler_share(1000, 16) < 0.07
+
+
+def test_other_rules_go_to_the_library(tmp_path):
+    import json
+
+    rules = json.load(open(PATH))
+    rules["normalizer"] = {"type": "Sequence", "normalizers": [{"type": "NFC"}]}
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(rules))
+    for path, followed in ((PATH, True), (str(other), False)):
+        tok, lib = packing.WordTokenizer(str(path)), Tokenizer.from_file(str(path))
+        assert tok.followed is followed
+        for t in ("Some Words, here 12", "x" * 500, "É ß"):
+            assert tok.ids(t) == np.array(lib.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+
+
 def test_odd_rows(spark, whole):
     rows = odd(spark)
     check(rows.collect(), packing.pack(rows, PATH).collect(), whole)
