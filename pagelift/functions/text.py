@@ -134,9 +134,18 @@ def similarity_col(a: Column, b: Column) -> Column:
     size = lambda ws: F.aggregate(ws, F.lit(0), lambda n, w: n + utf16_col(w))
 
     def of(w: Column) -> Column:
-        other = F.filter(w["b"], lambda x: (x != "") & ~F.array_contains(w["a"], x))
+        # Words are looked for among those of one hash only, so that the work grows less than with the square.
+        share = lambda x: F.pmod(F.xxhash64(x), F.size(w["in"])).cast("int")
+        other = F.filter(w["b"], lambda x: (x != "") & ~F.array_contains(F.get(w["in"], share(x)), x))
         alone = size(other) + F.greatest(F.size(other) - 1, F.lit(0))
         return F.lit(1.0) - F.try_divide(alone.cast("double"), (F.size(w["b"]) - 1 + size(w["b"])).cast("double"))
 
-    # The words stand in an array of one, so that they are split once and not for every word.
-    return F.transform(F.array(F.struct(F.array_distinct(_words(a)).alias("a"), _words(b).alias("b"))), of)[0]
+    def dealt(w: Column) -> Column:
+        n = F.greatest(F.sqrt(F.size(w["a"]).cast("double")).cast("int"), F.lit(1))
+        sized = F.array(F.struct(w["a"].alias("a"), n.alias("n")))
+        own = F.transform(sized, lambda s: F.transform(F.sequence(F.lit(0), s["n"] - 1), lambda i: F.filter(s["a"], lambda x: F.pmod(F.xxhash64(x), s["n"]) == i)))[0]
+        return F.struct(own.alias("in"), w["b"].alias("b"))
+
+    # What is used more than once stands in an array of one, so that it is worked out once and not for every word.
+    words = F.array(F.struct(F.array_distinct(_words(a)).alias("a"), _words(b).alias("b")))
+    return F.transform(F.transform(words, dealt), of)[0]

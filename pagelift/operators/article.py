@@ -28,7 +28,7 @@ UNLIKELY_ROLES = frozenset("menu menubar complementary navigation alert alertdia
 MAY_BE_HOLLOW = frozenset("div section header h1 h2 h3 h4 h5 h6".split())
 JOINED_AS_THEY_ARE = frozenset("div article section p".split())
 POINTS = {"div": 5.0} | dict.fromkeys(("pre", "td", "blockquote"), 3.0) | dict.fromkeys("address ol ul dl dd dt li form".split(), -3.0) | dict.fromkeys("h1 h2 h3 h4 h5 h6 th".split(), -5.0)
-PAGE_ID, PAGE_CLASS = "readability-page-1", "page"
+PAGE_CLASS = "page"
 LEAST_PARAGRAPH, ANCESTORS, CLOSE, CLOSE_COUNT = 25, 5, 0.75, 3
 
 
@@ -44,6 +44,7 @@ class Options:
     disable_json_ld: bool = False
     allowed_video: str | None = None
     link_density_modifier: float = 0.0
+    page_id: str = "page-1"
     debug: bool = False
 
 
@@ -254,7 +255,7 @@ class Attempt:
             for c in list(article.children):
                 page.append(c)
             article.append(page)
-        put(page, "id", PAGE_ID)
+        put(page, "id", self.options.page_id)
         put(page, "class", PAGE_CLASS)
         return article, [parent, top, *ancestors(parent)]
 
@@ -331,7 +332,7 @@ def extract(fresh: Callable[[], Node], url: str = "", options: Options = Options
     direction = next((d for n in around if n.kind == ELEMENT and (d := get(n, "dir"))), "")
     # The base element of the last tree counts.
     prepare.absolute_links(article, prepare.base_uri(doc, url), url)
-    prepare.simplify(article)
+    prepare.simplify(article, next((n for n in article.walk() if n.kind == ELEMENT and get(n, "id") == options.page_id), None))
     if not options.keep_classes:
         prepare.clean_classes(article, options.classes_to_preserve)
     paragraphs = below(article, "p")

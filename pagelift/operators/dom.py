@@ -101,9 +101,10 @@ def _beside(n: Node, step: int) -> Node | None:
     if n.parent is None:
         return None
     row = n.parent.children
-    i = row.index(n) + step
+    i = n.place() + step
     while 0 <= i < len(row):
         if row[i].kind == ELEMENT:
+            row[i].at = i
             return row[i]
         i += step
     return None

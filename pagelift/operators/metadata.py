@@ -90,7 +90,16 @@ def loads(source: str) -> Any:
     def never(name: str) -> None:
         raise ValueError(name)
 
-    return json.loads(source, parse_constant=never)
+    return _whole(json.loads(source, parse_constant=never))
+
+
+def _whole(value: Any) -> Any:
+    """The value with U+FFFD for each half of a surrogate pair."""
+    if isinstance(value, str):
+        return value if value.isascii() else value.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+    if isinstance(value, list):
+        return [_whole(x) for x in value]
+    return {_whole(k): _whole(v) for k, v in value.items()} if isinstance(value, dict) else value
 
 
 def vocabulary(context: Any, before: str = "") -> str:

@@ -141,11 +141,12 @@ def absolute_links(article: Node, base: str, page_url: str) -> None:
             link.replace_with(span)
 
 
-def simplify(article: Node) -> None:
-    """Empty divisions go, and one that holds nothing but another becomes that one, with the attributes of both."""
+def simplify(article: Node, page: Node | None = None) -> None:
+    """Empty divisions go, and one that holds nothing but another becomes that one, with the attributes of both; the
+    page's own division stays."""
     n = article
     while n is not None:
-        if n.parent is not None and n.tag in ("div", "section") and not get(n, "id").startswith("readability"):
+        if n.parent is not None and n.tag in ("div", "section") and n is not page:
             if is_hollow(n):
                 n = remove_and_follow(n)
                 continue

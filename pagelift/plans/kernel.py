@@ -28,7 +28,7 @@ NODES = "array<struct<id:int,parent:int,depth:int,pos:int,last_id:int,kind:tinyi
 
 def _clean(value: object) -> object:
     """Strings without halves of surrogate pairs, which UTF-8 cannot hold."""
-    return value.encode("utf-8", "replace").decode() if isinstance(value, str) and not value.isascii() else value
+    return value.encode("utf-16", "surrogatepass").decode("utf-16", "replace") if isinstance(value, str) and not value.isascii() else value
 
 
 def _rows(get: Callable[[], Article]) -> dict:

@@ -48,6 +48,13 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pages.repartition(cores, "page_id") if pages.rdd.getNumPartitions() < cores else pages
 
 
+def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, dealt anew in the same case."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    cores = spark.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs.rdd.getNumPartitions() < cores else docs
+
+
 def _nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return node_table(_pages(spark, sf_dir))
 
@@ -111,21 +118,21 @@ def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def utf16_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", X.utf16_col(F.col("text")).alias("units"))
+    return _documents(spark, sf_dir).select("doc_id", X.utf16_col(F.col("text")).alias("units"))
 
 
 def plain_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _table(spark, sf_dir, "documents").select("doc_id", X.plain_col(F.col("text")).alias("plain"), X.inner_col(F.col("text")).alias("inner_text"))
+    return _documents(spark, sf_dir).select("doc_id", X.plain_col(F.col("text")).alias("plain"), X.inner_col(F.col("text")).alias("inner_text"))
 
 
 def comma_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = X.inner_col(F.col("text"))
-    return _table(spark, sf_dir, "documents").select("doc_id", X.commas_col(F.col("text")).cast("int").alias("commas"), X.paragraph_score_col(own).alias("score"))
+    return _documents(spark, sf_dir).select("doc_id", X.commas_col(F.col("text")).cast("int").alias("commas"), X.paragraph_score_col(own).alias("score"))
 
 
 def text_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document its first line has, and the other way round."""
-    docs = _table(spark, sf_dir, "documents").select("doc_id", "text", F.substring_index("text", "\n", 1).alias("line"))
+    docs = _documents(spark, sf_dir).select("doc_id", "text", F.substring_index("text", "\n", 1).alias("line"))
     return docs.select("doc_id", X.similarity_col(F.col("line"), F.col("text")).alias("of_text"), X.similarity_col(F.col("text"), F.col("line")).alias("of_line"))
 
 
@@ -293,10 +300,66 @@ _READABLE = f"""
     scores AS (SELECT page_id, sum(sqrt(n - 140)) AS s FROM sizes WHERE n >= 140 GROUP BY page_id)
     SELECT page_id, coalesce(s > 20, false) AS readable FROM pages LEFT JOIN scores USING (page_id)"""
 
+
+def _spaced(c: str) -> str:
+    return f"regexp_replace({c}, '{_ASCII}+', ' ', 'g')"
+
+
+def _escaped(c: str) -> str:
+    out = _decoded(c)
+    for char, name in (("&", "&amp;"), ("<", "&lt;"), (">", "&gt;"), ('"', "&#34;")):
+        out = f"replace({out}, '{char}', '{name}')"
+    return out
+
+
+def _points(c: str) -> str:
+    """Points of a paragraph of 25 units and more."""
+    return f"CASE WHEN {_units(c)} >= 25 THEN 2 + length({c}) - length(translate({c}, '{X.COMMAS}', '')) + least({_units(c)} // 100, 3) ELSE 0 END"
+
+
+#: The pages have one scaffold: a nav, a comment, a div of one text, and the article with its heading and paragraphs, in
+#: which a b element is opened here and there and never closed, so that each paragraph after it opens it anew (three of
+#: a kind at most). The article and its paragraphs come out, the div as a paragraph before them (but for one of 80 units,
+#: which is neither long nor short), and nav and comment if the body has more points than the article. Texts of fewer
+#: than 500 units are tried four times.
+_OPEN = "least(3, coalesce(list_sum(bs[:i - 1]), 0))::BIGINT"
+_ARTICLES = f"""
+    WITH a AS (SELECT page_id, url, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS ad,
+         regexp_extract(html, '<!--.*?-->') AS comment, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS links, regexp_extract_all(html, '(?s)<li><a [^>]*>(.*?)</a></li>', 1) AS names,
+         string_split(replace(regexp_replace(regexp_extract(html, '(?s)</h1>(.*?)</article>', 1), '^<p>', ''), '</p>', ''), '<p>') AS ps FROM pages),
+    b AS (SELECT *, list_transform(ps, lambda p: len(p) - len(replace(p, '<b>', 'bb'))) AS bs, list_transform(ps, lambda p: {_spaced(_decoded('p'))}) AS texts,
+          {_spaced(_decoded('ad'))} AS ad_text, list_sum(list_transform(ps, lambda p: {_points(_inner(_decoded('p')))})) AS points, {_points(_inner(_decoded('ad')))} AS ad_points FROM a),
+    c AS (SELECT *, 2 * ad_points > points AS whole, list_transform(ps, lambda p, i: '<p>' || repeat('<b>', {_OPEN})
+            || array_to_string(list_transform(string_split(p, '<br>'), lambda x: array_to_string(list_transform(string_split(x, '<b>'), lambda y: {_escaped('y')}), '<b>')), '<br/>')
+            || repeat('</b>', ({_OPEN} + bs[i])::BIGINT) || '</p>') AS parts FROM b),
+    d AS (SELECT *, whole OR length(ad_text) <> 80 AS with_ad, CASE WHEN whole THEN {_spaced(_decoded("array_to_string(names, '')"))} ELSE '' END AS nav_text,
+          CASE WHEN whole THEN '<nav><ul>' || array_to_string(list_transform(links, lambda l, i: '<li><a href="' || regexp_extract(url, '^[a-z]+://[^/]*')
+            || array_to_string(list_transform(string_split(l, ''), lambda x: CASE WHEN x < chr(128) THEN x ELSE url_encode(x) END), '') || '">' || {_escaped('names[i]')} || '</a></li>'), '') || '</ul></nav>' || comment ELSE '' END AS nav FROM c),
+    e AS (SELECT *, nav_text || CASE WHEN with_ad THEN ad_text ELSE '' END || array_to_string(texts, '') AS text_content FROM d)
+    SELECT e.page_id, 'ok' AS status, CAST(NULL AS INTEGER) AS error_count, CAST(NULL AS INTEGER) AS error_max, t.title, '' AS byline, '' AS dir, lang,
+           '<div id="page-1" class="page">' || nav || CASE WHEN with_ad THEN '<p>' || {_escaped('ad')} || '</p>' ELSE '' END || '<article>' || array_to_string(parts, '') || '</article></div>' AS content,
+           text_content, {_units('text_content')} AS length, CASE WHEN with_ad THEN trim({_decoded('ad')}) ELSE trim({_decoded('ps[1]')}) END AS excerpt,
+           '' AS site_name, '' AS published_time, CAST(CASE WHEN {_units('text_content')} < 500 THEN 4 ELSE 1 END AS INTEGER) AS attempts
+    FROM e JOIN ({_TITLES}) t USING (page_id)"""
+_JSON = {"title": "title", "byline": "byline", "dir": "dir", "lang": "lang", "content": "content", "textContent": "text_content", "length": "length", "excerpt": "excerpt", "siteName": "site_name", "publishedTime": "published_time"}
+#: Elements: 13 of the scaffold, two for each link, paragraphs, breaks, and b elements as they are opened and opened anew,
+#: the last time in the footer.
+_ELEMENTS = f"""
+    WITH a AS (SELECT page_id, html, string_split(regexp_replace(regexp_extract(html, '(?s)</h1>(.*?)</article>', 1), '^<p>', ''), '<p>') AS ps FROM pages),
+    b AS (SELECT *, list_transform(ps, lambda p: len(p) - len(replace(p, '<b>', 'bb'))) AS bs FROM a),
+    c AS (SELECT page_id, CAST(13 + 2 * len(regexp_extract_all(html, '<li>')) + len(ps) + len(regexp_extract_all(html, '<br>')) + list_sum(bs)
+          + list_sum(list_transform(bs, lambda n, i: {_OPEN})) + least(3, list_sum(bs)) AS INTEGER) AS error_count FROM b)
+    SELECT page_id, error_count, CAST(30 AS INTEGER) AS error_max FROM c WHERE error_count > 30"""
+
 _CASE_NAMES = "tag, weight, " + ", ".join(HOLDINGS) + ", link_density, video, in_figure"
 _CASE_VALUES = ", ".join("(" + ", ".join(_q(x) for x in r) + ")" for r in CASES)
 
 ORACLE_SQL = {
+    "extract_articles": _ARTICLES,
+    "extract_from_nodes": _ARTICLES,
+    "stream_articles": _ARTICLES,
+    "article_json": "SELECT page_id, '{' || " + " || ',' || ".join(f"'\"{k}\":' || CAST(to_json({c}) AS VARCHAR)" for k, c in _JSON.items()) + f" || '}}' AS json FROM ({_ARTICLES})",
+    "element_limit": _ELEMENTS,
     "probably_articles": _READABLE,
     "tag_counts": "SELECT page_id, " + ", ".join(f"CAST(len(regexp_extract_all(html, '<{t}[ >]')) AS BIGINT) AS n_{t}" for t in ("a", "li", "h1", "article", "footer", "div")) + " FROM pages",
     "page_languages": """SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages""",

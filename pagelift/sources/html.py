@@ -16,32 +16,46 @@ DOCUMENT, ELEMENT, TEXT, COMMENT, DOCTYPE = range(5)
 class Node:
     """A node of a page's tree. tag is lower-case; attrs is a list of [key, value]; text is of text and comments."""
 
-    __slots__ = ("kind", "tag", "text", "attrs", "parent", "children", "space")
+    __slots__ = ("kind", "tag", "text", "attrs", "parent", "children", "space", "at")
 
     def __init__(self, kind: int, tag: str = "", text: str = "", attrs: list[list[str]] | None = None, space: str = ""):
         self.kind, self.tag, self.text, self.attrs, self.space = kind, tag, text, attrs if attrs is not None else [], space
         self.parent: Node | None = None
         self.children: list[Node] = []
+        self.at = 0
+
+    def place(self) -> int:
+        """The node's place among its parent's children: near the one it was last known to have, else searched for."""
+        row, i = self.parent.children, self.at
+        if i >= len(row) or row[i] is not self:
+            for i in range(min(i, len(row) - 1), max(-1, i - 9), -1):
+                if row[i] is self:
+                    break
+            else:
+                i = row.index(self)
+            self.at = i
+        return i
 
     def append(self, child: Node) -> None:
         child.detach()
-        child.parent = self
+        child.parent, child.at = self, len(self.children)
         self.children.append(child)
 
     def insert_before(self, child: Node, place: Node) -> None:
         child.detach()
-        child.parent = self
-        self.children.insert(self.children.index(place), child)
+        child.parent, child.at = self, place.place()
+        self.children.insert(child.at, child)
 
     def detach(self) -> None:
         if self.parent is not None:
-            self.parent.children.remove(self)
+            del self.parent.children[self.place()]
             self.parent = None
 
     def replace_with(self, other: Node) -> None:
         parent = self.parent
         other.detach()
-        parent.children[parent.children.index(self)] = other
+        other.at = self.place()
+        parent.children[other.at] = other
         self.parent, other.parent = None, parent
 
     def walk(self) -> Iterator[Node]:
@@ -60,7 +74,7 @@ class Node:
             old, new = todo.pop()
             for c in old.children:
                 own = Node(c.kind, c.tag, c.text, [list(a) for a in c.attrs], c.space)
-                own.parent = new
+                own.parent, own.at = new, len(new.children)
                 new.children.append(own)
                 if c.children:
                     todo.append((c, own))

@@ -1,5 +1,7 @@
 """Extraction by cases: contracts of a document, visibility, URIs, tables, metadata, and plans over tables."""
 
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -8,6 +10,7 @@ from pagelift.operators.article import Failed, Options, extract_node, extract_pa
 from pagelift.operators.readable import probably_article
 from pagelift.plans.kernel import extract_articles, extract_articles_from_nodes, flatten, node_table, to_json, unflatten
 from pagelift.sources.html import parse, serialize
+from pagelift.sources.pages import read_files
 
 LONG = "This sentence is here so that the paragraph has enough text, commas, and units to count. " * 8
 NOW = Options(char_threshold=0)
@@ -249,3 +252,30 @@ def test_files(spark, tmp_path):
 
     (tmp_path / "a.html").write_text("<p>x")
     assert [(r["url"], r["html"]) for r in read_files(spark, str(tmp_path), "https://e.com/").collect()] == [("https://e.com/a.html", "<p>x")]
+
+
+def test_files_of_any_bytes(spark, tmp_path):
+    (tmp_path / "a.html").write_bytes(b"<p>caf\xe9 \xff</p>")
+    (tmp_path / "b.html").write_bytes(b"")
+    rows = {r["url"]: r["html"] for r in read_files(spark, str(tmp_path), "https://e.com/").collect()}
+    assert rows == {"https://e.com/a.html": "<p>caf\ufffd \ufffd</p>"}
+
+
+def test_halves_of_surrogate_pairs():
+    assert metadata.loads('{"\\ud800": ["a \\udc00 b", "\\ud83d\\ude00"]}') == {"\ufffd": ["a \ufffd b", "\U0001f600"]}
+
+
+def test_the_page_id_is_an_option():
+    page = "<article><p>" + "some words, and more of them. " * 30 + "</p></article>"
+    assert extract_page(page).content.startswith('<div id="page-1" class="page">')
+    assert extract_page(page, options=Options(page_id="own")).content.startswith('<div id="own" class="page">')
+
+
+def test_flat_pages_take_linear_time():
+    times = []
+    for n in (2_000, 16_000):
+        page = "<body>" + "".join(f"<p>paragraph {i} has some words, and more.</p>" + "<div class=sidebar>x</div>" * (i % 3 == 0) for i in range(n))
+        began = time.process_time()
+        extract_page(page)
+        times.append(time.process_time() - began)
+    assert times[1] < 20 * times[0] + 1, times
