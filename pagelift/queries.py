@@ -320,27 +320,31 @@ def _points(c: str) -> str:
 #: The pages have one scaffold: a nav, a comment, a div of one text, and the article with its heading and paragraphs, in
 #: which a b element is opened here and there and never closed, so that each paragraph after it opens it anew (three of
 #: a kind at most). The article and its paragraphs come out, the div as a paragraph before them (but for one of 80 units,
-#: which is neither long nor short), and nav and comment if the body has more points than the article. Texts of fewer
-#: than 500 units are tried four times.
+#: which is neither long nor short), the heading as h2 if it is not much like the title, and nav and comment if the body (less its share of links) has more points than the article. Texts of fewer
+#: than 500 units are tried four times; the first time such a whole body goes if links are over a fifth of it.
+_TRIES = f"CASE WHEN {_units('text_content')} < 500 THEN 4 ELSE 1 END"
 _OPEN = "least(3, coalesce(list_sum(bs[:i - 1]), 0))::BIGINT"
 _ARTICLES = f"""
     WITH a AS (SELECT page_id, url, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang, regexp_extract(html, '(?s)<div class="ad">(.*?)</div>', 1) AS ad,
          regexp_extract(html, '<!--.*?-->') AS comment, regexp_extract_all(html, '<li><a href="([^"]*)"', 1) AS links, regexp_extract_all(html, '(?s)<li><a [^>]*>(.*?)</a></li>', 1) AS names,
-         string_split(replace(regexp_replace(regexp_extract(html, '(?s)</h1>(.*?)</article>', 1), '^<p>', ''), '</p>', ''), '<p>') AS ps FROM pages),
+         regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1) AS head, regexp_extract(html, '(?s)<footer>(.*?)</footer>', 1) AS foot, string_split(replace(regexp_replace(regexp_extract(html, '(?s)</h1>(.*?)</article>', 1), '^<p>', ''), '</p>', ''), '<p>') AS ps, title FROM pages JOIN ({_TITLES}) USING (page_id)),
     b AS (SELECT *, list_transform(ps, lambda p: len(p) - len(replace(p, '<b>', 'bb'))) AS bs, list_transform(ps, lambda p: {_spaced(_decoded('p'))}) AS texts,
           {_spaced(_decoded('ad'))} AS ad_text, list_sum(list_transform(ps, lambda p: {_points(_inner(_decoded('p')))})) AS points, {_points(_inner(_decoded('ad')))} AS ad_points FROM a),
-    c AS (SELECT *, 2 * ad_points > points AS whole, list_transform(ps, lambda p, i: '<p>' || repeat('<b>', {_OPEN})
+    s AS (SELECT *, length({_inner(_decoded("array_to_string(names, '')"))}) AS linked,
+          length({_inner(_decoded("array_to_string(names, '') || ad || head || array_to_string(ps, '') || foot"))}) AS units FROM b),
+    c AS (SELECT *, (ad_points + points / 2.0) * (1 - linked / units) > points AS whole, list_transform(ps, lambda p, i: '<p>' || repeat('<b>', {_OPEN})
             || array_to_string(list_transform(string_split(p, '<br>'), lambda x: array_to_string(list_transform(string_split(x, '<b>'), lambda y: {_escaped('y')}), '<b>')), '<br/>')
-            || repeat('</b>', ({_OPEN} + bs[i])::BIGINT) || '</p>') AS parts FROM b),
+            || repeat('</b>', ({_OPEN} + bs[i])::BIGINT) || '</p>') AS parts FROM s),
     d AS (SELECT *, whole OR length(ad_text) <> 80 AS with_ad, CASE WHEN whole THEN {_spaced(_decoded("array_to_string(names, '')"))} ELSE '' END AS nav_text,
           CASE WHEN whole THEN '<nav><ul>' || array_to_string(list_transform(links, lambda l, i: '<li><a href="' || regexp_extract(url, '^[a-z]+://[^/]*')
             || array_to_string(list_transform(string_split(l, ''), lambda x: CASE WHEN x < chr(128) THEN x ELSE url_encode(x) END), '') || '">' || {_escaped('names[i]')} || '</a></li>'), '') || '</ul></nav>' || comment ELSE '' END AS nav FROM c),
-    e AS (SELECT *, nav_text || CASE WHEN with_ad THEN ad_text ELSE '' END || array_to_string(texts, '') AS text_content FROM d)
-    SELECT e.page_id, 'ok' AS status, CAST(NULL AS INTEGER) AS error_count, CAST(NULL AS INTEGER) AS error_max, t.title, '' AS byline, '' AS dir, lang,
-           '<div id="page-1" class="page">' || nav || CASE WHEN with_ad THEN '<p>' || {_escaped('ad')} || '</p>' ELSE '' END || '<article>' || array_to_string(parts, '') || '</article></div>' AS content,
+    h AS (SELECT *, coalesce({_similarity("title", _decoded("head"))}, 0) > 0.75 AS same FROM d),
+    e AS (SELECT *, nav_text || CASE WHEN with_ad THEN ad_text ELSE '' END || CASE WHEN same THEN '' ELSE {_spaced(_decoded("head"))} END || array_to_string(texts, '') AS text_content FROM h)
+    SELECT e.page_id, 'ok' AS status, CAST(NULL AS INTEGER) AS error_count, CAST(NULL AS INTEGER) AS error_max, title, '' AS byline, '' AS dir, lang,
+           '<div id="page-1" class="page">' || nav || CASE WHEN with_ad THEN '<p>' || {_escaped('ad')} || '</p>' ELSE '' END || '<article>' || CASE WHEN same THEN '' ELSE '<h2>' || {_escaped('head')} || '</h2>' END || array_to_string(parts, '') || '</article></div>' AS content,
            text_content, {_units('text_content')} AS length, CASE WHEN with_ad THEN trim({_decoded('ad')}) ELSE trim({_decoded('ps[1]')}) END AS excerpt,
-           '' AS site_name, '' AS published_time, CAST(CASE WHEN {_units('text_content')} < 500 THEN 4 ELSE 1 END AS INTEGER) AS attempts
-    FROM e JOIN ({_TITLES}) t USING (page_id)"""
+           '' AS site_name, '' AS published_time, CAST({_TRIES} AS INTEGER) AS attempts
+    FROM e"""
 _JSON = {"title": "title", "byline": "byline", "dir": "dir", "lang": "lang", "content": "content", "textContent": "text_content", "length": "length", "excerpt": "excerpt", "siteName": "site_name", "publishedTime": "published_time"}
 #: Elements: 13 of the scaffold, two for each link, paragraphs, breaks, and b elements as they are opened and opened anew,
 #: the last time in the footer.
@@ -351,15 +355,32 @@ _ELEMENTS = f"""
           + list_sum(list_transform(bs, lambda n, i: {_OPEN})) + least(3, list_sum(bs)) AS INTEGER) AS error_count FROM b)
     SELECT page_id, error_count, CAST(30 AS INTEGER) AS error_max FROM c WHERE error_count > 30"""
 
+#: The article has the points of its paragraphs, the body half of them less its share of links. Their places: twelve
+#: nodes stand before the nav, three for each link in it, and five up to the article.
+_SCORES = f"""
+    WITH a AS (SELECT page_id, regexp_extract(html, '(?s)<body>(.*)', 1) AS body, regexp_extract_all(html, '(?s)<li><a [^>]*>(.*?)</a></li>', 1) AS names,
+         string_split(replace(regexp_replace(regexp_extract(html, '(?s)</h1>(.*?)</article>', 1), '^<p>', ''), '</p>', ''), '<p>') AS ps FROM pages),
+    b AS (SELECT page_id, len(names) AS n, list_sum(list_transform(names, lambda x: {_units(_inner(_decoded('x')))})) AS linked,
+          {_units(_inner(_decoded("regexp_replace(body, '<!--.*?-->', '')")))} AS units, CAST(list_sum(list_transform(ps, lambda p: {_points(_inner(_decoded('p')))})) AS DOUBLE) AS points FROM a),
+    c AS (SELECT page_id, CAST(17 + 3 * n AS INTEGER) AS id, 'article' AS tag, points AS score FROM b WHERE points > 0
+          UNION ALL SELECT page_id, CAST(11 AS INTEGER), 'body', points / 2 * (1 - linked / units) FROM b WHERE points > 0)
+    SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM c"""
+
 _CASE_NAMES = "tag, weight, " + ", ".join(HOLDINGS) + ", link_density, video, in_figure"
 _CASE_VALUES = ", ".join("(" + ", ".join(_q(x) for x in r) + ")" for r in CASES)
 
 ORACLE_SQL = {
     "extract_articles": _ARTICLES,
+    "extract_all_retries": _ARTICLES.replace(_TRIES, "4"),
+    "extract_no_retries": f"""
+        SELECT page_id, status, error_count, error_max, title, byline, dir, lang, CASE WHEN goes THEN '' ELSE content END AS content, CASE WHEN goes THEN '' ELSE text_content END AS text_content,
+               CASE WHEN goes THEN 0 ELSE length END AS length, CASE WHEN goes THEN '' ELSE excerpt END AS excerpt, site_name, published_time, CAST(1 AS INTEGER) AS attempts
+        FROM (SELECT *, length(regexp_replace(array_to_string(regexp_extract_all(content, '(?s)<a [^>]*>(.*?)</a>', 1), ''), '&[a-z0-9#]+;', '_', 'g')) > 0.2 * length AS goes FROM ({_ARTICLES}))""",
     "extract_from_nodes": _ARTICLES,
     "stream_articles": _ARTICLES,
     "article_json": "SELECT page_id, '{' || " + " || ',' || ".join(f"'\"{k}\":' || CAST(to_json({c}) AS VARCHAR)" for k, c in _JSON.items()) + f" || '}}' AS json FROM ({_ARTICLES})",
     "element_limit": _ELEMENTS,
+    "candidate_scores": _SCORES,
     "probably_articles": _READABLE,
     "tag_counts": "SELECT page_id, " + ", ".join(f"CAST(len(regexp_extract_all(html, '<{t}[ >]')) AS BIGINT) AS n_{t}" for t in ("a", "li", "h1", "article", "footer", "div")) + " FROM pages",
     "page_languages": """SELECT page_id, regexp_extract(html, '<html lang="([^"]*)"', 1) AS lang FROM pages""",
