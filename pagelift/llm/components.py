@@ -1,4 +1,8 @@
-"""Connected components of a table of links, by alternating large and small stars."""
+"""Connected components of a table of links, by alternating large and small stars.
+
+Defined cases: links with a null, and of a node to itself, say nothing; repeated ones count once, in either direction. A
+node without a link is not in the result; an empty table gives an empty one.
+"""
 
 from __future__ import annotations
 

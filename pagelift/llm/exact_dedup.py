@@ -12,15 +12,18 @@ ranks below all others. Empty tables give empty results. Other columns are not l
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .runtime import ascii_lower, attach, materialize, partitions_for, null_safe, semi_join, text_or_empty, without
+from .runtime import ascii_lower, attach, materialize, new_path, null_safe, partitions_for, semi_join, text_or_empty, without
 
 #: Digests of a shard, and so the keys of one filter: about 70 KB.
 SHARD_KEYS = 1 << 16
+FILTERS = "shard long, seed long, segment long, span long, fingerprints binary"
 
 
 class BinaryFuse8:
@@ -113,7 +116,7 @@ def build_filters(groups: DataFrame, bits: int) -> DataFrame:
         f = BinaryFuse8.build(np.unique(_key(table.column("digest").combine_chunks())))
         return pa.table({"shard": [key[0].as_py()], "seed": [f.seed], "segment": [f.segment], "span": [f.span], "fingerprints": [f.fingerprints.tobytes()]})
 
-    return groups.select(_shard(bits).alias("shard"), "digest").groupBy("shard").applyInArrow(build, "shard long, seed long, segment long, span long, fingerprints binary")
+    return groups.select(_shard(bits).alias("shard"), "digest").groupBy("shard").applyInArrow(build, FILTERS)
 
 
 def screen(groups: DataFrame, filters: DataFrame, bits: int) -> DataFrame:
@@ -130,26 +133,56 @@ def screen(groups: DataFrame, filters: DataFrame, bits: int) -> DataFrame:
     return groups.withColumn("shard", _shard(bits)).groupBy("shard").cogroup(filters.groupBy("shard")).applyInArrow(probe, groups.schema)
 
 
-def match_batch(batch: DataFrame, snapshot: DataFrame, texts: DataFrame) -> DataFrame:
+@dataclass
+class Snapshot:
+    """What is kept of an immutable snapshot: its digests, with the largest doc_id and the rows of each, and a filter for
+    each shard of them. It is built once, and serves all deliveries that come later."""
+
+    groups: DataFrame
+    filters: DataFrame
+    digests: int
+    rows: int
+
+    @property
+    def bits(self) -> int:
+        return max(0, (partitions_for(self.digests, SHARD_KEYS) - 1).bit_length())
+
+    @classmethod
+    def build(cls, rows: DataFrame, path: str | None = None) -> Snapshot:
+        """Of rows as of digests(); written to path, or to the shared folder."""
+        spark, path = rows.sparkSession, path or new_path(rows.sparkSession, "dedup-snapshot")
+        _group(rows).write.parquet(f"{path}/groups")
+        out = cls.load(spark, path, without_filters=True)
+        build_filters(out.groups, out.bits).write.parquet(f"{path}/filters")
+        return cls.load(spark, path)
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, without_filters: bool = False) -> Snapshot:
+        groups = spark.read.parquet(f"{path}/groups")
+        sizes = groups.agg(F.count(F.lit(1)).alias("digests"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
+        return cls(groups, None if without_filters else spark.read.schema(FILTERS).parquet(f"{path}/filters"), sizes["digests"], sizes["rows"])
+
+
+def match_batch(batch: DataFrame, snapshot: DataFrame, texts: DataFrame, stored: Snapshot | None = None) -> DataFrame:
     """Decide the rows of an immutable snapshot and of a new batch (both as of digests()) together.
 
-    texts (doc_id, text) has the texts of both. Returns doc_id, digest, keep_id (the largest doc_id of the equal
-    texts) and group_size for every row of both.
+    texts (doc_id, text) has the texts of both; stored: what was kept of the snapshot, else it is built. Returns doc_id,
+    digest, keep_id (the largest doc_id of the equal texts) and group_size for every row of both.
     """
-    snap, new = _group(snapshot), _group(batch)
-    snap = materialize(snap, "dedup-snapshot")
-    sizes = snap.agg(F.count(F.lit(1)).alias("digests"), F.coalesce(F.sum("n"), F.lit(0)).alias("rows")).first()
-    n_snap, n_rows = sizes["digests"], sizes["rows"] + batch.count()
-    bits = max(0, (partitions_for(n_snap, SHARD_KEYS) - 1).bit_length())
-    filters = materialize(build_filters(snap, bits), "dedup-filters")
+    stored = stored or Snapshot.build(snapshot)
+    new, snap, filters, bits = _group(batch), stored.groups, stored.filters, stored.bits
+    n_rows = stored.rows + batch.count()
     positives = screen(new, filters, bits).select("digest", "n_bytes", F.col("top").alias("new_id"), F.col("n").alias("new_n"))
     pairs = materialize(positives.join(snap.withColumnsRenamed({"top": "snap_id", "n": "snap_n"}), ["digest", "n_bytes"]), "dedup-positives")
-    ids = pairs.select(F.explode(F.array("new_id", "snap_id")).alias("doc_id")).filter("doc_id is not null").distinct()
-    low = semi_join(texts, ids, "doc_id", 2 * pairs.count()).select("doc_id", ascii_lower(text_or_empty("text")).alias("low"))
+    # A null doc_id is found as the least number.
+    pairs = pairs.withColumns({"new_did": null_safe(F.col("new_id")), "snap_did": null_safe(F.col("snap_id"))})
+    ids = pairs.select(F.explode(F.array("new_did", "snap_did")).alias("did")).distinct()
+    own = texts.select(null_safe(F.col("doc_id")).alias("did"), "text")
+    low = semi_join(own, ids, "did", 2 * pairs.count()).select("did", ascii_lower(text_or_empty("text")).alias("low"))
     # An id with several texts has several rows here: that with the digest of the pair counts.
-    low = low.select("doc_id", "low", F.unhex(F.sha2("low", 256)).alias("digest"))
-    checked = pairs.join(low.select(F.col("doc_id").alias("new_id"), "digest", F.col("low").alias("a")).dropDuplicates(["new_id", "digest"]), ["new_id", "digest"])
-    checked = checked.join(low.select(F.col("doc_id").alias("snap_id"), "digest", F.col("low").alias("b")).dropDuplicates(["snap_id", "digest"]), ["snap_id", "digest"])
+    low = low.select("did", "low", F.unhex(F.sha2("low", 256)).alias("digest"))
+    checked = pairs.join(low.select(F.col("did").alias("new_did"), "digest", F.col("low").alias("a")).dropDuplicates(["new_did", "digest"]), ["new_did", "digest"])
+    checked = checked.join(low.select(F.col("did").alias("snap_did"), "digest", F.col("low").alias("b")).dropDuplicates(["snap_did", "digest"]), ["snap_did", "digest"])
     equal = materialize(checked.filter(F.col("a") == F.col("b")).select("digest", "n_bytes", F.greatest("new_id", "snap_id").alias("keep_id"), (F.col("new_n") + F.col("snap_n")).alias("group_size")), "dedup-equal")
     side = lambda rows, groups, name: attach(rows, groups.join(equal, ["digest", "n_bytes"], "left").select(
         "digest", "n_bytes", F.coalesce("keep_id", "top").alias("keep_id"), F.coalesce("group_size", "n").alias("group_size")

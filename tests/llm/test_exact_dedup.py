@@ -60,6 +60,20 @@ def test_a_hot_text(spark):
     assert D.drop_copies(rows).count() == 201
 
 
+def test_a_stored_snapshot_serves_later_batches(spark, tmp_path, monkeypatch):
+    all_ = docs(spark, [text(i % 30, 6) for i in range(60)])
+    rows = D.materialize(D.digests(all_), "test")
+    old = rows.filter("doc_id <= 40")
+    D.Snapshot.build(old, str(tmp_path / "snapshot"))
+    monkeypatch.setattr(D, "build_filters", None)  # nothing is built again
+    stored = D.Snapshot.load(spark, str(tmp_path / "snapshot"))
+    assert (stored.digests, stored.rows, stored.filters.count()) == (30, 40, 1)
+    for batch in (rows.filter("doc_id > 40"), rows.filter("doc_id > 55"), rows.limit(0)):
+        got = {r["doc_id"]: (r["keep_id"], r["group_size"]) for r in D.match_batch(batch, old, all_.select("doc_id", "text"), stored).collect()}
+        ids = sorted([r["doc_id"] for r in batch.collect()] + list(range(1, 41)))
+        assert got == {i: (max(j for j in ids if (j - i) % 30 == 0), sum((j - i) % 30 == 0 for j in ids)) for i in ids}
+
+
 def test_batch_against_a_snapshot(spark):
     """Copies on either side, and on both."""
     all_ = docs(spark, ["a", "b", "b", "c", "A", "d", "c", "e"])
