@@ -34,7 +34,9 @@ CLASSES = 256
 #: fewer than FULL tokens, of which more share a sequence, have the less.
 FILL, FULL = 56, 256
 #: Column generation ends after so many new patterns at the latest; any basis gives whole, only looser, packings.
-PRICINGS = 1500
+PRICINGS = 300
+#: It ends before if no pattern is worth more than this over a sequence: the program is then as near its optimum.
+GAP = 2e-3
 #: Items of one rank group, and sequences and fillers' tokens of one filling task.
 RANK_ROWS, FILL_ROWS, FILL_TOKENS = 200_000, 20_000, 1 << 19
 
@@ -162,10 +164,10 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, pric
     """Patterns (rows) and how often each is used, of the linear program's last basis (revised simplex)."""
     m = len(sizes)
     basis = np.diag((capacity // sizes).astype(float))  # a column is a pattern
-    inverse = np.linalg.inv(basis)
-    for turn in range(pricings):
+    inverse = np.diag(1 / np.diag(basis))
+    for _ in range(pricings):
         value, pattern = price(np.maximum(inverse.sum(axis=0), 0), sizes, capacity)
-        if value <= 1 + 1e-7:
+        if value <= 1 + GAP:
             break
         use, step = inverse @ demand, inverse @ pattern
         ratio = np.where(step > 1e-9, use / np.where(step > 1e-9, step, 1), np.inf)
@@ -173,12 +175,10 @@ def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, pric
         if not np.isfinite(ratio[out]):
             break
         basis[:, out] = pattern
-        if turn % 100 == 99:
-            inverse = np.linalg.inv(basis)
-        else:  # the column that leaves is replaced in the inverse
-            pivot = inverse[out] / step[out]
-            inverse = inverse - np.outer(step, pivot)
-            inverse[out] = pivot
+        # The column that leaves is replaced in the inverse.
+        pivot = inverse[out] / step[out]
+        inverse = inverse - np.outer(step, pivot)
+        inverse[out] = pivot
     return basis.T.astype(int), np.maximum(inverse @ demand, 0) if m else np.zeros(0)
 
 
