@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, exact_dedup, jaccard, langid, licenses, packing, quality, toxicity, warc
+from . import audit, chat, decontam, exact_dedup, importance, jaccard, langid, licenses, mixing, packing, quality, toxicity, warc
 from .runtime import spread
 
 
@@ -70,7 +70,19 @@ def op10_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.near_duplicates(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_decontam, op2_toxicity, op3_exact_dedup, op4_quality, op5_langid, op6_chat, op7_licenses, op8_packing, op9_warc, op10_jaccard)}
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.audit(audit.failures(documents(spark, sf_dir), table(spark, sf_dir, "labels")))
+
+
+def op12_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return importance.resample(documents(spark, sf_dir), table(spark, sf_dir, "benchmark"))
+
+
+def op13_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(documents(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+QUERIES = {f.__name__: f for f in (op1_decontam, op2_toxicity, op3_exact_dedup, op4_quality, op5_langid, op6_chat, op7_licenses, op8_packing, op9_warc, op10_jaccard, op11_filter_audit, op12_importance, op13_mixing)}
 
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -124,7 +136,71 @@ _NEAR = f"""
     SELECT d.doc_id, coalesce(s.n, 0) AS n_shingles, c.id AS component_id
     FROM docs d LEFT JOIN sizes s USING (doc_id) JOIN (SELECT doc_id, min(id) AS id FROM reached GROUP BY doc_id) c USING (doc_id)"""
 
+_WORD = r"[^\x20\x09-\x0D]+"
+
+_AUDIT = f"""
+    WITH d AS (SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '{_WORD}') AS w FROM documents),
+    flags AS (SELECT doc_id, part, [len(w) < 200, 100 * len(list_distinct(w)) < 50 * len(w), 100 * length(regexp_replace(t, '[^A-Z]+', '', 'g')) > 3 * length(t),
+                     regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > min(doc_id) OVER (PARTITION BY t), false)] AS fails FROM d),
+    own AS (SELECT doc_id, max(CAST(quality = 1 AS INTEGER)) AS good, max(CAST(toxic = 1 AS INTEGER)) AS toxic FROM labels GROUP BY doc_id),
+    patterns AS (SELECT part, fails, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM flags LEFT JOIN own USING (doc_id) GROUP BY part, fails),
+    letters AS (SELECT unnest(range(1, 6)) AS f),
+    orders AS (SELECT [a.f, b.f, c.f, d.f, e.f] AS o FROM letters a JOIN letters b ON b.f <> a.f JOIN letters c ON c.f NOT IN (a.f, b.f)
+               JOIN letters d ON d.f NOT IN (a.f, b.f, c.f) JOIN letters e ON e.f NOT IN (a.f, b.f, c.f, d.f)),
+    steps AS (SELECT o, array_to_string(list_transform(o, lambda x: chr(CAST(64 + x AS INTEGER))), '') AS filter_order, k AS step, o[k] AS f FROM orders, (SELECT unnest(range(1, 6)) AS k)),
+    counted AS (SELECT part, filter_order, step, f, sum(CASE WHEN list_bool_or(list_transform(o[:step], lambda x: fails[x])) THEN 0 ELSE n END) AS kept,
+                sum(CASE WHEN fails[f] AND NOT coalesce(list_bool_or(list_transform(o[:step - 1], lambda x: fails[x])), false) THEN n ELSE 0 END) AS removed,
+                sum(CASE WHEN fails[f] THEN n ELSE 0 END) AS failing, sum(CASE WHEN fails[f] AND len(list_filter(fails, lambda x: x)) = 1 THEN n ELSE 0 END) AS unique_fails,
+                sum(CASE WHEN fails[f] AND NOT coalesce(list_bool_or(list_transform(o[:step - 1], lambda x: fails[x])), false) THEN good ELSE 0 END) AS good_lost,
+                sum(CASE WHEN fails[f] AND NOT coalesce(list_bool_or(list_transform(o[:step - 1], lambda x: fails[x])), false) THEN toxic ELSE 0 END) AS toxic_lost
+                FROM patterns, steps GROUP BY part, filter_order, step, f)
+    SELECT part, filter_order, CAST(step AS INTEGER) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(failing - removed AS BIGINT) AS redundant,
+           CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+           CAST(sum(removed) OVER (PARTITION BY part, f) AS BIGINT) AS shapley FROM counted"""
+
+#: crc32 by a table of a byte's values, over the bytes of each different word.
+_CRC = "[" + ", ".join(str(int(x)) for x in importance._CRC) + "]"
+_GRAM = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+_IMPORTANCE = f"""
+    WITH crc AS (SELECT {_CRC} AS c),
+    words AS (SELECT doc_id, true AS ours, unnest(regexp_extract_all({_LOW}, '{_GRAM}')) AS w FROM documents
+              UNION ALL SELECT item_id, false, unnest(regexp_extract_all({_LOW}, '{_GRAM}')) FROM benchmark),
+    bytes AS (SELECT w, list_transform(regexp_extract_all(hex(encode(w)), '..'), lambda x: CAST('0x' || x AS BIGINT)) AS b FROM (SELECT DISTINCT w FROM words)),
+    hashed AS (SELECT w, xor(list_reduce(b, lambda s, x: xor(c[(xor(s, x) & 255) + 1], s >> 8), CAST(4294967295 AS BIGINT)), 4294967295) % 10000 AS bucket FROM bytes, crc),
+    counts AS (SELECT bucket, count(*) FILTER (WHERE ours) AS s, count(*) FILTER (WHERE NOT ours) AS t FROM words JOIN hashed USING (w) GROUP BY bucket),
+    sums AS (SELECT sum(s) AS all_s, sum(t) AS all_t FROM counts),
+    gains AS (SELECT bucket, floor(1000 * ln(CAST(t + 1 AS DOUBLE) * (all_s + 10000) / (CAST(s + 1 AS DOUBLE) * (all_t + 10000)))) AS gain FROM counts, sums),
+    weights AS (SELECT doc_id, count(*) AS n, sum(gain) AS weight FROM words JOIN hashed USING (w) JOIN gains USING (bucket) WHERE ours GROUP BY doc_id),
+    scored AS (SELECT doc_id, coalesce(n, 0) AS n_features, CAST(coalesce(weight, 0) AS BIGINT) AS weight,
+               CAST(coalesce(weight, 0) + floor(-1000 * ln(-ln((CAST('0x' || substr(sha256('2024:' || doc_id), 1, 8) AS BIGINT) + 0.5) / 4294967296::DOUBLE))) AS BIGINT) AS score
+               FROM documents LEFT JOIN weights USING (doc_id)),
+    ranks AS (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS r, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+    SELECT doc_id, n_features, weight, score, CASE WHEN r <= 10 * n // 100 THEN r END AS rank FROM scored LEFT JOIN ranks USING (doc_id)"""
+
+#: A source is full if the water that fills it needs no more words than there are; the last document of a source is taken if that
+#: brings it nearer to its target.
+_MIX = f"""
+    WITH d AS (SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) AS size,
+               CAST('0x' || substr(md5('2024:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))), 1, 15) AS BIGINT) AS place FROM documents),
+    sizes AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+    weighed AS (SELECT *, [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, sum(source_size) OVER () AS total FROM sizes),
+    poured AS (SELECT *, sum(3 * source_size) OVER upto AS fulls, sum(w) OVER upto AS ws, sum(w) OVER () AS all_w FROM weighed
+               WINDOW upto AS (ORDER BY 3 * source_size / w, source NULLS LAST ROWS UNBOUNDED PRECEDING)),
+    levels AS (SELECT *, fulls * w + 3 * source_size * (all_w - ws) <= total * w AS is_full FROM poured),
+    aims AS (SELECT source, source_size, CASE WHEN is_full THEN CAST(3 * source_size AS DOUBLE)
+                    ELSE CAST(w * (total - coalesce(sum(3 * source_size) FILTER (WHERE is_full) OVER (), 0)) AS DOUBLE) / CAST(sum(w) FILTER (WHERE NOT is_full) OVER () AS DOUBLE) END AS target FROM levels),
+    lefts AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM aims),
+    units AS (SELECT source, place, sum(size) AS u FROM d GROUP BY source, place),
+    upto AS (SELECT source, place, u, sum(u) OVER (PARTITION BY source ORDER BY place ROWS UNBOUNDED PRECEDING) AS run FROM units),
+    more AS (SELECT x.source, x.place, CAST(run - u AS DOUBLE) < target - whole * source_size AND run - (target - whole * source_size) < (target - whole * source_size) - (run - u)
+             OR run <= target - whole * source_size AS again FROM upto x JOIN lefts l ON x.source IS NOT DISTINCT FROM l.source)
+    SELECT d.doc_id, d.size, l.source_size, l.target, CAST(d.size * (l.whole + CASE WHEN m.again THEN 1 ELSE 0 END) AS BIGINT) AS taken
+    FROM d JOIN lefts l ON d.source IS NOT DISTINCT FROM l.source JOIN more m ON d.source IS NOT DISTINCT FROM m.source AND d.place = m.place"""
+
 ORACLE_SQL = {
+    "op11_filter_audit": _AUDIT,
+    "op12_importance": _IMPORTANCE,
+    "op13_mixing": _MIX,
     "op1_decontam": _CONTAINED,
     "op10_jaccard": _NEAR,
     "op7_licenses": _LICENSES,

@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  pa.compute
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Most rows of ids or groups that are broadcast: 8 to 60 bytes a row, so a few tens of MB at most.
@@ -144,3 +144,28 @@ def arrow_map(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], pa.Recor
                     yield out
 
     return df.mapInArrow(run, schema)
+
+
+def attach_sized(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int, n_groups: int) -> DataFrame:
+    """As attach; up to BROADCAST_ROWS groups are broadcast whole, so that rows are not shuffled."""
+    return rows.join(F.broadcast(groups), keys, "left") if n_groups <= BROADCAST_ROWS else attach(rows, groups, keys, size, total)
+
+
+#: Rows of a running sum that one task sorts.
+RUNNING_ROWS = 200_000
+
+
+def running(df: DataFrame, order: list[Column], sums: dict[str, Column], name: str) -> DataFrame:
+    """df with a column of the sum up to and with each row, for each of sums; order tells all rows apart.
+
+    Rows are dealt by ranges of the order and written, so that ranges stay what they are; a task sums its own range, to
+    which the sum of the ranges before it is added (one row a range). No task gets all rows.
+    """
+    n = partitions_for(df.count(), RUNNING_ROWS)
+    dealt = materialize(df.repartitionByRange(n, *order).withColumn("range_", F.spark_partition_id()), name)
+    before = Window.orderBy("range_").rowsBetween(Window.unboundedPreceding, -1)
+    each = dealt.groupBy("range_").agg(*(F.sum(c).alias(k) for k, c in sums.items()))
+    each = each.select("range_", *(F.coalesce(F.sum(k).over(before), F.lit(0)).alias(f"{k}_before") for k in sums))
+    own = Window.partitionBy("range_").orderBy(*order).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = dealt.withColumns({k: F.sum(c).over(own) for k, c in sums.items()}).join(F.broadcast(each), "range_")
+    return rows.withColumns({k: F.col(k) + F.col(f"{k}_before") for k in sums}).drop("range_", *(f"{k}_before" for k in sums))
