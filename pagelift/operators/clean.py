@@ -53,8 +53,12 @@ def clean_styles(n: Node) -> None:
 
 
 def _span(n: Node, name: str) -> int:
+    """A whole number kept within 64 bits; what is none, and 0, is 1."""
     value = get(n, name)
-    return (int(value) if _WHOLE.match(value) and abs(int(value)) < 2**63 else 0) or 1
+    if not _WHOLE.match(value):
+        return 1
+    size = value.lstrip("+-").lstrip("0")[:20] or "0"  # 20 digits are beyond 64 bits, whatever follows
+    return max(-(2**63), min(2**63 - 1, -int(size) if value[0] == "-" else int(size))) or 1
 
 
 def table_size(table: Node) -> tuple[int, int]:

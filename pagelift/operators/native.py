@@ -130,33 +130,6 @@ def fishy(tag: Column, weight: Column, h: dict[str, Column], modifier: float = 0
     return F.when(weight < 0, True).when((h["commas"] >= 10) | h["video"], False).otherwise(wrong)
 
 
-def content_scores(tables: DataFrame, id_cols: list[str], nodes_col: str = "nodes") -> DataFrame:
-    """Scores of the ancestors of the paragraphs of a node table as it is: id columns, id, tag and score.
-
-    Each scored element gives its points to up to five ancestors, divided by 1, 2, 6, 9 and 12; an ancestor begins
-    with the points of its tag and names, and its score falls with its share of links.
-    """
-    from .article import ANCESTORS, LEAST_PARAGRAPH, POINTS, SCORED
-
-    nodes = F.col(nodes_col)
-    by_id = lambda i: F.get(nodes, i)
-    own = tables.select(*id_cols, nodes_col, F.explode(tagged(nodes, *sorted(SCORED))).alias("p"))
-    own = own.withColumn("inner", X.inner_col(text_of(nodes, F.col("p")))).filter(X.utf16_col(F.col("inner")) >= LEAST_PARAGRAPH)
-    own = own.withColumn("points", X.paragraph_score_col(F.col("inner")))
-    up, chain = F.col("p")["parent"], []
-    for level in range(ANCESTORS):
-        chain.append(F.struct(up.alias("id"), F.lit((1, 2, 6, 9, 12)[level]).alias("divider")))
-        up = by_id(up)["parent"]
-    given = own.select(*id_cols, "points", F.explode(F.array(*chain)).alias("up")).filter(F.col("up.id") > 0)
-    sums = given.groupBy(*id_cols, F.col("up.id").alias("id")).agg(F.sum(F.col("points") / F.col("up.divider")).alias("given"))
-    node = F.get(nodes, F.col("id"))
-    at = sums.join(tables.select(*id_cols, nodes_col), id_cols).withColumn("n", node)
-    at = at.filter((F.col("n.kind") == ELEMENT) & (F.get(nodes, F.col("n.parent"))["kind"] == ELEMENT))
-    start = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in POINTS.items() for x in pair]), F.col("n.tag")), F.lit(0.0))
-    weight = matchers.class_weight_col(attribute(F.col("n.attrs"), "class"), attribute(F.col("n.attrs"), "id"))
-    return at.select(*id_cols, "id", F.col("n.tag").alias("tag"), ((start + weight + F.col("given")) * (1 - link_density(nodes, F.col("n")))).alias("score"))
-
-
 def top_candidates(scores: DataFrame, id_cols: list[str], count: int = 5) -> DataFrame:
     """The best candidates of each page; of equal ones the first."""
     rank = F.row_number().over(Window.partitionBy(*id_cols).orderBy(F.desc("score"), "id"))

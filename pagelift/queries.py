@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pagelift import tree_queries
 from pagelift.functions import matchers
 from pagelift.functions import text as X
-from pagelift.operators import native
+from pagelift.operators import native, trees
 from pagelift.plans.kernel import extract_articles, extract_articles_from_nodes, node_table, to_json
 
 # Literal rows for operators whose inputs the page table does not have.
@@ -114,7 +115,7 @@ def nav_link_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return native.top_candidates(native.content_scores(_nodes(spark, sf_dir), ["page_id"]), ["page_id"])
+    return native.top_candidates(trees.content_scores(_nodes(spark, sf_dir), ["page_id"]).drop("class"), ["page_id"])
 
 
 def utf16_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -228,6 +229,7 @@ QUERIES = {
     "inline_styles": inline_styles,
     "golden_pages": golden_pages,
     "stream_articles": stream_articles,
+    **tree_queries.QUERIES,
 }
 
 
@@ -448,3 +450,4 @@ ORACLE_SQL = {
                coalesce(v['og:site_name'], '') AS site_name, coalesce(v['article:published_time'], v['parsely-pub-date'], '') AS published_time
         FROM g""",
 }
+ORACLE_SQL |= tree_queries.oracle_sql()
