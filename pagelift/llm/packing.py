@@ -33,10 +33,10 @@ CLASSES = 256
 #: Tokens of fillers for each item besides what its class leaves over: rounding leaves more in small tables. Items of
 #: fewer than FULL tokens, of which more share a sequence, have the less.
 FILL, FULL = 56, 256
-#: Column generation ends after so many new patterns at the latest; any basis gives whole, only looser, packings.
-PRICINGS = 300
-#: It ends before if no pattern is worth more than this over a sequence: the program is then as near its optimum.
-GAP = 2e-3
+#: A pattern must be worth so much more than a sequence to be a better one; below that the difference is rounding.
+TOLERANCE = 1e-7
+#: The basis is inverted anew after so many of its patterns were replaced, so that errors do not add up.
+REPLACED = 50
 #: Items of one rank group, and sequences and fillers' tokens of one filling task.
 RANK_ROWS, FILL_ROWS, FILL_TOKENS = 200_000, 20_000, 1 << 19
 
@@ -160,29 +160,59 @@ def price(values: np.ndarray, sizes: np.ndarray, capacity: int) -> tuple[float,
     return float(best[capacity]), counts
 
 
-def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int, pricings: int = PRICINGS) -> tuple[np.ndarray, np.ndarray]:
-    """Patterns (rows) and how often each is used, of the linear program's last basis (revised simplex)."""
+def _inverted(basis: np.ndarray) -> np.ndarray:
+    """Gauss-Jordan elimination with row exchanges, row operations only: the driver's linear algebra library is threaded."""
+    n = len(basis)
+    work = np.hstack([basis, np.eye(n)])
+    for i in range(n):
+        k = i + int(np.abs(work[i:, i]).argmax())
+        if k != i:
+            work[[i, k]] = work[[k, i]]
+        work[i] /= work[i, i]
+        factors = work[:, i].copy()
+        factors[i] = 0.0
+        hit = np.flatnonzero(factors)
+        work[hit] -= factors[hit, None] * work[i]
+    return work[:, n:]
+
+
+def column_generation(sizes: np.ndarray, demand: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
+    """Patterns (rows) and how often each is used in an optimum of the linear program (revised simplex): the fewest
+    sequences that hold the demand, if parts of them were allowed.
+
+    The demand is stretched by a hair, differently for each size, so that no two patterns would leave at once: each step
+    then uses fewer sequences than the one before, no basis comes twice, and the steps end.
+    """
     m = len(sizes)
+    if not m:
+        return np.zeros((0, 0), int), np.zeros(0)
     basis = np.diag((capacity // sizes).astype(float))  # a column is a pattern
     inverse = np.diag(1 / np.diag(basis))
-    for _ in range(pricings):
+    stretched = demand * (1 + 1e-9 * np.arange(1, m + 1))
+    replaced = 0
+    while True:
         value, pattern = price(np.maximum(inverse.sum(axis=0), 0), sizes, capacity)
-        if value <= 1 + GAP:
-            break
-        use, step = inverse @ demand, inverse @ pattern
+        if value <= 1 + TOLERANCE or (basis == pattern[:, None]).all(axis=0).any():
+            if not replaced:
+                break
+            inverse, replaced = _inverted(basis), 0  # whether that is so without rounding errors
+            continue
+        use, step = inverse @ stretched, inverse @ pattern
         ratio = np.where(step > 1e-9, use / np.where(step > 1e-9, step, 1), np.inf)
         out = int(ratio.argmin())
-        if not np.isfinite(ratio[out]):
-            break
         basis[:, out] = pattern
+        replaced += 1
+        if replaced >= REPLACED:
+            inverse, replaced = _inverted(basis), 0
+            continue
         # The column that leaves is replaced in the inverse.
         pivot = inverse[out] / step[out]
         inverse = inverse - np.outer(step, pivot)
         inverse[out] = pivot
-    return basis.T.astype(int), np.maximum(inverse @ demand, 0) if m else np.zeros(0)
+    return basis.T.astype(int), np.maximum(inverse @ demand, 0)
 
 
-def patterns(histogram: dict[int, int], capacity: int = CLASSES, pricings: int = PRICINGS) -> list[tuple[dict[int, int], int]]:
+def patterns(histogram: dict[int, int], capacity: int = CLASSES) -> list[tuple[dict[int, int], int]]:
     """(items of each class, times) that use up a histogram {class: items}; a class is as wide as its number."""
     if not histogram:
         return []
@@ -196,7 +226,7 @@ def patterns(histogram: dict[int, int], capacity: int = CLASSES, pricings: int =
             left = left - counts * times
             out.append(({int(s): int(c) for s, c in zip(sizes, counts, strict=True) if c}, int(times)))
 
-    for pattern, use in zip(*column_generation(sizes, left.astype(float), capacity, pricings), strict=True):
+    for pattern, use in zip(*column_generation(sizes, left.astype(float), capacity), strict=True):
         hit = pattern > 0
         take(pattern, min(int(use + 1e-6), int((left[hit] // pattern[hit]).min())))
     while left.any():  # what rounding down left: largest first, as often as the counts allow

@@ -126,5 +126,40 @@ def test_patterns_use_all_and_come_near_the_bound():
     assert packing.patterns({}) == [] and packing.patterns({256: 3}) == [({256: 1}, 3)]
 
 
+def all_patterns(sizes, capacity):
+    if not len(sizes):
+        yield ()
+        return
+    for n in range(capacity // sizes[0] + 1):
+        for rest in all_patterns(sizes[1:], capacity - n * sizes[0]):
+            yield (n, *rest)
+
+
+@pytest.mark.parametrize("seed", range(12))
+def test_the_linear_program_is_at_its_optimum(seed):
+    """Its value is that of its dual, and no pattern of all that there are is worth more than a sequence."""
+    draw = np.random.default_rng(seed)
+    capacity = int(draw.integers(8, 25))
+    sizes = np.unique(draw.integers(1, capacity + 1, 6))[::-1]
+    demand = draw.integers(1, 10 ** int(draw.integers(1, 7)), len(sizes)).astype(float)
+    found, use = packing.column_generation(sizes, demand, capacity)
+    assert (found @ sizes <= capacity).all() and (use >= 0).all() and found.T @ use == pytest.approx(demand)
+    dual = np.linalg.solve(found.astype(float), np.ones(len(sizes)))
+    assert (dual >= -1e-9).all() and dual @ demand == pytest.approx(use.sum())
+    assert max(np.array(p) @ dual for p in all_patterns(sizes, capacity)) <= 1 + 1e-6
+
+
+def test_the_basis_is_inverted_anew(monkeypatch):
+    draw = np.random.default_rng(8)
+    sizes, demand = np.arange(256, 4, -4), draw.integers(1, 5000, 63).astype(float)
+    values = []
+    for steps in (3, 50, 10**9):
+        monkeypatch.setattr(packing, "REPLACED", steps)
+        found, use = packing.column_generation(sizes, demand, 256)
+        assert found.T @ use == pytest.approx(demand)
+        values.append(use.sum())
+    assert values[0] == pytest.approx(values[1]) == pytest.approx(values[2])
+
+
 def test_powers():
     assert packing._power_parts(1000) == [512, 256, 128, 64, 32, 8]
