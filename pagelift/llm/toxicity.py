@@ -37,14 +37,13 @@ from .runtime import slices, small_batches, text_or_empty
 #: Most labelled documents that are learned from.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 6000
 ORDERS, SPAN, DECAY = (3, 4, 5), 6, 0.8
-#: Words are cut into windows of so many letters, each beginning so many after the last.
-WINDOW, STEP = 24, 16
+#: Words are cut into windows of so many letters, each beginning so many after the last: any 16 letters are whole in one.
+WINDOW, STEP = 24, 8
 #: Words of a document that count, and the values that count as the least and most.
 WORST, LOW, HIGH = 6, -3.0, 1.5
 TABLE_BITS = 20
-#: Bounds of the fit: landmarks, words that are learned as insults (those found in most toxic documents), words that
-#: only the machine finds and that join them each turn, spellings in all, clean words of each turn, and turns.
-LANDMARKS, MOST_INSULTS, MOST_FOUND, SPELLINGS, HARD, TURNS = 600, 500, 200, 2400, 1000, 5
+#: Bounds of the fit: landmarks, spellings in all, clean words of each turn, and turns. Insults are as many as the sample has.
+LANDMARKS, SPELLINGS, HARD, TURNS = 600, 2400, 1000, 5
 #: Letters of the shortest word that is learned in other spellings.
 LEAST_HIDDEN = 4
 #: What all spellings of a word count, against the word itself, and what a clean word counts for each document.
@@ -335,12 +334,10 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Toxi
     in_clean, in_toxic = np.zeros(len(vocabulary), np.int64), np.zeros(len(vocabulary), np.int64)
     for o, t in zip(own, toxic, strict=True):
         (in_toxic if t else in_clean)[o] += 1
-    telling_words = positives(vocabulary, [own[i] for i in alone], toxic[alone])
-    insults = telling_words[:MOST_INSULTS]
+    insults = telling_words = positives(vocabulary, [own[i] for i in alone], toxic[alone])
     if not insults:
         return none
     draw = np.random.Generator(np.random.PCG64(6))
-    # Words beyond the bound are no examples, of neither kind.
     clean = np.setdiff1d(np.flatnonzero(in_clean), telling_words)
     hard = draw.permutation(clean)[:HARD].tolist()
     n_first, recent = len(insults), hard
@@ -375,7 +372,7 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Toxi
             recent = fresh[np.argsort(-found[fresh], kind="stable")][:HARD].tolist()
             hard = hard + recent
             only = np.setdiff1d(np.flatnonzero((in_clean == 0) & (found > 0)), insults)
-            insults = insults + only[np.argsort(-found[only], kind="stable")][:MOST_FOUND].tolist()
+            insults = insults + only[np.argsort(-found[only], kind="stable")].tolist()
     # Words count as often as they stand in a document, as they do in scoring.
     worst, y = _worst([found[o] for o in said]), toxic.astype(float)
     # Clean documents with one insult set in count as toxic, too, as it is and in another spelling: few toxic documents

@@ -241,3 +241,13 @@ def test_hashes_of_words_and_shingles():
     assert (sets[0] == sets[1]).all() and (sets[0] == sets[2]).all() and sets[0] != sets[3] and sets[7][0] in sets[8]
     part = pa.array(["zz", "a b", None, "a b"]).slice(1)
     assert [len(s) for s in ngrams.shingle_sets(part)] == [1, 0, 1]
+
+
+def test_long_words_are_cut_so_that_insults_stay_whole():
+    from pagelift.llm import toxicity
+
+    for length in range(25, 80):
+        word = "".join(chr(0x4E00 + i) for i in range(length))
+        windows, _ = toxicity._cut([word])
+        for at in range(length - 15):
+            assert any(word[at : at + 16] in w for w in windows)
