@@ -5,7 +5,7 @@ A node table's row has a page's nodes as an array in document order, so what is
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelift.functions import matchers
@@ -18,8 +18,7 @@ from .readable import COUNTED, MIN_LENGTH, MIN_SCORE
 
 def attribute(attrs: Column, name: str) -> Column:
     """The first attribute of that name, '' if there is none."""
-    found = F.filter(attrs, lambda a: F.lower(a["key"]) == name)
-    return F.when(F.size(found) > 0, found[0]["val"]).otherwise(F.lit(""))
+    return F.coalesce(F.get(F.filter(attrs, lambda a: F.lower(a["key"]) == name), F.lit(0))["val"], F.lit(""))
 
 
 def has_attribute(attrs: Column, name: str) -> Column:
@@ -130,12 +129,6 @@ def fishy(tag: Column, weight: Column, h: dict[str, Column], modifier: float = 0
     return F.when(weight < 0, True).when((h["commas"] >= 10) | h["video"], False).otherwise(wrong)
 
 
-def top_candidates(scores: DataFrame, id_cols: list[str], count: int = 5) -> DataFrame:
-    """The best candidates of each page; of equal ones the first."""
-    rank = F.row_number().over(Window.partitionBy(*id_cols).orderBy(F.desc("score"), "id"))
-    return scores.withColumn("rank", rank).filter(F.col("rank") <= count)
-
-
 def title(title: Column, h1: Column, h2: Column) -> Column:
     """The heuristic title. title: inner text of the title element ('' if none); h1, h2: arrays of headings' texts."""
     signs = M._SIGNS

@@ -21,7 +21,7 @@ from pagelift.functions import text as X
 from pagelift.sources.html import ELEMENT, TEXT
 
 from .clean import DATA_PARTS, EMBEDDED, HEADINGS
-from .native import attribute, table_kind
+from .native import attribute, below, table_kind, tagged, text_of
 
 #: A run of spaces at the end, looked for only where it begins.
 _TRAIL = f"(?<!{X.WIDE_CLASS}){X.WIDE_CLASS}++\\z"
@@ -29,6 +29,11 @@ _TRAIL = f"(?<!{X.WIDE_CLASS}){X.WIDE_CLASS}++\\z"
 _LEAST, _MOST = -(2**63), 2**63 - 1
 
 
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of a value that is worked out once, wherever it stands: the optimizer would write it into each use."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def node_rows(tables: DataFrame, id_cols: Sequence[str], nodes_col: str = "nodes") -> DataFrame:
     """id columns and the fields of each node of each page, one row a node."""
     return tables.select(*id_cols, F.explode(nodes_col).alias("n")).select(*id_cols, "n.*")
@@ -52,39 +57,56 @@ def _held(x: Column, name: str) -> Column:
     return F.get(F.col("n"), x["last_id"])[name] - x[name]
 
 
-def _text_rows(tables: DataFrame, id_cols: Sequence[str], nodes_col: str) -> DataFrame:
+def _sentences(nodes: Column) -> Column:
+    """nodes with sentence: whether a paragraph's text has a sentence's end."""
+
+    def ends(x: Column) -> Column:
+        inner = F.array(X.inner_col(text_of(nodes, x)))
+        return F.exists(inner, lambda t: F.contains(t, F.lit(". ")) | F.endswith(t, F.lit(".")))
+
+    return F.transform(nodes, lambda x: x.withField("sentence", F.when((x["kind"] == ELEMENT) & (x["tag"] == "p"), ends(x)).otherwise(False)))
+
+
+def _text_rows(tables: DataFrame, id_cols: Sequence[str], nodes_col: str, more: Sequence[str] = ()) -> DataFrame:
     """Narrow node rows, with total: units up to each node's end in which each run of ASCII spaces, over the bounds of text
     nodes, too, counts one; and where the node's text without spaces at its ends begins and ends in it."""
     kind, tag, text, attrs = (F.col(c) for c in ("kind", "tag", "text", "attrs"))
     is_text, is_element = kind == TEXT, kind == ELEMENT
-    href = attribute(attrs, "href")
-    shows_video = F.exists(attrs, lambda a: a["val"].rlike(matchers.VIDEOS))
-    count = lambda c: F.when(is_text, c).otherwise(0)
     some = is_text & (text != "")
-    rows = node_rows(tables, id_cols, nodes_col).select(
-        *id_cols, "id", "parent", "depth", "last_id", "kind", "tag",
-        F.when(is_element, attribute(attrs, "class")).otherwise("").alias("class"),
-        F.when(is_element, matchers.class_weight_col(attribute(attrs, "class"), attribute(attrs, "id"))).otherwise(0).alias("weight"),
-        count(X.utf16_col(X.collapse_col(text))).alias("flat"),
-        F.when(some, text.rlike(f"^{X.ASCII_CLASS}")).alias("opens"), F.when(some, text.rlike(f"{X.ASCII_CLASS}\\z")).alias("closes"),
-        (is_text & text.rlike(f"[^{X.WIDE_CLASS[1:]}")).alias("core"),
-        count(X.utf16_col(X.collapse_col(F.regexp_extract(text, f"^{X.WIDE_CLASS}++", 0)))).alias("lead"),
-        count(X.utf16_col(X.collapse_col(F.regexp_extract(text, _TRAIL, 0)))).alias("trail"),
+    count = lambda c: F.when(some, c).otherwise(0)
+    shows_video = F.exists(attrs, lambda a: a["val"].rlike(matchers.VIDEOS))
+    spaced = f"^{X.WIDE_CLASS}|{X.WIDE_CLASS}\\z"
+    names = {"class": attribute(attrs, "class"), "id_": attribute(attrs, "id"), "href": F.when(tag == "a", attribute(attrs, "href")).otherwise(""), "own_video": F.when(is_element, shows_video).otherwise(False)}
+    rows = node_rows(tables, id_cols, nodes_col).select(*id_cols, "id", "parent", "depth", "last_id", "kind", "tag", "text", *more, *(F.when(is_element, c).otherwise(F.lit("") if k != "own_video" else False).alias(k) for k, c in names.items()))
+    # What is used more than once stands in a row of its own, so that it is worked out once.
+    rows = rows.withColumns({"flat": count(X.utf16_col(X.collapse_col(text))), "spaced": some & text.rlike(spaced)})
+    edge = lambda pattern: F.when(F.col("spaced"), X.utf16_col(X.collapse_col(F.regexp_extract(text, pattern, 0)))).otherwise(0)
+    rows = rows.select(
+        *id_cols, "id", "parent", "depth", "last_id", "kind", "tag", "class", "flat", "own_video", *more,
+        F.when((F.col("class") != "") | (F.col("id_") != ""), matchers.class_weight_col(F.col("class"), F.col("id_"))).otherwise(0).alias("weight"),
+        F.when(some, F.col("spaced") & text.rlike(f"^{X.ASCII_CLASS}")).alias("opens"), F.when(some, F.col("spaced") & text.rlike(f"{X.ASCII_CLASS}\\z")).alias("closes"),
+        (some & text.rlike(f"[^{X.WIDE_CLASS[1:]}")).alias("core"), edge(f"^{X.WIDE_CLASS}++").alias("lead"), edge(_TRAIL).alias("trail"),
         count(F.length(text) - F.length(F.replace(text, F.lit(","), F.lit("")))).alias("commas"), count(X.commas_col(text)).alias("score_commas"),
-        (is_element & (tag == "a") & (F.length(href) > 1) & href.startswith("#")).alias("anchored"),
-        shows_video.alias("own_video"), (shows_video | text.rlike(matchers.VIDEOS)).cast("int").alias("any_video"),
+        ((F.length("href") > 1) & F.col("href").startswith("#")).alias("anchored"),
+        (F.col("own_video") | (F.contains(text, F.lit("//")) & text.rlike(matchers.VIDEOS))).cast("int").alias("any_video"),
     )
     joint = F.coalesce(F.col("opens") & F.last("closes", ignorenulls=True).over(_before(id_cols)), F.lit(False)).cast("int")
     rows = rows.withColumn("joint", joint)
-    rows = rows.withColumn("total", F.sum(F.col("flat") - F.col("joint")).over(_upto(id_cols)))
-    return rows.withColumns({"cores": F.sum(F.col("core").cast("int")).over(_upto(id_cols)), "videos_upto": F.sum("any_video").over(_upto(id_cols)), "first_at": F.col("total") - F.col("flat") + F.col("lead"), "end_at": F.col("total") - F.col("trail")})
+    rows = rows.withColumns({"total": F.sum(F.col("flat") - F.col("joint")).over(_upto(id_cols)), "cores": F.sum(F.col("core").cast("int")).over(_upto(id_cols)), "videos_upto": F.sum("any_video").over(_upto(id_cols))})
+    return rows.withColumns({"first_at": F.col("total") - F.col("flat") + F.col("lead"), "end_at": F.col("total") - F.col("trail")})
 
 
-def measured(tables: DataFrame, id_cols: Sequence[str], nodes_col: str = "nodes") -> DataFrame:
+def measured(tables: DataFrame, id_cols: Sequence[str], nodes_col: str = "nodes", siblings: bool = False, needed: Sequence[str] | None = None) -> DataFrame:
     """A row for each page: id columns and n, its nodes with their length (units of inner text) and running sums of all
-    that the conditional rules and the scores count."""
+    that the conditional rules and the scores count, or of those needed. siblings: with the number of elements below a node's parent, and
+    whether a paragraph has a sentence's end."""
     own = ["id", "parent", "depth", "last_id", "kind", "tag", "class", "weight"]
-    rows = _text_rows(tables, id_cols, nodes_col)
+    if siblings:
+        rows = _text_rows(tables.withColumn(nodes_col, _sentences(F.col(nodes_col))), id_cols, nodes_col, ["sentence"])
+        rows = rows.withColumn("elements", F.sum(F.when(F.col("kind") == ELEMENT, 1).otherwise(0)).over(Window.partitionBy(*id_cols, "parent")))
+        own += ["sentence", "elements"]
+    else:
+        rows = _text_rows(tables, id_cols, nodes_col)
     # first_at lacks the space that the text before has counted already.
     core = F.when(F.col("core"), F.struct("id", F.col("first_at").alias("first"), F.col("end_at").alias("end")))
     pages = _gathered(rows, id_cols, [*own, "cores", "videos_upto", "commas", "score_commas", "anchored", "own_video"], c=F.array_sort(F.collect_list(core)))
@@ -105,6 +127,7 @@ def measured(tables: DataFrame, id_cols: Sequence[str], nodes_col: str = "nodes"
         "heading_length": units(*HEADINGS), "list_length": units("ul", "ol"), "links": F.when(F.col("anchored"), 0).otherwise(units("a")), "anchors": F.when(F.col("anchored"), length).otherwise(0),
         "videos": F.when(is_element & tag.isin(*EMBEDDED) & F.col("video"), 1).otherwise(0),
     }
+    sums = {k: c for k, c in sums.items() if needed is None or k in needed}
     rows = rows.withColumns({k: F.sum(c).over(_upto(id_cols)) for k, c in sums.items()})
     return _gathered(rows, id_cols, [*own, "length", *sums])
 
@@ -132,30 +155,136 @@ def subtree_stats(tables: DataFrame, id_cols: Sequence[str], tags: Sequence[str]
     return measured(tables, id_cols, nodes_col).select(*id_cols, F.explode(found).alias("s")).select(*id_cols, "s.*")
 
 
+#: The sums that scores are made of.
+_SCORED_BY = ("score_commas", "links", "anchors")
+
+
+def _start(x: Column) -> Column:
+    """The points that an element begins with, by its tag and names."""
+    from .article import POINTS
+
+    return F.coalesce(F.element_at(F.create_map(*[F.lit(v) for pair in POINTS.items() for v in pair]), x["tag"]), F.lit(0.0)) + x["weight"]
+
+
 def content_scores(tables: DataFrame, id_cols: Sequence[str], nodes_col: str = "nodes") -> DataFrame:
-    """Scores of the ancestors of the paragraphs of a node table as it is: id columns, id, tag, class and score.
+    """Scores of the ancestors of the paragraphs of a node table as it is: id columns, id, last_id, tag, class, score, and
+    met, the order in which they are met from paragraph to paragraph, each time from the nearest on.
 
     Each scored element gives its points to up to five ancestors, divided by 1, 2, 6, 9 and 12; an ancestor begins
     with the points of its tag and names, and its score falls with its share of links.
     """
-    from .article import ANCESTORS, LEAST_PARAGRAPH, POINTS, SCORED
+    return _scores(measured(tables, id_cols, nodes_col, needed=_SCORED_BY), id_cols)
+
+
+def top_candidates(scores: DataFrame, id_cols: Sequence[str], count: int = 5) -> DataFrame:
+    """The best candidates of each page; of equal ones those met first."""
+    rank = F.row_number().over(Window.partitionBy(*id_cols).orderBy(F.desc("score"), "met"))
+    return scores.withColumn("rank", rank).filter(F.col("rank") <= count)
+
+
+def _scores(pages: DataFrame, id_cols: Sequence[str]) -> DataFrame:
+    from .article import ANCESTORS, LEAST_PARAGRAPH, SCORED
 
     nodes = F.col("n")
-    start = lambda tag: F.coalesce(F.element_at(F.create_map(*[F.lit(x) for pair in POINTS.items() for x in pair]), tag), F.lit(0.0))
 
     def given(x: Column) -> Column:
         points = (2 + _held(x, "score_commas") + F.least(F.floor(x["length"] / 100), F.lit(3))).cast("double")
         up, out = F.get(nodes, x["parent"]), []
         for level in range(ANCESTORS):
             counts = (up["kind"] == ELEMENT) & (F.get(nodes, up["parent"])["kind"] == ELEMENT)
-            out.append(F.when(counts, F.struct(up["id"].alias("id"), up["tag"].alias("tag"), up["class"].alias("class"), (start(up["tag"]) + up["weight"]).alias("start"), _density(up).alias("density"), (points / (1, 2, 6, 9, 12)[level]).alias("points"))))
+            own = [up[c].alias(c) for c in ("id", "last_id", "tag", "class")]
+            out.append(F.when(counts, F.struct(*own, _start(up).alias("start"), _density(up).alias("density"), (points / (1, 2, 6, 9, 12)[level]).alias("points"), (x["id"].cast("long") * 8 + level).alias("met"))))
             up = F.get(nodes, up["parent"])
         return F.array(*out)
 
     scored = F.filter(nodes, lambda x: (x["kind"] == ELEMENT) & x["tag"].isin(*sorted(SCORED)) & (x["length"] >= LEAST_PARAGRAPH))
-    rows = measured(tables, id_cols, nodes_col).select(*id_cols, F.explode(F.filter(F.flatten(F.transform(scored, given)), lambda g: g.isNotNull())).alias("g")).select(*id_cols, "g.*")
-    sums = rows.groupBy(*id_cols, "id").agg(F.max("tag").alias("tag"), F.max("class").alias("class"), F.max("start").alias("start"), F.max("density").alias("density"), F.sum("points").alias("points"))
-    return sums.select(*id_cols, "id", "tag", "class", ((F.col("start") + F.col("points")) * (1 - F.col("density"))).alias("score"))
+    rows = pages.select(*id_cols, F.explode(F.filter(F.flatten(F.transform(scored, given)), lambda g: g.isNotNull())).alias("g")).select(*id_cols, "g.*")
+    sums = rows.groupBy(*id_cols, "id").agg(*(F.max(c).alias(c) for c in ("last_id", "tag", "class", "start", "density")), F.sum("points").alias("points"), F.min("met").alias("met"))
+    return sums.select(*id_cols, "id", "last_id", "tag", "class", "met", ((F.col("start") + F.col("points")) * (1 - F.col("density"))).alias("score"))
+
+
+# The top candidate and its siblings
+
+
+def chosen_tops(tables: DataFrame, id_cols: Sequence[str], count: int = 5, nodes_col: str = "nodes") -> DataFrame:
+    """The element that each page's article grows from: id, parent, tag, class and score (id is null where there is no
+    candidate or the best is the body, for which an element is made).
+
+    Of the best candidates (equal ones: the first met) the first; if three others have three quarters of its score, the
+    nearest element around it that holds three of them; then up to the first element whose score is larger than the one
+    before, while scores stay above a third; then up over parents without another element.
+    """
+    return _chosen(measured(tables, id_cols, nodes_col, siblings=True, needed=_SCORED_BY), id_cols, count)
+
+
+def _chosen(pages: DataFrame, id_cols: Sequence[str], count: int) -> DataFrame:
+    from .article import CLOSE, CLOSE_COUNT
+
+    ranked = _scores(pages, id_cols).groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "met", "id", "last_id", "tag"))).alias("s"))
+    rows = pages.join(ranked, list(id_cols), "left")
+    n, s = F.col("n"), F.coalesce(F.col("s"), F.array().cast("array<struct<minus:double,met:bigint,id:int,last_id:int,tag:string>>"))
+    around = lambda a, x: (a["id"] < x["id"]) & (x["id"] <= a["last_id"])
+    score_of = lambda x: F.coalesce(-F.get(F.filter(s, lambda c: c["id"] == x["id"]), F.lit(0))["minus"], _start(x))
+
+    def above(places: Column, x: Column, stop: Column) -> Column:
+        """Elements around x, below the body, from the nearest on."""
+        return F.reverse(F.filter(places, lambda a: around(a, x) & (a["id"] > stop)))
+
+    def shared(best: Column, stop: Column) -> Column:
+        """Id of the best, or of the nearest element around it that holds enough of those close to it."""
+        close = F.filter(F.slice(s, 2, count - 1), lambda x: (best["minus"] != 0) & (x["minus"] / best["minus"] >= CLOSE))
+        found = lambda own: F.filter(above(n, best, stop), lambda a: F.size(F.filter(own, lambda c: around(a, c))) >= CLOSE_COUNT)
+        return _let(close, lambda own: F.when(F.size(own) >= CLOSE_COUNT, F.coalesce(F.get(found(own), F.lit(0))["id"], best["id"])).otherwise(best["id"]))
+
+    def climbed(at: Column, score: Column, stop: Column) -> Column:
+        """Id of the first scored element above whose score is larger than the one before."""
+
+        def step(state: Column, a: Column) -> Column:
+            low, higher = -a["minus"] < score / 3, -a["minus"] > state["last"]
+            new = F.struct(F.when(~low & higher, a["id"]).otherwise(state["id"]).alias("id"), (-a["minus"]).alias("last"), (low | higher).alias("done"))
+            return F.when(state["done"], state).otherwise(new)
+
+        scored = F.sort_array(F.transform(F.filter(s, lambda a: around(a, at) & (a["id"] > stop)), lambda a: F.struct(a["id"].alias("id"), a["minus"].alias("minus"))), asc=False)
+        return F.aggregate(scored, F.struct(at["id"].alias("id"), score.alias("last"), F.lit(False).alias("done")), step, lambda x: x["id"])
+
+    def alone(at: Column, stop: Column) -> Column:
+        """Id of the last element above of which each is the only one below the next."""
+        step = lambda state, a: F.when(state["elements"] == 1, F.struct(a["id"].alias("id"), a["elements"].alias("elements"))).otherwise(state)
+        return F.aggregate(above(n, at, stop), F.struct(at["id"].alias("id"), at["elements"].alias("elements")), step, lambda x: x["id"])
+
+    def chosen(best: Column) -> Column:
+        body = F.get(F.filter(n, lambda x: (x["kind"] == ELEMENT) & (x["tag"] == "body")), F.lit(0))
+        stop = _let(body, lambda b: F.coalesce(F.when(around(b, best), b["id"]), F.lit(0)))
+        fields = lambda at: F.struct(*(at[c].alias(c) for c in ("id", "parent", "tag", "class")), score_of(at).alias("score"))
+
+        def from_there(stop: Column) -> Column:
+            first = lambda at: _let(score_of(at), lambda score: F.get(n, climbed(at, score, stop)))
+            return _let(F.get(n, shared(best, stop)), lambda at: _let(first(at), lambda up: _let(F.get(n, alone(up, stop)), fields)))
+
+        return _let(stop, from_there)
+
+    best = F.get(s, F.lit(0))
+    rows = rows.select(*id_cols, F.when(best["tag"] != "body", _let(best, chosen)).alias("at"))
+    return rows.select(*id_cols, "at.*")
+
+
+def joined_siblings(tables: DataFrame, id_cols: Sequence[str], count: int = 5, nodes_col: str = "nodes") -> DataFrame:
+    """The elements beside each page's chosen one, and why they join the article (reason is null if they don't): it is the
+    top itself, its score (with a bonus for the class of the top) is a fifth of the top's and at least 10, or it is a
+    paragraph that is long and has few links, or short, without links and with a sentence's end.
+
+    Siblings are found by a join on page and parent, their scores by one on page and id.
+    """
+    pages = measured(tables, id_cols, nodes_col, siblings=True, needed=_SCORED_BY)
+    tops = _chosen(pages, id_cols, count).filter("id is not null").select(*id_cols, "parent", F.col("id").alias("top"), F.col("class").alias("top_class"), F.col("score").alias("top_score"))
+    element = lambda x: F.struct(*(x[c].alias(c) for c in ("id", "parent", "tag", "class", "sentence", "length")), _density(x).alias("density"))
+    rows = pages.select(*id_cols, F.explode(F.transform(F.filter("n", lambda x: x["kind"] == ELEMENT), element)).alias("x")).select(*id_cols, "x.*")
+    rows = rows.join(tops, [*id_cols, "parent"]).join(_scores(pages, id_cols).select(*id_cols, "id", "score"), [*id_cols, "id"], "left")
+    bonus = F.when((F.col("top_class") != "") & (F.col("class") == F.col("top_class")), F.col("top_score") * 0.2).otherwise(0.0)
+    by_score = F.col("score") + bonus >= F.greatest(F.lit(10.0), F.col("top_score") * 0.2)
+    is_p, length = F.col("tag") == "p", F.col("length")
+    reason = F.when(F.col("id") == F.col("top"), "top").when(by_score, "score").when(is_p & (length > 80) & (F.col("density") < 0.25), "long").when(is_p & (length < 80) & (F.col("density") == 0) & F.col("sentence"), "short")
+    return rows.select(*id_cols, "id", "tag", reason.alias("reason"))
 
 
 # Ancestors
@@ -221,12 +350,195 @@ def table_sizes(tables: DataFrame, id_cols: Sequence[str], nodes_col: str = "nod
     rows = rows.withColumns({to: F.sum(c).over(_upto(id_cols)) for c, to in sums.items()})
     pages = _gathered(rows, id_cols, ["id", "last_id", "kind", "tag", "role", "datatable", "summary", *sums.values()])
     trs = F.transform(F.filter("n", lambda x: (x["kind"] == ELEMENT) & (x["tag"] == "tr")), lambda x: _held(x, "cells"))
-    pages = pages.withColumn("widths", trs)
 
-    def size(x: Column) -> Column:
-        own = F.slice("widths", (x["trs"] + 1).cast("int"), _held(x, "trs").cast("int"))
+    def size(x: Column, widths: Column) -> Column:
+        own = F.slice(widths, (x["trs"] + 1).cast("int"), _held(x, "trs").cast("int"))
         columns = F.greatest(F.coalesce(F.array_max(own), zero), zero)
         return F.struct(x["id"].alias("id"), _held(x, "n_rows").alias("n_rows"), columns.alias("n_columns"), table_kind(x["role"], x["datatable"], x["summary"], _held(x, "captions") > 0, _held(x, "parts") > 0, _held(x, "nested") > 0, _held(x, "n_rows"), columns).alias("is_data"))
 
-    found = F.transform(F.filter("n", lambda x: (x["kind"] == ELEMENT) & (x["tag"] == "table")), size)
+    found = _let(trs, lambda widths: F.transform(F.filter("n", lambda x: (x["kind"] == ELEMENT) & (x["tag"] == "table")), lambda x: size(x, widths)))
     return pages.select(*id_cols, F.explode(found).alias("s")).select(*id_cols, "s.*")
+
+
+# Rows of breaks
+
+
+def is_phrasing(nodes: Column, x: Column) -> Column:
+    """Text, an element of phrasing content, or a link, deletion or insertion without anything else below it."""
+    from .dom import PHRASING
+
+    transparent = lambda y: (y["kind"] == ELEMENT) & y["tag"].isin("a", "del", "ins")
+    plain = lambda y: (y["kind"] == ELEMENT) & y["tag"].isin(*sorted(PHRASING))
+
+    def step(s: Column, y: Column) -> Column:
+        other = F.when(plain(y), F.struct(y["last_id"].alias("over"), s["bad"].alias("bad"))).when(transparent(y), s).otherwise(F.struct(s["over"].alias("over"), F.lit(True).alias("bad")))
+        return F.when((y["id"] <= s["over"]) | (y["kind"] == TEXT), s).otherwise(other)
+
+    start = F.struct(F.lit(-1).alias("over"), F.lit(False).alias("bad"))
+    return F.when(transparent(x), ~F.aggregate(below(nodes, x), start, step, lambda s: s["bad"])).otherwise((x["kind"] == TEXT) | plain(x))
+
+
+def break_chains(tables: DataFrame, id_cols: Sequence[str], nodes_col: str = "nodes") -> DataFrame:
+    """Rows of two or more breaks that begin a paragraph: parent, id and place of the first, length (breaks in the row),
+    and n_nodes: the nodes after it that the paragraph takes, up to the next such row or what is no phrasing content,
+    without blank ones and breaks at the end.
+
+    Breaks with nothing but blanks between them are an island. From its first on a row takes the next break and those that
+    follow it at once; where a blank parts them the next row begins, so that of the parted ones every other is a beginning.
+    A last one alone is no row. All are windows over the children of a parent.
+    """
+    nodes, text = F.col(nodes_col), F.col("text")
+    rows = node_rows(tables.withColumn(nodes_col, F.transform(nodes, lambda x: x.withField("phrasing", is_phrasing(nodes, x)))), id_cols, nodes_col)
+    br = (F.col("kind") == ELEMENT) & (F.col("tag") == "br")
+    solid = (F.col("kind") == ELEMENT) | ((F.col("kind") == TEXT) & text.rlike("[^ \\t\\n\\r\\f]"))
+    empty = br | ((F.col("kind") == TEXT) & ~text.rlike(f"[^{X.WIDE_CLASS[1:]}"))
+    rows = rows.select(*id_cols, "parent", "id", "pos", "phrasing", br.alias("br"), F.when(solid, br).alias("solid_br"), empty.alias("empty"))
+    within = Window.partitionBy(*id_cols, "parent").orderBy("pos")
+    upto, before = (within.rowsBetween(Window.unboundedPreceding, end) for end in (Window.currentRow, -1))
+    after = Window.partitionBy(*id_cols, "parent").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)
+    near = lambda w: F.col("br") & F.coalesce(F.last("solid_br", ignorenulls=True).over(w), F.lit(False))
+    rows = rows.withColumns({"follows": near(before), "goes_on": near(after), "touches": F.col("br") & F.coalesce(F.lag("br").over(within), F.lit(False))})
+    parted = F.col("br") & (~F.col("follows") | ~F.col("touches"))
+    rows = rows.withColumns({"parted": parted, "run": F.sum((F.col("br") & (~parted | ~F.col("follows"))).cast("int")).over(upto)})
+    order = Window.partitionBy(*id_cols, "parent", "run").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    odd = F.col("parted") & (F.sum(F.col("parted").cast("int")).over(order) % 2 == 1)
+    rows = rows.withColumn("odd", odd).withColumns({"starts": F.col("odd") & F.col("goes_on"), "member": F.col("br") & ~(F.col("odd") & ~F.col("goes_on"))})
+    rows = rows.withColumn("chain", F.sum(F.col("starts").cast("int")).over(upto)).filter("chain > 0")
+    own = Window.partitionBy(*id_cols, "parent", "chain").orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumn("taken", ~F.col("member") & (F.sum((~F.col("phrasing")).cast("int")).over(own) == 0))
+    rows = rows.withColumn("at", F.sum(F.col("taken").cast("int")).over(own))
+    found = rows.groupBy(*id_cols, "parent", "chain").agg(F.min("id").alias("id"), F.min("pos").alias("place"), F.sum(F.col("member").cast("int")).alias("length"), F.coalesce(F.max(F.when(F.col("taken") & ~F.col("empty"), F.col("at"))), F.lit(0)).alias("n_nodes"))
+    return found.drop("chain")
+
+
+# Texts
+
+
+def normalized_text(nodes: Column) -> Column:
+    """All text of a page: runs of spaces as one, none at the ends; text below pre and textarea as it is. Where such a text
+    begins or ends with a space, that one parts it from what stands beside it.
+
+    Each piece looks at the one before it that is no blank, so no text is built up step by step.
+    """
+    verbatim = F.filter(nodes, lambda x: (x["kind"] == ELEMENT) & x["tag"].isin("pre", "textarea"))
+
+    def outermost(s: Column, x: Column) -> Column:
+        new = F.struct(x["last_id"].alias("end"), F.concat(s["ids"], F.sequence(x["id"], x["last_id"])).alias("ids"))
+        return F.when(x["id"] > s["end"], new).otherwise(s)
+
+    start = F.struct(F.lit(-1).alias("end"), F.array().cast("array<int>").alias("ids"))
+    texts = F.transform(F.filter(nodes, lambda x: (x["kind"] == TEXT) & (x["text"] != "")), lambda x: x["id"])
+    kept = F.array_intersect(texts, F.aggregate(verbatim, start, outermost, lambda s: s["ids"]))
+    marked = lambda ids, flag: F.transform(ids, lambda i: F.struct(i.alias("id"), F.lit(flag).alias("verbatim")))
+    order = F.array_sort(F.concat(marked(F.array_except(texts, kept), False), marked(kept, True)))
+    space = X.WIDE_CLASS
+
+    def piece(x: Column, at: Column) -> Column:
+        text = F.get(nodes, x["id"])["text"]
+        own = F.when(x["verbatim"], text).otherwise(X.plain_col(text))
+        return F.struct(at.alias("at"), x["verbatim"].alias("verbatim"), own.alias("own"), text.rlike(f"^{space}").alias("opens"), text.rlike(f"{space}\\z").alias("closes"))
+
+    solid = F.filter(F.transform(order, piece), lambda p: p["own"] != "")
+
+    def joined(all_: Column) -> Column:
+        def spaced(p: Column, i: Column) -> Column:
+            last = F.get(all_, i - 1)
+            waiting = (~last["verbatim"] & last["closes"]) | (p["at"] - last["at"] > 1) | (~p["verbatim"] & p["opens"])
+            apart = (i > 0) & waiting & ~(last["verbatim"] & last["closes"]) & ~(p["verbatim"] & p["opens"])
+            return F.concat(F.when(apart, " ").otherwise(""), p["own"])
+
+        return F.array_join(F.transform(all_, spaced), "")
+
+    # The pieces stand in an array of one, so that they are worked out once and not for each of them.
+    return F.coalesce(F.get(F.transform(F.array(solid), joined), F.lit(0)), F.lit(""))
+
+
+# JSON-LD
+
+#: Arrays within arrays of contexts and types that are looked into.
+_NESTED = 4
+
+
+def _kind(v: Column) -> Column:
+    return F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+
+
+def _get(v: Column, key: str) -> Column:
+    """A member of an object; null if there is none."""
+    return F.try_variant_get(v, f"$['{key}']", "variant")
+
+
+def _string(v: Column) -> Column:
+    """A string's value; null for everything else, numbers included."""
+    return F.when(_kind(v) == "STRING", F.try_variant_get(v, "$", "string"))
+
+
+def _items(v: Column) -> Column:
+    return F.when(_kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>"))
+
+
+def _flat(v: Column) -> Column:
+    """A value, or what its arrays hold, in order."""
+    out = F.array(v)
+    for _ in range(_NESTED):
+        out = F.flatten(F.transform(out, lambda x: F.coalesce(_items(x), F.array(x))))
+    return out
+
+
+def _value(v: Column, key: str) -> Column:
+    return F.coalesce(X.trim_col(_string(_get(v, key))), F.lit(""))
+
+
+def json_ld(sources: Column, title: Column) -> Column:
+    """title, byline, excerpt, site_name and published_time of the first article in the JSON-LD of a page's scripts (an
+    array of their contents), null if there is none; title: the page's, which tells name and headline apart.
+
+    Roots, or the members of their arrays, count if their context leaves the schema.org vocabulary: later contexts go
+    over earlier ones. Each root is followed by the members of its graph. An object that has a key twice is not read, unless
+    the session sets spark.sql.variant.allowDuplicateKeys (then the last counts).
+    """
+    schema = matchers.SCHEMA.replace(r"\Z", r"\z")
+
+    def vocabulary(before: Column, c: Column) -> Column:
+        own, kind = _get(c, "@vocab"), _kind(c)
+        named = F.when(own.isNull(), before).otherwise(F.coalesce(_string(own), F.lit("")))
+        return F.when((kind == "STRING") & F.coalesce(_string(c).rlike(schema), F.lit(False)), _string(c)).when(kind == "OBJECT", named).otherwise(before)
+
+    def counts(root: Column) -> Column:
+        context = _get(root, "@context")
+        left = F.aggregate(F.filter(_flat(context), lambda c: c.isNotNull()), F.lit(""), vocabulary)
+        return (_kind(root) == "OBJECT") & left.rlike(schema)
+
+    def is_article(v: Column) -> Column:
+        types = F.transform(_flat(_get(v, "@type")), lambda t: F.regexp_replace(_string(t), "^https?://schema\\.org/", ""))
+        return (_kind(v) == "OBJECT") & F.coalesce(F.exists(types, lambda t: F.coalesce(t.isin(*matchers.ARTICLE_TYPES), F.lit(False))), F.lit(False))
+
+    def articles(source: Column) -> Column:
+        text = F.regexp_replace(source, "^[ \\t\\n\\r\\f]*<!\\[CDATA\\[|\\]\\]>[ \\t\\n\\r\\f]*\\z", "")
+        # What stands behind a value is passed over by the parser, so the value is set between brackets, of both kinds.
+        alone = _items(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
+        whole = _let(alone, lambda a: F.when((F.size(a) == 1) & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull(), F.get(a, F.lit(0))))
+        roots = F.filter(_let(whole, lambda v: F.coalesce(_items(v), F.array(v))), lambda r: F.coalesce(counts(r), F.lit(False)))
+        own = F.flatten(F.transform(roots, lambda r: F.concat(F.array(r), F.coalesce(_items(_get(r, "@graph")), F.array().cast("array<variant>")))))
+        return F.filter(own, is_article)
+
+    def fields(v: Column) -> Column:
+        name, headline = (F.coalesce(_string(_get(v, k)), F.lit("")) for k in ("name", "headline"))
+        like = lambda x: F.coalesce(X.similarity_col(x, title), F.lit(-1.0))
+        both = (name != "") & (headline != "") & (name != headline)
+        chosen = F.when(both & (like(headline) > 0.75) & (like(name) <= 0.75), headline).when(name != "", name).otherwise(headline)
+        author = _get(v, "author")
+        names = F.filter(F.transform(_items(author), lambda a: F.when(_kind(a) == "OBJECT", _value(a, "name"))), lambda n: F.coalesce(n != "", F.lit(False)))
+        byline = F.when(_kind(author) == "STRING", X.trim_col(_string(author))).when(_kind(author) == "OBJECT", _value(author, "name")).when(_kind(author) == "ARRAY", F.array_join(names, ", "))
+        publisher = _get(v, "publisher")
+        site = F.when(_kind(publisher) == "OBJECT", _value(publisher, "name"))
+        return F.struct(X.trim_col(chosen).alias("title"), F.coalesce(byline, F.lit("")).alias("byline"), _value(v, "description").alias("excerpt"), F.coalesce(site, F.lit("")).alias("site_name"), _value(v, "datePublished").alias("published_time"))
+
+    first = F.slice(F.flatten(F.transform(sources, articles)), 1, 1)
+    return F.get(F.transform(first, fields), F.lit(0))
+
+
+def ld_scripts(nodes: Column) -> Column:
+    """Contents of a page's JSON-LD scripts."""
+    found = F.filter(tagged(nodes, "script"), lambda x: attribute(x["attrs"], "type") == "application/ld+json")
+    return F.transform(found, lambda x: text_of(nodes, x))

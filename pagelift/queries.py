@@ -115,7 +115,7 @@ def nav_link_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return native.top_candidates(trees.content_scores(_nodes(spark, sf_dir), ["page_id"]).drop("class"), ["page_id"])
+    return trees.top_candidates(trees.content_scores(_nodes(spark, sf_dir), ["page_id"]), ["page_id"]).drop("class", "last_id", "met")
 
 
 def utf16_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:

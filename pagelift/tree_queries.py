@@ -36,7 +36,8 @@ def _built(spark: SparkSession, sf_dir: str, section: Column, before: Column | s
     return parts.groupBy("page_id").agg(F.concat(F.lit(before) if isinstance(before, str) else before, body, F.lit(after)).alias("html"))
 
 
-_K, _NAME, _TYPE, _BRAND, _SIZE = (F.col(c) for c in ("p_partkey", "p_name", "p_type", "p_brand", "p_size"))
+def _part(name: str) -> Column:
+    return F.col(f"p_{name}")
 
 
 def _pick(values: list[str], at: Column) -> Column:
@@ -49,12 +50,12 @@ def _times(text: str, n: Column) -> Column:
 
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A division for each part: heading, text, list, images, inputs, embedded objects, a figure and perhaps a table."""
-    k = _K
-    opened = F.concat(F.lit('<div class="'), _pick(list(CLASSES), k % 4), F.lit('"><h3>'), _NAME, F.lit("</h3><p>"), _TYPE, F.lit(",  <b> "), _BRAND, F.lit("</b> </p>"))
-    listed = F.concat(F.lit('<ul><li><a href="/p/'), k, F.lit('">'), _NAME, F.lit('</a></li><li><a href="#'), k, F.lit('">'), _BRAND, F.lit("</a>, "), _SIZE, F.lit("</li></ul>"))
-    shown = F.concat(_times('<img src="/a.png">', k % 3), _times("<input>", _SIZE % 2), F.when(k % 5 == 0, '<iframe src="https://www.youtube.com/1"></iframe>').when(k % 5 == 1, '<embed src="/x">').otherwise(""))
+    k = _part("partkey")
+    opened = F.concat(F.lit('<div class="'), _pick(list(CLASSES), k % 4), F.lit('"><h3>'), _part("name"), F.lit("</h3><p>"), _part("type"), F.lit(",  <b> "), _part("brand"), F.lit("</b> </p>"))
+    listed = F.concat(F.lit('<ul><li><a href="/p/'), k, F.lit('">'), _part("name"), F.lit('</a></li><li><a href="#'), k, F.lit('">'), _part("brand"), F.lit("</a>, "), _part("size"), F.lit("</li></ul>"))
+    shown = F.concat(_times('<img src="/a.png">', k % 3), _times("<input>", _part("size") % 2), F.when(k % 5 == 0, '<iframe src="https://www.youtube.com/1"></iframe>').when(k % 5 == 1, '<embed src="/x">').otherwise(""))
     figure = F.concat(F.lit("<figure>"), _times("<span>", k % 7), F.lit('<img src="/f.png">'), _times("</span>", k % 7), F.lit("</figure>"))
-    table = F.when(k % 2 == 1, F.concat(F.lit("<table"), F.when(k % 4 == 1, ' summary="s"').otherwise(""), F.lit("><tbody><tr><td><p>"), _NAME, F.lit("</p></td><td>"), _SIZE, F.lit("</td></tr></tbody></table>"))).otherwise("")
+    table = F.when(k % 2 == 1, F.concat(F.lit("<table"), F.when(k % 4 == 1, ' summary="s"').otherwise(""), F.lit("><tbody><tr><td><p>"), _part("name"), F.lit("</p></td><td>"), _part("size"), F.lit("</td></tr></tbody></table>"))).otherwise("")
     return _built(spark, sf_dir, F.concat(opened, listed, shown, figure, table, F.lit("</div>")), "<html><head><title>Parts</title></head><body><article>", "</article></body></html>")
 
 
@@ -85,18 +86,97 @@ def ancestor_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def table_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sizes and kinds of tables that are built from parts: a row, or more of them, with spans of all sorts."""
-    k, spans = _K, list(SPANS)
+    k, spans = _part("partkey"), list(SPANS)
     kind = F.when(k % 16 == 3, ' role="presentation"').when(k % 16 == 5, ' datatable="0"').when(k % 16 == 9, ' summary="all"').otherwise("")
     inside = F.when(k % 16 == 7, "<caption>Parts</caption>").when(k % 16 == 10, "<caption></caption>").when(k % 16 == 12, "<colgroup></colgroup>").otherwise("")
-    row = F.concat(F.lit('<tr rowspan="'), _pick(spans, k % 8), F.lit('"><td colspan="'), _pick(spans, F.floor(k / 2) % 8), F.lit('">'), _NAME, F.lit("</td><td>"), F.when(k % 16 == 11, "<table><tr><td>a<td>b</table>").otherwise(_BRAND), F.lit("</td></tr>"))
-    rows = F.concat(row, _times("<tr><td>x</td></tr>", _SIZE % 12))
+    row = F.concat(F.lit('<tr rowspan="'), _pick(spans, k % 8), F.lit('"><td colspan="'), _pick(spans, F.floor(k / 2) % 8), F.lit('">'), _part("name"), F.lit("</td><td>"), F.when(k % 16 == 11, "<table><tr><td>a<td>b</table>").otherwise(_part("brand")), F.lit("</td></tr>"))
+    rows = F.concat(row, _times("<tr><td>x</td></tr>", _part("size") % 12))
     markup = F.concat(F.lit("<table"), kind, F.lit(">"), inside, F.lit("<tbody>"), rows, F.lit("</tbody></table>"))
     found = trees.table_sizes(node_table(_built(spark, sf_dir, markup, "<body>", "</body>")), ["page_id"])
     names = [F.col(c).cast("long").alias(c) for c in ("n_rows", "n_columns")]
     return found.select("page_id", F.row_number().over(trees.Window.partitionBy("page_id").orderBy("id")).alias("place"), *names, "is_data")
 
 
+def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of boxes within boxes; some hold a paragraph that counts, from all of them down to none."""
+    k, q = _part("partkey"), F.expr(f"p_partkey div {PER_PAGE}")
+    said = F.when((k + q) % (1 + q % 5) == q % 2, F.concat(F.lit("<p>Offered: "), _part("name"), F.lit(", "), _part("type"), F.lit(" and more of it</p>"))).otherwise("<span>none</span>")
+    before = F.when(F.col("page_id") % 2 == 1, '<p>Sold by piece.</p><p>no end</p><p><a href="/x">A linked one.</a></p>').otherwise("")
+    return _built(spark, sf_dir, F.concat(F.lit('<div class="mid"><div class="box">'), said, F.lit("</div></div>")), F.concat(F.lit('<body><div id="all">'), before, F.lit('<div class="outer">')), "</div></div></body>")
+
+
+def chosen_tops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The elements that the articles of `pages` and of the boxes grow from; boxes' pages have numbers below zero."""
+    boxes = _boxes(spark, sf_dir).select((-1 - F.col("page_id")).alias("page_id"), "html")
+    found = trees.chosen_tops(node_table(pages(spark, sf_dir).select("page_id", "html").unionByName(boxes)), ["page_id"])
+    return found.select("page_id", "id", "tag", F.round("score", 6).alias("score"))
+
+
+def joined_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which elements beside the chosen ones of the boxes' pages join them, and why."""
+    return trees.joined_siblings(node_table(_boxes(spark, sf_dir)), ["page_id"])
+
+
+#: What stands between the names of parts: breaks, blanks, a heading.
+GAPS = ["<br>", "<br><br>", "<br> <br>", "<br><br><br>", "<br> <br> <br>", "<h2>x</h2>"]
+
+
+def break_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows of breaks between the names of parts, and how much of what follows them makes a paragraph."""
+    markup = F.concat(_part("name"), _pick(GAPS, _part("partkey") % len(GAPS)))
+    return trees.break_chains(node_table(_built(spark, sf_dir, markup, "<body><div>", "</div></body>")), ["page_id"])
+
+
+def _with_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pages with JSON-LD of all sorts, made of their own titles, numbers and URLs."""
+    own = pages(spark, sf_dir).select("page_id", "url", "html", F.regexp_extract("html", "(?s)<title>(.*?)</title>", 1).alias("t"))
+    page, title, text = F.col("page_id"), F.regexp_replace("t", "<[^>]*>", ""), F.lit
+    quoted = F.expr("substring(to_json(array(regexp_replace(t, '<[^>]*>', ''))), 2, length(to_json(array(regexp_replace(t, '<[^>]*>', '')))) - 2)")
+    context = '"@context": "https://schema.org"'
+    article = F.concat(text(f'{{{context}, "@type": "NewsArticle", "headline": '), quoted, text(', "author": {"name": " Author '), page, text(' "}, "publisher": {"name": "'), F.col("url"), text('"}, "datePublished": "2020-01-'), page % 28, text('"}'))
+    graph = F.concat(text('{"@context": {"@vocab": "http://schema.org/"}, "@graph": [{"@type": "WebSite", "name": "no"}, {"@type": ["Thing", "http://schema.org/Report"], "name": '), quoted, text(', "author": ["x", {"name": "B'), page, text('"}, {"name": "C"}, {"name": 3}]}]}'))
+    contents = [
+        article,
+        F.concat(text('{"@context": ["https://schema.org", {"@vocab": "http://other.org/"}], "@type": "Article", "name": '), quoted, text("}")),
+        graph,
+        F.concat(text('{"@context": "http://schema.org/", "@type": "Article", "name": 7, "headline": '), quoted, text(', "author": "Ann ", "description": 12}')),
+        text(f'{{{context}, "@type": "Article", '),
+        F.concat(text(f'[1, {{{context}, "@type": "Person"}}, {{{context}, "@type": "BlogPosting", "name": '), quoted, text(', "description": " About '), page, text(' "}]')),
+        F.concat(text("<![CDATA["), article, text("]]>")),
+        F.concat(text(f'{{{context}, "@type": "Person"}}</script><script type="application/ld+json">'), graph),
+        F.concat(article, text(" 1")),
+        F.concat(text(f'{{{context}, "@type": "Article", "name": "zzz zzzz zzzzz", "headline": '), quoted, text("}")),
+    ]
+    chosen = F.lit("")
+    for k, content in enumerate(contents):
+        chosen = F.when(page % len(contents) == k, content).otherwise(chosen)
+    script = F.concat(text('<script type="application/ld+json">'), chosen, text("</script></head>"))
+    return own.select("page_id", F.concat(F.substring_index("html", "</head>", 1), script, F.expr("substring(html, instr(html, '</head>') + 7)")).alias("html"), title.alias("title"))
+
+
+def page_json_ld(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the JSON-LD of the pages says, null where it says nothing."""
+    nodes = F.col("nodes")
+    found = node_table(_with_scripts(spark, sf_dir)).select("page_id", trees.json_ld(trees.ld_scripts(nodes), native.page_title(nodes)).alias("ld"))
+    return found.select("page_id", *(F.col(f"ld.{c}").alias(c) for c in ("title", "byline", "excerpt", "site_name", "published_time")))
+
+
+def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts of pages that show each document as text and as it is."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("t"))
+    cores = spark.sparkContext.defaultParallelism
+    docs = docs.repartition(cores, "doc_id") if docs.rdd.getNumPartitions() < cores else docs
+    text = F.replace(F.replace("t", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    html = F.concat(F.lit("<body><b>"), text, F.lit("</b> <pre>."), text, F.lit("</pre><i> x</i></body>"))
+    return node_table(docs.select("doc_id", html.alias("html")), ["doc_id"]).select("doc_id", trees.normalized_text(F.col("nodes")).alias("plain"))
+
+
 QUERIES = {
+    "break_chains": break_chains,
+    "page_json_ld": page_json_ld,
+    "normalized_texts": normalized_texts,
+    "chosen_tops": chosen_tops,
+    "joined_siblings": joined_siblings,
     "subtree_stats": subtree_stats,
     "catalog_stats": catalog_stats,
     "ancestor_tests": ancestor_tests,
@@ -150,6 +230,29 @@ _SIZES = f"""
     FROM tabs"""
 
 
+#: The boxes' pages. A page's divisions are all, its paragraphs beside, outer, and for each part mid, box and what is said.
+#: A box with a paragraph has 8 points, outer 5 and a half for each paragraph, all 5 and a third,
+#: less its share of links. With one paragraph the
+#: box is best, the only one in its mid; with two and more, others are close, and outer is around them; from seven on outer is
+#: the best one, and all is around the others. An only child goes up.
+_BOXES = f"""
+    own AS (SELECT p_partkey // {PER_PAGE} AS q, p_partkey AS k, (p_partkey + p_partkey // {PER_PAGE}) % (1 + p_partkey // {PER_PAGE} % 5) = p_partkey // {PER_PAGE} % 2 AS said,
+            CASE WHEN said THEN length('Offered: ' || p_name || ', ' || p_type || ' and more of it') ELSE 4 END AS units FROM part),
+    boxes AS (SELECT q, count(*) AS n, count(*) FILTER (WHERE said) AS m, min(k) FILTER (WHERE said) - min(k) AS first, q % 2 = 1 AS beside, CASE WHEN q % 2 = 1 THEN 13 / (33 + sum(units)) ELSE 0 END AS linked FROM own GROUP BY q),
+    picked AS (SELECT *, CASE WHEN m = 0 THEN '' WHEN m = 1 AND n > 1 THEN 'mid' WHEN m >= 7 OR NOT beside THEN 'all' ELSE 'outer' END AS top, CASE WHEN beside THEN 12 ELSE 5 END AS outer_id FROM boxes)"""
+
+
+#: A row of breaks takes what is left of its gap (of "br br br" with blanks between them the last one, and two blanks), then
+#: names and single breaks up to the next gap of another kind.
+_CHAINS = f"""
+    WITH own AS (SELECT p_partkey // {PER_PAGE} AS page_id, p_partkey AS k, p_partkey % 6 AS gap, [1, 2, 3, 3, 5, 2][p_partkey % 6 + 1] + 1 AS nodes, [1, 2, 3, 3, 5, 1][p_partkey % 6 + 1] + 1 AS children FROM part),
+    placed AS (SELECT *, 5 + coalesce(sum(nodes) OVER earlier, 0) AS id, coalesce(sum(children) OVER earlier, 0) AS place,
+               coalesce(min(CASE WHEN gap > 0 THEN k END) OVER later, max(k) OVER (PARTITION BY page_id)) - k AS n FROM own
+               WINDOW earlier AS (PARTITION BY page_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), later AS (PARTITION BY page_id ORDER BY k ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING))
+    SELECT page_id, CAST(4 AS INTEGER) AS parent, CAST(id + 1 AS INTEGER) AS id, CAST(place + 1 AS INTEGER) AS place, CAST(CASE gap WHEN 3 THEN 3 ELSE 2 END AS BIGINT) AS length,
+           CAST(CASE WHEN n = 0 THEN 0 ELSE [0, 1, 0, 3][gap] + 2 * n - 1 END AS BIGINT) AS n_nodes FROM placed WHERE gap BETWEEN 1 AND 4"""
+
+
 def oracle_sql() -> dict[str, str]:
     from pagelift.queries import _decoded, _inner, _units
 
@@ -167,4 +270,31 @@ def oracle_sql() -> dict[str, str]:
                  UNION ALL SELECT page_id, 17 + 3 * n, 'article', len(regexp_extract_all(body, '<p>')), 0, length({_decoded('body')}) - length(replace({_decoded('body')}, ',', '')), {units('body')}, {units('head')}, 0, 0 FROM s)
         SELECT page_id, CAST(id AS INTEGER) AS id, tag, CAST(paragraphs AS BIGINT) AS paragraphs, {none}, CAST(items AS BIGINT) AS items, CAST(commas AS BIGINT) AS commas, CAST(length AS BIGINT) AS length,
                CAST(heading_length AS BIGINT) AS heading_length, CAST(list_length AS BIGINT) AS list_length, CAST(link_length AS DOUBLE) AS link_length, false AS video FROM rows"""
-    return {"subtree_stats": scaffold, "catalog_stats": _CATALOG_STATS, "ancestor_tests": _ANCESTORS, "table_sizes": _SIZES}
+    from pagelift.queries import _SCORES
+
+    tops = f"""
+        WITH {_BOXES}, ranked AS ({_SCORES})
+        SELECT p.page_id, CASE WHEN tag <> 'body' THEN id END AS id, CASE WHEN tag <> 'body' THEN tag END AS tag, CASE WHEN tag <> 'body' THEN round(score, 6) END AS score
+        FROM pages p LEFT JOIN (FROM ranked WHERE rank = 1) r USING (page_id)
+        UNION ALL SELECT -1 - q, CAST(CASE top WHEN 'mid' THEN outer_id + 1 + 4 * first WHEN 'outer' THEN outer_id WHEN 'all' THEN 4 END AS INTEGER), CASE WHEN top <> '' THEN 'div' END,
+               CASE top WHEN 'mid' THEN 6.5 WHEN 'outer' THEN 5 + m / 2 WHEN 'all' THEN round((5 + m / 3) * (1 - linked), 6) END FROM picked"""
+    siblings = f"""
+        WITH {_BOXES}
+        SELECT q AS page_id, CAST(4 AS INTEGER) AS id, 'div' AS tag, 'top' AS reason FROM picked WHERE top = 'all'
+        UNION ALL SELECT q, CAST(outer_id AS INTEGER), 'div', 'top' FROM picked WHERE top = 'outer'
+        UNION ALL SELECT q, CAST(v.id AS INTEGER), 'p', v.reason FROM picked, (VALUES (5, 'short'), (7, NULL), (9, NULL)) AS v(id, reason) WHERE top = 'outer' AND beside
+        UNION ALL SELECT q, CAST(outer_id + 1 + 4 * i AS INTEGER), 'div', CASE WHEN i = first THEN 'top' END FROM picked, (SELECT unnest(range(0, 8)) AS i) WHERE top = 'mid' AND i < n"""
+    from pagelift.queries import _WIDE
+
+    trimmed = f"regexp_replace(t, '^{_WIDE}+|{_WIDE}+$', '', 'g')"
+    ld = f"""
+        WITH own AS (SELECT page_id, page_id % 10 AS sort, url, regexp_replace(regexp_extract(html, '(?s)<title>(.*?)</title>', 1), '<[^>]*>', '', 'g') AS t FROM pages)
+        SELECT page_id, CASE WHEN sort IN (1, 4, 8) THEN NULL WHEN sort = 9 AND {trimmed} = '' THEN 'zzz zzzz zzzzz' ELSE {trimmed} END AS title,
+               CASE WHEN sort IN (0, 6) THEN 'Author ' || page_id WHEN sort IN (2, 7) THEN 'B' || page_id || ', C' WHEN sort = 3 THEN 'Ann' WHEN sort IN (5, 9) THEN '' END AS byline,
+               CASE WHEN sort = 5 THEN 'About ' || page_id WHEN sort NOT IN (1, 4, 8) THEN '' END AS excerpt,
+               CASE WHEN sort IN (0, 6) THEN {trimmed.replace("(t,", "(url,")} WHEN sort NOT IN (1, 4, 8) THEN '' END AS site_name,
+               CASE WHEN sort IN (0, 6) THEN '2020-01-' || page_id % 28 WHEN sort NOT IN (1, 4, 8) THEN '' END AS published_time FROM own"""
+    texts = f"""
+        WITH own AS (SELECT doc_id, coalesce(text, '') AS t, trim(regexp_replace(coalesce(text, ''), '{_WIDE}+', ' ', 'g')) AS plain FROM documents)
+        SELECT doc_id, plain || CASE WHEN plain <> '' THEN ' ' ELSE '' END || '.' || t || CASE WHEN regexp_matches('.' || t, '{_WIDE}$') THEN '' ELSE ' ' END || 'x' AS plain FROM own"""
+    return {"break_chains": _CHAINS, "page_json_ld": ld, "normalized_texts": texts, "chosen_tops": tops, "joined_siblings": siblings, "subtree_stats": scaffold, "catalog_stats": _CATALOG_STATS, "ancestor_tests": _ANCESTORS, "table_sizes": _SIZES}

@@ -228,7 +228,7 @@ def test_plans(spark, sf):
 def test_scores(spark):
     markup = page(f"<div id=a class=article><p>{LONG}</p><p>{LONG}</p></div><div id=b><p>{LONG}</p></div>")
     rows = spark.createDataFrame([(1, markup)], "page_id int, html string")
-    top = native.top_candidates(trees.content_scores(node_table(rows), ["page_id"]), ["page_id"]).orderBy("rank").collect()
+    top = trees.top_candidates(trees.content_scores(node_table(rows), ["page_id"]), ["page_id"]).orderBy("rank").collect()
     one = 2 + LONG.count(",") + 3
     assert [(r["tag"], r["score"]) for r in top] == [("div", 5 + 25 + 2 * one), ("body", 3 * one / 2), ("div", 5 + one)]
 

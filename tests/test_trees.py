@@ -1,13 +1,16 @@
 """Relations over whole trees against the kernel's walks, on made-up pages with spaces, nesting and neighbours of all sorts."""
 
+import json
 import random
 import re
 import time
 
 import pytest
+from pyspark.sql import functions as F
 
 from pagelift.functions import matchers
-from pagelift.operators import article, clean, dom, native, trees
+from pagelift.functions.text import plain
+from pagelift.operators import article, clean, dom, metadata, native, prepare, trees
 from pagelift.plans.kernel import node_table
 from pagelift.sources.html import ELEMENT, parse
 
@@ -68,13 +71,13 @@ def test_ancestors(pages, nodes):
 
 
 def attempt(html):
-    """An attempt over a page as it is parsed, its scores, and its candidates from best to worst."""
+    """An attempt over a page as it is parsed, its candidates from best to worst, and places of nodes."""
     doc = parse(html)
     run = article.Attempt(doc, "", "", article.Options(), True, True, True)
     met = run.score([x for x in doc.walk() if x.kind == ELEMENT and x.tag in article.SCORED])
     order = {x: k for k, x in enumerate(doc.walk())}
     run.options = article.Options(top_candidates=len(met))
-    return run, sorted(run.best(met), key=lambda n: (-run.scores[n], order[n])), order
+    return run, run.best(met), order
 
 
 def test_content_scores(pages, nodes):
@@ -87,6 +90,109 @@ def test_content_scores(pages, nodes):
     assert not got
 
 
+def test_chosen_tops_and_siblings(spark, pages, nodes):
+    rng = random.Random(9)
+    box = lambda: f"<div class={rng.choice(['a', 'b'])}><p>{'Some text, of which there is enough. ' * rng.randint(1, 4)}</p></div>"
+    more = [(2000 + i, "<body>" + "".join(rng.choice(["<section>", "<div class=a>", "<div>"]) + "".join(box() for _ in range(rng.randint(1, 5))) + rng.choice(["<p>Short one.</p>", "<p>none", "<p><a href=x>A link.</a>", f"<p>{'long text ' * 9}</p>", ""]) for _ in range(rng.randint(1, 4)))) for i in range(60)]
+    table = nodes.unionByName(node_table(spark.createDataFrame(more, "page_id long, html string")))
+    tops = {r["page_id"]: r for r in trees.chosen_tops(table, ["page_id"]).collect()}
+    beside = {}
+    for r in trees.joined_siblings(table, ["page_id"]).collect():
+        beside.setdefault(r["page_id"], {})[r["id"]] = r["reason"]
+    reasons = set()
+    for i, html in pages + more:
+        if html is None:
+            continue
+        run, best, order = attempt(html)
+        top, made = run.choose(best[:5])
+        got = tops.pop(i)
+        if made:
+            assert got["id"] is None and i not in beside
+            continue
+        assert (got["id"], got["tag"]) == (order[top], top.tag) and got["score"] == pytest.approx(run.scores[top])
+        own = beside.pop(i)
+        assert set(own) == {order[x] for x in dom.elements(top.parent)}
+        for x in dom.elements(top.parent):
+            assert (own[order[x]] is not None) == run._joins(x, top, max(10.0, run.scores[top] * 0.2))
+        reasons |= set(own.values())
+    assert not tops and not beside and reasons == {None, "top", "score", "long", "short"}
+
+
+GAPS = ["<br>", "<br>", "<br>", " ", "\n", "\xa0", "<!-- c -->", "some text", "<b>bold</b>", "<h2>x</h2>", "<a href=x>link</a>", "<a href=x><div>no</div></a>", "<ins><del>t</del></ins>", "<ins><span><div>in</div></span></ins>"]
+
+
+def test_break_chains(spark, pages, nodes):
+    """As many nodes go into the paragraphs that the kernel makes, at the same places."""
+    rng = random.Random(3)
+    more = [(2000 + i, "<body><div>" + "".join(rng.choice(GAPS) for _ in range(rng.randint(1, 25))) + "</div><p>" + "".join(rng.choice(GAPS[:8]) for _ in range(9))) for i in range(150)]
+    table = nodes.unionByName(node_table(spark.createDataFrame(more, "page_id long, html string")))
+    got = {}
+    for r in trees.break_chains(table, ["page_id"]).collect():
+        got.setdefault(r["page_id"], []).append((r["id"], r["length"], r["n_nodes"]))
+    n = 0
+    for i, html in pages + more:
+        if html is None:
+            continue
+        doc = parse(html)
+        order = {x: k for k, x in enumerate(doc.walk())}
+        breaks = [x for x in doc.walk() if x.tag == "br"]
+        prepare.breaks_to_paragraphs(dom.first(doc, "body"))
+        left = {x for x in doc.walk() if x.tag == "br"}
+        made = [x for x in doc.walk() if x.kind == ELEMENT and x not in order]
+        own = sorted(got.pop(i, []))
+        assert sorted(x[2] for x in own) == sorted(len(x.children) for x in made)
+        cut = sum(1 for x in breaks if x not in left)
+        trimmed = cut - sum(length for _, length, _ in own)
+        assert trimmed >= 0  # breaks at the end of a paragraph go, too
+        n += len(own)
+    assert not got and n > 100
+
+
+def test_break_rows(spark):
+    pages = [(1, "<div>a<br> <br>b<br>c<br><br><br> d<b>e</b><h2>f</h2>g<br> <br> <br>h<br> <br> <br> <br> <br>i</div>")]
+    got = trees.break_chains(node_table(spark.createDataFrame(pages, "page_id long, html string")), ["page_id"]).orderBy("id").collect()
+    assert [(r["length"], r["n_nodes"]) for r in got] == [(2, 4), (3, 2), (2, 4), (2, 0), (2, 4)]
+
+
+def test_normalized_texts(spark, pages, nodes):
+    rng = random.Random(5)
+    part = lambda: rng.choice(WORDS + ["<pre>", "</pre>", "<textarea>", "</textarea>", "<b>", "</b>", "<p>", "\n"])
+    more = [(2000 + i, "".join(part() for _ in range(rng.randint(0, 25)))) for i in range(200)]
+    table = nodes.unionByName(node_table(spark.createDataFrame(more, "page_id long, html string")))
+    got = {r["page_id"]: r["t"] for r in table.select("page_id", trees.normalized_text(F.col("nodes")).alias("t")).collect()}
+    for i, html in pages + more:
+        if html is not None:
+            assert got[i] == plain(article._pieces(parse(html)))
+
+
+LD = [
+    {"@context": "https://schema.org", "@type": "NewsArticle", "headline": " H ", "author": {"name": " A "}, "publisher": {"name": "P"}, "datePublished": "2020", "description": " d "},
+    {"@context": ["https://schema.org", {"@vocab": "http://other.org/"}], "@type": "Article", "name": "no"},
+    {"@context": [{"@vocab": None}, ["x", [{"@vocab": "http://schema.org/"}]]], "@graph": [1, {"@type": "WebSite"}, {"@type": ["Thing", ["https://schema.org/Report"]], "name": "N", "author": ["x", {"name": "B"}, {"name": 1}, {"name": " C"}]}]},
+    {"@context": "http://schema.org/", "@type": "Article", "name": 7, "headline": True, "author": 3, "description": 12, "publisher": "p"},
+    [1, {"@context": "https://schema.org", "@type": "Person"}, {"@context": "https://schema.org", "@type": "BlogPosting", "name": "x"}],
+    {"@context": "https://schema.org", "@type": "Article", "name": "Other words altogether", "headline": "A title of several words"},
+    {"@context": "https://schema.org", "@type": "Article", "headline": "Other words altogether", "name": "A title of several words"},
+    {"@context": {"@vocab": 5}, "@type": "Article"}, {"@type": "Article"}, [], {}, None, "text", 5,
+    {"@context": ["https://schema.org", {"other": 1}], "@type": "Article", "name": "", "headline": ""},
+]
+
+
+def test_json_ld(spark):
+    rng = random.Random(6)
+    sources = [json.dumps(x) for x in LD] + ["", "{", json.dumps(LD[0]) + " 1", json.dumps(LD[0]) + ",1", "1], [2", '1}, {"v": 2', "NaN", f" <![CDATA[{json.dumps(LD[0])}]]> \n"]
+    kind = lambda: rng.choice(["application/ld+json"] * 5 + ["text/javascript", "APPLICATION/LD+JSON"])
+    pages = [(i, f"<title>A title of several words</title><script type='application/ld+json'>{s}</script>") for i, s in enumerate(sources)]
+    pages += [(100 + i, "<title>A title of several words</title>" + "".join(f"<script type='{kind()}'>{rng.choice(sources)}</script>" for _ in range(3))) for i in range(120)]
+    nodes = F.col("nodes")
+    found = node_table(spark.createDataFrame(pages, "page_id long, html string")).select("page_id", trees.json_ld(trees.ld_scripts(nodes), native.page_title(nodes)).alias("ld"))
+    got = {r["page_id"]: r["ld"] and tuple(r["ld"]) for r in found.collect()}
+    for i, html in pages:
+        doc = parse(html)
+        m = metadata.json_ld(metadata.scripts(doc), lambda doc=doc: metadata.page_title(doc))
+        assert got[i] == (m and (m.title, m.byline, m.excerpt, m.site_name, m.published_time)), html
+
+
 SPANS = ["", "2", "0", "x", "+3", "-1", " 4", "12", "1_0", "99999999999999999999", "-99999999999999999999", "9" * 5000, "0007", "٣"]
 
 
