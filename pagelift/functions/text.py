@@ -7,6 +7,7 @@ spaces with vertical tab and next line. Lengths count UTF-16 units.
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -96,6 +97,11 @@ ASCII_CLASS = r"[ \t\n\r\f]"
 WIDE_CLASS = "[\\t\\n\\x{0B}\\f\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then of a value that is worked out once, wherever it stands: the optimizer would write it into each use."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def utf16_col(c: Column) -> Column:
     return (F.octet_length(F.encode(c, "UTF-16BE")) / 2).cast("int")
 

@@ -21,7 +21,7 @@ from pagelift.functions import text as X
 from pagelift.sources.html import ELEMENT, TEXT
 
 from .clean import DATA_PARTS, EMBEDDED, HEADINGS
-from .native import attribute, below, table_kind, tagged, text_of
+from .native import attribute, below, fishy, table_kind, tagged, text_of
 
 #: A run of spaces at the end, looked for only where it begins.
 _TRAIL = f"(?<!{X.WIDE_CLASS}){X.WIDE_CLASS}++\\z"
@@ -29,11 +29,6 @@ _TRAIL = f"(?<!{X.WIDE_CLASS}){X.WIDE_CLASS}++\\z"
 _LEAST, _MOST = -(2**63), 2**63 - 1
 
 
-def _let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then of a value that is worked out once, wherever it stands: the optimizer would write it into each use."""
-    return F.get(F.transform(F.array(value), then), F.lit(0))
-
-
 def node_rows(tables: DataFrame, id_cols: Sequence[str], nodes_col: str = "nodes") -> DataFrame:
     """id columns and the fields of each node of each page, one row a node."""
     return tables.select(*id_cols, F.explode(nodes_col).alias("n")).select(*id_cols, "n.*")
@@ -234,7 +229,7 @@ def _chosen(pages: DataFrame, id_cols: Sequence[str], count: int) -> DataFrame:
         """Id of the best, or of the nearest element around it that holds enough of those close to it."""
         close = F.filter(F.slice(s, 2, count - 1), lambda x: (best["minus"] != 0) & (x["minus"] / best["minus"] >= CLOSE))
         found = lambda own: F.filter(above(n, best, stop), lambda a: F.size(F.filter(own, lambda c: around(a, c))) >= CLOSE_COUNT)
-        return _let(close, lambda own: F.when(F.size(own) >= CLOSE_COUNT, F.coalesce(F.get(found(own), F.lit(0))["id"], best["id"])).otherwise(best["id"]))
+        return X.let(close, lambda own: F.when(F.size(own) >= CLOSE_COUNT, F.coalesce(F.get(found(own), F.lit(0))["id"], best["id"])).otherwise(best["id"]))
 
     def climbed(at: Column, score: Column, stop: Column) -> Column:
         """Id of the first scored element above whose score is larger than the one before."""
@@ -254,17 +249,17 @@ def _chosen(pages: DataFrame, id_cols: Sequence[str], count: int) -> DataFrame:
 
     def chosen(best: Column) -> Column:
         body = F.get(F.filter(n, lambda x: (x["kind"] == ELEMENT) & (x["tag"] == "body")), F.lit(0))
-        stop = _let(body, lambda b: F.coalesce(F.when(around(b, best), b["id"]), F.lit(0)))
+        stop = X.let(body, lambda b: F.coalesce(F.when(around(b, best), b["id"]), F.lit(0)))
         fields = lambda at: F.struct(*(at[c].alias(c) for c in ("id", "parent", "tag", "class")), score_of(at).alias("score"))
 
         def from_there(stop: Column) -> Column:
-            first = lambda at: _let(score_of(at), lambda score: F.get(n, climbed(at, score, stop)))
-            return _let(F.get(n, shared(best, stop)), lambda at: _let(first(at), lambda up: _let(F.get(n, alone(up, stop)), fields)))
+            first = lambda at: X.let(score_of(at), lambda score: F.get(n, climbed(at, score, stop)))
+            return X.let(F.get(n, shared(best, stop)), lambda at: X.let(first(at), lambda up: X.let(F.get(n, alone(up, stop)), fields)))
 
-        return _let(stop, from_there)
+        return X.let(stop, from_there)
 
     best = F.get(s, F.lit(0))
-    rows = rows.select(*id_cols, F.when(best["tag"] != "body", _let(best, chosen)).alias("at"))
+    rows = rows.select(*id_cols, F.when(best["tag"] != "body", X.let(best, chosen)).alias("at"))
     return rows.select(*id_cols, "at.*")
 
 
@@ -356,7 +351,7 @@ def table_sizes(tables: DataFrame, id_cols: Sequence[str], nodes_col: str = "nod
         columns = F.greatest(F.coalesce(F.array_max(own), zero), zero)
         return F.struct(x["id"].alias("id"), _held(x, "n_rows").alias("n_rows"), columns.alias("n_columns"), table_kind(x["role"], x["datatable"], x["summary"], _held(x, "captions") > 0, _held(x, "parts") > 0, _held(x, "nested") > 0, _held(x, "n_rows"), columns).alias("is_data"))
 
-    found = _let(trs, lambda widths: F.transform(F.filter("n", lambda x: (x["kind"] == ELEMENT) & (x["tag"] == "table")), lambda x: size(x, widths)))
+    found = X.let(trs, lambda widths: F.transform(F.filter("n", lambda x: (x["kind"] == ELEMENT) & (x["tag"] == "table")), lambda x: size(x, widths)))
     return pages.select(*id_cols, F.explode(found).alias("s")).select(*id_cols, "s.*")
 
 
@@ -517,8 +512,8 @@ def json_ld(sources: Column, title: Column) -> Column:
         text = F.regexp_replace(source, "^[ \\t\\n\\r\\f]*<!\\[CDATA\\[|\\]\\]>[ \\t\\n\\r\\f]*\\z", "")
         # What stands behind a value is passed over by the parser, so the value is set between brackets, of both kinds.
         alone = _items(F.try_parse_json(F.concat(F.lit("["), text, F.lit("]"))))
-        whole = _let(alone, lambda a: F.when((F.size(a) == 1) & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull(), F.get(a, F.lit(0))))
-        roots = F.filter(_let(whole, lambda v: F.coalesce(_items(v), F.array(v))), lambda r: F.coalesce(counts(r), F.lit(False)))
+        whole = X.let(alone, lambda a: F.when((F.size(a) == 1) & F.try_parse_json(F.concat(F.lit('{"v":'), text, F.lit("}"))).isNotNull(), F.get(a, F.lit(0))))
+        roots = F.filter(X.let(whole, lambda v: F.coalesce(_items(v), F.array(v))), lambda r: F.coalesce(counts(r), F.lit(False)))
         own = F.flatten(F.transform(roots, lambda r: F.concat(F.array(r), F.coalesce(_items(_get(r, "@graph")), F.array().cast("array<variant>")))))
         return F.filter(own, is_article)
 
@@ -542,3 +537,51 @@ def ld_scripts(nodes: Column) -> Column:
     """Contents of a page's JSON-LD scripts."""
     found = F.filter(tagged(nodes, "script"), lambda x: attribute(x["attrs"], "type") == "application/ld+json")
     return F.transform(found, lambda x: text_of(nodes, x))
+
+
+# The conditional rules
+
+
+def conditional_removals(tables: DataFrame, id_cols: Sequence[str], tags: Sequence[str] = ("form", "fieldset", "table", "ul", "div"), modifier: float = 0.0, nodes_col: str = "nodes") -> DataFrame:
+    """Which elements of the tags the conditional rules take out of a tree as it is: id columns, id, tag and goes.
+
+    Tables of data, what lies in them and what lies near code stay; then the rules over what an element holds; a list whose
+    items hold no more than one element stays if each has an image. Tables' kinds and lists' items are joined by id.
+    """
+    keys = [*id_cols, "id"]
+    stats = subtree_stats(tables, id_cols, sorted({*tags, "table"}), nodes_col)
+    near = ancestor_tests(tables, id_cols, {"in_figure": ("figure", 3, None), "in_code": ("code", 3, None)}, sorted({*tags, "table"}), nodes_col).drop("tag")
+    elements = node_rows(tables, id_cols, nodes_col).filter(F.col("kind") == ELEMENT).select(*keys, "parent", "last_id")
+    held = elements.groupBy(*id_cols, F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("n_elements"))
+    wide = elements.join(held, keys).groupBy(*id_cols, F.col("parent").alias("id")).agg((F.max("n_elements") > 1).alias("wide"))
+    rows = stats.join(near, keys).join(elements.drop("parent"), keys).join(table_sizes(tables, id_cols, nodes_col).select(*keys, "is_data"), keys, "left").join(wide, keys, "left")
+    in_data = F.coalesce(F.max(F.when(F.col("is_data"), F.col("last_id"))).over(_before(id_cols)) >= F.col("id"), F.lit(False))
+    rows = rows.withColumn("in_data", in_data).filter(F.col("tag").isin(*tags))
+    h = {c: F.col(c) for c in rows.columns} | {"link_density": F.coalesce(F.try_divide(F.col("link_length"), F.col("length").cast("double")), F.lit(0.0))}
+    is_list = F.col("tag").isin("ul", "ol") | (F.coalesce(F.try_divide(F.col("list_length").cast("double"), F.col("length").cast("double")), F.lit(0.0)) > 0.9)
+    judged = fishy(F.col("tag"), F.col("weight"), h, modifier)
+    simple = is_list & (F.col("weight") >= 0) & ~F.coalesce(F.col("wide"), F.lit(False)) & (F.col("images") == F.col("items"))
+    goes = F.when(F.coalesce(F.col("is_data"), F.lit(False)) | F.col("in_data") | F.col("in_code"), False).otherwise(judged & ~simple)
+    return rows.select(*keys, "tag", goes.alias("goes"))
+
+
+# Links
+
+
+def absolute_links(tables: DataFrame, id_cols: Sequence[str], url_col: str = "url", nodes_col: str = "nodes") -> DataFrame:
+    """href of links (but to scripts), src, poster and srcset of media, with absolute URLs: id columns, id, name and value,
+    a row for each attribute that is not empty. Map-only: the base of a page is found in its own row."""
+    from pagelift.functions import links
+
+    nodes = F.col(nodes_col)
+    href = X.let(F.slice(tagged(nodes, "base"), 1, 1), lambda b: F.when(F.size(b) > 0, attribute(F.get(b, F.lit(0))["attrs"], "href")).otherwise(""))
+    base = links.base_of(href, F.coalesce(F.col(url_col).cast("string"), F.lit("")))
+    media = ["img", "picture", "figure", "video", "audio", "source"]
+    kept = F.filter(nodes, lambda x: (x["kind"] == ELEMENT) & x["tag"].isin("a", *media))
+    rows = tables.select(*id_cols, base.alias("base_"), F.explode(kept).alias("x"))
+    value = lambda name: attribute(F.col("x.attrs"), name)
+    own = F.when(F.col("x.tag") == "a", F.array(F.struct(F.lit("href").alias("name"), value("href").alias("value")))).otherwise(F.array(*(F.struct(F.lit(k).alias("name"), value(k).alias("value")) for k in ("src", "poster", "srcset"))))
+    rows = rows.select(*id_cols, "base_", F.col("x.id").alias("id"), F.explode(F.filter(own, lambda a: a["value"] != "")).alias("a")).select(*id_cols, "base_", "id", "a.*")
+    several = F.array_join(F.transform(F.split("value", ",%20", -1), lambda u: links.absolute(u, F.col("base_"))), ",%20")
+    made = F.when(F.col("name") == "href", several).when(F.col("name") == "srcset", links.srcset(F.col("value"), F.col("base_"))).otherwise(links.absolute(F.col("value"), F.col("base_")))
+    return rows.filter((F.col("name") != "href") | ~links.javascript(F.col("value"))).select(*id_cols, "id", "name", made.alias("value"))

@@ -25,6 +25,8 @@ RESULT = T.StructType(
 )
 NODES = "array<struct<id:int,parent:int,depth:int,pos:int,last_id:int,kind:tinyint,tag:string,text:string,attrs:array<struct<key:string,val:string>>>>"
 
+NODE_COLUMNS = [("id", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("pos", pa.int32()), ("last_id", pa.int32()), ("kind", pa.int8()), ("tag", pa.string()), ("text", pa.string()), ("attrs", pa.list_(pa.struct([("key", pa.string()), ("val", pa.string())])))]
+
 
 def _clean(value: object) -> object:
     """Strings without halves of surrogate pairs, which UTF-8 cannot hold."""
@@ -104,7 +106,7 @@ def unflatten(rows: list[dict]) -> Node:
 def node_table(df: DataFrame, id_cols: Sequence[str] = ("page_id",), html_col: str = "html") -> DataFrame:
     """The tree of each page as an array of nodes (null for null)."""
     schema = T.StructType.fromDDL(f"nodes {NODES}")
-    kind = pa.list_(pa.struct([("id", pa.int32()), ("parent", pa.int32()), ("depth", pa.int32()), ("pos", pa.int32()), ("last_id", pa.int32()), ("kind", pa.int8()), ("tag", pa.string()), ("text", pa.string()), ("attrs", pa.list_(pa.struct([("key", pa.string()), ("val", pa.string())])))]))
+    kind = pa.list_(pa.struct(NODE_COLUMNS))
 
     def one(pages: list) -> list[pa.Array]:
         return [pa.array([None if p is None else flatten(parse(p)) for p in pages], kind)]

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pandas as pd
 from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from pagelift.functions import text, urls
 from pagelift.operators.article import extract_page
 from pagelift.operators.readable import probably_article
-from pagelift.plans.kernel import RESULT, _rows
+from pagelift.plans.kernel import NODE_COLUMNS, NODES, RESULT, _rows, flatten
 from pagelift.sources.html import parse
 
+COLUMNS = [name for name, _ in NODE_COLUMNS]
+
 
 def register(spark: SparkSession) -> None:
-    """extract_article(html, url), probably_article(html), plain_text_length(text), absolute_url(base, ref)."""
+    """extract_article(html, url), probably_article(html), plain_text_length(text), absolute_url(base, ref); and the table
+    function nodes(html) for use with LATERAL: a row for each node of the page's tree, none for null."""
 
     @F.pandas_udf(RESULT)
     def extract_article(html: pd.Series, url: pd.Series) -> pd.DataFrame:
@@ -40,4 +46,13 @@ def register(spark: SparkSession) -> None:
     for name, f in (("extract_article", extract_article), ("probably_article", probably), ("plain_text_length", length), ("absolute_url", absolute)):
         spark.udf.register(name, f)
 
+    spark.udtf.register("nodes", F.udtf(Nodes, useArrow=False, returnType=T.StructType.fromDDL(f"nodes {NODES}")["nodes"].dataType.elementType))
+
+
+class Nodes:
+    """The nodes of pages' trees in document order. Rows, not Arrow batches, since Spark joins no other kind laterally."""
 
+    def eval(self, html: str | None) -> Iterator[tuple]:
+        if html is not None:
+            for r in flatten(parse(html)):
+                yield (*(r[name] for name in COLUMNS[:-1]), [(a["key"], a["val"]) for a in r["attrs"]])

@@ -2,38 +2,37 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelift import tree_queries
 from pagelift.functions import matchers
 from pagelift.functions import text as X
+from pagelift.operators import metadata as M
 from pagelift.operators import native, trees
 from pagelift.plans.kernel import extract_articles, extract_articles_from_nodes, node_table, to_json
 
-# Literal rows for operators whose inputs the page table does not have.
+# What the markup of built pages is varied by, besides the columns of the tables that it is made of.
 NAMES = ["", "article-body", "sidebar left", "share-buttons", "sharedaddy", "my_share", "preshared", "byline vcard", "p-author", "hid", "x hid", "hidden", "post-content main", "comment and column", "-ad-", "Footer", "masthead", "pagination", "social", "story text", "author", "skyscraper"]
 URLS = ["https://example.com/a", "http://example.com", "HTTP://EXAMPLE.com/x?y#top", "https://user:pw@example.com:8443/p", "http://[2001:db8::1]:80/p", "ftp://example.com/a", "relative/article", "/article", "https://:443/article", "https:///article", "", "http://example.com/#top"]
-TABLES = [("", "", "", False, False, False, 2, 2), ("presentation", "", "s", True, True, False, 20, 9), ("", "0", "s", True, True, False, 20, 9), ("", "", "sum", False, False, True, 1, 1), ("", "", "", True, False, True, 1, 1), ("", "", "", False, True, True, 1, 1), ("", "", "", False, False, True, 20, 9), ("", "", "", False, False, False, 10, 1), ("", "", "", False, False, False, 1, 5), ("", "", "", False, False, False, 3, 4), ("", "", "", False, False, False, 2, 5)]
-HOLDINGS = ["paragraphs", "images", "items", "inputs", "embeds", "commas", "length", "heading_length", "list_length"]
-CASES = [("div", -25, 5, 0, 0, 0, 0, 0, 900, 0, 0, 0.0, False, False), ("div", 0, 5, 0, 0, 0, 0, 12, 900, 0, 0, 0.9, False, False), ("div", 0, 1, 3, 0, 0, 0, 1, 500, 0, 0, 0.0, False, False), ("div", 0, 1, 3, 0, 0, 0, 1, 500, 0, 0, 0.0, False, True), ("div", 0, 1, 0, 130, 0, 0, 1, 500, 0, 0, 0.0, False, False), ("ul", 0, 1, 0, 130, 0, 0, 1, 500, 0, 500, 0.3, False, False), ("div", 0, 2, 0, 0, 1, 0, 1, 500, 0, 0, 0.0, False, False), ("div", 0, 3, 0, 0, 1, 0, 1, 500, 0, 0, 0.0, False, False), ("div", 0, 1, 0, 0, 0, 0, 0, 20, 0, 0, 0.0, False, False), ("div", 0, 1, 1, 0, 0, 0, 0, 20, 0, 0, 0.0, False, False), ("div", 0, 1, 0, 0, 0, 0, 0, 20, 20, 0, 0.0, False, False), ("div", 0, 1, 0, 0, 0, 0, 1, 500, 0, 0, 0.25, False, False), ("div", 25, 1, 0, 0, 0, 0, 1, 500, 0, 0, 0.25, False, False), ("div", 25, 1, 0, 0, 0, 0, 1, 500, 0, 0, 0.55, False, False), ("div", 0, 1, 0, 0, 0, 1, 1, 70, 0, 0, 0.0, False, False), ("div", 0, 1, 0, 0, 0, 1, 1, 75, 0, 0, 0.0, False, False), ("div", 0, 1, 0, 0, 0, 2, 1, 500, 0, 0, 0.0, False, False), ("div", 0, 1, 0, 0, 0, 2, 1, 500, 0, 0, 0.0, True, False), ("div", 0, 0, 0, 0, 0, 0, 0, 0, 0, 0, 0.0, False, False), ("div", 0, 1, 0, 0, 0, 0, 1, 100, 0, 95, 0.9, False, False)]
-METAS = [(1, 1, "", "og:title", " A "), (1, 2, "", "dc:title", "B"), (1, 3, "author", "", "Ann"), (1, 4, "", "og:site_name", "Site"), (2, 1, "DC.Title", "", "First"), (2, 2, "dc.title", "", "Second"), (2, 3, "description", "", "Text"), (2, 4, "twitter:description", "", "Tw"), (3, 1, "parsely-pub-date", "", "2020-01-01"), (3, 2, "", "article:published_time", "2021-02-02"), (3, 3, "parsely-author", "", "Paul"), (3, 4, "viewport", "", "x"), (4, 1, "", "og:title", ""), (4, 2, "weibo:article:title", "", "W"), (4, 3, "", "x og : title y", "In the middle")]
+METAS = [("", "og:title", " A "), ("", "dc:title", "B"), ("author", "", "Ann"), ("", "og:site_name", "Site"), ("DC.Title", "", "First"), ("dc.title", "", "Second"), ("description", "", "Text"), ("twitter:description", "", "Tw"), ("parsely-pub-date", "", "2020-01-01"), ("", "article:published_time", "2021-02-02"), ("parsely-author", "", "Paul"), ("viewport", "", "x"), ("", "og:title", ""), ("weibo:article:title", "", "W"), ("", "x og : title y", "In the middle")]
 
 CLASSES = ["page", "a page b", "  page\tpage ", "pages", "", "x  y", "Page page"]
 STYLES = ["display:none", "DISPLAY : block ; display:none", "display:none!important;display:block", "display:none ! important;display:block!important", "x;display:none", "display", "", "display:none;display:", "color:red; display : inline-block ;"]
 _LONG = "<p>" + "This sentence is here so that the paragraph has enough text, commas, and units to count. " * 8 + "</p>"
-_LD = '<script type="application/ld+json">{"@context":"https://schema.org","@graph":[{"@type":"WebSite"},{"@type":"http://schema.org/Report","name":"Long name of it","headline":"Head","author":[{"name":"A"},{"name":"B"}],"description":"D","datePublished":"2020","publisher":{"name":"P"}}]}</script>'
-GOLDEN = [  # page, url, markup, and the results: status, title, byline, dir, lang, excerpt, site_name, published_time, attempts
-    (1, "", f"<html lang=en><title>A title of several words</title><body><div dir=rtl>{_LONG}{_LONG}</div>", "ok", "A title of several words", "", "rtl", "en", _LONG[3:-5], "", "", 1),
-    (2, "https://e.com/", f"<title>x</title>{_LD}<div>{_LONG}</div>", "ok", "Long name of it", "A, B", "", "", "D", "P", "2020", 1),
-    (3, "", f"<title>x</title><meta property='og:title' content='O &amp;amp; P'><meta name=author content=Ann><meta property='article:published_time' content=2021><meta name=description content=Text><div>{_LONG}</div>", "ok", "O & P", "Ann", "", "", "Text", "", "2021", 1),
-    (4, "", f"<title>The name of a story: part of it</title><div><p class=byline>By <b itemprop=name>Eve</b></p>{_LONG}</div>", "ok", "The name of a story: part of it", "Eve", "", "", _LONG[3:-5], "", "", 1),
+_LD = '<script type="application/ld+json">{"@context":"https://schema.org","@graph":[{"@type":"WebSite"},{"@type":"http://schema.org/Report","name":"Long name of it","headline":"Head","author":[{"name":"A"},{"name":"B"}],"description":"D §","datePublished":"2020","publisher":{"name":"P"}}]}</script>'
+#: Sorts of pages: url, markup, and the results; § stands for a supplier's name.
+GOLDEN = [  # sort, url, markup, status, title, byline, dir, lang, excerpt, site_name, published_time, attempts
+    (1, "", f"<html lang=en><title>A title of several words §</title><body><div dir=rtl>{_LONG}{_LONG}</div>", "ok", "A title of several words §", "", "rtl", "en", _LONG[3:-5], "", "", 1),
+    (2, "https://e.com/", f"<title>x</title>{_LD}<div>{_LONG}</div>", "ok", "Long name of it", "A, B", "", "", "D §", "P", "2020", 1),
+    (3, "", f"<title>x</title><meta property='og:title' content='O &amp;amp; P'><meta name=author content='Ann §'><meta property='article:published_time' content=2021><meta name=description content=Text><div>{_LONG}</div>", "ok", "O & P", "Ann §", "", "", "Text", "", "2021", 1),
+    (4, "", f"<title>The name of a story: part of it</title><div><p class=byline>By <b itemprop=name>Eve §</b></p>{_LONG}</div>", "ok", "The name of a story: part of it", "Eve §", "", "", _LONG[3:-5], "", "", 1),
     (5, "", f"<title>A title of several words</title><div class=sidebar>{_LONG}</div>", "ok", "A title of several words", "", "", "", _LONG[3:-5], "", "", 2),
     (6, "nowhere", _LONG, "invalid_url", None, None, None, None, None, None, None, None),
     (7, "", "<html><head></head></html>", "no_body", None, None, None, None, None, None, None, None),
     (8, "", "", "no_content", None, None, None, None, None, None, None, None),
     (9, "", None, "read_error", None, None, None, None, None, None, None, None),
-    (10, "", "<title>A title of several words</title><article><p>Too short, yet all there is.</p></article>", "ok", "A title of several words", "", "", "", "Too short, yet all there is.", "", "", 4),
+    (10, "", "<title>A title of several words</title><article><p>Too short, §, yet all there is.</p></article>", "ok", "A title of several words", "", "", "", "Too short, §, yet all there is.", "", "", 4),
 ]
 GOLDEN_NAMES = ["status", "title", "byline", "dir", "lang", "excerpt", "site_name", "published_time", "attempts"]
 
@@ -137,9 +136,25 @@ def text_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", X.similarity_col(F.col("line"), F.col("text")).alias("of_text"), X.similarity_col(F.col("text"), F.col("line")).alias("of_line"))
 
 
+def _varied(values: list[str], *more: Column) -> Column:
+    """A part's value of a list, by its key, with more of its columns behind it for two of three keys."""
+    k = F.col("p_partkey")
+    out = F.get(F.array(*map(F.lit, values)), (k % len(values)).cast("int"))
+    return F.concat(out, F.when(k % 3 == 1, F.concat(*more)).when(k % 3 == 2, F.concat(F.lit(" "), F.upper(more[-1]))).otherwise(""))
+
+
+def _attributes(spark: SparkSession, sf_dir: str, name: str, value: Column) -> DataFrame:
+    """k and value: an attribute of the elements of pages that are built from parts, as it is read from their trees."""
+    element = F.concat(F.lit('<i id="'), F.col("p_partkey"), F.lit(f'" {name}="'), value, F.lit('"></i>'))
+    built = tree_queries.built(spark, sf_dir, element, "<body>", "</body>")
+    rows = node_table(built).select(F.explode(native.tagged(F.col("nodes"), "i")).alias("n"))
+    return rows.select(native.attribute(F.col("n.attrs"), "id").cast("long").alias("k"), native.attribute(F.col("n.attrs"), name).alias(name))
+
+
 def name_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows, c = spark.createDataFrame([(n,) for n in NAMES], "name string"), F.col("name")
-    return rows.select("name", matchers.unlikely_col(c).alias("unlikely"), matchers.maybe_col(c).alias("maybe"), matchers.byline_col(c).alias("byline"), matchers.share_col(c).alias("share"), matchers.class_weight_col(c, F.lit("")).alias("weight"))
+    """What class names say, made of known ones and names and types of parts."""
+    rows, c = _attributes(spark, sf_dir, "class", _varied(NAMES, F.lit("-"), F.lower("p_type"), F.lit(" "), F.col("p_name"))), F.col("class")
+    return rows.select("k", c.alias("name"), matchers.unlikely_col(c).alias("unlikely"), matchers.maybe_col(c).alias("maybe"), matchers.byline_col(c).alias("byline"), matchers.share_col(c).alias("share"), matchers.class_weight_col(c, F.lit("")).alias("weight"))
 
 
 def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -148,39 +163,38 @@ def page_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def table_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = ["role", "datatable", "summary", "caption", "parts", "nested", "n_rows", "n_columns"]
-    rows = spark.createDataFrame(TABLES, "role string, datatable string, summary string, caption boolean, parts boolean, nested boolean, n_rows int, n_columns int")
-    return rows.select(*names, native.table_kind(*map(F.col, names)).alias("is_data"))
-
-
-def conditional_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame(CASES, "tag string, weight int, " + ", ".join(f"{h} int" for h in HOLDINGS) + ", link_density double, video boolean, in_figure boolean")
-    return rows.withColumn("goes", native.fishy(F.col("tag"), F.col("weight"), {c: F.col(c) for c in rows.columns}))
+    """How many tables of each page hold data, and how many are layout."""
+    sizes = tree_queries.table_sizes(spark, sf_dir)
+    return sizes.groupBy("page_id").agg(F.count_if("is_data").alias("data"), F.count_if(~F.col("is_data")).alias("layout"))
 
 
 def meta_precedence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pagelift.operators import metadata as M
-
-    rows = spark.createDataFrame(METAS, "page int, place int, name string, property string, content string")
-    metas = rows.groupBy("page").agg(F.array_sort(F.collect_list(F.struct("place", "name", "property", "content"))).alias("m"))
-    values = metas.select("page", native.meta_values(F.col("m")).alias("v"))
+    """What pages with several meta elements, made of parts, give as title, byline and so on."""
+    k = F.col("p_partkey")
+    name, prop, content = (F.get(F.array(*(F.lit(m[i]) for m in METAS)), (k % len(METAS)).cast("int")) for i in range(3))
+    element = F.concat(F.lit('<meta name="'), name, F.lit('" property="'), prop, F.lit('" content="'), F.when(content != "", F.concat(content, F.lit(" "), F.col("p_name"))).otherwise(""), F.lit('">'))
+    nodes = node_table(tree_queries.built(spark, sf_dir, element, "<head>", "</head><body>x</body>"))
+    metas = F.transform(native.tagged(F.col("nodes"), "meta"), lambda n: F.struct(*(native.attribute(n["attrs"], a).alias(a) for a in ("name", "property", "content"))))
+    values = nodes.select("page_id", native.meta_values(metas).alias("v"))
     keys = {"title": M.TITLE_KEYS, "byline": M.BYLINE_KEYS, "excerpt": M.EXCERPT_KEYS, "site_name": M.SITE_KEYS, "published_time": M.TIME_KEYS}
-    return values.select("page", *(native.first_of(F.col("v"), k).alias(n) for n, k in keys.items()))
+    return values.select("page_id", *(native.first_of(F.col("v"), k).alias(n) for n, k in keys.items()))
 
 
 def class_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(c,) for c in CLASSES], "value string")
-    return rows.select("value", native.kept_classes(F.col("value")).alias("kept"))
+    rows = _attributes(spark, sf_dir, "class", _varied(CLASSES, F.lit(" "), F.col("p_type"), F.lit("  page")))
+    return rows.select("k", F.col("class").alias("value"), native.kept_classes(F.col("class")).alias("kept"))
 
 
 def inline_styles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(s,) for s in STYLES], "style string")
-    return rows.select("style", native.style(F.col("style"), "display").alias("display"))
+    rows = _attributes(spark, sf_dir, "style", _varied(STYLES, F.lit(";display: "), F.lower("p_type")))
+    return rows.select("k", "style", native.style(F.col("style"), "display").alias("display"))
 
 
 def golden_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages whose results are known from the rules."""
-    rows = spark.createDataFrame([g[:3] for g in GOLDEN], "page_id int, url string, html string")
+    """Pages of sorts whose results are known from the rules, with the names of suppliers in them."""
+    k = F.col("s_suppkey")
+    own = F.get(F.array(*(F.struct(*(F.lit(x).cast("string").alias(c) for x, c in zip(g[1:3], ("url", "html"), strict=True))) for g in GOLDEN)), (k % len(GOLDEN)).cast("int"))
+    rows = _table(spark, sf_dir, "supplier").select(k.alias("page_id"), own["url"].alias("url"), F.replace(own["html"], F.lit("§"), F.col("s_name")).alias("html"))
     return extract_articles(rows).select("page_id", *GOLDEN_NAMES)
 
 
@@ -223,7 +237,6 @@ QUERIES = {
     "name_rules": name_rules,
     "page_urls": page_urls,
     "table_kinds": table_kinds,
-    "conditional_rules": conditional_rules,
     "meta_precedence": meta_precedence,
     "class_cleaning": class_cleaning,
     "inline_styles": inline_styles,
@@ -368,8 +381,12 @@ _SCORES = f"""
           UNION ALL SELECT page_id, CAST(11 AS INTEGER), 'body', points / 2 * (1 - linked / units) FROM b WHERE points > 0)
     SELECT *, CAST(row_number() OVER (PARTITION BY page_id ORDER BY score DESC, id) AS INTEGER) AS rank FROM c"""
 
-_CASE_NAMES = "tag, weight, " + ", ".join(HOLDINGS) + ", link_density, video, in_figure"
-_CASE_VALUES = ", ".join("(" + ", ".join(_q(x) for x in r) + ")" for r in CASES)
+
+
+def _varied_sql(values: list[str], first: str, second: str) -> str:
+    listed = ", ".join(map(_q, values))
+    return f"[{listed}][p_partkey % {len(values)} + 1] || CASE p_partkey % 3 WHEN 1 THEN {first} WHEN 2 THEN ' ' || upper({second}) ELSE '' END"
+
 
 ORACLE_SQL = {
     "extract_articles": _ARTICLES,
@@ -402,52 +419,42 @@ ORACLE_SQL = {
         SELECT doc_id, {_similarity("line", "text")} AS of_text, {_similarity("text", "line")} AS of_line
         FROM (SELECT doc_id, text, string_split(text, chr(10))[1] AS line FROM documents)""",
     "name_rules": f"""
-        SELECT name, {_any("name", matchers.UNLIKELY)} AS unlikely, {_any("name", matchers.MAYBE)} AS maybe, {_any("name", matchers.BYLINE)} AS byline,
+        SELECT k, name, {_any("name", matchers.UNLIKELY)} AS unlikely, {_any("name", matchers.MAYBE)} AS maybe, {_any("name", matchers.BYLINE)} AS byline,
                regexp_matches(lower(name), '(^|[^a-z0-9])share(daddy)?([^a-z0-9]|$)') AS share,
                CAST(CASE WHEN {_any("name", matchers.POSITIVE)} THEN 25 ELSE 0 END
                     - CASE WHEN {_any("name", matchers.NEGATIVE)} OR contains(' ' || lower(name) || ' ', ' hid ') THEN 25 ELSE 0 END AS INTEGER) AS weight
-        FROM {_values([(n,) for n in NAMES], "name")}""",
+        FROM (SELECT p_partkey AS k, {_varied_sql(NAMES, "'-' || lower(p_type) || ' ' || p_name", "p_name")} AS name FROM part)""",
     "page_urls": f"""
         SELECT url, url = '' OR (regexp_matches(lower(url), '^https?://[^/?#]') AND regexp_extract(lower(url), '^https?://([^/?#]*)', 1) NOT LIKE ':%') AS ok
         FROM (SELECT url FROM pages UNION ALL SELECT url FROM {_values([(u,) for u in URLS], "url")})""",
-    "table_kinds": f"""
-        SELECT *, CASE WHEN role = 'presentation' OR datatable = '0' THEN false WHEN summary <> '' OR caption OR parts THEN true
-                       WHEN nested THEN false ELSE n_rows >= 10 OR n_columns > 4 OR n_rows * n_columns > 10 END AS is_data
-        FROM {_values(TABLES, "role, datatable, summary, caption, parts, nested, n_rows, n_columns")}""",
-    "conditional_rules": f"""
-        WITH v({_CASE_NAMES}) AS (VALUES {_CASE_VALUES}),
-        r AS (SELECT *, tag IN ('ul', 'ol') OR (length > 0 AND list_length > 0.9 * length) AS is_list,
-              CASE WHEN length > 0 THEN heading_length / length ELSE 0 END AS heading FROM v)
-        SELECT tag, weight, {", ".join(HOLDINGS)}, CAST(link_density AS DOUBLE) AS link_density, video, in_figure,
-               CASE WHEN weight < 0 THEN true WHEN commas >= 10 OR video THEN false ELSE
-                    (images > 1 AND 2 * paragraphs < images AND NOT in_figure) OR (NOT is_list AND items - 100 > paragraphs)
-                    OR inputs > paragraphs // 3 OR (NOT is_list AND heading < 0.9 AND length < 25 AND images NOT IN (1, 2) AND NOT in_figure)
-                    OR (NOT is_list AND weight < 25 AND link_density > 0.2) OR (weight >= 25 AND link_density > 0.5)
-                    OR (embeds = 1 AND length < 75) OR embeds > 1 END AS goes
-        FROM r""",
+    "table_kinds": f"SELECT page_id, count(*) FILTER (WHERE is_data) AS data, count(*) FILTER (WHERE NOT is_data) AS layout FROM ({tree_queries._SIZES}) GROUP BY page_id",
     "class_cleaning": f"""
-        SELECT value, array_to_string(list_filter(string_split_regex(value, '{_ASCII}+'), lambda c: c = 'page'), ' ') AS kept
-        FROM {_values([(c,) for c in CLASSES], "value")}""",
+        SELECT k, value, array_to_string(list_filter(string_split_regex(value, '{_ASCII}+'), lambda c: c = 'page'), ' ') AS kept
+        FROM (SELECT p_partkey AS k, {_varied_sql(CLASSES, "' ' || p_type || '  page'", "'  page'")} AS value FROM part)""",
     "inline_styles": f"""
-        WITH v AS (SELECT * FROM {_values([(s,) for s in STYLES], "style")}),
-        parts AS (SELECT style, unnest(string_split(style, ';')) AS part, generate_subscripts(string_split(style, ';'), 1) AS place FROM v),
-        own AS (SELECT style, place, trim(regexp_replace(part, '^[^:]*:', '')) AS given FROM parts WHERE contains(part, ':') AND lower(trim(string_split(part, ':')[1])) = 'display'),
-        best AS (SELECT style, max_by(trim(regexp_replace(given, '! *important$', '')), place + 1000 * CAST(regexp_matches(given, '! *important$') AS INTEGER)) AS display FROM own GROUP BY style)
-        SELECT style, coalesce(display, '') AS display FROM v LEFT JOIN best USING (style)""",
-    "golden_pages": f"SELECT CAST(page_id AS INTEGER) AS page_id, {', '.join(GOLDEN_NAMES[:-1])}, CAST(attempts AS INTEGER) AS attempts FROM {_values([(g[0], *g[3:]) for g in GOLDEN], 'page_id, ' + ', '.join(GOLDEN_NAMES))}",
+        WITH v AS (SELECT p_partkey AS k, {_varied_sql(STYLES, "';display: ' || lower(p_type)", "p_type")} AS style FROM part),
+        parts AS (SELECT k, unnest(string_split(style, ';')) AS part, generate_subscripts(string_split(style, ';'), 1) AS place FROM v),
+        own AS (SELECT k, place, trim(regexp_replace(part, '^[^:]*:', '')) AS given FROM parts WHERE contains(part, ':') AND lower(trim(string_split(part, ':')[1])) = 'display'),
+        best AS (SELECT k, max_by(trim(regexp_replace(given, '! *important$', '')), place + 1000 * CAST(regexp_matches(given, '! *important$') AS INTEGER)) AS display FROM own GROUP BY k)
+        SELECT k, style, coalesce(display, '') AS display FROM v LEFT JOIN best USING (k)""",
+    "golden_pages": f"""
+        SELECT s_suppkey AS page_id, {", ".join(f"replace({c}, '§', s_name) AS {c}" for c in GOLDEN_NAMES[:-1])}, CAST(attempts AS INTEGER) AS attempts
+        FROM supplier JOIN {_values([(i, *g[3:]) for i, g in enumerate(GOLDEN)], 'sort, ' + ', '.join(GOLDEN_NAMES))} ON s_suppkey % {len(GOLDEN)} = sort""",
     "meta_precedence": f"""
         WITH m AS (SELECT *, CASE
                 WHEN regexp_matches(property, '(?i)(article|dc|dcterm|og|twitter)\\s*:\\s*(author|creator|description|published_time|title|site_name)')
                 THEN replace(lower(regexp_extract(property, '(?i)(article|dcterm|dc|og|twitter)\\s*:\\s*(author|creator|description|published_time|title|site_name)')), ' ', '')
                 WHEN regexp_matches(name, '(?i)^\\s*((dc|dcterm|og|twitter|parsely|weibo:(article|webpage))\\s*[-.:]?\\s*)?(author|creator|pub-date|description|title|site_name)\\s*$')
                 THEN replace(replace(lower(name), ' ', ''), '.', ':') END AS key, trim(content) AS value
-              FROM {_values(METAS, "page, place, name, property, content")}),
+              FROM (SELECT p_partkey // {tree_queries.PER_PAGE} AS page, p_partkey AS place, name, property, CASE WHEN given <> '' THEN given || ' ' || p_name ELSE '' END AS content
+                    FROM part JOIN {_values([(i, *m) for i, m in enumerate(METAS)], "sort, name, property, given")} ON p_partkey % {len(METAS)} = sort)),
         l AS (SELECT page, key, max_by(value, place) AS value FROM m WHERE key IS NOT NULL AND content <> '' GROUP BY page, key),
-        g AS (SELECT page, map_from_entries(list((key, value))) AS v FROM l GROUP BY page)
-        SELECT page, coalesce(v['dc:title'], v['dcterm:title'], v['og:title'], v['weibo:article:title'], v['weibo:webpage:title'], v['title'], v['twitter:title'], v['parsely-title'], '') AS title,
+        g AS (SELECT page, map_from_entries(list((key, value))) AS v FROM l GROUP BY page),
+        p AS (SELECT DISTINCT p_partkey // {tree_queries.PER_PAGE} AS page FROM part)
+        SELECT page AS page_id, coalesce(v['dc:title'], v['dcterm:title'], v['og:title'], v['weibo:article:title'], v['weibo:webpage:title'], v['title'], v['twitter:title'], v['parsely-title'], '') AS title,
                coalesce(v['dc:creator'], v['dcterm:creator'], v['author'], v['parsely-author'], '') AS byline,
                coalesce(v['dc:description'], v['dcterm:description'], v['og:description'], v['weibo:article:description'], v['weibo:webpage:description'], v['description'], v['twitter:description'], '') AS excerpt,
                coalesce(v['og:site_name'], '') AS site_name, coalesce(v['article:published_time'], v['parsely-pub-date'], '') AS published_time
-        FROM g""",
+        FROM p LEFT JOIN g USING (page)""",
 }
 ORACLE_SQL |= tree_queries.oracle_sql()

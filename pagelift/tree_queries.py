@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from pagelift.operators import native, trees
 from pagelift.plans.kernel import node_table
+from pagelift.plans.register import register
 
 PER_PAGE = 8
 #: Values of span attributes, and what they count; of class attributes, and what they weigh.
@@ -29,7 +30,7 @@ def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.repartition(cores, "page_id") if out.rdd.getNumPartitions() < cores else out
 
 
-def _built(spark: SparkSession, sf_dir: str, section: Column, before: Column | str, after: str) -> DataFrame:
+def built(spark: SparkSession, sf_dir: str, section: Column, before: Column | str, after: str) -> DataFrame:
     """Pages of PER_PAGE parts each: page_id, html; section: a part's markup."""
     parts = _table(spark, sf_dir, "part").select(F.expr(f"p_partkey div {PER_PAGE}").alias("page_id"), F.col("p_partkey").alias("k"), section.alias("s"))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "s"))), lambda x: x["s"]), "")
@@ -56,7 +57,7 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     shown = F.concat(_times('<img src="/a.png">', k % 3), _times("<input>", _part("size") % 2), F.when(k % 5 == 0, '<iframe src="https://www.youtube.com/1"></iframe>').when(k % 5 == 1, '<embed src="/x">').otherwise(""))
     figure = F.concat(F.lit("<figure>"), _times("<span>", k % 7), F.lit('<img src="/f.png">'), _times("</span>", k % 7), F.lit("</figure>"))
     table = F.when(k % 2 == 1, F.concat(F.lit("<table"), F.when(k % 4 == 1, ' summary="s"').otherwise(""), F.lit("><tbody><tr><td><p>"), _part("name"), F.lit("</p></td><td>"), _part("size"), F.lit("</td></tr></tbody></table>"))).otherwise("")
-    return _built(spark, sf_dir, F.concat(opened, listed, shown, figure, table, F.lit("</div>")), "<html><head><title>Parts</title></head><body><article>", "</article></body></html>")
+    return built(spark, sf_dir, F.concat(opened, listed, shown, figure, table, F.lit("</div>")), "<html><head><title>Parts</title></head><body><article>", "</article></body></html>")
 
 
 def subtree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -92,7 +93,7 @@ def table_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.concat(F.lit('<tr rowspan="'), _pick(spans, k % 8), F.lit('"><td colspan="'), _pick(spans, F.floor(k / 2) % 8), F.lit('">'), _part("name"), F.lit("</td><td>"), F.when(k % 16 == 11, "<table><tr><td>a<td>b</table>").otherwise(_part("brand")), F.lit("</td></tr>"))
     rows = F.concat(row, _times("<tr><td>x</td></tr>", _part("size") % 12))
     markup = F.concat(F.lit("<table"), kind, F.lit(">"), inside, F.lit("<tbody>"), rows, F.lit("</tbody></table>"))
-    found = trees.table_sizes(node_table(_built(spark, sf_dir, markup, "<body>", "</body>")), ["page_id"])
+    found = trees.table_sizes(node_table(built(spark, sf_dir, markup, "<body>", "</body>")), ["page_id"])
     names = [F.col(c).cast("long").alias(c) for c in ("n_rows", "n_columns")]
     return found.select("page_id", F.row_number().over(trees.Window.partitionBy("page_id").orderBy("id")).alias("place"), *names, "is_data")
 
@@ -102,7 +103,7 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
     k, q = _part("partkey"), F.expr(f"p_partkey div {PER_PAGE}")
     said = F.when((k + q) % (1 + q % 5) == q % 2, F.concat(F.lit("<p>Offered: "), _part("name"), F.lit(", "), _part("type"), F.lit(" and more of it</p>"))).otherwise("<span>none</span>")
     before = F.when(F.col("page_id") % 2 == 1, '<p>Sold by piece.</p><p>no end</p><p><a href="/x">A linked one.</a></p>').otherwise("")
-    return _built(spark, sf_dir, F.concat(F.lit('<div class="mid"><div class="box">'), said, F.lit("</div></div>")), F.concat(F.lit('<body><div id="all">'), before, F.lit('<div class="outer">')), "</div></div></body>")
+    return built(spark, sf_dir, F.concat(F.lit('<div class="mid"><div class="box">'), said, F.lit("</div></div>")), F.concat(F.lit('<body><div id="all">'), before, F.lit('<div class="outer">')), "</div></div></body>")
 
 
 def chosen_tops(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -124,7 +125,7 @@ GAPS = ["<br>", "<br><br>", "<br> <br>", "<br><br><br>", "<br> <br> <br>", "<h2>
 def break_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of breaks between the names of parts, and how much of what follows them makes a paragraph."""
     markup = F.concat(_part("name"), _pick(GAPS, _part("partkey") % len(GAPS)))
-    return trees.break_chains(node_table(_built(spark, sf_dir, markup, "<body><div>", "</div></body>")), ["page_id"])
+    return trees.break_chains(node_table(built(spark, sf_dir, markup, "<body><div>", "</div></body>")), ["page_id"])
 
 
 def _with_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -171,7 +172,34 @@ def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return node_table(docs.select("doc_id", html.alias("html")), ["doc_id"]).select("doc_id", trees.normalized_text(F.col("nodes")).alias("plain"))
 
 
+def conditional_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which divisions, lists and tables of the built pages the conditional rules take out."""
+    return trees.conditional_removals(node_table(_catalog(spark, sf_dir)), ["page_id"], ("div", "ul", "table"))
+
+
+def node_function(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the boxes' pages by the table function in SQL."""
+    register(spark)
+    boxes = _boxes(spark, sf_dir)
+    return spark.sql("SELECT b.page_id, n.id, n.parent, n.depth, n.pos, n.last_id, n.kind, n.tag, n.text FROM {boxes} b, LATERAL nodes(b.html) n", boxes=boxes)
+
+
+def absolute_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links of `pages`, and of pages that are built from parts, some with a base element; these have numbers below zero."""
+    k, text = _part("partkey").cast("string"), F.lit
+    refs = [("../p/", ""), ("?q=", ""), ("#", ""), ("//other.test/", ""), ("mailto:", "@shop.test"), ("/a b/é", ""), ("./x/../", ""), ("https://else.test/", "?x#"), ("%zz", ""), ("javascript:", "")]
+    front, back = (_pick([r[i] for r in refs], _part("partkey") % len(refs)) for i in range(2))
+    section = F.concat(text('<a href="'), front, k, back, text('">'), k, text('</a><img srcset="s'), k, text(".png 1x, /b"), k, text('.png 2x">'))
+    before = F.when(F.col("page_id") % 2 == 1, '<head><base href="/base/dir/"></head><body>').otherwise("<body>")
+    made = built(spark, sf_dir, section, before, "</body>")
+    made = made.select((-1 - F.col("page_id")).alias("page_id"), F.concat(text("https://shop.test/list/page?n="), F.col("page_id").cast("string")).alias("url"), "html")
+    return trees.absolute_links(node_table(pages(spark, sf_dir).unionByName(made), ["page_id", "url"]), ["page_id"])
+
+
 QUERIES = {
+    "absolute_links": absolute_links,
+    "conditional_rules": conditional_rules,
+    "node_function": node_function,
     "break_chains": break_chains,
     "page_json_ld": page_json_ld,
     "normalized_texts": normalized_texts,
@@ -253,6 +281,47 @@ _CHAINS = f"""
            CAST(CASE WHEN n = 0 THEN 0 ELSE [0, 1, 0, 3][gap] + 2 * n - 1 END AS BIGINT) AS n_nodes FROM placed WHERE gap BETWEEN 1 AND 4"""
 
 
+#: Divisions go by their names, stay with a video, and go for too many inputs, embedded objects or images in a row; lists stay;
+#: tables stay with a summary (of data), others go if they hold little text.
+_CONDITIONAL = f"""
+    WITH stats AS (SELECT *, id AS at FROM ({_CATALOG_STATS})),
+    divs AS (SELECT page_id, id, tag, weight < 0 OR (NOT video AND (
+               (images > 1 AND 2 * paragraphs < images) OR inputs > paragraphs // 3 OR (heading_length < 0.9 * length AND length < 25 AND images NOT IN (1, 2))
+               OR (weight < 25 AND link_length / length > 0.2) OR (weight >= 25 AND link_length / length > 0.5) OR (embeds = 1 AND length < 75) OR embeds > 1)) AS goes FROM stats WHERE tag = 'div'),
+    lists AS (SELECT page_id, id, tag, false AS goes FROM stats WHERE tag = 'ul'),
+    {_SECTIONS},
+    tabs AS (SELECT page_id, CAST(id + nodes - 8 AS INTEGER) AS id, 'table' AS tag, k % 4 = 3 AND length(name || size) < 25 AS goes FROM placed WHERE k % 2 = 1)
+    FROM divs UNION ALL FROM lists UNION ALL FROM tabs"""
+
+#: A page's nodes as they stand in the markup: document, html, head, body and all; what is beside; outer; and four for each part.
+_NODES = f"""
+    WITH own AS (SELECT p_partkey // {PER_PAGE} AS q, p_partkey AS k, p_name, p_type, (p_partkey + p_partkey // {PER_PAGE}) % (1 + p_partkey // {PER_PAGE} % 5) = p_partkey // {PER_PAGE} % 2 AS said FROM part),
+    places AS (SELECT q, k, k - min(k) OVER (PARTITION BY q) AS i, CASE WHEN q % 2 = 1 THEN 12 ELSE 5 END AS o, CASE WHEN said THEN 'p' ELSE 'span' END AS tag,
+               CASE WHEN said THEN 'Offered: ' || p_name || ', ' || p_type || ' and more of it' ELSE 'none' END AS t FROM own),
+    ends AS (SELECT q, o, o + 4 * count(*) AS e FROM places GROUP BY q, o),
+    found AS (SELECT q, v.id, v.parent, v.depth, v.pos, CASE WHEN v.last < 0 THEN e ELSE v.last END AS last_id, v.kind, v.tag, v.t
+              FROM ends, (VALUES (0, -1, 0, 0, -1, 0, '', ''), (1, 0, 1, 0, -1, 1, 'html', ''), (2, 1, 2, 0, 2, 1, 'head', ''), (3, 1, 2, 1, -1, 1, 'body', ''), (4, 3, 3, 0, -1, 1, 'div', '')) AS v(id, parent, depth, pos, last, kind, tag, t)
+              UNION ALL SELECT q, v.id, v.parent, v.depth, v.pos, v.last, v.kind, v.tag, v.t
+              FROM ends, (VALUES (5, 4, 4, 0, 6, 1, 'p', ''), (6, 5, 5, 0, 6, 2, '', 'Sold by piece.'), (7, 4, 4, 1, 8, 1, 'p', ''), (8, 7, 5, 0, 8, 2, '', 'no end'), (9, 4, 4, 2, 11, 1, 'p', ''),
+                   (10, 9, 5, 0, 11, 1, 'a', ''), (11, 10, 6, 0, 11, 2, '', 'A linked one.')) AS v(id, parent, depth, pos, last, kind, tag, t) WHERE q % 2 = 1
+              UNION ALL SELECT q, o, 4, 4, CASE WHEN q % 2 = 1 THEN 3 ELSE 0 END, e, 1, 'div', '' FROM ends
+              UNION ALL SELECT q, o + 4 * i + j + 1, CASE WHEN j = 0 THEN o ELSE o + 4 * i + j END, 5 + j, CASE WHEN j = 0 THEN i ELSE 0 END, o + 4 * i + 4, CASE WHEN j = 3 THEN 2 ELSE 1 END,
+                        CASE j WHEN 2 THEN tag WHEN 3 THEN '' ELSE 'div' END, CASE WHEN j = 3 THEN t ELSE '' END FROM places, (SELECT unnest(range(0, 4)) AS j))
+    SELECT q AS page_id, CAST(id AS INTEGER) AS id, CAST(parent AS INTEGER) AS parent, CAST(depth AS INTEGER) AS depth, CAST(pos AS INTEGER) AS pos, CAST(last_id AS INTEGER) AS last_id,
+           CAST(kind AS TINYINT) AS kind, tag, t AS text FROM found"""
+
+
+_LINKS = f"""
+    WITH nav AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<li><a href="([^"]*)"', 1), 1) AS i FROM pages),
+    own AS (SELECT p_partkey // {PER_PAGE} AS q, p_partkey AS k, p_partkey // {PER_PAGE} % 2 = 1 AS based, 3 * (p_partkey % {PER_PAGE}) + CASE WHEN p_partkey // {PER_PAGE} % 2 = 1 THEN 5 ELSE 4 END AS id,
+            CASE WHEN p_partkey // {PER_PAGE} % 2 = 1 THEN 'https://shop.test/base/dir/' ELSE 'https://shop.test/list/' END AS dir FROM part)
+    SELECT page_id, CAST(12 + 3 * i AS INTEGER) AS id, 'href' AS name, regexp_extract(url, '^[a-z]+://[^/]*') || array_to_string(list_transform(string_split(href, ''), lambda x: CASE WHEN x < chr(128) THEN x ELSE url_encode(x) END), '') AS value FROM nav
+    UNION ALL SELECT -1 - q, CAST(id AS INTEGER), 'href', CASE k % 10 WHEN 0 THEN CASE WHEN based THEN 'https://shop.test/base/p/' || k ELSE 'https://shop.test/p/' || k END
+        WHEN 1 THEN CASE WHEN based THEN dir ELSE dir || 'page' END || '?q=' || k WHEN 2 THEN CASE WHEN based THEN dir ELSE '' END || '#' || k WHEN 3 THEN 'https://other.test/' || k
+        WHEN 4 THEN 'mailto:' || k || '@shop.test' WHEN 5 THEN 'https://shop.test/a%20b/%C3%A9' || k WHEN 6 THEN dir || k WHEN 7 THEN 'https://else.test/' || k || '?x#' ELSE '%zz' || k END FROM own WHERE k % 10 < 9
+    UNION ALL SELECT -1 - q, CAST(id + 2 AS INTEGER), 'srcset', dir || 's' || k || '.png 1x, https://shop.test/b' || k || '.png 2x' FROM own"""
+
+
 def oracle_sql() -> dict[str, str]:
     from pagelift.queries import _decoded, _inner, _units
 
@@ -297,4 +366,4 @@ def oracle_sql() -> dict[str, str]:
     texts = f"""
         WITH own AS (SELECT doc_id, coalesce(text, '') AS t, trim(regexp_replace(coalesce(text, ''), '{_WIDE}+', ' ', 'g')) AS plain FROM documents)
         SELECT doc_id, plain || CASE WHEN plain <> '' THEN ' ' ELSE '' END || '.' || t || CASE WHEN regexp_matches('.' || t, '{_WIDE}$') THEN '' ELSE ' ' END || 'x' AS plain FROM own"""
-    return {"break_chains": _CHAINS, "page_json_ld": ld, "normalized_texts": texts, "chosen_tops": tops, "joined_siblings": siblings, "subtree_stats": scaffold, "catalog_stats": _CATALOG_STATS, "ancestor_tests": _ANCESTORS, "table_sizes": _SIZES}
+    return {"absolute_links": _LINKS, "conditional_rules": _CONDITIONAL, "node_function": _NODES, "break_chains": _CHAINS, "page_json_ld": ld, "normalized_texts": texts, "chosen_tops": tops, "joined_siblings": siblings, "subtree_stats": scaffold, "catalog_stats": _CATALOG_STATS, "ancestor_tests": _ANCESTORS, "table_sizes": _SIZES}

@@ -118,6 +118,26 @@ def test_chosen_tops_and_siblings(spark, pages, nodes):
     assert not tops and not beside and reasons == {None, "top", "score", "long", "short"}
 
 
+def test_conditional_removals(pages, nodes, monkeypatch):
+    tags, goes = ["form", "table", "ul", "div", "section"], {}
+    monkeypatch.setattr(clean, "remove_each", lambda found, when: goes.update({n: when(n) for n in found}))
+    got = {(r["page_id"], r["id"]): r["goes"] for r in trees.conditional_removals(nodes, ["page_id"], tags).collect()}
+    n = 0
+    for i, html in pages:
+        if html is None:
+            continue
+        doc = parse(html)
+        rules = clean.Rules(re.compile(matchers.VIDEOS), 0.0, True, True, {t for t in dom.below(doc, "table") if clean.is_data_table(t)})
+        goes.clear()
+        for tag in tags:
+            clean.clean_conditionally(doc, tag, rules)
+        for k, x in enumerate(doc.walk()):
+            if x.kind == ELEMENT and x.tag in tags:
+                assert got.pop((i, k)) == goes[x]
+                n += goes[x]
+    assert not got and n > 20
+
+
 GAPS = ["<br>", "<br>", "<br>", " ", "\n", "\xa0", "<!-- c -->", "some text", "<b>bold</b>", "<h2>x</h2>", "<a href=x>link</a>", "<a href=x><div>no</div></a>", "<ins><del>t</del></ins>", "<ins><span><div>in</div></span></ins>"]
 
 
