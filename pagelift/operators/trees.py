@@ -578,7 +578,7 @@ def absolute_links(tables: DataFrame, id_cols: Sequence[str], url_col: str = "ur
     base = links.base_of(href, F.coalesce(F.col(url_col).cast("string"), F.lit("")))
     media = ["img", "picture", "figure", "video", "audio", "source"]
     kept = F.filter(nodes, lambda x: (x["kind"] == ELEMENT) & x["tag"].isin("a", *media))
-    rows = tables.select(*id_cols, base.alias("base_"), F.explode(kept).alias("x"))
+    rows = tables.withColumn("base_", base).select(*id_cols, "base_", F.explode(kept).alias("x"))  # worked out for a page, not for each link
     value = lambda name: attribute(F.col("x.attrs"), name)
     own = F.when(F.col("x.tag") == "a", F.array(F.struct(F.lit("href").alias("name"), value("href").alias("value")))).otherwise(F.array(*(F.struct(F.lit(k).alias("name"), value(k).alias("value")) for k in ("src", "poster", "srcset"))))
     rows = rows.select(*id_cols, "base_", F.col("x.id").alias("id"), F.explode(F.filter(own, lambda a: a["value"] != "")).alias("a")).select(*id_cols, "base_", "id", "a.*")
