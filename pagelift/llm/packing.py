@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .runtime import materialize, partitions_for, slices, small_batches, text_or_empty
+from .runtime import give_back, materialize, partitions_for, slices, small_batches, text_or_empty
 
 #: Classes of lengths; a class is SEQUENCE / CLASSES tokens wide.
 CLASSES = 256
@@ -134,6 +134,7 @@ def tokenize(docs: DataFrame, path: str, end_id: int, sequence: int) -> DataFram
                         filler = k < sequence and xxhash.xxh64_intdigest(f"{doc_id} {start} {zlib.crc32(own)}", seed=8) / 2**64 < filler_share(k, width)
                         out.append((doc_id, start, k, zlib.crc32(own), n, own if filler else None))
                 yield pa.record_batch([pa.array(c, pa.binary() if i == 5 else pa.int64()) for i, c in enumerate(zip(*out, strict=True))], names=names)
+        give_back()
 
     small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), text_or_empty("text").alias("text")).mapInArrow(run, PIECE)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -134,6 +136,14 @@ def slices(batch: pa.RecordBatch, column: int, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+def give_back() -> None:
+    """Return freed memory to the system at a task's end: Python workers are used again from stage to stage, and would keep
+    what they had at their peak beside a JVM that keeps its heap."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # other C libraries do not have it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def arrow_map(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], pa.RecordBatch | None], text: int | None = None) -> DataFrame:
     """mapInArrow with f on each batch, or on slices of bounded size if text is the place of the text column."""
 
@@ -142,6 +152,7 @@ def arrow_map(df: DataFrame, schema: str, f: Callable[[pa.RecordBatch], pa.Recor
             for part in [batch] if text is None else slices(batch, text):
                 if part.num_rows and (out := f(part)) is not None:
                     yield out
+        give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .runtime import give_back
+
 #: Bytes of the longest text that is learned from: it bounds a sample in bytes, as its caller does in rows.
 LONGEST = 1 << 16
 
@@ -53,7 +55,11 @@ def learned(sample: DataFrame, fit: Callable[[pd.DataFrame], object]) -> object:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = list(batches)
         if found:
-            model = pickle.dumps(fit(pa.Table.from_batches(found).to_pandas()), protocol=5)
+            sample = pa.Table.from_batches(found).to_pandas()
+            del found
+            model = pickle.dumps(fit(sample), protocol=5)
+            del sample
+            give_back()
             yield pa.record_batch([pa.array([model], pa.large_binary()).cast(pa.binary())], names=["model"])
 
     rows = sample.repartition(1).mapInArrow(run, "model binary").collect()

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import ngrams, samples
-from .runtime import slices, small_batches, text_or_empty
+from .runtime import give_back, slices, small_batches, text_or_empty
 
 #: Most labelled documents that are learned from.
 SAMPLE_TOXIC, SAMPLE_CLEAN = 1500, 6000
@@ -337,6 +337,7 @@ def fit(texts: list[str], toxic: np.ndarray, landmarks: int = LANDMARKS) -> Toxi
     insults = telling_words = positives(vocabulary, [own[i] for i in alone], toxic[alone])
     if not insults:
         return none
+    del texts, own, alone
     draw = np.random.Generator(np.random.PCG64(6))
     clean = np.setdiff1d(np.flatnonzero(in_clean), telling_words)
     hard = draw.permutation(clean)[:HARD].tolist()
@@ -405,6 +406,7 @@ def score(docs: DataFrame, model: ToxicityModel, id_col: str = "doc_id", text_co
         for batch in batches:
             for part in slices(batch, 1, 1 << 20):
                 yield pa.record_batch([part.column(0), pa.array(own.scores(part.column(1).to_pylist()).astype(float))], names=["doc_id", "score"])
+        give_back()
 
     small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -422,6 +424,7 @@ def drop_toxic(docs: DataFrame, model: ToxicityModel, limit: float = 0.7) -> Dat
             for part in slices(batch, place, 1 << 20):
                 kept = own.scores([t or "" for t in part.column(place).to_pylist()]) < limit
                 yield part.filter(pa.array(kept))
+        give_back()
 
     small_batches(docs.sparkSession)
     return docs.mapInArrow(run, docs.schema)
