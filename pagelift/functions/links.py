@@ -158,9 +158,3 @@ def base_of(href: Column, page: Column) -> Column:
     """text, url and page of the base: the page's URL, or what the first base element's href ('' for none) makes of it."""
     own = let(parsed(href), lambda h: let(parsed(page), lambda p: F.when((href != "") & h["ok"] & p["ok"], written(resolved(p, h))).otherwise(page)))
     return let(own, lambda text: _struct(text=text, url=parsed(text), page=page))
-
-
-def srcset(value: Column, base: Column) -> Column:
-    url, size, behind = (F.regexp_extract_all(value, F.lit(SRCSET), F.lit(k)) for k in (1, 2, 3))
-    pieces = let(_struct(size=size, behind=behind), lambda s: F.transform(url, lambda u, i: F.concat(absolute(u, base), F.get(s["size"], i), F.get(s["behind"], i))))
-    return F.when(F.contains(value, F.lit(", ")), F.array_join(pieces, " ")).otherwise(F.array_join(pieces, ""))

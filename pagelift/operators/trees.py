@@ -582,6 +582,12 @@ def absolute_links(tables: DataFrame, id_cols: Sequence[str], url_col: str = "ur
     value = lambda name: attribute(F.col("x.attrs"), name)
     own = F.when(F.col("x.tag") == "a", F.array(F.struct(F.lit("href").alias("name"), value("href").alias("value")))).otherwise(F.array(*(F.struct(F.lit(k).alias("name"), value(k).alias("value")) for k in ("src", "poster", "srcset"))))
     rows = rows.select(*id_cols, "base_", F.col("x.id").alias("id"), F.explode(F.filter(own, lambda a: a["value"] != "")).alias("a")).select(*id_cols, "base_", "id", "a.*")
-    several = F.array_join(F.transform(F.split("value", ",%20", -1), lambda u: links.absolute(u, F.col("base_"))), ",%20")
-    made = F.when(F.col("name") == "href", several).when(F.col("name") == "srcset", links.srcset(F.col("value"), F.col("base_"))).otherwise(links.absolute(F.col("value"), F.col("base_")))
+    # A value is one URL, or several with what stands behind each: the expression of a URL is there once.
+    url, size, behind = (F.regexp_extract_all("value", F.lit(links.SRCSET), F.lit(k)) for k in (1, 2, 3))
+    several = F.split("value", ",%20", -1)
+    is_set, is_href = F.col("name") == "srcset", F.col("name") == "href"
+    rows = rows.withColumns({"urls_": F.when(is_set, url).when(is_href, several).otherwise(F.array("value")), "behind_": F.when(is_set, F.zip_with(size, behind, lambda a, b: F.concat(a, b)))})
+    rows = rows.withColumn("made_", F.transform("urls_", lambda u, i: F.concat(links.absolute(u, F.col("base_")), F.coalesce(F.get("behind_", i), F.lit("")))))
+    joined = lambda sign: F.array_join("made_", sign)
+    made = F.when(is_href, joined(",%20")).when(is_set & F.contains(F.col("value"), F.lit(", ")), joined(" ")).otherwise(joined(""))
     return rows.filter((F.col("name") != "href") | ~links.javascript(F.col("value"))).select(*id_cols, "id", "name", made.alias("value"))
