@@ -3,8 +3,8 @@
 A word's emission scores sum hashed weights of its affixes, its letter n-grams and itself (the lexicon); transitions
 between the labels of neighbouring words are learned, too, from chains that are put together of runs in different
 languages. Forward-backward gives each word's label probabilities, so texts that switch languages are labelled word
-by word; a document's language is that with the largest sum. A chain has at most CHAIN words of a document; the next
-chain begins afresh, so that long documents cost no more a word than short ones.
+by word; a document's language is that with the largest sum. A whole document is one chain; forward-backward goes over it
+in steps of constant size, so that long documents cost no more a word than short ones.
 
 Words are runs of letters and marks of any script. A run of more than MOST_BYTES bytes (scripts without spaces, long
 words) is cut into consecutive pieces, each a word of the chain, that overlap by two bytes, so that no n-gram is lost.
