@@ -38,8 +38,15 @@ def text_of(nodes: Column, n: Column) -> Column:
     return F.array_join(F.transform(F.filter(below(nodes, n), lambda x: x["kind"] == TEXT), lambda x: x["text"]), "")
 
 
-def under(nodes: Column, n: Column, tag: str) -> Column:
-    return F.exists(nodes, lambda a: (a["kind"] == ELEMENT) & (a["tag"] == tag) & (a["id"] < n["id"]) & (n["id"] <= a["last_id"]))
+def covered(nodes: Column, *tags: str) -> Column:
+    """Ids of the nodes from each outermost element of the tags to the last below it."""
+    start = F.struct(F.lit(-1).alias("end"), F.array().cast("array<int>").alias("firsts"))
+
+    def outermost(s: Column, x: Column) -> Column:
+        return F.when(x["id"] > s["end"], F.struct(x["last_id"].alias("end"), F.concat(s["firsts"], F.array(x["id"])).alias("firsts"))).otherwise(s)
+
+    firsts = F.aggregate(tagged(nodes, *tags), start, outermost, lambda s: s["firsts"])
+    return F.flatten(F.transform(firsts, lambda i: F.sequence(i, F.get(nodes, i)["last_id"])))
 
 
 def style(value: Column, name: str) -> Column:
@@ -48,7 +55,7 @@ def style(value: Column, name: str) -> Column:
 
     def step(state: Column, part: Column) -> Column:
         key = F.lower(X.trim_col(F.substring_index(part, ":", 1)))
-        given = X.trim_col(F.substring(part, F.instr(part, ":") + 1, 1_000_000))
+        given = X.trim_col(F.regexp_replace(part, "(?s)^[^:]*:", ""))
         weighty = given.rlike("(?i)![\\s\\x{0B}\\x{85}\\x{A0}]*i\\s*m\\s*p\\s*o\\s*r\\s*t\\s*a\\s*n\\s*t\\s*\\z")
         plain = F.when(weighty, X.trim_col(F.regexp_replace(given, "![^!]*\\z", ""))).otherwise(given)
         ours = (F.instr(part, ":") > 0) & (key == name) & (weighty | ~state["important"])
@@ -65,9 +72,12 @@ def is_visible(attrs: Column) -> Column:
 
 def readable_score(nodes: Column, min_length: int = MIN_LENGTH) -> Column:
     """Sum of the roots of the lengths, beyond the least, of the candidates that are long enough (null: there is none)."""
-    with_break = F.transform(tagged(nodes, "br"), lambda b: b["parent"])
-    chosen = F.filter(nodes, lambda n: (n["kind"] == ELEMENT) & (n["tag"].isin(*COUNTED) | (n["tag"] == "div") & F.array_contains(with_break, n["id"])))
-    kept = F.filter(chosen, lambda n: is_visible(n["attrs"]) & ~matchers.dropped_as_unlikely_col(attribute(n["attrs"], "class"), attribute(n["attrs"], "id")) & ~((n["tag"] == "p") & under(nodes, n, "li")))
+    ids = lambda *tags: F.transform(tagged(nodes, *tags), lambda n: n["id"])
+    # Sets of ids are hashed, so a page costs as much as its nodes.
+    with_break = F.array_intersect(ids("div"), F.transform(tagged(nodes, "br"), lambda b: b["parent"]))
+    in_list = F.array_intersect(ids("p"), covered(nodes, "li"))
+    chosen = F.transform(F.array_except(F.array_sort(F.concat(ids(*COUNTED), with_break)), in_list), lambda i: F.get(nodes, i))
+    kept = F.filter(chosen, lambda n: is_visible(n["attrs"]) & ~matchers.dropped_as_unlikely_col(attribute(n["attrs"], "class"), attribute(n["attrs"], "id")))
     lengths = F.filter(F.transform(kept, lambda n: X.utf16_col(X.trim_col(text_of(nodes, n)))), lambda x: x >= min_length)
     return F.when(F.size(lengths) > 0, F.aggregate(lengths, F.lit(0.0), lambda s, x: s + F.sqrt((x - min_length).cast("double"))))
 

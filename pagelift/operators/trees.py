@@ -21,7 +21,7 @@ from pagelift.functions import text as X
 from pagelift.sources.html import ELEMENT, TEXT
 
 from .clean import DATA_PARTS, EMBEDDED, HEADINGS
-from .native import attribute, below, fishy, table_kind, tagged, text_of
+from .native import attribute, below, covered, fishy, table_kind, tagged, text_of
 
 #: A run of spaces at the end, looked for only where it begins.
 _TRAIL = f"(?<!{X.WIDE_CLASS}){X.WIDE_CLASS}++\\z"
@@ -415,15 +415,8 @@ def normalized_text(nodes: Column) -> Column:
 
     Each piece looks at the one before it that is no blank, so no text is built up step by step.
     """
-    verbatim = F.filter(nodes, lambda x: (x["kind"] == ELEMENT) & x["tag"].isin("pre", "textarea"))
-
-    def outermost(s: Column, x: Column) -> Column:
-        new = F.struct(x["last_id"].alias("end"), F.concat(s["ids"], F.sequence(x["id"], x["last_id"])).alias("ids"))
-        return F.when(x["id"] > s["end"], new).otherwise(s)
-
-    start = F.struct(F.lit(-1).alias("end"), F.array().cast("array<int>").alias("ids"))
     texts = F.transform(F.filter(nodes, lambda x: (x["kind"] == TEXT) & (x["text"] != "")), lambda x: x["id"])
-    kept = F.array_intersect(texts, F.aggregate(verbatim, start, outermost, lambda s: s["ids"]))
+    kept = F.array_intersect(texts, covered(nodes, "pre", "textarea"))
     marked = lambda ids, flag: F.transform(ids, lambda i: F.struct(i.alias("id"), F.lit(flag).alias("verbatim")))
     order = F.array_sort(F.concat(marked(F.array_except(texts, kept), False), marked(kept, True)))
     space = X.WIDE_CLASS

@@ -13,8 +13,8 @@ from pyspark.sql import types as T
 from pagelift.operators.article import Article, Failed, Options, extract_node, extract_page
 from pagelift.sources.html import COMMENT, DOCTYPE, DOCUMENT, ELEMENT, TEXT, Node, parse
 
-#: Pages of an Arrow batch, and its bytes at most.
-BATCH_ROWS, BATCH_BYTES = 500, 32 << 20
+#: Pages that a task holds as Python objects at a time.
+PAGES = 500
 
 RESULT = T.StructType(
     [T.StructField("status", T.StringType()), T.StructField("error_count", T.IntegerType()), T.StructField("error_max", T.IntegerType())]
@@ -48,15 +48,14 @@ def _arrow(kind: T.DataType) -> pa.DataType:
 
 def _map(df: DataFrame, id_cols: Sequence[str], inputs: Sequence, schema: T.StructType, one: Callable[..., list[pa.Array]]) -> DataFrame:
     """mapInArrow over the columns of id_cols and inputs; one makes the arrays of schema from the inputs' lists."""
-    spark = df.sparkSession
-    for key, value in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
-        spark.conf.set(f"spark.sql.execution.arrow.{key}", str(value))
     n_ids, n_inputs, names = len(id_cols), len(inputs), [*id_cols, *schema.fieldNames()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = one(*(batch.column(n_ids + k).to_pylist() for k in range(n_inputs)))
-            yield pa.record_batch([*(batch.column(k) for k in range(n_ids)), *made], names=names)
+            for at in range(0, batch.num_rows, PAGES):
+                part = batch.slice(at, PAGES)
+                made = one(*(part.column(n_ids + k).to_pylist() for k in range(n_inputs)))
+                yield pa.record_batch([*(part.column(k) for k in range(n_ids)), *made], names=names)
 
     chosen = df.select(*id_cols, *(c.alias(f"_in{k}") for k, c in enumerate(inputs)))
     return chosen.mapInArrow(run, T.StructType([*(df.schema[c] for c in id_cols), *schema.fields]))
