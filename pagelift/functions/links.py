@@ -138,23 +138,5 @@ def _written(url: Column) -> Column:
     return F.concat(F.when(url["opaque"].isNotNull(), F.concat(scheme, url["opaque"])).otherwise(F.concat(front, path)), tail)
 
 
-def absolute(uri: Column, base: Column) -> Column:
-    """A link's URL. base: text and url (a struct) of the base, and page, the page's URL: links within the page stay if that
-    is the base; so does what is no URL. A sign at the end that names no place stays, too."""
-
-    def made(text: Column) -> Column:
-        out = let(parsed(text), lambda ref: F.when(ref["ok"], written(resolved(base["url"], ref))).otherwise(text))
-        kept = (text == "") | ((base["text"] == base["page"]) & text.startswith("#")) | ~base["url"]["ok"]
-        return F.when(kept, text).otherwise(let(out, lambda o: F.when(text.endswith("#") & ~o.endswith("#"), F.concat(o, F.lit("#"))).otherwise(o)))
-
-    return let(trim_col(uri), made)
-
-
 def javascript(uri: Column) -> Column:
     return F.translate(trim_col(uri), "\t\n\r", "").rlike("(?i)^javascript:")
-
-
-def base_of(href: Column, page: Column) -> Column:
-    """text, url and page of the base: the page's URL, or what the first base element's href ('' for none) makes of it."""
-    own = let(parsed(href), lambda h: let(parsed(page), lambda p: F.when((href != "") & h["ok"] & p["ok"], written(resolved(p, h))).otherwise(page)))
-    return let(own, lambda text: _struct(text=text, url=parsed(text), page=page))

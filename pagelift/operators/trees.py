@@ -562,25 +562,34 @@ def conditional_removals(tables: DataFrame, id_cols: Sequence[str], tags: Sequen
 
 
 def absolute_links(tables: DataFrame, id_cols: Sequence[str], url_col: str = "url", nodes_col: str = "nodes") -> DataFrame:
-    """href of links (but to scripts), src, poster and srcset of media, with absolute URLs: id columns, id, name and value,
-    a row for each attribute that is not empty. Map-only: the base of a page is found in its own row."""
+    """Absolute URLs of href of links (but to scripts), and of src, poster and each candidate of srcset of media: id columns,
+    id, name, place (of the URL in the attribute), value, and behind (what stands behind it: size and comma, or '').
+
+    Map-only: a page's base is found in its own row. Each step is a column of its own, so that expressions stay short.
+    """
     from pagelift.functions import links
 
     nodes = F.col(nodes_col)
-    href = X.let(F.slice(tagged(nodes, "base"), 1, 1), lambda b: F.when(F.size(b) > 0, attribute(F.get(b, F.lit(0))["attrs"], "href")).otherwise(""))
-    base = links.base_of(href, F.coalesce(F.col(url_col).cast("string"), F.lit("")))
+    href = F.transform(F.slice(tagged(nodes, "base"), 1, 1), lambda b: attribute(b["attrs"], "href"))
+    rows = tables.withColumns({"page_": F.coalesce(F.col(url_col).cast("string"), F.lit("")), "href_": F.coalesce(F.get(href, F.lit(0)), F.lit(""))})
+    rows = rows.withColumns({"from_": links.parsed(F.col("page_")), "to_": links.parsed(F.col("href_"))})
+    rows = rows.withColumn("resolved_", links.resolved(F.col("from_"), F.col("to_"))).withColumn("written_", links.written(F.col("resolved_")))
+    rows = rows.withColumn("base_", F.when((F.col("href_") != "") & F.col("from_.ok") & F.col("to_.ok"), F.col("written_")).otherwise(F.col("page_")))
+    rows = rows.withColumn("from_", links.parsed(F.col("base_")))
     media = ["img", "picture", "figure", "video", "audio", "source"]
     kept = F.filter(nodes, lambda x: (x["kind"] == ELEMENT) & x["tag"].isin("a", *media))
-    rows = tables.withColumn("base_", base).select(*id_cols, "base_", F.explode(kept).alias("x"))  # worked out for a page, not for each link
+    rows = rows.select(*id_cols, "page_", "base_", "from_", F.explode(kept).alias("x"))
     value = lambda name: attribute(F.col("x.attrs"), name)
-    own = F.when(F.col("x.tag") == "a", F.array(F.struct(F.lit("href").alias("name"), value("href").alias("value")))).otherwise(F.array(*(F.struct(F.lit(k).alias("name"), value(k).alias("value")) for k in ("src", "poster", "srcset"))))
-    rows = rows.select(*id_cols, "base_", F.col("x.id").alias("id"), F.explode(F.filter(own, lambda a: a["value"] != "")).alias("a")).select(*id_cols, "base_", "id", "a.*")
-    # A value is one URL, or several with what stands behind each: the expression of a URL is there once.
-    url, size, behind = (F.regexp_extract_all("value", F.lit(links.SRCSET), F.lit(k)) for k in (1, 2, 3))
-    several = F.split("value", ",%20", -1)
-    is_set, is_href = F.col("name") == "srcset", F.col("name") == "href"
-    rows = rows.withColumns({"urls_": F.when(is_set, url).when(is_href, several).otherwise(F.array("value")), "behind_": F.when(is_set, F.zip_with(size, behind, lambda a, b: F.concat(a, b)))})
-    rows = rows.withColumn("made_", F.transform("urls_", lambda u, i: F.concat(links.absolute(u, F.col("base_")), F.coalesce(F.get("behind_", i), F.lit("")))))
-    joined = lambda sign: F.array_join("made_", sign)
-    made = F.when(is_href, joined(",%20")).when(is_set & F.contains(F.col("value"), F.lit(", ")), joined(" ")).otherwise(joined(""))
-    return rows.filter((F.col("name") != "href") | ~links.javascript(F.col("value"))).select(*id_cols, "id", "name", made.alias("value"))
+    own = F.when(F.col("x.tag") == "a", F.array(F.struct(F.lit("href").alias("name"), value("href").alias("text")))).otherwise(F.array(*(F.struct(F.lit(k).alias("name"), value(k).alias("text")) for k in ("src", "poster", "srcset"))))
+    rows = rows.select(*id_cols, "page_", "base_", "from_", F.col("x.id").alias("id"), F.explode(F.filter(own, lambda a: a["text"] != "")).alias("a")).select(*id_cols, "page_", "base_", "from_", "id", "a.*")
+    rows = rows.filter((F.col("name") != "href") | ~links.javascript(F.col("text")))
+    url, size, behind = (F.regexp_extract_all("text", F.lit(links.SRCSET), F.lit(k)) for k in (1, 2, 3))
+    is_set = F.col("name") == "srcset"
+    urls = F.when(is_set, url).when(F.col("name") == "href", F.split("text", ",%20", -1)).otherwise(F.array("text"))
+    rows = rows.withColumn("behind_", F.when(is_set, F.zip_with(size, behind, lambda a, b: F.concat(a, b))))
+    rows = rows.select(*id_cols, "page_", "base_", "from_", "id", "name", "behind_", F.posexplode(urls).alias("place", "uri_")).withColumn("uri_", X.trim_col(F.col("uri_")))
+    rows = rows.withColumn("to_", links.parsed(F.col("uri_"))).withColumn("resolved_", links.resolved(F.col("from_"), F.col("to_"))).withColumn("written_", links.written(F.col("resolved_")))
+    uri, made = F.col("uri_"), F.col("written_")
+    stays = (uri == "") | ((F.col("base_") == F.col("page_")) & uri.startswith("#")) | ~F.col("from_.ok") | ~F.col("to_.ok")
+    made = F.when(stays, uri).when(uri.endswith("#") & ~made.endswith("#"), F.concat(made, F.lit("#"))).otherwise(made)
+    return rows.select(*id_cols, "id", "name", "place", made.alias("value"), F.coalesce(F.get("behind_", F.col("place")), F.lit("")).alias("behind"))

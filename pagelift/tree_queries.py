@@ -315,11 +315,12 @@ _LINKS = f"""
     WITH nav AS (SELECT page_id, url, unnest(regexp_extract_all(html, '<li><a href="([^"]*)"', 1)) AS href, generate_subscripts(regexp_extract_all(html, '<li><a href="([^"]*)"', 1), 1) AS i FROM pages),
     own AS (SELECT p_partkey // {PER_PAGE} AS q, p_partkey AS k, p_partkey // {PER_PAGE} % 2 = 1 AS based, 3 * (p_partkey % {PER_PAGE}) + CASE WHEN p_partkey // {PER_PAGE} % 2 = 1 THEN 5 ELSE 4 END AS id,
             CASE WHEN p_partkey // {PER_PAGE} % 2 = 1 THEN 'https://shop.test/base/dir/' ELSE 'https://shop.test/list/' END AS dir FROM part)
-    SELECT page_id, CAST(12 + 3 * i AS INTEGER) AS id, 'href' AS name, regexp_extract(url, '^[a-z]+://[^/]*') || array_to_string(list_transform(string_split(href, ''), lambda x: CASE WHEN x < chr(128) THEN x ELSE url_encode(x) END), '') AS value FROM nav
-    UNION ALL SELECT -1 - q, CAST(id AS INTEGER), 'href', CASE k % 10 WHEN 0 THEN CASE WHEN based THEN 'https://shop.test/base/p/' || k ELSE 'https://shop.test/p/' || k END
+    SELECT page_id, CAST(12 + 3 * i AS INTEGER) AS id, 'href' AS name, CAST(0 AS INTEGER) AS place, regexp_extract(url, '^[a-z]+://[^/]*') || array_to_string(list_transform(string_split(href, ''), lambda x: CASE WHEN x < chr(128) THEN x ELSE url_encode(x) END), '') AS value, '' AS behind FROM nav
+    UNION ALL SELECT -1 - q, CAST(id AS INTEGER), 'href', 0, CASE k % 10 WHEN 0 THEN CASE WHEN based THEN 'https://shop.test/base/p/' || k ELSE 'https://shop.test/p/' || k END
         WHEN 1 THEN CASE WHEN based THEN dir ELSE dir || 'page' END || '?q=' || k WHEN 2 THEN CASE WHEN based THEN dir ELSE '' END || '#' || k WHEN 3 THEN 'https://other.test/' || k
-        WHEN 4 THEN 'mailto:' || k || '@shop.test' WHEN 5 THEN 'https://shop.test/a%20b/%C3%A9' || k WHEN 6 THEN dir || k WHEN 7 THEN 'https://else.test/' || k || '?x#' ELSE '%zz' || k END FROM own WHERE k % 10 < 9
-    UNION ALL SELECT -1 - q, CAST(id + 2 AS INTEGER), 'srcset', dir || 's' || k || '.png 1x, https://shop.test/b' || k || '.png 2x' FROM own"""
+        WHEN 4 THEN 'mailto:' || k || '@shop.test' WHEN 5 THEN 'https://shop.test/a%20b/%C3%A9' || k WHEN 6 THEN dir || k WHEN 7 THEN 'https://else.test/' || k || '?x#' ELSE '%zz' || k END, '' FROM own WHERE k % 10 < 9
+    UNION ALL SELECT -1 - q, CAST(id + 2 AS INTEGER), 'srcset', 0, dir || 's' || k || '.png', ' 1x,' FROM own
+    UNION ALL SELECT -1 - q, CAST(id + 2 AS INTEGER), 'srcset', 1, 'https://shop.test/b' || k || '.png', ' 2x' FROM own"""
 
 
 def oracle_sql() -> dict[str, str]:
