@@ -46,7 +46,7 @@ def test_run(spark, sf):
     import __spark_entry__
 
     assert "pipeline" in __spark_entry__.queries() and set(queries.QUERIES) <= set(__spark_entry__.queries())
-    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 11)}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {f"op{i}" for i in range(1, 14)}
     assert corpus_pipeline.run(spark, sf).count() > 100
 
 
