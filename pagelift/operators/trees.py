@@ -4,7 +4,8 @@ Nodes stand in document order, so what is below a node is an interval of ids. Co
 page (one cumulative column each): what a subtree holds is the difference of two of its places, so all elements of a page
 cost as much as its nodes, however deep they are. Ancestors are found by a running maximum of where elements end, siblings
 by windows over a parent's children. Everything is dealt once, by page, as narrow rows without texts; the windows, the
-grouping and the ranking that follow share that one exchange.
+grouping and the ranking that follow share that one exchange. What one task sorts is bounded by dealing into more parts
+(deals) the more markup there is.
 
 The id columns tell pages apart; a page without nodes (null) gives no rows.
 """
@@ -27,6 +28,14 @@ from .native import attribute, below, covered, fishy, table_kind, tagged, text_o
 _TRAIL = f"(?<!{X.WIDE_CLASS}){X.WIDE_CLASS}++\\z"
 #: The least and largest whole number of a span.
 _LEAST, _MOST = -(2**63), 2**63 - 1
+#: Bytes of markup whose nodes one task sorts, some 50,000 to 100,000 of them.
+DEAL_BYTES = 2 << 20
+
+
+def deals(pages: DataFrame, html_col: str = "html") -> int:
+    """Parts to deal a table's nodes into, so that each holds those of some DEAL_BYTES of markup: it grows with the table."""
+    size = pages.agg(F.sum(F.octet_length(html_col))).first()[0] or 0
+    return max(pages.sparkSession.sparkContext.defaultParallelism, -(-size // DEAL_BYTES))
 
 
 def node_rows(tables: DataFrame, id_cols: Sequence[str], nodes_col: str = "nodes") -> DataFrame:
@@ -62,8 +71,13 @@ def _sentences(nodes: Column) -> Column:
     return F.transform(nodes, lambda x: x.withField("sentence", F.when((x["kind"] == ELEMENT) & (x["tag"] == "p"), ends(x)).otherwise(False)))
 
 
-def _text_rows(tables: DataFrame, id_cols: Sequence[str], nodes_col: str, more: Sequence[str] = ()) -> DataFrame:
-    """Narrow node rows, with total: units up to each node's end in which each run of ASCII spaces, over the bounds of text
+def _dealt(rows: DataFrame, id_cols: Sequence[str], parts: int | None) -> DataFrame:
+    """rows dealt by page into parts (None: as the session's settings say, by what follows)."""
+    return rows if parts is None else rows.repartition(parts, *id_cols)
+
+
+def _text_rows(tables: DataFrame, id_cols: Sequence[str], nodes_col: str, more: dict[str, Column], parts: int | None) -> DataFrame:
+    """Narrow node rows with more of their columns, with total: units up to each node's end in which each run of ASCII spaces, over the bounds of text
     nodes, too, counts one; and where the node's text without spaces at its ends begins and ends in it."""
     kind, tag, text, attrs = (F.col(c) for c in ("kind", "tag", "text", "attrs"))
     is_text, is_element = kind == TEXT, kind == ELEMENT
@@ -72,7 +86,7 @@ def _text_rows(tables: DataFrame, id_cols: Sequence[str], nodes_col: str, more:
     shows_video = F.exists(attrs, lambda a: a["val"].rlike(matchers.VIDEOS))
     spaced = f"^{X.WIDE_CLASS}|{X.WIDE_CLASS}\\z"
     names = {"class": attribute(attrs, "class"), "id_": attribute(attrs, "id"), "href": F.when(tag == "a", attribute(attrs, "href")).otherwise(""), "own_video": F.when(is_element, shows_video).otherwise(False)}
-    rows = node_rows(tables, id_cols, nodes_col).select(*id_cols, "id", "parent", "depth", "last_id", "kind", "tag", "text", *more, *(F.when(is_element, c).otherwise(F.lit("") if k != "own_video" else False).alias(k) for k, c in names.items()))
+    rows = node_rows(tables, id_cols, nodes_col).select(*id_cols, "id", "parent", "depth", "last_id", "kind", "tag", "text", *(c.alias(k) for k, c in more.items()), *(F.when(is_element, c).otherwise(F.lit("") if k != "own_video" else False).alias(k) for k, c in names.items()))
     # What is used more than once stands in a row of its own, so that it is worked out once.
     rows = rows.withColumns({"flat": count(X.utf16_col(X.collapse_col(text))), "spaced": some & text.rlike(spaced)})
     edge = lambda pattern: F.when(F.col("spaced"), X.utf16_col(X.collapse_col(F.regexp_extract(text, pattern, 0)))).otherwise(0)
@@ -85,35 +99,57 @@ def _text_rows(tables: DataFrame, id_cols: Sequence[str], nodes_col: str, more:
         ((F.length("href") > 1) & F.col("href").startswith("#")).alias("anchored"),
         (F.col("own_video") | (F.contains(text, F.lit("//")) & text.rlike(matchers.VIDEOS))).cast("int").alias("any_video"),
     )
+    rows = _dealt(rows, id_cols, parts)
     joint = F.coalesce(F.col("opens") & F.last("closes", ignorenulls=True).over(_before(id_cols)), F.lit(False)).cast("int")
     rows = rows.withColumn("joint", joint)
     rows = rows.withColumns({"total": F.sum(F.col("flat") - F.col("joint")).over(_upto(id_cols)), "cores": F.sum(F.col("core").cast("int")).over(_upto(id_cols)), "videos_upto": F.sum("any_video").over(_upto(id_cols))})
     return rows.withColumns({"first_at": F.col("total") - F.col("flat") + F.col("lead"), "end_at": F.col("total") - F.col("trail")})
 
 
-def measured(tables: DataFrame, id_cols: Sequence[str], nodes_col: str = "nodes", siblings: bool = False, needed: Sequence[str] | None = None) -> DataFrame:
+def measured(tables: DataFrame, id_cols: Sequence[str], nodes_col: str = "nodes", siblings: bool = False, needed: Sequence[str] | None = None, parts: int | None = None, rules: bool = False) -> DataFrame:
     """A row for each page: id columns and n, its nodes with their length (units of inner text) and running sums of all
     that the conditional rules and the scores count, or of those needed. siblings: with the number of elements below a node's parent, and
-    whether a paragraph has a sentence's end."""
+    whether a paragraph has a sentence's end. rules: with is_data (of tables), in_data (lies in a table of data) and kin
+    (most elements below one of the elements that share a node's parent). parts: see deals."""
     own = ["id", "parent", "depth", "last_id", "kind", "tag", "class", "weight"]
+    more = {}
+    if siblings:
+        tables, more = tables.withColumn(nodes_col, _sentences(F.col(nodes_col))), {"sentence": F.col("sentence")}
+    elif rules:
+        more = _table_columns()
+    rows = _text_rows(tables, id_cols, nodes_col, more, parts)
+    beside = Window.partitionBy(*id_cols, "parent")
+    if siblings or rules:
+        rows = rows.withColumn("elements", F.sum(F.when(F.col("kind") == ELEMENT, 1).otherwise(0)).over(beside))
     if siblings:
-        rows = _text_rows(tables.withColumn(nodes_col, _sentences(F.col(nodes_col))), id_cols, nodes_col, ["sentence"])
-        rows = rows.withColumn("elements", F.sum(F.when(F.col("kind") == ELEMENT, 1).otherwise(0)).over(Window.partitionBy(*id_cols, "parent")))
         own += ["sentence", "elements"]
-    else:
-        rows = _text_rows(tables, id_cols, nodes_col)
+    at_first = []
+    if rules:
+        rows = rows.withColumns({to: F.sum(c).over(_upto(id_cols)) for c, to in _TABLE_SUMS.items()})
+        at_first = ["elements", *_TABLE_MARKS, *_TABLE_SUMS.values()]
     # first_at lacks the space that the text before has counted already.
     core = F.when(F.col("core"), F.struct("id", F.col("first_at").alias("first"), F.col("end_at").alias("end")))
-    pages = _gathered(rows, id_cols, [*own, "cores", "videos_upto", "commas", "score_commas", "anchored", "own_video"], c=F.array_sort(F.collect_list(core)))
+    pages = _gathered(rows, id_cols, [*own, "cores", "videos_upto", "commas", "score_commas", "anchored", "own_video", *at_first], c=F.array_sort(F.collect_list(core)))
     nodes, cores = F.col("n"), F.col("c")
 
-    def with_length(x: Column) -> Column:
+    def with_length(x: Column, widths: Column | None = None) -> Column:
         last = F.get(nodes, x["last_id"])
         length = F.when((x["kind"] == ELEMENT) & (last["cores"] > x["cores"]), F.get(cores, (last["cores"] - 1).cast("int"))["end"] - F.get(cores, x["cores"].cast("int"))["first"]).otherwise(0)
         video = x["own_video"] | (x["tag"] == "object") & (last["videos_upto"] > x["videos_upto"])
-        return F.struct(*(x[c].alias(c) for c in own), x["commas"].alias("commas_"), x["score_commas"].alias("score_commas_"), x["anchored"].alias("anchored"), video.alias("video"), length.alias("length"))
+        out = [*(x[c].alias(c) for c in own), x["commas"].alias("commas_"), x["score_commas"].alias("score_commas_"), x["anchored"].alias("anchored"), video.alias("video"), length.alias("length")]
+        if widths is not None:
+            is_data = F.when((x["kind"] == ELEMENT) & (x["tag"] == "table"), _table_size(x, widths)["is_data"]).otherwise(False)
+            # The first node below an element stands behind it, and knows how many elements share its parent.
+            held = F.when((x["kind"] == ELEMENT) & (x["last_id"] > x["id"]), F.get(nodes, x["id"] + 1)["elements"]).otherwise(0)
+            out += [is_data.alias("is_data"), held.alias("held")]
+        return F.struct(*out)
 
-    rows = pages.select(*id_cols, F.explode(F.transform(nodes, with_length)).alias("x")).select(*id_cols, "x.*")
+    each = X.let(_row_widths(), lambda widths: F.transform(nodes, lambda x: with_length(x, widths))) if rules else F.transform(nodes, lambda x: with_length(x))
+    rows = pages.select(*id_cols, F.explode(each).alias("x")).select(*id_cols, "x.*")
+    if rules:
+        in_data = F.coalesce(F.max(F.when(F.col("is_data"), F.col("last_id"))).over(_before(id_cols)) >= F.col("id"), F.lit(False))
+        rows = rows.withColumns({"in_data": in_data, "kin": F.max("held").over(beside)})
+        own += ["is_data", "in_data", "kin"]
     is_element, tag, length = F.col("kind") == ELEMENT, F.col("tag"), F.col("length")
     one = lambda *tags: F.when(is_element & tag.isin(*tags), 1).otherwise(0)
     units = lambda *tags: F.when(is_element & tag.isin(*tags), length).otherwise(0)
@@ -135,19 +171,18 @@ def _density(x: Column) -> Column:
     return F.coalesce(F.try_divide(_link_length(x), x["length"].cast("double")), F.lit(0.0))
 
 
-def subtree_stats(tables: DataFrame, id_cols: Sequence[str], tags: Sequence[str] = ("div", "ul", "nav", "article"), nodes_col: str = "nodes") -> DataFrame:
+def subtree_stats(tables: DataFrame, id_cols: Sequence[str], tags: Sequence[str] = ("div", "ul", "nav", "article"), nodes_col: str = "nodes", parts: int | None = None) -> DataFrame:
     """What each element of the tags holds below it: counts of elements, of ASCII commas, units of its inner text and of
     those of its headings, lists and links (links within the page count 0.3), and whether a known video is embedded."""
-    counts = ["paragraphs", "images", "items", "inputs", "embeds", "commas"]
+    found = F.transform(F.filter("n", lambda x: (x["kind"] == ELEMENT) & x["tag"].isin(*tags)), lambda x: F.struct(*_stats(x)))
+    return measured(tables, id_cols, nodes_col, parts=parts).select(*id_cols, F.explode(found).alias("s")).select(*id_cols, "s.*")
 
-    def stats(x: Column) -> Column:
-        return F.struct(
-            x["id"].alias("id"), x["tag"].alias("tag"), *(_held(x, c).alias(c) for c in counts), x["length"].cast("long").alias("length"), _held(x, "heading_length").alias("heading_length"),
-            _held(x, "list_length").alias("list_length"), _link_length(x).alias("link_length"), (_held(x, "videos") > 0).alias("video"), x["weight"].alias("weight"), x["depth"].alias("depth"),
-        )
 
-    found = F.transform(F.filter("n", lambda x: (x["kind"] == ELEMENT) & x["tag"].isin(*tags)), stats)
-    return measured(tables, id_cols, nodes_col).select(*id_cols, F.explode(found).alias("s")).select(*id_cols, "s.*")
+def _stats(x: Column) -> list[Column]:
+    return [
+        x["id"].alias("id"), x["tag"].alias("tag"), *(_held(x, c).alias(c) for c in ("paragraphs", "images", "items", "inputs", "embeds", "commas")), x["length"].cast("long").alias("length"), _held(x, "heading_length").alias("heading_length"),
+        _held(x, "list_length").alias("list_length"), _link_length(x).alias("link_length"), (_held(x, "videos") > 0).alias("video"), x["weight"].alias("weight"), x["depth"].alias("depth"),
+    ]
 
 
 #: The sums that scores are made of.
@@ -326,32 +361,45 @@ def span(value: Column) -> Column:
     return F.when(whole.isNotNull() & (kept != 0), kept).otherwise(F.lit(1).cast("decimal(38,0)"))
 
 
-def table_sizes(tables: DataFrame, id_cols: Sequence[str], nodes_col: str = "nodes") -> DataFrame:
-    """Each table's rows (sum of its rows' spans) and columns (the largest sum of a row's cells' spans), with those of
-    tables inside, and is_data: whether it holds data rather than layout.
+#: Attributes of tables, and the running sums that their sizes are made of.
+_TABLE_MARKS = ("role", "datatable", "summary")
+_TABLE_SUMS = {"rows_": "n_rows", "cells_": "cells", "tr_": "trs", "nested_": "nested", "captions_": "captions", "parts_": "parts"}
 
-    Spans are running sums over the page; the rows of a table are a segment of the page's rows.
-    """
+
+def _table_columns() -> dict[str, Column]:
+    """What a node row adds to the sums, and a table's attributes."""
     tag, attrs, is_element = F.col("tag"), F.col("attrs"), F.col("kind") == ELEMENT
     zero = F.lit(0).cast("decimal(38,0)")
-    rows = node_rows(tables, id_cols, nodes_col).select(
-        *id_cols, "id", "last_id", "kind", "tag",
-        F.when(is_element & (tag == "tr"), span(attribute(attrs, "rowspan"))).otherwise(zero).alias("rows_"), F.when(is_element & (tag == "td"), span(attribute(attrs, "colspan"))).otherwise(zero).alias("cells_"),
-        (is_element & (tag == "tr")).cast("int").alias("tr_"), (is_element & (tag == "table")).cast("int").alias("nested_"),
-        (is_element & ((tag == "caption") & (F.col("last_id") > F.col("id")))).cast("int").alias("captions_"), (is_element & tag.isin(*DATA_PARTS)).cast("int").alias("parts_"),
-        *(F.when(is_element & (tag == "table"), attribute(attrs, a)).alias(a) for a in ("role", "datatable", "summary")),
-    )
-    sums = {"rows_": "n_rows", "cells_": "cells", "tr_": "trs", "nested_": "nested", "captions_": "captions", "parts_": "parts"}
-    rows = rows.withColumns({to: F.sum(c).over(_upto(id_cols)) for c, to in sums.items()})
-    pages = _gathered(rows, id_cols, ["id", "last_id", "kind", "tag", "role", "datatable", "summary", *sums.values()])
-    trs = F.transform(F.filter("n", lambda x: (x["kind"] == ELEMENT) & (x["tag"] == "tr")), lambda x: _held(x, "cells"))
+    return {
+        "rows_": F.when(is_element & (tag == "tr"), span(attribute(attrs, "rowspan"))).otherwise(zero), "cells_": F.when(is_element & (tag == "td"), span(attribute(attrs, "colspan"))).otherwise(zero),
+        "tr_": (is_element & (tag == "tr")).cast("int"), "nested_": (is_element & (tag == "table")).cast("int"),
+        "captions_": (is_element & ((tag == "caption") & (F.col("last_id") > F.col("id")))).cast("int"), "parts_": (is_element & tag.isin(*DATA_PARTS)).cast("int"),
+        **{a: F.when(is_element & (tag == "table"), attribute(attrs, a)) for a in _TABLE_MARKS},
+    }
+
 
-    def size(x: Column, widths: Column) -> Column:
-        own = F.slice(widths, (x["trs"] + 1).cast("int"), _held(x, "trs").cast("int"))
-        columns = F.greatest(F.coalesce(F.array_max(own), zero), zero)
-        return F.struct(x["id"].alias("id"), _held(x, "n_rows").alias("n_rows"), columns.alias("n_columns"), table_kind(x["role"], x["datatable"], x["summary"], _held(x, "captions") > 0, _held(x, "parts") > 0, _held(x, "nested") > 0, _held(x, "n_rows"), columns).alias("is_data"))
+def _row_widths() -> Column:
+    """Spans of the cells of each of a page's rows."""
+    return F.transform(F.filter("n", lambda x: (x["kind"] == ELEMENT) & (x["tag"] == "tr")), lambda x: _held(x, "cells"))
 
-    found = X.let(trs, lambda widths: F.transform(F.filter("n", lambda x: (x["kind"] == ELEMENT) & (x["tag"] == "table")), lambda x: size(x, widths)))
+
+def _table_size(x: Column, widths: Column) -> Column:
+    zero = F.lit(0).cast("decimal(38,0)")
+    own = F.slice(widths, (x["trs"] + 1).cast("int"), _held(x, "trs").cast("int"))
+    columns = F.greatest(F.coalesce(F.array_max(own), zero), zero)
+    return F.struct(x["id"].alias("id"), _held(x, "n_rows").alias("n_rows"), columns.alias("n_columns"), table_kind(x["role"], x["datatable"], x["summary"], _held(x, "captions") > 0, _held(x, "parts") > 0, _held(x, "nested") > 0, _held(x, "n_rows"), columns).alias("is_data"))
+
+
+def table_sizes(tables: DataFrame, id_cols: Sequence[str], nodes_col: str = "nodes", parts: int | None = None) -> DataFrame:
+    """Each table's rows (sum of its rows' spans) and columns (the largest sum of a row's cells' spans), with those of
+    tables inside, and is_data: whether it holds data rather than layout.
+
+    Spans are running sums over the page; the rows of a table are a segment of the page's rows.
+    """
+    rows = _dealt(node_rows(tables, id_cols, nodes_col).select(*id_cols, "id", "last_id", "kind", "tag", *(c.alias(k) for k, c in _table_columns().items())), id_cols, parts)
+    rows = rows.withColumns({to: F.sum(c).over(_upto(id_cols)) for c, to in _TABLE_SUMS.items()})
+    pages = _gathered(rows, id_cols, ["id", "last_id", "kind", "tag", *_TABLE_MARKS, *_TABLE_SUMS.values()])
+    found = X.let(_row_widths(), lambda widths: F.transform(F.filter("n", lambda x: (x["kind"] == ELEMENT) & (x["tag"] == "table")), lambda x: _table_size(x, widths)))
     return pages.select(*id_cols, F.explode(found).alias("s")).select(*id_cols, "s.*")
 
 
@@ -535,27 +583,34 @@ def ld_scripts(nodes: Column) -> Column:
 # The conditional rules
 
 
-def conditional_removals(tables: DataFrame, id_cols: Sequence[str], tags: Sequence[str] = ("form", "fieldset", "table", "ul", "div"), modifier: float = 0.0, nodes_col: str = "nodes") -> DataFrame:
+def conditional_removals(tables: DataFrame, id_cols: Sequence[str], tags: Sequence[str] = ("form", "fieldset", "table", "ul", "div"), modifier: float = 0.0, nodes_col: str = "nodes", parts: int | None = None) -> DataFrame:
     """Which elements of the tags the conditional rules take out of a tree as it is: id columns, id, tag and goes.
 
     Tables of data, what lies in them and what lies near code stay; then the rules over what an element holds; a list whose
-    items hold no more than one element stays if each has an image. Tables' kinds and lists' items are joined by id.
+    items hold no more than one element stays if each has an image. All of it is read from one pass over the pages' nodes,
+    without a join.
     """
-    keys = [*id_cols, "id"]
-    stats = subtree_stats(tables, id_cols, sorted({*tags, "table"}), nodes_col)
-    near = ancestor_tests(tables, id_cols, {"in_figure": ("figure", 3, None), "in_code": ("code", 3, None)}, sorted({*tags, "table"}), nodes_col).drop("tag")
-    elements = node_rows(tables, id_cols, nodes_col).filter(F.col("kind") == ELEMENT).select(*keys, "parent", "last_id")
-    held = elements.groupBy(*id_cols, F.col("parent").alias("id")).agg(F.count(F.lit(1)).alias("n_elements"))
-    wide = elements.join(held, keys).groupBy(*id_cols, F.col("parent").alias("id")).agg((F.max("n_elements") > 1).alias("wide"))
-    rows = stats.join(near, keys).join(elements.drop("parent"), keys).join(table_sizes(tables, id_cols, nodes_col).select(*keys, "is_data"), keys, "left").join(wide, keys, "left")
-    in_data = F.coalesce(F.max(F.when(F.col("is_data"), F.col("last_id"))).over(_before(id_cols)) >= F.col("id"), F.lit(False))
-    rows = rows.withColumn("in_data", in_data).filter(F.col("tag").isin(*tags))
+    nodes = F.col("n")
+
+    def near(x: Column, tag: str) -> Column:
+        up, found = x, F.lit(False)
+        for _ in range(4):
+            up = F.get(nodes, up["parent"])
+            found = found | F.coalesce((up["kind"] == ELEMENT) & (up["tag"] == tag), F.lit(False))
+        return found
+
+    def judged_by(x: Column) -> Column:
+        wide = F.coalesce((x["last_id"] > x["id"]) & (F.get(nodes, x["id"] + 1)["kin"] > 1), F.lit(False))
+        return F.struct(*_stats(x), near(x, "figure").alias("in_figure"), near(x, "code").alias("in_code"), x["is_data"].alias("is_data"), x["in_data"].alias("in_data"), wide.alias("wide"))
+
+    found = F.transform(F.filter("n", lambda x: (x["kind"] == ELEMENT) & x["tag"].isin(*tags)), judged_by)
+    rows = measured(tables, id_cols, nodes_col, parts=parts, rules=True).select(*id_cols, F.explode(found).alias("s")).select(*id_cols, "s.*")
     h = {c: F.col(c) for c in rows.columns} | {"link_density": F.coalesce(F.try_divide(F.col("link_length"), F.col("length").cast("double")), F.lit(0.0))}
     is_list = F.col("tag").isin("ul", "ol") | (F.coalesce(F.try_divide(F.col("list_length").cast("double"), F.col("length").cast("double")), F.lit(0.0)) > 0.9)
     judged = fishy(F.col("tag"), F.col("weight"), h, modifier)
-    simple = is_list & (F.col("weight") >= 0) & ~F.coalesce(F.col("wide"), F.lit(False)) & (F.col("images") == F.col("items"))
-    goes = F.when(F.coalesce(F.col("is_data"), F.lit(False)) | F.col("in_data") | F.col("in_code"), False).otherwise(judged & ~simple)
-    return rows.select(*keys, "tag", goes.alias("goes"))
+    simple = is_list & (F.col("weight") >= 0) & ~F.col("wide") & (F.col("images") == F.col("items"))
+    goes = F.when(F.col("is_data") | F.col("in_data") | F.col("in_code"), False).otherwise(judged & ~simple)
+    return rows.select(*id_cols, "id", "tag", goes.alias("goes"))
 
 
 # Links

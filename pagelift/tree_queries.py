@@ -174,7 +174,8 @@ def normalized_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def conditional_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which divisions, lists and tables of the built pages the conditional rules take out."""
-    return trees.conditional_removals(node_table(_catalog(spark, sf_dir)), ["page_id"], ("div", "ul", "table"))
+    made = _catalog(spark, sf_dir)
+    return trees.conditional_removals(node_table(made), ["page_id"], ("div", "ul", "table"), parts=trees.deals(made))
 
 
 def node_function(spark: SparkSession, sf_dir: str) -> DataFrame:

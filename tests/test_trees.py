@@ -138,6 +138,20 @@ def test_conditional_removals(pages, nodes, monkeypatch):
     assert not got and n > 20
 
 
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_conditional_removals_take_one_pass(spark, nodes):
+    """No join, so nothing is sent to the driver to be broadcast, and one exchange of the parts that were asked for."""
+    table = node_table(spark.createDataFrame([(1, "<ul><li>a")], "page_id long, html string"))
+    own = plan(trees.conditional_removals(table, ["page_id"], ["ul"], parts=7))
+    assert "Join" not in own and "Broadcast" not in own and own.count("MapInArrow") == 1
+    assert own.count("Exchange hashpartitioning") == 1 and "hashpartitioning(page_id" in own and ", 7)" in own
+    made = lambda n: spark.range(n).select(F.repeat(F.lit("x"), 1 << 20).alias("html"))
+    assert trees.deals(made(200)) == 100 and trees.deals(made(0)) == spark.sparkContext.defaultParallelism
+
+
 GAPS = ["<br>", "<br>", "<br>", " ", "\n", "\xa0", "<!-- c -->", "some text", "<b>bold</b>", "<h2>x</h2>", "<a href=x>link</a>", "<a href=x><div>no</div></a>", "<ins><del>t</del></ins>", "<ins><span><div>in</div></span></ins>"]
 
 
