@@ -196,14 +196,14 @@ def _start(x: Column) -> Column:
     return F.coalesce(F.element_at(F.create_map(*[F.lit(v) for pair in POINTS.items() for v in pair]), x["tag"]), F.lit(0.0)) + x["weight"]
 
 
-def content_scores(tables: DataFrame, id_cols: Sequence[str], nodes_col: str = "nodes") -> DataFrame:
+def content_scores(tables: DataFrame, id_cols: Sequence[str], nodes_col: str = "nodes", parts: int | None = None) -> DataFrame:
     """Scores of the ancestors of the paragraphs of a node table as it is: id columns, id, last_id, tag, class, score, and
     met, the order in which they are met from paragraph to paragraph, each time from the nearest on.
 
     Each scored element gives its points to up to five ancestors, divided by 1, 2, 6, 9 and 12; an ancestor begins
     with the points of its tag and names, and its score falls with its share of links.
     """
-    return _scores(measured(tables, id_cols, nodes_col, needed=_SCORED_BY), id_cols)
+    return _scores(measured(tables, id_cols, nodes_col, needed=_SCORED_BY, parts=parts), id_cols)
 
 
 def top_candidates(scores: DataFrame, id_cols: Sequence[str], count: int = 5) -> DataFrame:
@@ -320,7 +320,7 @@ def joined_siblings(tables: DataFrame, id_cols: Sequence[str], count: int = 5, n
 # Ancestors
 
 
-def ancestor_tests(tables: DataFrame, id_cols: Sequence[str], tests: dict[str, tuple[str, int, Callable[[Column], Column] | None]], tags: Sequence[str] | None = None, nodes_col: str = "nodes") -> DataFrame:
+def ancestor_tests(tables: DataFrame, id_cols: Sequence[str], tests: dict[str, tuple[str, int, Callable[[Column], Column] | None]], tags: Sequence[str] | None = None, nodes_col: str = "nodes", parts: int | None = None) -> DataFrame:
     """For each element (of tags), whether an ancestor has a tag: a column for each of tests.
 
     A test is a tag, a depth and a condition on the ancestor (a function of its struct, or None). A depth up to 0 is none;
@@ -344,7 +344,7 @@ def ancestor_tests(tables: DataFrame, id_cols: Sequence[str], tests: dict[str, t
             out.append(found.alias(name))
         return F.struct(*out)
 
-    rows = tables.select(*id_cols, F.explode(F.transform(nodes, near)).alias("x")).select(*id_cols, "x.*")
+    rows = _dealt(tables.select(*id_cols, F.explode(F.transform(nodes, near)).alias("x")).select(*id_cols, "x.*"), id_cols, parts)
     ends = {k: F.coalesce(F.max(F.when(F.col(k), F.col("last_id"))).over(_before(id_cols)) >= F.col("id"), F.lit(False)) for k, t in tests.items() if t[1] <= 0}
     rows = rows.withColumns(ends) if ends else rows
     return rows.filter((F.col("kind") == ELEMENT) & (F.lit(True) if tags is None else F.col("tag").isin(*tags))).select(*id_cols, "id", "tag", *tests)
@@ -421,7 +421,7 @@ def is_phrasing(nodes: Column, x: Column) -> Column:
     return F.when(transparent(x), ~F.aggregate(below(nodes, x), start, step, lambda s: s["bad"])).otherwise((x["kind"] == TEXT) | plain(x))
 
 
-def break_chains(tables: DataFrame, id_cols: Sequence[str], nodes_col: str = "nodes") -> DataFrame:
+def break_chains(tables: DataFrame, id_cols: Sequence[str], nodes_col: str = "nodes", parts: int | None = None) -> DataFrame:
     """Rows of two or more breaks that begin a paragraph: parent, id and place of the first, length (breaks in the row),
     and n_nodes: the nodes after it that the paragraph takes, up to the next such row or what is no phrasing content,
     without blank ones and breaks at the end.
@@ -436,6 +436,7 @@ def break_chains(tables: DataFrame, id_cols: Sequence[str], nodes_col: str = "no
     solid = (F.col("kind") == ELEMENT) | ((F.col("kind") == TEXT) & text.rlike("[^ \\t\\n\\r\\f]"))
     empty = br | ((F.col("kind") == TEXT) & ~text.rlike(f"[^{X.WIDE_CLASS[1:]}"))
     rows = rows.select(*id_cols, "parent", "id", "pos", "phrasing", br.alias("br"), F.when(solid, br).alias("solid_br"), empty.alias("empty"))
+    rows = _dealt(rows, id_cols, parts)
     within = Window.partitionBy(*id_cols, "parent").orderBy("pos")
     upto, before = (within.rowsBetween(Window.unboundedPreceding, end) for end in (Window.currentRow, -1))
     after = Window.partitionBy(*id_cols, "parent").orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, -1)

@@ -114,7 +114,8 @@ def nav_link_density(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidate_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return trees.top_candidates(trees.content_scores(_nodes(spark, sf_dir), ["page_id"]), ["page_id"]).drop("class", "last_id", "met")
+    pages = _pages(spark, sf_dir)
+    return trees.top_candidates(trees.content_scores(node_table(pages), ["page_id"], parts=trees.deals(pages)), ["page_id"]).drop("class", "last_id", "met")
 
 
 def utf16_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:

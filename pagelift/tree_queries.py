@@ -62,12 +62,14 @@ def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def subtree_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the divisions, lists, navigations and articles of the pages hold."""
-    return trees.subtree_stats(node_table(pages(spark, sf_dir)), ["page_id"]).drop("weight", "depth")
+    own = pages(spark, sf_dir)
+    return trees.subtree_stats(node_table(own), ["page_id"], parts=trees.deals(own)).drop("weight", "depth")
 
 
 def catalog_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What the divisions, lists and articles of the built pages hold."""
-    return trees.subtree_stats(node_table(_catalog(spark, sf_dir)), ["page_id"]).drop("depth")
+    made = _catalog(spark, sf_dir)
+    return trees.subtree_stats(node_table(made), ["page_id"], parts=trees.deals(made)).drop("depth")
 
 
 #: Tests of ancestors: tag, depth (none up to 0; 3 sees four), condition.
@@ -82,7 +84,8 @@ TESTS = {
 
 def ancestor_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each image, paragraph and link of the built pages, what it lies in."""
-    return trees.ancestor_tests(node_table(_catalog(spark, sf_dir)), ["page_id"], TESTS, ["img", "p", "a"])
+    made = _catalog(spark, sf_dir)
+    return trees.ancestor_tests(node_table(made), ["page_id"], TESTS, ["img", "p", "a"], parts=trees.deals(made))
 
 
 def table_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +96,8 @@ def table_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     row = F.concat(F.lit('<tr rowspan="'), _pick(spans, k % 8), F.lit('"><td colspan="'), _pick(spans, F.floor(k / 2) % 8), F.lit('">'), _part("name"), F.lit("</td><td>"), F.when(k % 16 == 11, "<table><tr><td>a<td>b</table>").otherwise(_part("brand")), F.lit("</td></tr>"))
     rows = F.concat(row, _times("<tr><td>x</td></tr>", _part("size") % 12))
     markup = F.concat(F.lit("<table"), kind, F.lit(">"), inside, F.lit("<tbody>"), rows, F.lit("</tbody></table>"))
-    found = trees.table_sizes(node_table(built(spark, sf_dir, markup, "<body>", "</body>")), ["page_id"])
+    made = built(spark, sf_dir, markup, "<body>", "</body>")
+    found = trees.table_sizes(node_table(made), ["page_id"], parts=trees.deals(made))
     names = [F.col(c).cast("long").alias(c) for c in ("n_rows", "n_columns")]
     return found.select("page_id", F.row_number().over(trees.Window.partitionBy("page_id").orderBy("id")).alias("place"), *names, "is_data")
 
@@ -125,7 +129,8 @@ GAPS = ["<br>", "<br><br>", "<br> <br>", "<br><br><br>", "<br> <br> <br>", "<h2>
 def break_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows of breaks between the names of parts, and how much of what follows them makes a paragraph."""
     markup = F.concat(_part("name"), _pick(GAPS, _part("partkey") % len(GAPS)))
-    return trees.break_chains(node_table(built(spark, sf_dir, markup, "<body><div>", "</div></body>")), ["page_id"])
+    made = built(spark, sf_dir, markup, "<body><div>", "</div></body>")
+    return trees.break_chains(node_table(made), ["page_id"], parts=trees.deals(made))
 
 
 def _with_scripts(spark: SparkSession, sf_dir: str) -> DataFrame:
