@@ -212,7 +212,8 @@ def top_candidates(scores: DataFrame, id_cols: Sequence[str], count: int = 5) ->
     return scores.withColumn("rank", rank).filter(F.col("rank") <= count)
 
 
-def _scores(pages: DataFrame, id_cols: Sequence[str]) -> DataFrame:
+def _points_given() -> Column:
+    """What the scored elements of a page give to their ancestors: an array of _GIVEN."""
     from .article import ANCESTORS, LEAST_PARAGRAPH, SCORED
 
     nodes = F.col("n")
@@ -222,21 +223,43 @@ def _scores(pages: DataFrame, id_cols: Sequence[str]) -> DataFrame:
         up, out = F.get(nodes, x["parent"]), []
         for level in range(ANCESTORS):
             counts = (up["kind"] == ELEMENT) & (F.get(nodes, up["parent"])["kind"] == ELEMENT)
-            own = [up[c].alias(c) for c in ("id", "last_id", "tag", "class")]
-            out.append(F.when(counts, F.struct(*own, _start(up).alias("start"), _density(up).alias("density"), (points / (1, 2, 6, 9, 12)[level]).alias("points"), (x["id"].cast("long") * 8 + level).alias("met"))))
+            values = [*(up[c] for c in ("id", "last_id", "tag", "class")), _start(up), _density(up), points / (1, 2, 6, 9, 12)[level], x["id"].cast("long") * 8 + level]
+            out.append(F.when(counts, F.struct(*(v.cast(kind).alias(k) for v, (k, kind) in zip(values, _GIVEN.items(), strict=True)))))
             up = F.get(nodes, up["parent"])
         return F.array(*out)
 
     scored = F.filter(nodes, lambda x: (x["kind"] == ELEMENT) & x["tag"].isin(*sorted(SCORED)) & (x["length"] >= LEAST_PARAGRAPH))
-    rows = pages.select(*id_cols, F.explode(F.filter(F.flatten(F.transform(scored, given)), lambda g: g.isNotNull())).alias("g")).select(*id_cols, "g.*")
-    sums = rows.groupBy(*id_cols, "id").agg(*(F.max(c).alias(c) for c in ("last_id", "tag", "class", "start", "density")), F.sum("points").alias("points"), F.min("met").alias("met"))
-    return sums.select(*id_cols, "id", "last_id", "tag", "class", "met", ((F.col("start") + F.col("points")) * (1 - F.col("density"))).alias("score"))
+    return F.filter(F.flatten(F.transform(scored, given)), lambda g: g.isNotNull())
+
+
+_GIVEN = {"id": "int", "last_id": "int", "tag": "string", "class": "string", "start": "double", "density": "double", "points": "double", "met": "long"}
+
+
+def _summed(rows: DataFrame, id_cols: Sequence[str], *more: Column) -> DataFrame:
+    sums = rows.groupBy(*id_cols, "id").agg(*(F.max(c).alias(c) for c in ("last_id", "tag", "class", "start", "density")), F.sum("points").alias("points"), F.min("met").alias("met"), *more)
+    return sums.withColumn("score", (F.col("start") + F.col("points")) * (1 - F.col("density")))
+
+
+def _scores(pages: DataFrame, id_cols: Sequence[str]) -> DataFrame:
+    rows = pages.select(*id_cols, F.explode(_points_given()).alias("g")).select(*id_cols, "g.*")
+    return _summed(rows, id_cols).select(*id_cols, "id", "last_id", "tag", "class", "met", "score")
+
+
+def _with_scores(pages: DataFrame, id_cols: Sequence[str]) -> DataFrame:
+    """pages with s, the candidates from best to worst. A page's nodes go along in a row beside what is given, so that pages
+    are neither parsed twice nor joined."""
+    own = F.struct(*(F.lit(-1 if k == "id" else None).cast(kind).alias(k) for k, kind in _GIVEN.items()), F.col("n").alias("n"))
+    given = F.transform(_points_given(), lambda g: F.struct(*(g[k].alias(k) for k in _GIVEN), F.when(F.lit(False), F.col("n")).alias("n")))
+    rows = pages.select(*id_cols, F.explode(F.concat(F.array(own), given)).alias("g")).select(*id_cols, "g.*")
+    rows = _summed(rows, id_cols, F.first("n", ignorenulls=True).alias("n"))
+    candidate = F.when(F.col("id") >= 0, F.struct((-F.col("score")).alias("minus"), "met", "id", "last_id", "tag"))
+    return rows.groupBy(*id_cols).agg(F.first("n", ignorenulls=True).alias("n"), F.array_sort(F.collect_list(candidate)).alias("s"))
 
 
 # The top candidate and its siblings
 
 
-def chosen_tops(tables: DataFrame, id_cols: Sequence[str], count: int = 5, nodes_col: str = "nodes") -> DataFrame:
+def chosen_tops(tables: DataFrame, id_cols: Sequence[str], count: int = 5, nodes_col: str = "nodes", parts: int | None = None) -> DataFrame:
     """The element that each page's article grows from: id, parent, tag, class and score (id is null where there is no
     candidate or the best is the body, for which an element is made).
 
@@ -244,15 +267,15 @@ def chosen_tops(tables: DataFrame, id_cols: Sequence[str], count: int = 5, nodes
     nearest element around it that holds three of them; then up to the first element whose score is larger than the one
     before, while scores stay above a third; then up over parents without another element.
     """
-    return _chosen(measured(tables, id_cols, nodes_col, siblings=True, needed=_SCORED_BY), id_cols, count)
+    pages = measured(tables, id_cols, nodes_col, siblings=True, needed=_SCORED_BY, parts=parts)
+    return _chosen(pages, id_cols, count).select(*id_cols, "at.*")
 
 
 def _chosen(pages: DataFrame, id_cols: Sequence[str], count: int) -> DataFrame:
+    """A row for each page: id columns, n, s (see _with_scores), and at, the chosen element."""
     from .article import CLOSE, CLOSE_COUNT
 
-    ranked = _scores(pages, id_cols).groupBy(*id_cols).agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "met", "id", "last_id", "tag"))).alias("s"))
-    rows = pages.join(ranked, list(id_cols), "left")
-    n, s = F.col("n"), F.coalesce(F.col("s"), F.array().cast("array<struct<minus:double,met:bigint,id:int,last_id:int,tag:string>>"))
+    n, s = F.col("n"), F.col("s")
     around = lambda a, x: (a["id"] < x["id"]) & (x["id"] <= a["last_id"])
     score_of = lambda x: F.coalesce(-F.get(F.filter(s, lambda c: c["id"] == x["id"]), F.lit(0))["minus"], _start(x))
 
@@ -294,22 +317,23 @@ def _chosen(pages: DataFrame, id_cols: Sequence[str], count: int) -> DataFrame:
         return X.let(stop, from_there)
 
     best = F.get(s, F.lit(0))
-    rows = rows.select(*id_cols, F.when(best["tag"] != "body", X.let(best, chosen)).alias("at"))
-    return rows.select(*id_cols, "at.*")
+    return _with_scores(pages, id_cols).select(*id_cols, "n", "s", F.when(best["tag"] != "body", X.let(best, chosen)).alias("at"))
 
 
-def joined_siblings(tables: DataFrame, id_cols: Sequence[str], count: int = 5, nodes_col: str = "nodes") -> DataFrame:
+def joined_siblings(tables: DataFrame, id_cols: Sequence[str], count: int = 5, nodes_col: str = "nodes", parts: int | None = None) -> DataFrame:
     """The elements beside each page's chosen one, and why they join the article (reason is null if they don't): it is the
     top itself, its score (with a bonus for the class of the top) is a fifth of the top's and at least 10, or it is a
     paragraph that is long and has few links, or short, without links and with a sentence's end.
 
-    Siblings are found by a join on page and parent, their scores by one on page and id.
+    Siblings and scores of a page stand in rows of one id, and are grouped, so that pages are neither parsed twice nor joined.
     """
-    pages = measured(tables, id_cols, nodes_col, siblings=True, needed=_SCORED_BY)
-    tops = _chosen(pages, id_cols, count).filter("id is not null").select(*id_cols, "parent", F.col("id").alias("top"), F.col("class").alias("top_class"), F.col("score").alias("top_score"))
-    element = lambda x: F.struct(*(x[c].alias(c) for c in ("id", "parent", "tag", "class", "sentence", "length")), _density(x).alias("density"))
-    rows = pages.select(*id_cols, F.explode(F.transform(F.filter("n", lambda x: x["kind"] == ELEMENT), element)).alias("x")).select(*id_cols, "x.*")
-    rows = rows.join(tops, [*id_cols, "parent"]).join(_scores(pages, id_cols).select(*id_cols, "id", "score"), [*id_cols, "id"], "left")
+    pages = _chosen(measured(tables, id_cols, nodes_col, siblings=True, needed=_SCORED_BY, parts=parts), id_cols, count).filter("at.id is not null")
+    kinds = {"tag": "string", "class": "string", "sentence": "boolean", "length": "long", "density": "double"}
+    sibling = lambda x: F.struct(x["id"].alias("id"), F.lit(None).cast("double").alias("score"), *((_density(x) if k == "density" else x[k]).cast(kind).alias(k) for k, kind in kinds.items()))
+    scored = F.transform("s", lambda x: F.struct(x["id"].alias("id"), (-x["minus"]).alias("score"), *(F.lit(None).cast(kind).alias(k) for k, kind in kinds.items())))
+    beside = F.transform(F.filter("n", lambda x: (x["kind"] == ELEMENT) & (x["parent"] == F.col("at.parent"))), sibling)
+    rows = pages.select(*id_cols, *(F.col(f"at.{c}").alias(k) for c, k in (("id", "top"), ("class", "top_class"), ("score", "top_score"))), F.explode(F.concat(beside, scored)).alias("x"))
+    rows = rows.select(*id_cols, "top", "top_class", "top_score", "x.*").groupBy(*id_cols, "id").agg(*(F.max(c).alias(c) for c in ("top", "top_class", "top_score", "score", *kinds))).filter("tag is not null")
     bonus = F.when((F.col("top_class") != "") & (F.col("class") == F.col("top_class")), F.col("top_score") * 0.2).otherwise(0.0)
     by_score = F.col("score") + bonus >= F.greatest(F.lit(10.0), F.col("top_score") * 0.2)
     is_p, length = F.col("tag") == "p", F.col("length")

@@ -113,13 +113,15 @@ def _boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chosen_tops(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The elements that the articles of `pages` and of the boxes grow from; boxes' pages have numbers below zero."""
     boxes = _boxes(spark, sf_dir).select((-1 - F.col("page_id")).alias("page_id"), "html")
-    found = trees.chosen_tops(node_table(pages(spark, sf_dir).select("page_id", "html").unionByName(boxes)), ["page_id"])
+    own = pages(spark, sf_dir).select("page_id", "html").unionByName(boxes)
+    found = trees.chosen_tops(node_table(own), ["page_id"], parts=trees.deals(own))
     return found.select("page_id", "id", "tag", F.round("score", 6).alias("score"))
 
 
 def joined_siblings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which elements beside the chosen ones of the boxes' pages join them, and why."""
-    return trees.joined_siblings(node_table(_boxes(spark, sf_dir)), ["page_id"])
+    boxes = _boxes(spark, sf_dir)
+    return trees.joined_siblings(node_table(boxes), ["page_id"], parts=trees.deals(boxes))
 
 
 #: What stands between the names of parts: breaks, blanks, a heading.

@@ -145,10 +145,10 @@ def plan(df):
 def test_parts_are_those_that_were_asked_for(spark, nodes):
     """Each relation deals nodes once, into as many parts as its caller counts, whatever the session's setting is."""
     table = node_table(spark.createDataFrame([(1, "<ul><li>a<br><br>b")], "page_id long, html string"))
-    found = [trees.subtree_stats(table, ["page_id"], parts=7), trees.ancestor_tests(table, ["page_id"], {"in": ("li", -1, None)}, parts=7), trees.table_sizes(table, ["page_id"], parts=7), trees.break_chains(table, ["page_id"], parts=7), trees.content_scores(table, ["page_id"], parts=7)]
+    found = [trees.subtree_stats(table, ["page_id"], parts=7), trees.ancestor_tests(table, ["page_id"], {"in": ("li", -1, None)}, parts=7), trees.table_sizes(table, ["page_id"], parts=7), trees.break_chains(table, ["page_id"], parts=7), trees.content_scores(table, ["page_id"], parts=7), trees.chosen_tops(table, ["page_id"], parts=7), trees.joined_siblings(table, ["page_id"], parts=7)]
     for df in found:
         own = plan(df)
-        assert own.count("Exchange hashpartitioning") == 1 and ", 7)" in own and own.count("MapInArrow") == 1
+        assert own.count("Exchange hashpartitioning") == 1 and ", 7)" in own and own.count("MapInArrow") == 1 and "Join" not in own
 
 
 def test_conditional_removals_take_one_pass(spark, nodes):
