@@ -134,7 +134,10 @@ def comma_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def text_similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How much of each document its first line has, and the other way round."""
     docs = _documents(spark, sf_dir).select("doc_id", "text", F.substring_index("text", "\n", 1).alias("line"))
-    return docs.select("doc_id", X.similarity_col(F.col("line"), F.col("text")).alias("of_text"), X.similarity_col(F.col("text"), F.col("line")).alias("of_line"))
+    # Each step is a row of its own, so that words are looked for once.
+    words = docs.select("doc_id", X.words_col(F.col("line")).alias("a"), X.words_col(F.col("text")).alias("b"))
+    parts = words.select("doc_id", X.alone_col(F.col("a"), F.col("b")).alias("in_b"), X.alone_col(F.col("b"), F.col("a")).alias("in_a"), X.joined_units_col(F.col("a")).alias("n_a"), X.joined_units_col(F.col("b")).alias("n_b"))
+    return parts.select("doc_id", X.share_col(F.col("in_b"), F.col("n_b")).alias("of_text"), X.share_col(F.col("in_a"), F.col("n_a")).alias("of_line"))
 
 
 def _varied(values: list[str], *more: Column) -> Column:

@@ -97,3 +97,23 @@ def test_no_url(bad):
 def test_page_urls(spark, url, want):
     assert urls.valid_page_url(url) is want
     assert spark.createDataFrame([(url,)], "u string").select(native.page_url_ok(F.col("u"))).first()[0] is want
+
+
+def test_similarity_columns_of_long_texts(spark):
+    """As in Python, with words that begin like others and many repeats; the time is that of a sort."""
+    import random
+    import time
+
+    rng = random.Random(8)
+    words = ["a", "ab", "abc", "A", "a_", "_", "9", "\u212a", "\u0130x", "é", "zz", "", "!", "#", "a!", "b#", "\n", "😀"]
+    some = lambda n: rng.choice([" ", "", ", "]).join(rng.choice(words) for _ in range(rng.randint(0, n)))
+    pairs = [(some(6), some(9)) for _ in range(400)] + [("", ""), (None, "a"), ("a", None), ("the " * 30_000, "the " * 30_000), ("the " * 30_000 + "x", "y " * 30_000)]
+    rows = spark.createDataFrame([(i, *p) for i, p in enumerate(pairs)], "i int, a string, b string")
+    for r in rows.select("*", X.similarity_col(F.col("a"), F.col("b")).alias("s")).collect():
+        want = None if r["a"] is None or r["b"] is None else X.similarity(r["a"], r["b"])
+        assert r["s"] is None if want is None or math.isnan(want) else r["s"] == pytest.approx(want, abs=1e-12), (r["a"][:99], r["b"][:99])
+    numbers = F.array_join(F.transform(F.sequence(F.lit(1), F.lit(300_000)), lambda i: F.concat(F.lit("w"), (i + F.col("id")).cast("string"))), " ")
+    large = spark.range(1).select(numbers.alias("a"), F.concat(numbers, F.lit(" "), numbers, F.lit(" last")).alias("b"))
+    began = time.time()
+    assert large.select(X.similarity_col(F.col("a"), F.col("b")).alias("s")).first()["s"] == pytest.approx(1, abs=1e-5)
+    assert time.time() - began < 15
